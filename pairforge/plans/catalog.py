@@ -1,4 +1,4 @@
 """Every query of the engine by name, with its plain SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pairforge.plans import corpus, decoys, retrieval, sequences, tokens  # noqa: F401
+from pairforge.plans.base import ORACLES, QUERIES  # noqa: F401
