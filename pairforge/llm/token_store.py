@@ -124,7 +124,7 @@ def token_digests(docs: DataFrame, vocabulary: str, skip_blanks: bool = False, e
     write_tokens(docs, folder, vocabulary, skip_blanks, end_id, doc_id, text).write.parquet(folder + "-index")
     index = spark.read.schema(INDEX).parquet(folder + "-index")
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = index.select("file", before.alias("start"), F.lit(folder).alias("folder")).repartition("file")
+    places = index.select("file", before.alias("start"), F.lit(folder).alias("folder")).repartition(max(1, index.count()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
