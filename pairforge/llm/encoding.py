@@ -1,8 +1,8 @@
 """Tokenising with a public vocabulary, each distinct piece of text once.
 
 A text is cut where no token can span: before a single blank, or around a single line feed, that stands between two
-characters known not to be white space.  Both supported pre-tokenisers start anew there, so the ids of the pieces,
-joined, are those of the text.  Pieces are hashed for a whole block at once; only those that this worker has not met
+characters known not to be white space, and between a letter and a punctuation mark.  Both supported pre-tokenisers start
+anew there, so the ids of the pieces, joined, are those of the text.  Pieces are hashed for a whole block at once; only those that this worker has not met
 are given to the tokenizers library.  The memory of met pieces is bounded and dropped when full.
 """
 
@@ -13,9 +13,9 @@ from itertools import chain
 
 import numpy as np
 
-from pairforge.llm.common import byte_hash, ragged
+from pairforge.llm.common import LOWER, byte_hash, ragged
 
-MOST_PIECES, MOST_IDS = 1_500_000, 12_000_000
+MOST_PIECES, MOST_IDS, AT_ONCE = 700_000, 4_000_000, 4096
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -33,6 +33,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+MARK = np.zeros(256, bool)
+MARK[33:127] = True
+MARK[48:58] = MARK[65:91] = MARK[97:123] = False
+
+
 def cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Starts of pieces, each text's start included."""
     n = len(buf)
@@ -49,9 +56,18 @@ def cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     last = offs[1:][offs[1:] > 0] - 1
     after[last] = False
     between = before & after
-    at = np.flatnonzero((buf == 32) & between)
-    feeds = np.flatnonzero((buf == 10) & between)
-    return np.unique(np.concatenate([edge[: len(offs) - 1], at, feeds, feeds + 1]))
+    starts = (buf == 32) & between
+    feeds = (buf == 10) & between
+    starts |= feeds
+    starts[1:] |= feeds[:-1]
+    if n > 1:
+        letter, mark = LETTER[buf], MARK[buf]
+        ends = letter[:-1].copy()  # a letter ends here: also one of two bytes led by C3, but for the signs x and /
+        ends[1:] |= (buf[:-2] == 0xC3) & (buf[1:-1] != 0x97) & (buf[1:-1] != 0xB7)
+        starts[1:] |= ends & mark[1:]
+        starts[1:] |= mark[:-1] & (buf[:-1] != 39) & letter[1:]
+    starts[edge] = True
+    return np.flatnonzero(starts)
 
 
 class Encoder:
@@ -78,7 +94,7 @@ class Encoder:
         return start, size, found
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for k in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         if self.used + len(flat) > len(self.pool):
@@ -100,12 +116,15 @@ class Encoder:
             starts = starts + (buf[np.minimum(starts, max(len(buf) - 1, 0))] == 32)
         if self.met > MOST_PIECES or self.used > MOST_IDS:
             self.clear()
+        if self.skip_blanks:
+            buf = LOWER[buf]
         keys, first, back = np.unique(byte_hash(buf, starts, ends), return_index=True, return_inverse=True)
-        new = first[~self._find(keys)[2]]
+        start, size, known = self._find(keys)
+        new = first[~known]
         if len(new):
             raw = buf.tobytes()
-            self._learn(keys[~self._find(keys)[2]], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-        start, size, _ = self._find(keys)
+            self._learn(keys[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            start, size, _ = self._find(keys)
         ids = self.pool[ragged(start[back], size[back])]
         piece_ends = np.concatenate([[0], np.cumsum(size[back])])
         return ids, piece_ends[np.searchsorted(starts, offs)] if len(starts) else np.zeros(len(offs), np.int64)
