@@ -22,9 +22,10 @@ from pairforge.llm.common import SPACED, components, mix, ragged, ranged_hash, s
 NGRAM, PERCENT = 5, 75
 MOST_FREQUENT = 1 << 18  # tokens that the driver ranks and broadcasts: 4 MB at most
 FEW = 8  # sets of a token that give all pairs at once
+LEADERS = 8  # of more sets, so many are compared with all at first
 BUCKET_TOKENS, GROUP_SETS = 1 << 20, 128
 BROADCAST_BYTES = 64 << 20
-FEATURES = "kind int, a long, n long, x long, y long"
+FEATURES = "kind int, a long, n long, x long, y long, parity binary"
 PREFIXES = "bucket int, docs binary, marks binary, sizes binary, counts binary, tokens binary"
 FOUND = "kind int, a long, b long, docs array<long>, sizes array<int>"
 
@@ -49,6 +50,36 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
 
 
+def parities(grams: np.ndarray, ptr: np.ndarray) -> list[bytes]:
+    """A bit vector of each set: bit k is the parity of how many elements hash to k; 2n to 4n bits for n elements.
+
+    The bits in which two vectors differ are at most as many as the elements in which the sets differ, and folding a
+    vector's halves together keeps that.
+    """
+    size = np.diff(ptr)
+    bits = 1 << np.ceil(np.log2(np.maximum(2 * size, 256))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    spot = begin[:-1].repeat(size) + (mix(grams ^ np.uint64(0x5A5A)) & (bits - 1).astype(np.uint64).repeat(size)).astype(np.int64)
+    odd = np.packbits((np.bincount(spot, minlength=begin[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [odd[a // 8 : b // 8] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def may_link(left: list[bytes], right: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """False for pairs whose vectors differ in more bits than sets of these sizes may differ in elements."""
+    most = (100 - percent) * (n + m) // (100 + percent)
+    out = np.ones(len(n), bool)
+    a, b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    for x, y in {*zip(a.tolist(), b.tolist(), strict=True)}:
+        k = np.flatnonzero((a == x) & (b == y))
+        one, two = (np.frombuffer(b"".join(v[i] for i in k), np.uint64).reshape(len(k), -1) for v in (left, right))
+        while one.shape[1] > two.shape[1]:
+            one = one[:, : one.shape[1] // 2] ^ one[:, one.shape[1] // 2 :]
+        while two.shape[1] > one.shape[1]:
+            two = two[:, : two.shape[1] // 2] ^ two[:, two.shape[1] // 2 :]
+        out[k] = np.bitwise_count(one ^ two).sum(1, dtype=np.int64) <= most[k]
+    return out
+
+
 def _features(docs: DataFrame, ngram: int) -> DataFrame:
     """kind 0: doc_id, set size and two marks of its set; kind 1: a token and how often it occurs, for tokens often met in a task."""
 
@@ -59,7 +90,7 @@ def _features(docs: DataFrame, ngram: int) -> DataFrame:
             tokens, often = np.unique(np.concatenate(held), return_counts=True)
             keep = often >= 3
             zero = np.zeros(int(keep.sum()), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(tokens[keep].view(np.int64)), pa.array(often[keep]), pa.array(zero), pa.array(zero)], names=["kind", "a", "n", "x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(tokens[keep].view(np.int64)), pa.array(often[keep]), pa.array(zero), pa.array(zero), pa.nulls(len(zero), pa.binary())], names=["kind", "a", "n", "x", "y", "parity"])
 
         for rows, buf, offs in text_blocks(batches, "text"):
             grams, ptr = shingles(buf, offs, ngram)
@@ -67,9 +98,9 @@ def _features(docs: DataFrame, ngram: int) -> DataFrame:
             for seed in (1, 2):
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams + np.uint64(seed)), dtype=np.uint64)])
                 marks.append((sums[ptr[1:]] - sums[ptr[:-1]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows.num_rows, np.int32)), rows.column(0), pa.array(np.diff(ptr)), pa.array(marks[0]), pa.array(marks[1])], names=["kind", "a", "n", "x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows.num_rows, np.int32)), rows.column(0), pa.array(np.diff(ptr)), pa.array(marks[0]), pa.array(marks[1]), pa.array(parities(grams, ptr), pa.binary())], names=["kind", "a", "n", "x", "y", "parity"])
             held.append(grams)
-            if sum(map(len, held)) >= 1 << 21:
+            if sum(map(len, held)) >= 1 << 22:
                 yield frequent()
                 held = []
         if held:
@@ -129,8 +160,8 @@ def _prefixes(docs: DataFrame, ngram: int, percent: int, ranked: "object", bucke
     return docs.mapInArrow(scan, PREFIXES)
 
 
-def fitting_pairs(docs: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs (smaller id first) in one group, sizes close enough, of different labels.  group: ascending."""
+def fitting_pairs(docs: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (smaller id first) in one group, sizes close enough.  group: ascending."""
     out = []
     edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     per = np.diff(edges)
@@ -138,12 +169,8 @@ def fitting_pairs(docs: np.ndarray, sizes: np.ndarray, group: np.ndarray, percen
         i = ragged(edges[:-1], np.maximum(per - gap, 0))
         j = i + gap
         ok = (np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * percent) & (docs[i] != docs[j])
-        if labels is not None:
-            ok &= labels[i] != labels[j]
         if ok.any():
             out.append(np.stack([np.minimum(docs[i[ok]], docs[j[ok]]), np.maximum(docs[i[ok]], docs[j[ok]])]))
-        if len(out) > 64:
-            out = [np.unique(np.concatenate(out, axis=1), axis=1)]
     a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
     return a, b
 
@@ -179,11 +206,13 @@ def _candidates(prefixes: DataFrame, percent: int, few: int, partitions: int) ->
         group = np.repeat(np.arange(len(per)), per)
         small = (per <= few)[group]
         a, b = fitting_pairs(d[small], s[small], group[small], percent)
-        lead = edges[:-1][group]  # the least mark of the group: the same set for many tokens
-        star = ~small & (np.arange(len(d)) != lead) & (np.minimum(s, s[lead]) * 100 >= np.maximum(s, s[lead]) * percent)
-        stars = np.unique(np.stack([np.minimum(d, d[lead])[star], np.maximum(d, d[lead])[star]]), axis=1)
-        a, b = np.concatenate([a, stars[0]]), np.concatenate([b, stars[1]])
-        none = pa.nulls(len(a))
+        # the least marks of the group: the same sets for many tokens
+        stars = [np.stack([a, b])]
+        for k in range(LEADERS):
+            lead = np.minimum(edges[:-1] + k, edges[1:] - 1)[group]
+            star = ~small & (np.arange(len(d)) > lead) & (np.minimum(s, s[lead]) * 100 >= np.maximum(s, s[lead]) * percent)
+            stars.append(np.stack([np.minimum(d, d[lead])[star], np.maximum(d, d[lead])[star]]))
+        a, b = np.unique(np.concatenate(stars, axis=1), axis=1)
         names = ["kind", "a", "b", "docs", "sizes"]
         for lo in range(0, len(a), 1 << 16):
             part = slice(lo, min(lo + (1 << 16), len(a)))
@@ -283,31 +312,61 @@ def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, percent: int, group
     return texts.repartition("a", "block").sortWithinPartitions("a", "block").mapInArrow(walk, "a long, b long")
 
 
-def _crossing(groups: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of fitting sizes within a token's sets that the links so far leave in different components."""
-    spread = groups.select(F.xxhash64("docs").alias("g"), F.explode(F.arrays_zip("docs", "sizes")).alias("m")).select("g", F.col("m.docs").alias("node"), F.col("m.sizes").alias("s"))
-    spread = spread.distinct().join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    mixed = spread.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
-    rows = spread.join(mixed, "g").select("g", "node", "s", "label")
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity vectors do not rule a link out."""
+    mine = sets.select("doc_id", "n", "parity")
+    both = pairs.join(mine.toDF("a", "n", "p"), "a").join(mine.toDF("b", "m", "q"), "b").select("a", "b", "n", "m", "p", "q")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: list[np.ndarray] = []
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                ok = may_link(part.column(4).to_pylist(), part.column(5).to_pylist(), part.column(2).to_numpy(), part.column(3).to_numpy(), percent)
+                yield part.select(["a", "b"]).filter(pa.array(ok))
+
+    return both.mapInArrow(keep, "a long, b long")
 
-        def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = fitting_pairs(cols[1], cols[2].astype(np.int64), cols[0], percent, cols[3])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+def _crossing(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of fitting sizes and parities within a token's sets that the links so far leave in different components."""
+    spread = groups.select(F.xxhash64("docs").alias("g"), F.explode("docs").alias("node")).distinct()
+    spread = spread.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).select("g", "node", "label")
+    spread = written(spread, "groups")
+    mixed = spread.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
+    rows = spread.join(mixed, "g").join(sets.select(F.col("doc_id").alias("node"), F.col("n").alias("s"), "parity"), "node").select("g", "node", "s", "label", "parity")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
+
+        def pairs(node: np.ndarray, s: np.ndarray, label: np.ndarray, parity: list[bytes]) -> Iterator[pa.RecordBatch]:
+            # those outside the group's largest component, each with all of other components
+            names, count = np.unique(label, return_counts=True)
+            odd = np.flatnonzero(label != names[count.argmax()])
+            number = np.full(len(node), len(node))
+            number[odd] = np.arange(len(odd))
+            for k, i in enumerate(odd.tolist()):
+                j = np.flatnonzero((label != label[i]) & (number > k) & (np.minimum(s, s[i]) * 100 >= np.maximum(s, s[i]) * percent))
+                fresh = [x for x in j.tolist() if (node[i], node[x]) not in met and (node[x], node[i]) not in met]
+                if fresh:
+                    j = np.array(fresh)
+                    met.update((node[i], node[x]) for x in fresh)
+                    j = j[may_link([parity[i]] * len(j), [parity[x] for x in fresh], np.full(len(j), s[i]), s[j], percent)]
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+                if len(met) > 1 << 20:
+                    met.clear()
+
+        tail: pa.Table | None = None
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
-            cols = [np.concatenate([x, y]) for x, y in zip(tail, cols, strict=True)] if tail else cols
-            if not len(cols[0]):
-                continue
-            whole = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            if whole:
-                yield pairs([c[:whole] for c in cols])
-            tail = [c[whole:] for c in cols]
-        if tail:
-            yield pairs(tail)
+            now = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])])
+            g = now.column(0).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, int)
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                part = now.slice(lo, hi - lo)
+                yield from pairs(*(part.column(k).to_numpy() for k in (1, 2, 3)), part.column(4).to_pylist())
+            tail = now.slice(int(edges[-1])) if len(edges) else None
+        if tail is not None and len(tail):
+            yield from pairs(*(tail.column(k).to_numpy() for k in (1, 2, 3)), tail.column(4).to_pylist())
 
     return rows.repartition("g").sortWithinPartitions("g", "s").mapInArrow(meet, "a long, b long")
 
@@ -323,7 +382,7 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     features = written(_features(docs, ngram), "sets")
-    sets = features.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "x", "y")
+    sets = features.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "x", "y", "parity")
     often = features.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(most_frequent).orderBy("n", "a").toPandas()
     frequent = often.a.to_numpy(np.int64).view(np.uint64)
     by = np.argsort(frequent)
@@ -332,10 +391,11 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     partitions = max(4, math.ceil(tokens / bucket_tokens))
     found = written(_candidates(_prefixes(docs, ngram, percent, ranked, 4 * partitions), percent, few, partitions), "candidates")
     pairs = found.where("kind = 0").select("a", "b").distinct()
+    pairs = written(_close(pairs, sets, percent), "pairs")
     links = written(_verified(docs, pairs, ngram, percent, group_sets), "links")
     groups = found.where("kind = 1").select("docs", "sizes")
     if groups.limit(1).count():
-        crossing = written(_crossing(groups, components(links, "a", "b"), percent).distinct(), "crossing")
+        crossing = written(_crossing(groups, components(links, "a", "b"), sets, percent).distinct(), "crossing")
         if crossing.limit(1).count():
             links = links.union(written(_verified(docs, crossing, ngram, percent, group_sets), "links"))
     groups = sets.where("n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")

@@ -83,3 +83,24 @@ def test_trie_finds_all_and_only_similar_sets():
         probe = sets[rng.integers(0, 25)]
         want = [k for k, s in enumerate(sets) if (i := len(np.intersect1d(s, probe))) and 100 * i >= 75 * (len(s) + len(probe) - i)]
         assert sorted(trie_join.SetTrie(sets).similar(probe, 75, stride=int(rng.integers(1, 70)))) == want
+
+
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(9)
+    sets = []
+    for n in (1, 5, 60, 64, 65, 200, 700):
+        base = rng.integers(0, 1 << 60, n).astype(np.uint64)
+        for cut in (0.0, 0.1, 0.3, 0.6):
+            keep = base[rng.random(n) >= cut]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 60, int(n * cut / 2)).astype(np.uint64)])))
+    vectors = trie_join.parities(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    size = np.array([len(s) for s in sets])
+    ruled_out = 0
+    for i in range(len(sets)):
+        ok = trie_join.may_link([vectors[i]] * len(sets), vectors, np.full(len(sets), size[i]), size, 75)
+        for j, s in enumerate(sets):
+            common = len(np.intersect1d(s, sets[i]))
+            linked = common and 100 * common >= 75 * (len(s) + size[i] - common)
+            assert ok[j] or not linked
+            ruled_out += not ok[j]
+    assert ruled_out > len(sets)
