@@ -22,9 +22,9 @@ from pairforge.llm.common import SPACED, components, mix, ragged, ranged_hash, s
 NGRAM, PERCENT = 5, 75
 MOST_FREQUENT = 1 << 18  # tokens that the driver ranks and broadcasts: 4 MB at most
 FEW = 8  # sets of a token that give all pairs at once
-LEADERS = 8  # of more sets, so many are compared with all at first
-BUCKET_TOKENS, GROUP_SETS = 1 << 20, 128
-BROADCAST_BYTES = 64 << 20
+LEADERS = 4  # of more sets, so many are compared with all at first
+BUCKET_TOKENS, GROUP_SETS = 1 << 21, 128
+BROADCAST_BYTES = 16 << 20
 FEATURES = "kind int, a long, n long, x long, y long, parity binary"
 PREFIXES = "bucket int, docs binary, marks binary, sizes binary, counts binary, tokens binary"
 FOUND = "kind int, a long, b long, docs array<long>, sizes array<int>"
