@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from pairforge.llm.common import mix, small_side, text_blocks, written
 
-ORDER, FOLDS, QUANTILE, MARGIN, LEAST_HELD_OUT = 5, 5, 0.98, 1.4, 50
+ORDER, FOLDS, QUANTILE, MARGIN, SLACK, LEAST_HELD_OUT = 5, 5, 0.98, 1.25, 2.0, 50
 MOST_ROWS, BROADCAST_BYTES = 3 << 20, 16 << 20
 PAD = 10
 SCORE = T.StructType([T.StructField("log_prob", T.DoubleType()), T.StructField("units", T.LongType())])
@@ -63,14 +63,16 @@ def counts(docs: DataFrame, order: int, per_doc: bool = False) -> DataFrame:
 
 
 def discounts(n: list[int]) -> list[float]:
-    """The three discounts from the numbers of n-grams seen 1, 2, 3 and 4 times; 0.75 where they cannot be estimated."""
-    if not all(n[:2]):
-        return [0.75] * 3
-    y = n[0] / (n[0] + 2 * n[1])
+    """The three discounts from the numbers of n-grams seen 1, 2, 3 and 4 times.
+
+    0.75 where they cannot be estimated or come out as nothing: a context without any discount would leave no
+    probability for what has not been seen after it.
+    """
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
     out = []
     for k in range(3):
-        d = k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] and n[k + 1] else 0.75
-        out.append(min(max(d, 0.0), k + 1.0))
+        d = k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else 0.0
+        out.append(d if 0.0 < d <= k + 1 and n[0] and n[1] else 0.75)
     return out
 
 
@@ -137,6 +139,8 @@ def _key(kind: int, k: int, g: np.ndarray) -> np.ndarray:
 
 class Model:
     def __init__(self, kind: np.ndarray, k: np.ndarray, g: np.ndarray, value: np.ndarray) -> None:
+        if not np.isfinite(value).all():
+            raise ValueError("the model holds probabilities of zero")
         self.order = int(k.max(initial=1))
         self.table = Table((((1 + 2 * k + kind).astype(np.uint64)) << np.uint64(57)) | g.view(np.uint64), value)
 
@@ -197,12 +201,12 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return written(by.where("_good").select("_id"), "trusted")
 
 
-def judged(docs: DataFrame, labels: DataFrame, out: str, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST_HELD_OUT, most_rows: int = MOST_ROWS) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, out: str, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, slack: float = SLACK, least: int = LEAST_HELD_OUT, most_rows: int = MOST_ROWS) -> DataFrame:
     """docs with a column `out`: struct(log_prob, units, perplexity, threshold, rejected).
 
     One fold of the trusted documents (by hash of the id) is held out of training; a language's threshold is `margin` times
     the `quantile` of its held-out perplexities, or of all of them for languages (null: a language of its own) with fewer than
-    `least`.  Texts without bytes have no perplexity and pass; without trusted documents all pass.
+    `least`; short texts vary more and get exp(slack / sqrt(bytes)) times as much.  Texts without bytes have no perplexity and pass; without trusted documents all pass.
     """
     ids = small_side(trusted_ids(labels), BROADCAST_BYTES)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.coalesce("lang", F.lit("")).alias("_lang")).join(ids, "_id", "left_semi")
@@ -216,7 +220,7 @@ def judged(docs: DataFrame, labels: DataFrame, out: str, order: int = ORDER, qua
     scored = score(docs, model, "_score", order, most_rows)
     joined = scored.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(small_side(written(per, "thresholds"), BROADCAST_BYTES), "_lang", "left")
     ppl = F.when(F.col("_score.units") > 0, F.exp(-F.col("_score.log_prob") / F.col("_score.units")))
-    threshold = F.coalesce("_t", F.lit(overall).cast("double"))
+    threshold = F.coalesce("_t", F.lit(overall).cast("double")) * F.exp(slack / F.sqrt(F.greatest("_score.units", F.lit(1))))
     made = F.struct(F.col("_score.log_prob").alias("log_prob"), F.col("_score.units").alias("units"), ppl.alias("perplexity"), threshold.alias("threshold"), F.coalesce(ppl > threshold, F.lit(False)).alias("rejected"))
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), made.alias(out))
 

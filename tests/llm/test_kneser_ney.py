@@ -75,3 +75,17 @@ def test_odd_rows(spark, odd_docs):
     q = {r.doc_id: r for r in kneser_ney.report(odd_docs, some, least=1).collect()}
     assert len(q) == odd_docs.count() and q[-6].perplexity is None and not q[-6].rejected
     assert kneser_ney.report(odd_docs.limit(0), some).collect() == []
+
+
+@pytest.mark.parametrize("n", [[0, 0, 0, 0], [5, 0, 0, 0], [0, 3, 1, 0], [1, 1, 50, 1], [3, 9, 1, 80], [100, 40, 20, 10], [7, 3, 0, 2]])
+def test_discounts_leave_something_for_the_unseen(n):
+    for k, d in enumerate(kneser_ney.discounts(n)):
+        assert 0 < d <= k + 1
+
+
+def test_text_of_few_and_frequent_ngrams(spark):
+    """Counts with hardly any rare n-gram, as in a large corpus of a small language."""
+    model = kneser_ney.train(spark.createDataFrame([("abc " * 300,), ("abd " * 300,), ("abd abd abc x",)], "text string"), 4)
+    got = kneser_ney.score(spark.createDataFrame([("abc abd",), ("zzzz",), ("ab",)], "text string"), model, "s", 4).collect()
+    assert all(math.isfinite(r.s.log_prob) for r in got)
+    assert got[0].s.log_prob / 7 > got[1].s.log_prob / 4
