@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import SPACED, _byte_values, byte_hash, mix, ragged, small_side, text_blocks, window_hash, within, words, written
+from pairforge.llm.common import SPACED, byte_hash, _byte_values, mix, ragged, small_side, text_blocks, window_hash, within, words, written
 
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 RUNS = "key long, copy long, start int, doc_id long, n int, seen int"
 SEGMENTS = "shard long, key long, doc_id long, start int, body binary"
 SPANS = "doc_id long, lo int, hi int"
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def byte_units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ def _segments(docs: DataFrame, units: Units, window: int, gram: int) -> DataFram
             copy = byte_hash(buf, offs[:-1], offs[1:])
             held.append([key, copy[doc], first - at[doc], rows.column(0).to_numpy()[doc], count, times])
             n += len(key)
-            if n >= 1 << 20:
+            if n >= 1 << 18:
                 yield flush()
                 held, n = [], 0
         if n:
@@ -159,7 +159,7 @@ def spans(docs: DataFrame, units: Units, window: int, gram: int, index: Callable
         which: list[int] = []
         docs_k: list[np.ndarray] = []
         starts: list[np.ndarray] = []
-        size, last = 0, None
+        size, now = 0, None
 
         def flush() -> pa.RecordBatch:
             doc, start = np.concatenate(docs_k), np.concatenate(starts).astype(np.int64)
@@ -167,26 +167,30 @@ def spans(docs: DataFrame, units: Units, window: int, gram: int, index: Callable
             return pa.RecordBatch.from_arrays([pa.array(doc[seg]), pa.array((start[seg] + lo).astype(np.int32)), pa.array((start[seg] + hi).astype(np.int32))], names=["doc_id", "lo", "hi"])
 
         for batch in batches:
-            keys = batch.column(1).to_numpy()
+            shard_k, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             doc, start, bodies = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_pylist()
-            edges = np.flatnonzero(np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]]))
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
-                if lo in edges and size > 2 * shard_units * unit_bytes:
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (shard_k[1:] != shard_k[:-1])
+            edges = np.flatnonzero(new).tolist()
+            for lo, hi in zip(edges, [*edges[1:], len(keys)], strict=True):
+                key = (int(shard_k[lo]), int(keys[lo]))
+                # a shard is indexed whole, and an outsized one in parts that keep each key together
+                if which and key != now and (key[0] != now[0] or size > 2 * shard_units * unit_bytes):
                     yield flush()
                     met, which, docs_k, starts, size = {}, [], [], [], 0
+                now = key
                 for b in bodies[lo:hi]:
-                    k = met.setdefault(b, len(met))
-                    size += len(b) if k == len(met) - 1 else 0
-                    which.append(k)
-                if hi > lo:
-                    docs_k.append(doc[lo:hi])
-                    starts.append(start[lo:hi])
-            last = keys[-1] if len(keys) else last
+                    if b not in met:
+                        met[b] = len(met)
+                        size += len(b)
+                    which.append(met[b])
+                docs_k.append(doc[lo:hi])
+                starts.append(start[lo:hi])
         if which:
             yield flush()
 
     joined = docs.select("doc_id", "text").join(places.select("doc_id", "places").hint("shuffle_hash"), "doc_id")
-    segments = joined.mapInArrow(cut, SEGMENTS).repartition(int(shards), "shard").sortWithinPartitions("key")
+    segments = joined.mapInArrow(cut, SEGMENTS).repartition(max(1, int(shards) // 4), "shard").sortWithinPartitions("shard", "key")
     return segments.mapInArrow(mark, SPANS)
 
 
@@ -200,7 +204,7 @@ def copies(docs: DataFrame) -> DataFrame:
 def with_spans(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """docs with columns `_first` (smallest doc_id of the same text, null if there is no other) and `_spans`.
 
-    What was found is written first; it is broadcast if its files hold at most 64 MB, and shuffled beyond.
+    What was found is written first; it is broadcast if its files hold at most 16 MB, and shuffled beyond.
     """
     per = marked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     found = written(per.join(copies(docs), "doc_id", "full").select("doc_id", F.col("first").alias("_first"), "_spans"), "spans")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pairforge.llm import repeats
 from pairforge.llm.common import ragged, text_blocks
 
-WINDOW, GRAM, SHARD_UNITS, HOT_UNITS = 200, 32, 1 << 20, 4 << 20
+WINDOW, GRAM, SHARD_UNITS, HOT_UNITS = 200, 32, 1 << 19, 4 << 20
 END = 0xFF  # never a byte of UTF-8
 
 
