@@ -6,9 +6,11 @@ follows the block size (or the longest single document), never the partition.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,33 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int
             lo = hi
 
 
+def release_memory() -> None:
+    """Gives what a finished task freed back to the system: a worker lives on, and two of them share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that releases memory at its end."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most 8 MB in this session, unless it has a size of its own; the default holds 64 MB on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "64m", "64MB", "67108864", "67108864b"):
+        spark.conf.set(name, size)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, element by element."""
     x = x ^ (x >> np.uint64(31))
@@ -184,6 +213,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = nxt
 
 
+@lean
 def _to_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids = roots = np.zeros(0, np.int64)
     for batch in batches:

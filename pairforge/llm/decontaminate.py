@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairforge.llm.common import ALNUM, LOWER, ragged, text_blocks, window_hash, within, words
+from pairforge.llm.common import ALNUM, LOWER, lean, ragged, text_blocks, window_hash, within, words
 
 MOST_BYTES = 32 << 20
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))), T.StructField("items", T.ArrayType(T.LongType()))])
@@ -95,6 +95,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, out: str, width: int = 13, item_
         part = rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).orderBy("i", "t").collect()
         shared = spark.sparkContext.broadcast(Windows([r.i for r in part], [r.t for r in part], width))
 
+        @lean
         def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for rows, buf, offs in text_blocks(batches, schema[where].name):
                 at, hit, docs_k, items = shared.value.hits(buf, offs)
@@ -165,6 +166,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> Dat
     schema = found.drop("_found").schema
     where = docs.columns.index("text")
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in text_blocks(batches, "text"):
             _, starts, ends, at = words(buf, offs, ALNUM, True)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import repeats
-from pairforge.llm.common import SPACED, ragged, text_blocks, words
+from pairforge.llm.common import SPACED, lean, ragged, text_blocks, words
 from pairforge.llm.runlength_index import suffix_order
 
 WINDOW, GRAM, SHARD_UNITS, HOT_UNITS = 20, 3, 1 << 18, 1 << 20
@@ -150,6 +150,7 @@ def report(docs: DataFrame, window: int = WINDOW, **options: int) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
+    @lean
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in text_blocks(batches, "text"):
             _, _, _, at = words(buf, offs, SPACED, False)

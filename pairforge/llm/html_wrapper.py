@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import small_side, written
+from pairforge.llm.common import lean, small_side, written
 
 MOST_HOSTS, BROADCAST_BYTES, LONGEST = 20_000, 16 << 20, 400
 
@@ -324,6 +324,7 @@ def host_of(url: str | None) -> str:
 def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """(host, wrapper, parts): each host's expression as JSON and its main parts, from all of its pages."""
 
+    @lean
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Node] = {}
 
@@ -340,6 +341,7 @@ def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFram
         if found:
             yield flush()
 
+    @lean
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, node = None, None
 
@@ -369,6 +371,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     """
     parts = written(wrappers(pages, url, page).select("host", "parts"), "wrappers")
 
+    @lean
     def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string())], names=["page_id", "url", "html", "host"])
@@ -376,6 +379,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     kind = pages.schema[page_id].dataType.simpleString()
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html")).mapInArrow(hosts, f"page_id {kind}, url string, html string, host string")
 
+    @lean
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairforge.llm.common import mix, small_side, text_blocks, written
+from pairforge.llm.common import lean, mix, small_side, text_blocks, written
 
 ORDER, FOLDS, QUANTILE, MARGIN, SLACK, LEAST_HELD_OUT = 5, 5, 0.98, 1.25, 2.0, 50
 MOST_ROWS, BROADCAST_BYTES = 3 << 20, 16 << 20
@@ -39,6 +39,7 @@ def grams(buf: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
 def counts(docs: DataFrame, order: int, per_doc: bool = False) -> DataFrame:
     """(g, c) of the whole table, or (doc, g, c) of each row's text, doc being a number for each row."""
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for rows, buf, offs in text_blocks(batches, "text"):
@@ -166,6 +167,7 @@ def score(docs: DataFrame, model: DataFrame, out: str, order: int = ORDER, most_
         shared = docs.sparkSession.sparkContext.broadcast(Model(*(m.column(c).to_numpy() for c in ("kind", "k", "g", "value"))))
         docs = docs.withColumn(out, F.lit(None).cast(SCORE))
 
+        @lean
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, buf, offs in text_blocks(batches, "text"):
                 sums = np.concatenate([[0.0], np.cumsum(shared.value.log_probs(grams(buf, offs, order)))])

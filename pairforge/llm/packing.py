@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import text_blocks, written
+from pairforge.llm.common import lean, text_blocks, written
 from pairforge.llm.encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -29,6 +29,7 @@ BLOCK_PIECES, ISLANDS, EPOCHS, POPULATION, GENERATIONS, LOOSE = 4096, 3, 2, 4, 1
 def pieces(docs: DataFrame, vocabulary: str, size: int, skip_blanks: bool, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's ids and the end id, cut into pieces of `size` only where longer: (doc_id, piece, start, length, ids_crc32)."""
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary, skip_blanks)
         for rows, buf, offs in text_blocks(batches, "text"):

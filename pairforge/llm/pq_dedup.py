@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import components, forest, written
+from pairforge.llm.common import components, forest, lean, written
 
 COSINE, LIST_ROWS, MOST_LISTS, SAMPLE, PARTS, WORDS, BLOCK_ROWS = 0.98, 1000, 4096, 16384, 8, 256, 2048
 ROWS = "label long, list int, block int, kind int, id long, copies long, error double, codes binary, vector binary"
@@ -115,6 +115,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, list_rows: int =
         lists = batch.column(column)
         return np.asarray(lists.offsets).astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
 
+    @lean
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
@@ -146,6 +147,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, list_rows: int =
     order = [x.split()[0] for x in ROWS.split(", ")]
     work = stored.select(*order).union(asked.select(*order)).repartition("label", "list", "block").sortWithinPartitions("label", "list", "block", "kind")
 
+    @lean
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
         held: list[tuple] = []

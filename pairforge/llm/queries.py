@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairforge.llm import decontaminate, fm_index, html_wrapper, kneser_ney, packing, pq_dedup, runlength_index, token_store, trie_join, warc
+from pairforge.llm.common import small_batches
 from pairforge.llm.encoding import vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

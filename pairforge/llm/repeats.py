@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import SPACED, byte_hash, _byte_values, mix, ragged, small_side, text_blocks, window_hash, within, words, written
+from pairforge.llm.common import SPACED, byte_hash, _byte_values, lean, mix, ragged, small_side, text_blocks, window_hash, within, words, written
 
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 RUNS = "key long, copy long, start int, doc_id long, n int, seen int"
@@ -78,6 +78,7 @@ def least_runs(values: np.ndarray, at: np.ndarray, window: int, gram: int, level
 def _segments(docs: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
     """Runs of every text, copies of one text in a task put together."""
 
+    @lean
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         n = 0
@@ -122,6 +123,7 @@ def spans(docs: DataFrame, units: Units, window: int, gram: int, index: Callable
     total = places.agg(F.sum("units")).first()[0] or 0
     shards = max(1, -(-total // shard_units))
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in text_blocks(batches, "text"):
             values, at = units(buf, offs)
@@ -154,6 +156,7 @@ def spans(docs: DataFrame, units: Units, window: int, gram: int, index: Callable
             for lo in range(0, whole.num_rows, 8192):
                 yield whole.slice(lo, 8192)
 
+    @lean
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[bytes, int] = {}
         which: list[int] = []

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import repeats
-from pairforge.llm.common import ragged, text_blocks
+from pairforge.llm.common import lean, ragged, text_blocks
 
 WINDOW, GRAM, SHARD_UNITS, HOT_UNITS = 200, 32, 1 << 19, 4 << 20
 END = 0xFF  # never a byte of UTF-8
@@ -179,6 +179,7 @@ def report(docs: DataFrame, window: int = WINDOW, **options: int) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
+    @lean
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in text_blocks(batches, "text"):
             view, out = memoryview(np.ascontiguousarray(buf)), []
@@ -207,6 +208,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, **options: int) -> Da
     found = repeated(rows, window, **options).select("doc_id", "text", *aliases.values(), "_first", "_spans")
     out = found.drop("_first", "_spans").schema
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in text_blocks(batches, "text"):
             cont = np.concatenate([(buf & 0xC0) == 0x80, [False]])

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import shared_dir, text_blocks
+from pairforge.llm.common import lean, shared_dir, text_blocks
 from pairforge.llm.encoding import encoder
 
 HEAD = struct.Struct("<4sIQIQ")
@@ -81,6 +81,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, skip_blanks: boo
     Files are moved to their place when whole, so repeated attempts of a task leave one.
     """
 
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part = task.partitionId()
@@ -126,6 +127,7 @@ def token_digests(docs: DataFrame, vocabulary: str, skip_blanks: bool = False, e
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = index.select("file", before.alias("start"), F.lit(folder).alias("folder")).repartition(max(1, index.count()))
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
