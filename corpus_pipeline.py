@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairforge.llm import decontaminate, kneser_ney, packing, runlength_index, trie_join
-from pairforge.llm.common import shared_dir
+from pairforge.llm.common import shared_dir, small_batches
 from pairforge.llm.encoding import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model does not reject."""
+    small_batches(spark)
     return kneser_ney.without_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
