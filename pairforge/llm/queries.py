@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairforge.llm import decontaminate, fm_index, html_wrapper, kneser_ney, packing, pq_dedup, runlength_index, token_store, trie_join, warc
 from pairforge.llm.common import small_batches
 from pairforge.llm.encoding import vocabulary
+from pairforge.llm.oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,5 +69,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
-
-ORACLES: dict[str, str] = {}
