@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.shared import positions, settled
+from pairforge.operators.graph import components
 
 
 def dense_ids(df: DataFrame, key: str, order: str, name: str = "gid") -> DataFrame:
@@ -21,20 +22,12 @@ def first_rows(df: DataFrame, key: str, order: str, values: list[str]) -> DataFr
 
 
 def connected_components(df: DataFrame, row: str, keys: list[str]) -> DataFrame:
-    """(row, root): rows joined by any equal key; root is the smallest row.
+    """(row, root): rows joined by any equal key; root is the smallest row.  Null keys join nothing.
 
-    Rows and keys are the two sides of a graph.  Each round takes the least label of each key, then of each row over its keys, and
-    jumps once along the label's own label; rounds end when nothing changes.
+    Each row is linked to the first row of each of its keys, which gives a number of edges that is linear in the rows.
     """
-    links = settled(df.select(row, F.explode(F.array(*(F.concat(F.lit(f"{k}|"), F.col(k).cast("string")) for k in keys))).alias("_k")).where("_k is not null"))
-    now = settled(df.select(row, F.col(row).alias("root")))
-    while True:
-        by_key = links.join(now, row).groupBy("_k").agg(F.min("root").alias("_m"))
-        by_row = links.join(by_key, "_k").groupBy(row).agg(F.min("_m").alias("_m"))
-        near = now.join(by_row, row, "left").select(row, F.least("root", F.coalesce("_m", "root")).alias("_r"), F.col("root").alias("_old"))
-        jump = now.select(F.col(row).alias("_r"), F.col("root").alias("_rr"))
-        after = settled(near.join(jump, "_r").select(row, F.least("_r", "_rr").alias("root"), "_old"))
-        changed = after.where("root <> _old").limit(1).count()
-        now = after.select(row, "root")
-        if not changed:
-            return now
+    keyed = F.array(*(F.concat(F.lit(f"{k}|"), F.col(k).cast("string")) for k in keys))
+    links = settled(df.select(F.col(row).cast("long").alias("a"), F.explode(keyed).alias("_k")).where("_k is not null"))
+    firsts = links.groupBy("_k").agg(F.min("a").alias("b"))
+    roots = components(links.join(firsts, "_k").where("a <> b"), "a", "b").withColumnRenamed("node", row)
+    return df.select(row).join(roots, row, "left").select(row, F.coalesce("root", row).alias("root"))
