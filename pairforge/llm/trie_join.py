@@ -9,6 +9,7 @@ set walks down it: paths share partial overlaps, and a subtree is left as soon a
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -17,17 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import SPACED, components, mix, ragged, ranged_hash, small_side, text_blocks, words, written
+from pairforge.llm.common import SPACED, components, lean, mix, ragged, ranged_hash, small_side, text_blocks, words, written
 
 NGRAM, PERCENT = 5, 75
 MOST_FREQUENT = 1 << 18  # tokens that the driver ranks and broadcasts: 4 MB at most
 FEW = 8  # sets of a token that give all pairs at once
 LEADERS = 4  # of more sets, so many are compared with all at first
 BUCKET_TOKENS, GROUP_SETS = 1 << 21, 128
+BLOCK_SETS = 512  # of a token's sets that a task holds while others of it pass by
+HOT_SETS = 1 << 16  # a token met in more sets than this is dealt out in parts
 BROADCAST_BYTES = 16 << 20
 FEATURES = "kind int, a long, n long, x long, y long, parity binary"
 PREFIXES = "bucket int, docs binary, marks binary, sizes binary, counts binary, tokens binary"
-FOUND = "kind int, a long, b long, docs array<long>, sizes array<int>"
+FOUND = "kind int, a long, b long, docs array<long>"
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +86,7 @@ def may_link(left: list[bytes], right: list[bytes], n: np.ndarray, m: np.ndarray
 def _features(docs: DataFrame, ngram: int) -> DataFrame:
     """kind 0: doc_id, set size and two marks of its set; kind 1: a token and how often it occurs, for tokens often met in a task."""
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -109,18 +113,30 @@ def _features(docs: DataFrame, ngram: int) -> DataFrame:
     return docs.mapInArrow(scan, FEATURES)
 
 
+def parts_of(tokens: np.ndarray, common: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    if not len(common):
+        return np.ones(len(tokens), np.uint64)
+    k = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+    return np.where(common[k] == tokens, parts[k], 1).astype(np.uint64)
+
+
 def _prefixes(docs: DataFrame, ngram: int, percent: int, ranked: "object", buckets: int) -> DataFrame:
-    """Prefix tokens, packed by bucket.  ranked: broadcast (tokens ascending, their order among the frequent ones)."""
+    """Prefix tokens, packed by bucket; those of very many sets in as many parts as keep each small.
+
+    ranked: broadcast (tokens ascending, their order among the frequent ones, the number of their parts).
+    """
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, place = ranked.value
+        common, place, parts = ranked.value
         met: set[int] = set()
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
             docs_k, marks, sizes, counts, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
             owner = np.repeat(np.arange(len(docs_k)), counts)
-            bucket = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
+            part = marks[owner].view(np.uint64) % parts_of(tokens, common, parts)
+            bucket = (mix(tokens + mix(part)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             tokens, owner, bucket = tokens[order], owner[order], bucket[order]
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -175,9 +191,11 @@ def fitting_pairs(docs: np.ndarray, sizes: np.ndarray, group: np.ndarray, percen
     return a, b
 
 
-def _candidates(prefixes: DataFrame, percent: int, few: int, partitions: int) -> DataFrame:
-    """kind 0: pairs; kind 1: the sets of a token that has more than `few`."""
+def _candidates(prefixes: DataFrame, percent: int, few: int, ranked: "object", partitions: int) -> DataFrame:
+    """kind 0: pairs (a, b); kind 1: group a and some of its sets, for tokens of more than `few` sets and those dealt out in parts;
+    kind 2: the first set b of a part of token a."""
 
+    @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs_l, marks_l, sizes_l, counts_l, tokens_l = [], [], [], [], []
         for batch in batches:
@@ -191,7 +209,7 @@ def _candidates(prefixes: DataFrame, percent: int, few: int, partitions: int) ->
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         same = tokens[1:] == tokens[:-1]
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (parts_of(tokens, ranked.value[0], ranked.value[2]) > 1)
         tokens, owner = tokens[shared], owner[shared]
         d, m, s = docs[owner], marks[owner], sizes[owner].astype(np.int64)
         order = np.lexsort((d, m, tokens))  # copies of one set: the smallest id
@@ -204,7 +222,9 @@ def _candidates(prefixes: DataFrame, percent: int, few: int, partitions: int) ->
         edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
         per = np.diff(edges)
         group = np.repeat(np.arange(len(per)), per)
-        small = (per <= few)[group]
+        many = parts_of(tokens[edges[:-1]], ranked.value[0], ranked.value[2]) > 1
+        wide = many | (per > few)
+        small = ~wide[group]
         a, b = fitting_pairs(d[small], s[small], group[small], percent)
         # the least marks of the group: the same sets for many tokens
         stars = [np.stack([a, b])]
@@ -213,18 +233,25 @@ def _candidates(prefixes: DataFrame, percent: int, few: int, partitions: int) ->
             star = ~small & (np.arange(len(d)) > lead) & (np.minimum(s, s[lead]) * 100 >= np.maximum(s, s[lead]) * percent)
             stars.append(np.stack([np.minimum(d, d[lead])[star], np.maximum(d, d[lead])[star]]))
         a, b = np.unique(np.concatenate(stars, axis=1), axis=1)
-        names = ["kind", "a", "b", "docs", "sizes"]
+
+        def batch_of(kind: int, a: np.ndarray, b: np.ndarray, lists: list | None = None) -> pa.RecordBatch:
+            docs = pa.array(lists, pa.list_(pa.int64())) if lists else pa.nulls(len(a), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), docs], names=["kind", "a", "b", "docs"])
+
         for lo in range(0, len(a), 1 << 16):
-            part = slice(lo, min(lo + (1 << 16), len(a)))
-            none = pa.nulls(part.stop - lo)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(part.stop - lo, np.int32)), pa.array(a[part]), pa.array(b[part]), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int32()))], names=names)
+            yield batch_of(0, a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)])
+        heads = tokens[edges[:-1]].view(np.int64)
+        if many.any():
+            yield batch_of(2, heads[many], d[edges[:-1]][many])
         # groups of the very same sets tell the same pairs: one of them is enough
         seen = set()
-        for g in np.flatnonzero(per > few).tolist():
+        for g in np.flatnonzero(wide).tolist():
             ids = d[edges[g] : edges[g + 1]]
-            if (k := ids.tobytes()) not in seen:
-                seen.add(k)
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([int(np.int64(tokens[edges[g]].view(np.int64)))]), pa.array([0]), pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([s[edges[g] : edges[g + 1]].tolist()], pa.list_(pa.int32()))], names=names)
+            name = int(heads[g]) if many[g] else int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
+            if name not in seen or many[g]:
+                seen.add(name)
+                lists = [ids[k : k + 1024].tolist() for k in range(0, len(ids), 1024)]
+                yield batch_of(1, np.full(len(lists), name), np.zeros(len(lists), np.int64), lists)
 
     return prefixes.repartition(partitions, "bucket").mapInArrow(meet, FOUND)
 
@@ -281,6 +308,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, percent: int, group
     needed = dealt.select("a", "block", F.col("b").alias("doc_id")).union(dealt.select("a", "block", F.col("a").alias("doc_id")).distinct())
     texts = docs.select("doc_id", "text").join(needed.hint("shuffle_hash"), "doc_id").select("a", "block", "doc_id", "text")
 
+    @lean
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets, n = None, [], [], 0
 
@@ -317,6 +345,7 @@ def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     mine = sets.select("doc_id", "n", "parity")
     both = pairs.join(mine.toDF("a", "n", "p"), "a").join(mine.toDF("b", "m", "q"), "b").select("a", "b", "n", "m", "p", "q")
 
+    @lean
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
@@ -327,51 +356,60 @@ def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(keep, "a long, b long")
 
 
-def _crossing(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of fitting sizes and parities within a token's sets that the links so far leave in different components."""
-    spread = groups.select(F.xxhash64("docs").alias("g"), F.explode("docs").alias("node")).distinct()
-    spread = spread.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).select("g", "node", "label")
-    spread = written(spread, "groups")
-    mixed = spread.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
-    rows = spread.join(mixed, "g").join(sets.select(F.col("doc_id").alias("node"), F.col("n").alias("s"), "parity"), "node").select("g", "node", "s", "label", "parity")
+def _crossing(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, block_sets: int) -> DataFrame:
+    """Pairs of fitting sizes and parities within a token's sets that the links so far leave in different components.
 
+    groups: (g, node).  Each group is dealt into blocks; its sets outside its largest component pass by every block.
+    """
+    spread = written(groups.distinct().join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("label")), "groups")
+    counted = spread.groupBy("g", "label").agg(F.count("*").alias("c"))
+    mixed = counted.groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    rows = spread.join(mixed, "g").join(sets.select(F.col("doc_id").alias("node"), F.col("n").alias("s"), "parity"), "node")
+    blocks = F.ceil(F.col("m") / block_sets)
+    held = rows.select("g", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.lit(0).alias("side"), "node", "s", "label", "parity")
+    odd = rows.where("label <> main").select("g", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block"), F.lit(1).alias("side"), "node", "s", "label", "parity")
+
+    @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
-
-        def pairs(node: np.ndarray, s: np.ndarray, label: np.ndarray, parity: list[bytes]) -> Iterator[pa.RecordBatch]:
-            # those outside the group's largest component, each with all of other components
-            names, count = np.unique(label, return_counts=True)
-            odd = np.flatnonzero(label != names[count.argmax()])
-            number = np.full(len(node), len(node))
-            number[odd] = np.arange(len(odd))
-            for k, i in enumerate(odd.tolist()):
-                j = np.flatnonzero((label != label[i]) & (number > k) & (np.minimum(s, s[i]) * 100 >= np.maximum(s, s[i]) * percent))
-                fresh = [x for x in j.tolist() if (node[i], node[x]) not in met and (node[x], node[i]) not in met]
-                if fresh:
-                    j = np.array(fresh)
-                    met.update((node[i], node[x]) for x in fresh)
-                    j = j[may_link([parity[i]] * len(j), [parity[x] for x in fresh], np.full(len(j), s[i]), s[j], percent)]
-                    if len(j):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
-                if len(met) > 1 << 20:
-                    met.clear()
-
-        tail: pa.Table | None = None
+        now: tuple | None = None
+        parts: list[tuple] = []
+        block: tuple | None = None
         for batch in batches:
-            now = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])])
-            g = now.column(0).to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, int)
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                part = now.slice(lo, hi - lo)
-                yield from pairs(*(part.column(k).to_numpy() for k in (1, 2, 3)), part.column(4).to_pylist())
-            tail = now.slice(int(edges[-1])) if len(edges) else None
-        if tail is not None and len(tail):
-            yield from pairs(*(tail.column(k).to_numpy() for k in (1, 2, 3)), tail.column(4).to_pylist())
-
-    return rows.repartition("g").sortWithinPartitions("g", "s").mapInArrow(meet, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, few: int = FEW, bucket_tokens: int = BUCKET_TOKENS, group_sets: int = GROUP_SETS, most_frequent: int = MOST_FREQUENT) -> DataFrame:
+            g, blk, side, node, s, label = (batch.column(k).to_numpy() for k in range(6))
+            parity = batch.column(6).to_pylist()
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (blk[1:] != blk[:-1]) | (side[1:] != side[:-1])
+            edges = np.flatnonzero(new).tolist()
+            for lo, hi in zip(edges, [*edges[1:], len(g)], strict=True):
+                if (key := (g[lo], blk[lo])) != now:
+                    now, parts, block = key, [], None
+                if side[lo] == 0:
+                    parts.append((node[lo:hi], s[lo:hi], label[lo:hi], parity[lo:hi]))
+                    continue
+                if block is None and parts:
+                    block = (*(np.concatenate([p[k] for p in parts]) for k in range(3)), [v for p in parts for v in p[3]])
+                if block is None:
+                    continue
+                b_node, b_s, b_label, b_parity = block
+                for i in range(lo, hi):
+                    j = np.flatnonzero((b_label != label[i]) & (np.minimum(b_s, s[i]) * 100 >= np.maximum(b_s, s[i]) * percent))
+                    pairs = [(x, min(node[i], b_node[x]), max(node[i], b_node[x])) for x in j.tolist()]
+                    fresh = [(x, p, q) for x, p, q in pairs if (p, q) not in met]
+                    if not fresh:
+                        continue
+                    met.update((p, q) for _, p, q in fresh)
+                    ok = may_link([parity[i]] * len(fresh), [b_parity[x] for x, _, _ in fresh], np.full(len(fresh), s[i]), b_s[[x for x, _, _ in fresh]], percent)
+                    if ok.any():
+                        a, b = zip(*((p, q) for (_, p, q), o in zip(fresh, ok, strict=True) if o), strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    if len(met) > 1 << 19:
+                        met.clear()
+
+    return held.union(odd).repartition("g", "block").sortWithinPartitions("g", "block", "side").mapInArrow(meet, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, few: int = FEW, bucket_tokens: int = BUCKET_TOKENS, group_sets: int = GROUP_SETS, most_frequent: int = MOST_FREQUENT, block_sets: int = BLOCK_SETS, hot_sets: int = HOT_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id): the set's size and the smallest doc_id reachable over links.
 
     Documents are linked when 100 * intersection >= percent * union of their sets of lower-cased word n-grams; fewer words
@@ -386,16 +424,20 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     often = features.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(most_frequent).orderBy("n", "a").toPandas()
     frequent = often.a.to_numpy(np.int64).view(np.uint64)
     by = np.argsort(frequent)
-    ranked = spark.sparkContext.broadcast((frequent[by], by.astype(np.int64) + 1))
+    parts = -(-often.n.to_numpy(np.int64)[by] // hot_sets)
+    ranked = spark.sparkContext.broadcast((frequent[by], by.astype(np.int64) + 1, parts))
     tokens = int((sets.agg(F.sum("n")).first()[0] or 0) * (100 - percent) / 100)
     partitions = max(4, math.ceil(tokens / bucket_tokens))
-    found = written(_candidates(_prefixes(docs, ngram, percent, ranked, 4 * partitions), percent, few, partitions), "candidates")
-    pairs = found.where("kind = 0").select("a", "b").distinct()
+    found = written(_candidates(_prefixes(docs, ngram, percent, ranked, 4 * partitions), percent, few, ranked, partitions), "candidates")
+    # the parts of one token meet through their first sets
+    firsts = found.where("kind = 2").select(F.col("a").alias("token"), "b").distinct()
+    joints = firsts.join(firsts.groupBy("token").agg(F.min("b").alias("a")), "token").where("a < b").select("a", "b")
+    pairs = found.where("kind = 0").select("a", "b").union(joints).distinct()
     pairs = written(_close(pairs, sets, percent), "pairs")
     links = written(_verified(docs, pairs, ngram, percent, group_sets), "links")
-    groups = found.where("kind = 1").select("docs", "sizes")
+    groups = found.where("kind = 1").select(F.col("a").alias("g"), F.explode("docs").alias("node"))
     if groups.limit(1).count():
-        crossing = written(_crossing(groups, components(links, "a", "b"), sets, percent).distinct(), "crossing")
+        crossing = written(_crossing(groups, components(links, "a", "b"), sets, percent, block_sets).distinct(), "crossing")
         if crossing.limit(1).count():
             links = links.union(written(_verified(docs, crossing, ngram, percent, group_sets), "links"))
     groups = sets.where("n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")

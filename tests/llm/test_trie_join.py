@@ -55,8 +55,8 @@ def near_copies(seed, bases=6, each=30):
 def test_components(spark, few):
     docs = near_copies(few)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    for frequent in (0, 1 << 18):
-        got = trie_join.near_duplicates(df, few=few, bucket_tokens=300, group_sets=7, most_frequent=frequent)
+    for frequent, hot in ((0, 1 << 16), (1 << 18, 1 << 16), (1 << 18, 5)):
+        got = trie_join.near_duplicates(df, few=few, bucket_tokens=300, group_sets=7, most_frequent=frequent, block_sets=9, hot_sets=hot)
         assert sorted(map(tuple, got.collect())) == brute(docs)
 
 
