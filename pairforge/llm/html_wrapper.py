@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pairforge.llm.common import lean, small_side, written
 
 MOST_HOSTS, BROADCAST_BYTES, LONGEST = 20_000, 16 << 20, 400
+DEEPEST = 150  # elements below this depth count as part of the one at it
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -151,7 +152,10 @@ def expression(page: str) -> Node:
         del nodes[len(stack) + (kind != "open") :]
         if kind == "open":
             node: Node = [stack[-1][1], "", [0, 0, 0, 0], []]
-            nodes[-1][3].append(node)
+            if len(stack) > DEEPEST:
+                node = nodes[-1]
+            else:
+                nodes[-1][3].append(node)
             nodes.append(node)
         elif kind == "text" and (text := value.strip()):
             slot, mark = nodes[-1][2], zlib.crc32(text.encode("utf-8", "replace"))
@@ -291,7 +295,7 @@ def text_of(page: str, parts: list[str]) -> tuple[str, bool]:
         del opened[len(stack) + (kind != "open") :], states[len(stack) + (kind != "open") :]
         if kind == "open":
             _, label, dropped = stack[-1]
-            opened.append(f"{opened[-1]}/{label}")
+            opened.append(opened[-1] if len(stack) > DEEPEST else f"{opened[-1]}/{label}")
             was = states[-1]
             here = was[0] or opened[-1] in wanted
             seen |= here

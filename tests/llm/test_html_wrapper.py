@@ -92,3 +92,12 @@ def test_alignment_makes_optional_and_repeated_groups():
     c = hw.align(hw.expression(pages[1]), hw.expression(pages[0]))
     assert hw.pattern(c) == "<body><h1>#(<div>'#')?(<p>#)+<i>'#'"
     assert hw.matches(list("abcde"), list("bde")) == [(0, None), (1, 0), (2, None), (3, 1), (4, 2)]
+
+
+def test_very_deep_and_very_long_pages():
+    deep = "<body><article>" + "<div>" * 6000 + "found" + "</div>" * 6000 + "<p>after</article>"
+    assert hw.text_of(deep, hw.main_parts(hw.align(hw.expression(deep), hw.expression(deep)))) == ("found\nafter", True)
+    long = "<article>" + "<p>word <b>bold</b>\n" * 20000 + "</article>"
+    assert hw.text_of(long, hw.main_parts(hw.expression(long)))[0].count("\n") == 19999
+    broken = "<article><p>" + "< " * 2000 + "<a href='x" * 300 + "</article>"
+    assert hw.text_of(broken, hw.main_parts(hw.expression(broken)))[0].startswith("< <")
