@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import shared_dir, utf8_bytes
+from pairforge.llm.common import lean, shared_dir, utf8_bytes
 
 CHUNK = 1 << 16
 CHUNKS = "record_id long, url string, chunk_no int, last boolean, data binary, digest string, bytes_so_far long"
@@ -26,8 +26,8 @@ PLACES = "archive string, bytes long, records long"
 READ = "record_id long, record_type string, refers_to long, url string, chunk_no int, last boolean, chunk_bytes long, bytes_so_far long, digest string, stated_digest string, stated_bytes long"
 
 
-def b32(sha: "hashlib._Hash") -> str:
-    return base64.b32encode(sha.digest()).decode()
+def b32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
 
 
 def chunk_table(pages: DataFrame, record: str = "page_id", url: str = "url", payload: str = "html", chunk: int = CHUNK, data: bool = True) -> DataFrame:
@@ -36,6 +36,7 @@ def chunk_table(pages: DataFrame, record: str = "page_id", url: str = "url", pay
     Bytes are slices of the Arrow buffer; rows go out in small batches.
     """
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_id", pa.int64()), ("url", pa.string()), ("chunk_no", pa.int32()), ("last", pa.bool_()), ("data", pa.binary()), ("digest", pa.string()), ("bytes_so_far", pa.int64())])
         rows: list[tuple] = []
@@ -55,7 +56,7 @@ def chunk_table(pages: DataFrame, record: str = "page_id", url: str = "url", pay
                     sha.update(piece)
                     at += len(piece)
                     if data or at >= end:
-                        rows.append((rid, link, n, at >= end, bytes(piece) if data else None, b32(sha), at - begin))
+                        rows.append((rid, link, n, at >= end, bytes(piece) if data else None, sha.hexdigest(), at - begin))
                         held += len(piece) if data else 0
                     n += 1
                     if held >= 1 << 22 or len(rows) >= 4096:
@@ -75,7 +76,7 @@ def classified(chunks: DataFrame, least_bytes: int = 0) -> DataFrame:
     `chunks` needs last rows only.  Digests are grouped with partial sums and joined back, so copies of one payload
     are never gathered.
     """
-    whole = chunks.where("last").select("record_id", F.col("digest").alias("payload_digest"), F.col("bytes_so_far").alias("total"))
+    whole = chunks.where("last").select("record_id", F.col("digest").alias("payload_digest"), F.col("bytes_so_far").alias("total")).distinct()
     owners = whole.where(F.col("total") >= least_bytes).groupBy("payload_digest", "total").agg(F.min("record_id").alias("owner"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     return whole.join(owners, ["payload_digest", "total"], "left").select("record_id", F.coalesce("owner", "record_id").alias("owner"), "total", "payload_digest")
 
@@ -87,7 +88,7 @@ def _head(rid: int, url: str | None, owner: int, total: int, digest: str) -> tup
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{rid}>", "WARC-Date: 2000-01-01T00:00:00Z"]
     if url:
         lines.append("WARC-Target-URI: " + "".join(c for c in url if c > " "))
-    lines.append(f"WARC-Payload-Digest: sha1:{digest}")
+    lines.append(f"WARC-Payload-Digest: sha1:{b32(bytes.fromhex(digest))}")
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:record:{owner}>"]
     size = len(http) + (total if kind == "response" else 0)
@@ -103,8 +104,10 @@ def write_archives(pages: DataFrame, folder: str, record: str = "page_id", url:
     """
     owners = classified(chunk_table(pages, record, url, payload, data=False), least_bytes)
     rows = pages.select(F.col(record).cast("long").alias("record_id"), F.col(url).alias("url"), F.col(payload).alias("payload"))
-    rows = rows.join(owners, "record_id").select("record_id", "url", F.when(F.col("owner") == F.col("record_id"), F.col("payload")).alias("payload"), "owner", "total", "payload_digest")
+    # the digest again in the join, for rows that repeat an id with another payload
+    rows = rows.withColumn("payload_digest", F.sha1(F.coalesce("payload", F.lit("")))).join(owners, ["record_id", "payload_digest"]).select("record_id", "url", F.when(F.col("owner") == F.col("record_id"), F.col("payload")).alias("payload"), "owner", "total", "payload_digest")
 
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -197,12 +200,13 @@ def read_archives(places: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 for piece in stream.take(left):
                     sha.update(piece)
                     so_far += len(piece)
-                    yield (*base, n, so_far == left, len(piece), so_far, b32(sha), stated, size)
+                    yield (*base, n, so_far == left, len(piece), so_far, b32(sha.digest()), stated, size)
                     n += 1
                 if not left:
-                    yield (*base, 0, True, 0, 0, b32(sha) if kind == "response" else None, stated, size)
+                    yield (*base, 0, True, 0, 0, b32(sha.digest()) if kind == "response" else None, stated, size)
                 stream.until(b"\r\n\r\n")
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in READ.split(", ")]
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
@@ -224,8 +228,9 @@ def read_archives(places: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def archive_round_trip(pages: DataFrame, record: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """Writes the archives, reads them back, and returns one row a record from what was read.
 
-    (page_id, payload_bytes, payload_digest, record_type, refers_to, archive_bytes_read).  Null payloads are empty ones;
-    records with a null id are left out; ids must be distinct; other columns are ignored; an empty table gives none.
+    (page_id, payload_bytes, payload_digest, record_type, refers_to).  Null payloads are empty ones;
+    records with a null id are left out; rows that repeat an id are records of their own, responses if no smaller id has the
+    payload; other columns are ignored; an empty table gives none.
     A response's digest and length are those of the bytes read and must equal its header's; a revisit's are its header's.
     """
     spark = pages.sparkSession
@@ -236,7 +241,7 @@ def archive_round_trip(pages: DataFrame, record: str = "page_id", url: str = "ur
     places = folder + "-places"
     write_archives(pages, folder, record, url, payload, least_bytes).write.parquet(places)
     listed = spark.read.schema(PLACES).parquet(places).select("archive", F.lit(folder).alias("folder"))
-    chunks = read_archives(listed.repartition("archive"))
+    chunks = read_archives(listed.repartition(max(1, listed.count())))
     good = F.when((F.col("record_type") == "revisit") | ((F.col("digest") == F.col("stated_digest")) & (F.col("bytes_so_far") == F.col("stated_bytes"))), F.col("stated_digest"))
     bad = F.raise_error(F.concat(F.lit("payload differs from its header in record "), F.col("record_id").cast("string")))
     return chunks.where("last").select(
