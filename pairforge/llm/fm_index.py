@@ -145,8 +145,8 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_unit
 def report(docs: DataFrame, window: int = WINDOW, **options: int) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): every word in a window of `window` words that starts earlier too goes.
 
-    Windows never cross documents.  Null texts have no words; rows with a null id are left out; ids must be distinct; other columns
-    are ignored; an empty table gives none.
+    Windows never cross documents.  Null texts have no words; rows with a null id are left out; rows that repeat an id are
+    documents of their own that share their spans; other columns are ignored; an empty table gives none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 

@@ -85,7 +85,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, list_rows: int =
 
     Vectors of equal, not null labels and equal length are linked when their cosine in double precision is at least
     `cosine`.  Null, empty and zero vectors, and such with null or non-finite components, link with nothing.  Rows with
-    a null id are left out; ids must be distinct; other columns are ignored; an empty table gives none.
+    a null id are left out; rows that repeat an id count as vectors and give a row each; other columns are ignored; an empty table gives none.
     `sample` bounds the rows that the quantiser is fitted on; every row is indexed and every row is a query.  Vectors of other
     lengths than the most common one are compared exactly, in blocks.
     """
@@ -204,7 +204,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, list_rows: int =
 
     found = written(work.mapInArrow(search, OUT), "vector-links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("class")).agg(F.sum("b").alias("links"))
-    member = written(keyed.join(classes.withColumnRenamed("id", "class"), ["label", "v"]).select(F.col("id").alias("vec_id"), "class", "copies"), "members")
+    member = written(keyed.join(classes.withColumnRenamed("id", "class"), ["label", "v"]).groupBy(F.col("id").alias("vec_id")).agg(F.min_by(F.struct("class", "copies"), "class").alias("m")).select("vec_id", "m.class", "m.copies"), "members")
     edges = found.where("kind = 1").select("a", "b").union(member.where("vec_id <> class").select("vec_id", "class"))
     roots = components(edges, "a", "b").withColumnRenamed("node", "vec_id")
     counted = member.join(links, "class", "left").select("vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))

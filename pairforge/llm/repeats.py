@@ -201,7 +201,7 @@ def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, first) of each document whose text other documents have too; first: the smallest such id."""
     keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
     groups = keyed.groupBy("h", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return keyed.join(groups, ["h", "n"]).select("doc_id", "first")
+    return keyed.join(groups, ["h", "n"]).groupBy("doc_id").agg(F.min("first").alias("first"))
 
 
 def with_spans(docs: DataFrame, marked: DataFrame) -> DataFrame:

@@ -174,8 +174,8 @@ def _pieces(rows: pa.RecordBatch, offs: np.ndarray, window: int) -> Iterator[lis
 def report(docs: DataFrame, window: int = WINDOW, **options: int) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): every byte covered by a `window`-byte string that starts elsewhere too goes.
 
-    Matches never cross documents.  Null texts are empty; rows with a null id are left out; ids must be distinct; other
-    columns are ignored; an empty table gives none.
+    Matches never cross documents.  Null texts are empty; rows with a null id are left out; rows that repeat an id are
+    documents of their own that share their spans, and repeated texts are copies; other columns are ignored; an empty table gives none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 

@@ -414,8 +414,8 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
 
     Documents are linked when 100 * intersection >= percent * union of their sets of lower-cased word n-grams; fewer words
     than n are one n-gram; null texts and texts without words have empty sets and no links.  No link between different
-    sets is lost, except such as join two documents of one component already.  Rows with a null id are left out; ids must
-    be distinct; other columns are ignored; an empty table gives none.  N-grams and sets are compared by hashes of 64 and 128 bits.
+    sets is lost, except such as join two documents of one component already.  Rows with a null id are left out; rows that
+    repeat an id give a row each, with that id's component; other columns are ignored; an empty table gives none.  N-grams and sets are compared by hashes of 64 and 128 bits.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
