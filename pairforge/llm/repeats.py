@@ -198,9 +198,13 @@ def spans(docs: DataFrame, units: Units, window: int, gram: int, index: Callable
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, first) of each document whose text other documents have too; first: the smallest such id."""
+    """(doc_id, first) of each document whose text other documents have too; first: the smallest such id.
+
+    The repeated texts' digests are written first, so that the join back is a broadcast or one whose skew Spark can split.
+    """
     keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
     groups = keyed.groupBy("h", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    groups = small_side(written(groups, "copies"), BROADCAST_BYTES)
     return keyed.join(groups, ["h", "n"]).groupBy("doc_id").agg(F.min("first").alias("first"))
 
 

@@ -441,6 +441,7 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
         if crossing.limit(1).count():
             links = links.union(written(_verified(docs, crossing, ngram, percent, group_sets), "links"))
     groups = sets.where("n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    groups = small_side(written(groups, "copies"), BROADCAST_BYTES)  # written, so that the join's skew can be split beyond that
     copies = sets.join(groups, ["n", "x", "y"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     roots = components(links.union(copies), "a", "b").withColumnRenamed("node", "doc_id")
     return sets.join(roots, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))

@@ -18,9 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import lean, shared_dir, utf8_bytes
+from pairforge.llm.common import lean, shared_dir, small_side, utf8_bytes, written
 
-CHUNK = 1 << 16
+CHUNK, BROADCAST_BYTES = 1 << 16, 16 << 20
 CHUNKS = "record_id long, url string, chunk_no int, last boolean, data binary, digest string, bytes_so_far long"
 PLACES = "archive string, bytes long, records long"
 READ = "record_id long, record_type string, refers_to long, url string, chunk_no int, last boolean, chunk_bytes long, bytes_so_far long, digest string, stated_digest string, stated_bytes long"
@@ -73,11 +73,12 @@ def chunk_table(pages: DataFrame, record: str = "page_id", url: str = "url", pay
 def classified(chunks: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(record_id, owner, total, digest) of each record; owner: the smallest id with the same payload, for payloads of at least `least_bytes`.
 
-    `chunks` needs last rows only.  Digests are grouped with partial sums and joined back, so copies of one payload
-    are never gathered.
+    `chunks` needs last rows only.  Digests are grouped with partial sums, written and joined back by a broadcast, or beyond 16 MB by
+    a join whose skew Spark can split, so copies of one payload are never gathered.
     """
     whole = chunks.where("last").select("record_id", F.col("digest").alias("payload_digest"), F.col("bytes_so_far").alias("total")).distinct()
     owners = whole.where(F.col("total") >= least_bytes).groupBy("payload_digest", "total").agg(F.min("record_id").alias("owner"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    owners = small_side(written(owners, "owners"), BROADCAST_BYTES)
     return whole.join(owners, ["payload_digest", "total"], "left").select("record_id", F.coalesce("owner", "record_id").alias("owner"), "total", "payload_digest")
 
 
