@@ -206,15 +206,29 @@ def align(a: Node, b: Node, same_page: bool = False) -> Node:
                 joined[-1][1] = "?+" if "?" in joined[-1][1] else "+"
             else:
                 joined.append(n)
-        out = joined[:LONGEST]
+        out = joined if len(joined) <= LONGEST else by_label(joined)
     return [a[0], _sign(a[1], b[1]), slot, out]
 
 
+def by_label(nodes: list[Node]) -> list[Node]:
+    """A very long level with each label once, as an optional repeated group: bounded by the number of labels, and no label is lost."""
+    out: dict[str, Node] = {}
+    for n in nodes:
+        out[n[0]] = align(out[n[0]], n, True) if n[0] in out else n
+    for n in out.values():
+        n[1] = "?+"
+    return list(out.values())
+
+
 def matches(x: list[str], y: list[str]) -> list[tuple[int | None, int | None]]:
-    """An alignment of two label sequences with as many matches as can be; a bounded window around the diagonal for very long ones."""
+    """An alignment of two label sequences with as many matches as can be; very long ones match label by label, whatever lies between."""
     n, m = len(x), len(y)
     if n * m > 1 << 18:
-        x, y, n, m = x[:512], y[:512], min(n, 512), min(m, 512)
+        places: dict[str, list[int]] = {}
+        for j in range(m - 1, -1, -1):
+            places.setdefault(y[j], []).append(j)
+        pairs = [(i, places[v].pop() if places.get(v) else None) for i, v in enumerate(x)]
+        return pairs + [(None, j) for js in places.values() for j in sorted(js)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):

@@ -101,3 +101,16 @@ def test_very_deep_and_very_long_pages():
     assert hw.text_of(long, hw.main_parts(hw.expression(long)))[0].count("\n") == 19999
     broken = "<article><p>" + "< " * 2000 + "<a href='x" * 300 + "</article>"
     assert hw.text_of(broken, hw.main_parts(hw.expression(broken)))[0].startswith("< <")
+
+
+def test_very_wide_pages_lose_nothing():
+    wide = "<body>" + "".join(f"<div class='c{chr(97 + k % 26)}{chr(97 + k // 26)}'>{k}</div><i>x</i>" for k in range(600)) + "<article>here</article></body>"
+    node = hw.expression(wide)
+    both = hw.align(node, hw.expression(wide.replace("<body>", "<body><p>new</p>")))
+    for parts in (hw.main_parts(node), hw.main_parts(both)):
+        text, seen = hw.text_of(wide, parts)
+        assert text == "here" or not seen
+    assert hw.text_of(wide, hw.main_parts(node)) == ("here", True)
+    x, y = ["a", "b"] * 400, ["b", "c"] * 400
+    got = hw.matches(x, y)
+    assert sorted(i for i, _ in got if i is not None) == list(range(800)) and sorted(j for _, j in got if j is not None) == list(range(800))
