@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def publish(fs: pafs.FileSystem, mine: str, final: str) -> None:
+    """Moves an attempt's whole file to its place; an earlier attempt's equal file gives way where a store does not replace by itself."""
+    try:
+        fs.move(mine, final)
+    except OSError:
+        if fs.get_file_info(final).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(final)
+        fs.move(mine, final)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)

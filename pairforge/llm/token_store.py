@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import lean, shared_dir, text_blocks
+from pairforge.llm.common import lean, publish, shared_dir, text_blocks
 from pairforge.llm.encoding import encoder
 
 HEAD = struct.Struct("<4sIQIQ")
@@ -106,7 +106,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, skip_blanks: boo
             out.write(pack_block(*(np.concatenate(x) for x in zip(*held, strict=True))))
         if out:
             out.close()
-            fs.move(mine, final)
+            publish(fs, mine, final)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [final], "n_docs": [docs_n], "n_tokens": [tokens_n]})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import lean, shared_dir, small_side, utf8_bytes, written
+from pairforge.llm.common import lean, publish, shared_dir, small_side, utf8_bytes, written
 
 CHUNK, BROADCAST_BYTES = 1 << 16, 16 << 20
 CHUNKS = "record_id long, url string, chunk_no int, last boolean, data binary, digest string, bytes_so_far long"
@@ -134,7 +134,7 @@ def write_archives(pages: DataFrame, folder: str, record: str = "page_id", url:
                 records += 1
         if out:
             out.close()
-            fs.move(mine, final)
+            publish(fs, mine, final)
             yield pa.RecordBatch.from_pydict({"archive": [final], "bytes": [size], "records": [records]})
 
     return rows.mapInArrow(pack, PLACES)
