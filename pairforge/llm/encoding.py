@@ -15,7 +15,7 @@ import numpy as np
 
 from pairforge.llm.common import LOWER, byte_hash, ragged
 
-MOST_PIECES, MOST_IDS, AT_ONCE = 700_000, 4_000_000, 4096
+MOST_PIECES, MOST_IDS, AT_ONCE = 1_200_000, 6_000_000, 4096
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
