@@ -3,13 +3,14 @@
 Units are bytes, so one model covers every language and nothing is out of vocabulary.  Counts, continuation counts,
 discounts and back-off weights are made by sharded groupings and joins of count tables keyed by n-gram.  A document's
 score joins its n-grams with the model's tables: by a broadcast where the model is small enough, else by shuffled joins of
-the corpus's distinct n-grams with each order's shard.  Documents above a quantile of their language's held-out trusted
-documents are rejected.
+the corpus's distinct n-grams with each order's shard.  Every trusted document is held out of one model in turn, and documents
+above a quantile of their own language's held-out ones are rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from pairforge.llm.common import lean, mix, small_side, text_blocks, written
 
-ORDER, FOLDS, QUANTILE, MARGIN, SLACK, LEAST_HELD_OUT = 5, 5, 0.98, 1.25, 2.0, 50
+ORDER, FOLDS, QUANTILE, MARGIN, SLACK, LEAST_HELD_OUT = 5, 5, 0.98, 1.25, 2.0, 1
 MOST_ROWS, BROADCAST_BYTES = 3 << 20, 16 << 20
 PAD = 10
 SCORE = T.StructType([T.StructField("log_prob", T.DoubleType()), T.StructField("units", T.LongType())])
@@ -82,7 +83,12 @@ def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     k is the n-gram's length, for kind 1 the context's length plus one.
     """
-    tables = {order: written(counts(docs, order), "ngrams")}
+    return train_counted(written(counts(docs, order), "ngrams"), order)
+
+
+def train_counted(ngrams: DataFrame, order: int = ORDER) -> DataFrame:
+    """The model of texts whose n-grams (g, c) are counted."""
+    tables = {order: ngrams}
     for k in range(order - 1, 0, -1):
         low = F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))
         tables[k] = written(tables[k + 1].groupBy(low.alias("g")).agg(F.count("*").alias("c")), "ngrams")
@@ -206,23 +212,28 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame, out: str, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, slack: float = SLACK, least: int = LEAST_HELD_OUT, most_rows: int = MOST_ROWS) -> DataFrame:
     """docs with a column `out`: struct(log_prob, units, perplexity, threshold, rejected).
 
-    One fold of the trusted documents (by hash of the id) is held out of training; a language's threshold is `margin` times
-    the `quantile` of its held-out perplexities, or of all of them for languages (null: a language of its own) with fewer than
-    `least`; short texts vary more and get exp(slack / sqrt(bytes)) times as much.  Texts without bytes have no perplexity and pass; without trusted documents all pass.
+    The trusted documents are dealt to folds (by hash of the id), and each fold is scored by a model of the others; a language's
+    (null: a language of its own) threshold is `margin` times the `quantile` of the perplexities that its trusted documents get
+    so, however few they are; short texts vary more and get exp(slack / sqrt(bytes)) times as much.  Languages with fewer than
+    `least` trusted documents have no threshold and all of their documents pass, as do texts without bytes.  Documents are scored by the model without the first fold.
     """
     ids = small_side(trusted_ids(labels), BROADCAST_BYTES)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.coalesce("lang", F.lit("")).alias("_lang")).join(ids, "_id", "left_semi")
-    fold = F.pmod(F.xxhash64("_id"), F.lit(FOLDS)) == 0
-    model = train(texts.where(~fold), order)
-    held = score(texts.where(fold), model, "_s", order, most_rows).where("_s.units > 0")
-    held = written(held.select("_lang", F.exp(-F.col("_s.log_prob") / F.col("_s.units")).alias("ppl")), "held-out")
+    fold = F.pmod(F.xxhash64("_id"), F.lit(FOLDS))
+    counted = [written(counts(texts.where(fold == k), order), "ngrams") for k in range(FOLDS)]
+    models, parts = [], []
+    for k in range(FOLDS):
+        others = reduce(DataFrame.union, (c for j, c in enumerate(counted) if j != k)).groupBy("g").agg(F.sum("c").alias("c"))
+        models.append(train_counted(written(others, "ngrams"), order))
+        part = score(texts.where(fold == k), models[k], "_s", order, most_rows).where("_s.units > 0")
+        parts.append(written(part.select("_lang", F.exp(-F.col("_s.log_prob") / F.col("_s.units")).alias("ppl")), "held-out"))
+    held, model = reduce(DataFrame.union, parts), models[0]
     at = F.percentile_approx("ppl", F.lit(quantile), F.lit(10000)) * margin
     per = held.groupBy("_lang").agg(at.alias("_t"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    overall = held.agg(at.alias("t")).first().t
     scored = score(docs, model, "_score", order, most_rows)
     joined = scored.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(small_side(written(per, "thresholds"), BROADCAST_BYTES), "_lang", "left")
     ppl = F.when(F.col("_score.units") > 0, F.exp(-F.col("_score.log_prob") / F.col("_score.units")))
-    threshold = F.coalesce("_t", F.lit(overall).cast("double")) * F.exp(slack / F.sqrt(F.greatest("_score.units", F.lit(1))))
+    threshold = F.col("_t") * F.exp(slack / F.sqrt(F.greatest("_score.units", F.lit(1))))
     made = F.struct(F.col("_score.log_prob").alias("log_prob"), F.col("_score.units").alias("units"), ppl.alias("perplexity"), threshold.alias("threshold"), F.coalesce(ppl > threshold, F.lit(False)).alias("rejected"))
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), made.alias(out))
 

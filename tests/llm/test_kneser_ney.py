@@ -89,3 +89,21 @@ def test_text_of_few_and_frequent_ngrams(spark):
     got = kneser_ney.score(spark.createDataFrame([("abc abd",), ("zzzz",), ("ab",)], "text string"), model, "s", 4).collect()
     assert all(math.isfinite(r.s.log_prob) for r in got)
     assert got[0].s.log_prob / 7 > got[1].s.log_prob / 4
+
+
+@pytest.mark.parametrize("n_labels", [0, 10])
+def test_clean_texts_of_a_language_with_few_labels_pass(spark, n_labels):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    spanish = {r.doc_id for r in docs.where("lang = 'es'").select("doc_id").collect()}
+    rows = labels.collect()
+    clean = sorted(r.doc_id for r in rows if r.quality == 1 and not r.toxic and r.doc_id in spanish)
+    assert len(clean) > 100
+    kept = set(clean[:n_labels])
+    few = spark.createDataFrame([r for r in rows if r.doc_id not in spanish or r.doc_id in kept], labels.schema)
+    got = {r.doc_id: r for r in kneser_ney.report(docs, few).collect()}
+    rejected = sum(got[d].rejected for d in clean)
+    if not n_labels:
+        assert not rejected and all(got[d].threshold is None for d in clean)
+    assert rejected <= 0.05 * len(clean)
+    assert sum(got[r.doc_id].rejected for r in rows if r.quality == 0 and r.doc_id not in spanish) > 0
