@@ -159,10 +159,16 @@ def expression(page: str) -> Node:
             nodes.append(node)
         elif kind == "text" and (text := value.strip()):
             slot, mark = nodes[-1][2], zlib.crc32(text.encode("utf-8", "replace"))
-            nodes[-1][2] = [1, mark if slot[0] == 0 else min(slot[1], mark), max(slot[2], mark), slot[3] + len(text)]
+            mark = both(slot[1], mark) if slot[0] else mark
+            nodes[-1][2] = [1, mark, mark, slot[3] + len(text)]
     return fold(root)
 
 
+def both(a: int, b: int) -> int:
+    """The mark of two texts of one page, one after the other."""
+    return zlib.crc32(b.to_bytes(4, "little"), a)
+
+
 def fold(node: Node) -> Node:
     """Neighbours with one label become a repeated group."""
     out: list[Node] = []
@@ -186,8 +192,14 @@ def align(a: Node, b: Node, same_page: bool = False) -> Node:
     p, q = a[2], b[2]
     if not p[0] or not q[0]:
         slot = list(p if p[0] else q)
+    elif same_page:
+        # texts that differ from each other, but on every page alike, do not vary
+        slot = [max(p[0], q[0]), *sorted((both(p[1], q[1]), both(p[2], q[2]))), p[3] + q[3]]
+        if slot[1] == slot[2] and (p[1] != p[2] or q[1] != q[2]):
+            slot[1] ^= 1
+            slot[1:3] = sorted(slot[1:3])
     else:
-        slot = [max(p[0], q[0]) if same_page else p[0] + q[0], min(p[1], q[1]), max(p[2], q[2]), p[3] + q[3]]
+        slot = [p[0] + q[0], min(p[1], q[1]), max(p[2], q[2]), p[3] + q[3]]
     x, y = a[3], b[3]
     out: list[Node] = []
     if [n[0] for n in x] == [n[0] for n in y]:
@@ -261,7 +273,7 @@ def _unfit(label: str) -> bool:
 
 
 def main_parts(root: Node) -> list[str]:
-    """Paths of the parts that hold the article: outermost article elements, else main ones, else the smallest element with nearly all
+    """Paths of the parts that hold the article: outermost article elements, else main ones, else the smallest element with all
     text that varies from page to page (all text, if none does)."""
 
     def find(node: Node, path: str, tag: str) -> Iterator[str]:
@@ -288,7 +300,7 @@ def main_parts(root: Node) -> list[str]:
         all_ = weight(node, any_text)
         inner = [c for c in node[3] if not _unfit(c[0])]
         best = max(inner, key=lambda c: weight(c, any_text), default=None)
-        if best is None or weight(best, any_text) < 0.9 * all_ or best[0].partition(".")[0] in ("p", "li", "b", "i", "span", "a"):
+        if best is None or "+" in best[1] or weight(best, any_text) < all_ or best[0].partition(".")[0] in ("p", "li", "b", "i", "span", "a"):
             return [path]
         node, path = best, f"{path}/{best[0]}"
 

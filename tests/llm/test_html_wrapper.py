@@ -114,3 +114,25 @@ def test_very_wide_pages_lose_nothing():
     x, y = ["a", "b"] * 400, ["b", "c"] * 400
     got = hw.matches(x, y)
     assert sorted(i for i, _ in got if i is not None) == list(range(800)) and sorted(j for _, j in got if j is not None) == list(range(800))
+
+
+def extracted(bodies):
+    """Texts of pages of one host, by the wrapper of all of them."""
+    pages = [SHELL.format(n=n, body=body) for n, body in enumerate(bodies)]
+    wrapper = hw.expression(pages[0])
+    for page in pages[1:]:
+        wrapper = hw.align(wrapper, hw.expression(page))
+    parts = hw.main_parts(wrapper)
+    return [hw.text_of(page, parts) for page in pages]
+
+
+def test_short_siblings_of_a_long_body_stay():
+    long = "many words of the body " * 40
+    got = extracted([f"<div class=story><h1>Title {n}</h1><p>lead {n}</p><div class=body>{long}{n}</div></div>" for n in range(4)])
+    assert got == [(f"Title {n}\nlead {n}\n{long}{n}", True) for n in range(4)]
+    # paragraphs that are divs, between headings and lists
+    got = extracted([f"<div class=story><h2>Title {n}</h2><div>{long}{n}</div><div>{long}{n}</div><ul><li>item {n}</ul></div>" for n in range(4)])
+    assert got == [(f"Title {n}\n{long}{n}\n{long}{n}\nitem {n}", True) for n in range(4)]
+    # what is the same on every page is no reason to stay above the story
+    got = extracted([f"<ul><li>Home<li>News</ul><div class=story><h1>T{n}</h1><p>text {n}</p></div>" for n in range(4)])
+    assert got == [(f"T{n}\ntext {n}", True) for n in range(4)]
