@@ -45,7 +45,13 @@ MARKS = frozenset(
     "footer header masthead cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations widget widgets toolbar pagination pager skip contentinfo complementary search".split()
 )
+#: Those of them that name parts of articles as well: an element marked by no other goes only if its text does not vary over the host's pages.
+DOUBTFUL = frozenset(
+    "header masthead banner notice notices notification notifications alert alerts related recommended recommendations social share sharing search widget widgets skip menu menus overlay".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that the words apply to, by class or role; ids of headings and sections are made of their titles.
+MARKABLE = BLOCK - HEADINGS - {"main", "article", "body", "html"}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -55,21 +61,25 @@ Node = list  # [label, sign ("" or "+" or "?" or "?+"), [pages, least and greate
 
 
 def marked(tag: str, attributes: str) -> tuple[bool, str]:
-    """(whether the element is no part of an article by its name or attributes, its label in paths)."""
-    dropped, label = tag in DROPPED, tag
+    """(whether the element is shown on no account, its label in paths).
+
+    A label ends in ! if a class or role marks the element as no part of an article, in ^ if only its id does, in ~ if the
+    words that mark it are doubtful.
+    """
+    dropped, label, sign = tag in DROPPED, tag, ""
     if attributes and tag not in ("html", "body"):
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value, name = a or b or c, name.lower()
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 dropped = True
             elif name in ("class", "id", "role"):
-                for part in value.split():
+                for part in value.split() if tag in MARKABLE and not (name == "id" and tag == "section") else ():
                     names = [w.lower() for w in WORD.findall(part)]
-                    if tag not in ("main", "article") and names and names[0] not in ("has", "no", "with", "without") and any(w in MARKS for w in names):
-                        dropped = True
+                    if names and names[0] not in ("has", "no", "with", "without") and (found := MARKS.intersection(names)):
+                        sign = max(sign, "~" if found <= DOUBTFUL and name != "role" else "^" if name == "id" else "!", key=["", "~", "^", "!"].index)
                 if name == "class" and value.split():
                     label += "." + re.sub(r"\d+", "#", value.split()[0])[:40]
-    return dropped, label
+    return dropped, label + sign
 
 
 def events(page: str) -> Iterator[tuple[int, str, str]]:
@@ -268,8 +278,29 @@ def pattern(node: Node) -> str:
 
 
 def _unfit(label: str) -> bool:
-    tag, _, name = label.partition(".")
-    return tag in DROPPED or tag not in ("article", "main") and any(w.lower() in MARKS for w in WORD.findall(name))
+    """Whether the element holds no article, whatever its text."""
+    return label[-1:] in ("!", "^") or re.split(r"[.~]", label)[0] in DROPPED
+
+
+def weight(node: Node, any_text: bool = False) -> int:
+    """Characters of the element's text that vary over the pages, or of all of it."""
+    slot = node[2]
+    own = slot[3] if slot[0] and (any_text or slot[0] == 1 or slot[1] != slot[2]) else 0
+    return own + sum(weight(c, any_text) for c in node[3] if not _unfit(c[0]))
+
+
+def same_parts(root: Node) -> list[str]:
+    """Paths of elements that are marked by id or by doubtful words and hold no text that varies."""
+
+    def find(node: Node, path: str) -> Iterator[str]:
+        for child in node[3]:
+            here = f"{path}/{child[0]}"
+            if child[0][-1:] in ("^", "~") and not weight(child):
+                yield here
+            else:
+                yield from find(child, here)
+
+    return list(dict.fromkeys(find(root, "")))
 
 
 def main_parts(root: Node) -> list[str]:
@@ -279,7 +310,7 @@ def main_parts(root: Node) -> list[str]:
     def find(node: Node, path: str, tag: str) -> Iterator[str]:
         for child in node[3]:
             here = f"{path}/{child[0]}"
-            if not _unfit(child[0]):
+            if not _unfit(child[0]) and child[0][-1:] != "~":
                 if child[0].partition(".")[0] == tag:
                     yield here
                 else:
@@ -289,28 +320,23 @@ def main_parts(root: Node) -> list[str]:
         if found := list(dict.fromkeys(find(root, "", tag))):
             return found
 
-    def weight(node: Node, any_text: bool) -> int:
-        slot = node[2]
-        own = slot[3] if slot[0] and (any_text or slot[0] == 1 or slot[1] != slot[2]) else 0
-        return own + sum(weight(c, any_text) for c in node[3] if not _unfit(c[0]))
-
     any_text = weight(root, False) == 0
     node, path = root, ""
     while True:
         all_ = weight(node, any_text)
         inner = [c for c in node[3] if not _unfit(c[0])]
         best = max(inner, key=lambda c: weight(c, any_text), default=None)
-        if best is None or "+" in best[1] or weight(best, any_text) < all_ or best[0].partition(".")[0] in ("p", "li", "b", "i", "span", "a"):
+        if best is None or "+" in best[1] or weight(best, any_text) < all_ or re.split(r"[.~]", best[0])[0] in ("p", "li", "b", "i", "span", "a"):
             return [path]
         node, path = best, f"{path}/{best[0]}"
 
 
-def text_of(page: str, parts: list[str]) -> tuple[str, bool]:
-    """(text of the page's main parts in page order, a line a block; whether the page has such a part)."""
+def text_of(page: str, parts: list[str], same: list[str] | tuple[str, ...] = ()) -> tuple[str, bool]:
+    """(text of the page's main parts in page order, a line a block, without those of `same`; whether the page has such a part)."""
     blocks: list[str] = []
     now: list[str] = []
     seen, opened = not parts or "" in parts, [""]
-    wanted, states = set(parts), [(seen, False, False)]  # (in a part, dropped, in a header of an article)
+    wanted, unwanted, states = set(parts), set(same), [(seen, False, False)]  # (in a part, dropped, in a header of an article)
 
     def flush() -> None:
         if now and (text := " ".join("".join(now).split())):
@@ -326,7 +352,9 @@ def text_of(page: str, parts: list[str]) -> tuple[str, bool]:
             here = was[0] or opened[-1] in wanted
             seen |= here
             header = was[2] or label == "header*"
-            states.append((here, was[1] or dropped, header and value not in HEADINGS))
+            # words count within the part only: what it stands in does not tell
+            by_name = was[0] and (label.endswith("!") or opened[-1] in unwanted)
+            states.append((here, was[1] or dropped or by_name, header and value not in HEADINGS))
             if value in BLOCK:
                 flush()
         elif kind == "close":
@@ -352,7 +380,7 @@ def host_of(url: str | None) -> str:
 
 
 def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, wrapper, parts): each host's expression as JSON and its main parts, from all of its pages."""
+    """(host, wrapper, parts, same): each host's expression as JSON, its main parts and its doubtful ones that do not vary, from all of its pages."""
 
     @lean
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +404,7 @@ def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFram
         host, node = None, None
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"host": [host], "wrapper": [json.dumps(node)], "parts": pa.array([main_parts(node)], pa.list_(pa.string()))})
+            return pa.RecordBatch.from_pydict({"host": [host], "wrapper": [json.dumps(node)], "parts": pa.array([main_parts(node)], pa.list_(pa.string())), "same": pa.array([same_parts(node)], pa.list_(pa.string()))})
 
         for batch in batches:
             for h, w in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -390,7 +418,7 @@ def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFram
             yield done()
 
     partial = pages.select(url, page).mapInArrow(infer, "host string, wrapper string")
-    return partial.repartition("host").sortWithinPartitions("host").mapInArrow(combine, "host string, wrapper string, parts array<string>")
+    return partial.repartition("host").sortWithinPartitions("host").mapInArrow(combine, "host string, wrapper string, parts array<string>, same array<string>")
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -399,7 +427,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     Null pages have an empty text, pages with a null or broken url form a host of their own; every row gives one, null and
     repeated ids included; other columns are ignored; an empty table gives none.
     """
-    parts = written(wrappers(pages, url, page).select("host", "parts"), "wrappers")
+    parts = written(wrappers(pages, url, page).select("host", "parts", "same"), "wrappers")
 
     @lean
     def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,13 +442,13 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part, texts = batch.slice(lo, 256), []
-                for page, parts in zip(part.column(2), part.column(3).to_pylist(), strict=True):
+                for page, parts, same in zip(part.column(2), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
                     page = page.as_py() or ""
-                    text, seen = text_of(page, parts or [])
+                    text, seen = text_of(page, parts or [], same or [])
                     if page and not (parts and seen):
                         text, _ = text_of(page, main_parts(expression(page)))
                     texts.append(text)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(small_side(parts, BROADCAST_BYTES), "host", "left").select("page_id", "url", "html", "parts")
+    joined = rows.join(small_side(parts, BROADCAST_BYTES), "host", "left").select("page_id", "url", "html", "parts", "same")
     return joined.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")

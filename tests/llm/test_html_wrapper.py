@@ -136,3 +136,16 @@ def test_short_siblings_of_a_long_body_stay():
     # what is the same on every page is no reason to stay above the story
     got = extracted([f"<ul><li>Home<li>News</ul><div class=story><h1>T{n}</h1><p>text {n}</p></div>" for n in range(4)])
     assert got == [(f"T{n}\ntext {n}", True) for n in range(4)]
+
+
+def test_names_within_the_article(spark):
+    body = (
+        "<article><div class='article-header'><h1>Title {n}</h1></div><h2 id='related-work'>Related {n}</h2><h3 id='search'>Search</h3><section id='social-history'><p>past {n}</p></section>"
+        "<div id='reply-to-critics'><p>reply {n}</p></div><p class='notice'>note {n}</p><div class='share'><a>One</a><a>Two</a></div><div id='social'>follow</div><div class='ad'>buy {n}</div><p>end</p></article>"
+    )
+    rows = [(n, f"http://one.example/{n}", SHELL.format(n=n, body=body.format(n=n))) for n in range(4)]
+    rows += [(10 + n, f"http://two.example/{n}", SHELL.format(n=n, body=f"<div id='search-page'>{body.format(n=n)}</div>")) for n in range(4)]
+    got = {r.page_id: r.text for r in hw.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in got:
+        n = k % 10
+        assert got[k] == f"Title {n}\nRelated {n}\nSearch\npast {n}\nreply {n}\nnote {n}\nend", k
