@@ -2,13 +2,15 @@
 
 A text is cut where no token can span: before a single blank, or around a single line feed, that stands between two
 characters known not to be white space, and between a letter and a punctuation mark.  Both supported pre-tokenisers start
-anew there, so the ids of the pieces, joined, are those of the text.  Pieces are hashed for a whole block at once; only those that this worker has not met
+anew there, so the ids of the pieces, joined, are those of the text.  Texts of added tokens (<|endoftext|>) are single ids, as
+in the library: they are pieces of their own, and what stands between them is cut as texts are.  Pieces are hashed for a whole block at once; only those that this worker has not met
 are given to the tokenizers library.  The memory of met pieces is bounded and dropped when full.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -76,7 +78,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added):
+            raise ValueError("added tokens are supported only where they match as they stand")
+        literals = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, literals))) if literals else None
         self.skip_blanks = skip_blanks
         self.clear()
 
@@ -108,21 +114,36 @@ class Encoder:
             order = np.argsort(merged[0], kind="stable")
             self.levels[-2:] = [tuple(x[order] for x in merged)]
 
+    def _added(self, raw: bytes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the added tokens in the texts; matches are sought text by text."""
+        found: list[tuple[int, int]] = []
+        if self.added and (first := self.added.search(raw)):
+            at = max(0, int(np.searchsorted(offs, first.start(), "right")) - 1)
+            for lo, hi in zip(offs[at:-1].tolist(), offs[at + 1 :].tolist(), strict=True):
+                found += [m.span() for m in self.added.finditer(raw, lo, hi)]
+        spans = np.array(found, np.int64).reshape(-1, 2)
+        return spans[:, 0], spans[:, 1]
+
     def block(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block, and the texts' offsets among them."""
-        starts = cuts(buf, offs)
+        raw = buf.tobytes()
+        begin, end = self._added(raw, offs)
+        starts = cuts(buf, np.unique(np.concatenate([offs, begin, end])) if len(begin) else offs)
+        if len(begin):
+            at = np.searchsorted(begin, starts, "right") - 1
+            starts = starts[(at < 0) | (starts == begin[at]) | (starts >= end[at])]
         ends = np.append(starts[1:], len(buf))
+        whole = np.searchsorted(starts, begin)
         if self.skip_blanks and len(starts):
             starts = starts + (buf[np.minimum(starts, max(len(buf) - 1, 0))] == 32)
         if self.met > MOST_PIECES or self.used > MOST_IDS:
             self.clear()
-        if self.skip_blanks:
-            buf = LOWER[buf]
-        keys, first, back = np.unique(byte_hash(buf, starts, ends), return_index=True, return_inverse=True)
+        hashes = byte_hash(LOWER[buf] if self.skip_blanks else buf, starts, ends)
+        hashes[whole] ^= np.uint64(1)  # lower case may be that of other text
+        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         start, size, known = self._find(keys)
         new = first[~known]
         if len(new):
-            raw = buf.tobytes()
             self._learn(keys[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             start, size, _ = self._find(keys)
         ids = self.pool[ragged(start[back], size[back])]

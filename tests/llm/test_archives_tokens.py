@@ -134,3 +134,24 @@ def test_evolution_beats_one_pass():
     assert sorted(i for b in best.bins for i in b) == list(range(400))
     assert all(sum(lengths[i] for i in b) <= 2048 for b in best.bins)
     assert len(best.bins) <= once
+
+
+@pytest.mark.parametrize("name,skip", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_added_tokens_are_single_ids(name, skip):
+    from tokenizers import Tokenizer
+
+    library, coder = Tokenizer.from_file(vocabulary(name)), Encoder(vocabulary(name), skip)
+
+    def check(texts):
+        raw = [t.encode() for t in texts]
+        ids, ends = coder.block(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+    check(["a <|endoftext|> b", "plain", "", "<|endoftext|>", "<|ENDOFTEXT|> <|EndOfText|>", "x<|endoftext|><|startoftext|>y ", "<|endof", "text|> cut over two texts"])
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<", "a", "Ab", "'s", " ", "  ", "\n", "1", "é", "\u0301", ".", "'"]), max_size=9).map("".join), min_size=1, max_size=4))
+    def fuzz(texts):
+        check(texts)
+
+    fuzz()
