@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.functions.shared import shared_base
 from pairforge.operators.graph import components, forest  # noqa: F401
 
 BLOCK_BYTES = 1 << 20
@@ -32,13 +34,20 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; a local one only where it is unset and Spark runs on this machine alone."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
-        base = "file://" + tempfile.gettempdir() + "/pairforge-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """For each name, itself or the first of name_, name__, ... that is no column of df, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def publish(fs: pafs.FileSystem, mine: str, final: str) -> None:
@@ -150,7 +159,11 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def ranged_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end] for each range, equal for equal content wherever it stands."""
+    """A hash of values[start:end] for each range, equal for equal content wherever it stands.
+
+    A polynomial modulo 2**64: different long ranges can be made to agree, so it only routes windows and finds candidates that are
+    compared afterwards; what tells texts, words or pieces apart is `byte_hash` or a digest.
+    """
     n = len(values)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values * powers(BASE, n), out=sums[1:])
@@ -158,8 +171,44 @@ def ranged_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def byte_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return ranged_hash(_byte_values()[buf], starts, ends)
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 512  # ranges beyond this many bytes are hashed one by one
+
+
+def byte_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A 64-bit hash of each range's bytes: eight bytes at a time are joined to the state, which a bijection mixes after each step.
+
+    Ranges of one length of at most eight bytes never collide.  Hashes under two seeds together have 128 bits.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    eight = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), 0, (1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[live], size[live]
+    while len(live):
+        out[live] = mix(out[live] ^ (eight[at] & KEEP[np.minimum(left, 8)]))
+        on = left > 8
+        live, at, left = live[on], at[on] + 8, left[on] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(np.ascontiguousarray(buf[starts[k] : ends[k]]), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[k] = np.frombuffer(digest, np.uint64)[0]
+    return out
+
+
+def run_hash(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each short run of values, chained like `byte_hash`."""
+    out = mix(lengths.astype(np.uint64))
+    for k in range(int(lengths.max(initial=0))):
+        live = slice(None) if int(lengths.min()) > k else np.flatnonzero(lengths > k)
+        out[live] = mix(out[live] ^ values[starts[live] + k])
+    return out
+
+
+def digests(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """128 bits of a cryptographic digest of each text, as two numbers."""
+    view = memoryview(np.ascontiguousarray(buf))
+    raw = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
 def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,10 +234,11 @@ def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, lower: bool) ->
 def window_hash(values: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of `width` values, across all of `values` (the caller masks runs that cross a text's end)."""
     n = len(values) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return ranged_hash(values, at, at + width)
+    out = np.empty(max(n, 0), np.uint64)
+    for lo in range(0, max(n, 0), BLOCK_BYTES):
+        at = np.arange(min(n - lo, BLOCK_BYTES))
+        out[lo : lo + len(at)] = ranged_hash(values[lo : lo + len(at) + width - 1], at, at + width)
+    return out
 
 
 def within(offs: np.ndarray, width: int, total: int) -> np.ndarray:

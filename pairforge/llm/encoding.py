@@ -4,7 +4,8 @@ A text is cut where no token can span: before a single blank, or around a single
 characters known not to be white space, and between a letter and a punctuation mark.  Both supported pre-tokenisers start
 anew there, so the ids of the pieces, joined, are those of the text.  Texts of added tokens (<|endoftext|>) are single ids, as
 in the library: they are pieces of their own, and what stands between them is cut as texts are.  Pieces are hashed for a whole block at once; only those that this worker has not met
-are given to the tokenizers library.  The memory of met pieces is bounded and dropped when full.
+are given to the tokenizers library.  A met piece is known by 128 bits of two hashes; one that shares only the first with another is
+encoded on its own.  The memory of met pieces is bounded and dropped when full.
 """
 
 from __future__ import annotations
@@ -87,27 +88,32 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, ...]] = []  # first hash, second hash, start and size in the pool
         self.pool, self.used, self.met = np.zeros(1 << 16, np.uint32), 0, 0
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, size, found = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        for known, s, n in self.levels:
+        for known, second, s, n in self.levels:
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit = known[at] == keys
+            hit = (known[at] == keys) & (second[at] == checks)
             start[hit], size[hit] = s[at[hit]], n[at[hit]]
             found |= hit
         return start, size, found
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size in the pool of each text's ids."""
         ids = [e.ids for k in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(flat), self.used), np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
-        self.levels.append((keys, self.used + np.cumsum(size) - size, size))
+        start = self.used + np.cumsum(size) - size
         self.used += len(flat)
+        return start, size
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, texts: list[str]) -> None:
+        self.levels.append((keys, checks, *self._encode(texts)))
         self.met += len(keys)
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 3 * len(self.levels[-1][0]):
             merged = [np.concatenate(x) for x in zip(self.levels[-2], self.levels[-1], strict=True)]
@@ -138,14 +144,20 @@ class Encoder:
             starts = starts + (buf[np.minimum(starts, max(len(buf) - 1, 0))] == 32)
         if self.met > MOST_PIECES or self.used > MOST_IDS:
             self.clear()
-        hashes = byte_hash(LOWER[buf] if self.skip_blanks else buf, starts, ends)
+        low = LOWER[buf] if self.skip_blanks else buf
+        hashes, checks = (byte_hash(low, starts, ends, seed) for seed in (1, 2))
         hashes[whole] ^= np.uint64(1)  # lower case may be that of other text
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        start, size, known = self._find(keys)
+        text_of = lambda at: [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        start, size, known = self._find(keys, checks[first])
         new = first[~known]
         if len(new):
-            self._learn(keys[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            start, size, _ = self._find(keys)
-        ids = self.pool[ragged(start[back], size[back])]
-        piece_ends = np.concatenate([[0], np.cumsum(size[back])])
+            self._learn(keys[~known], checks[new], text_of(new))
+            start, size, _ = self._find(keys, checks[first])
+        start, size = start[back], size[back]
+        odd = np.flatnonzero(checks != checks[first][back])
+        if len(odd):
+            start[odd], size[odd] = self._encode(text_of(odd))
+        ids = self.pool[ragged(start, size)]
+        piece_ends = np.concatenate([[0], np.cumsum(size)])
         return ids, piece_ends[np.searchsorted(starts, offs)] if len(starts) else np.zeros(len(offs), np.int64)

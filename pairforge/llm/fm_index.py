@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import repeats
-from pairforge.llm.common import SPACED, lean, ragged, text_blocks, words
+from pairforge.llm.common import SPACED, lean, text_blocks, words
 from pairforge.llm.runlength_index import suffix_order
 
 WINDOW, GRAM, SHARD_UNITS, HOT_UNITS = 20, 3, 1 << 18, 1 << 20
@@ -101,8 +101,8 @@ class FMIndex:
             yield live, size[live] - 1 - step, length[live], a
 
 
-def mark(bodies: list[bytes], which: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges of each segment covered by windows that also start earlier, at a smaller doc_id or the same and a smaller start."""
+def mark(bodies: list[bytes], doc: np.ndarray, start: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of each body, at its least place (doc, start), covered by windows that also start earlier."""
     size = np.array([len(b) >> 3 for b in bodies], np.int64)
     base = np.cumsum(size + 1) - size - 1
     raw = np.frombuffer(b"".join(bodies), np.uint64)
@@ -110,33 +110,26 @@ def mark(bodies: list[bytes], which: np.ndarray, doc: np.ndarray, start: np.ndar
     symbols = np.zeros(len(raw) + len(bodies), np.int64)
     own = np.repeat(np.arange(len(bodies)), size)
     symbols[np.arange(len(raw)) + own] = dense + 1
-    # places of bodies: the least of their segments', comparable as one number
-    ids, doc_k = np.unique(doc, return_inverse=True)
+    # places comparable as one number
+    _, doc_k = np.unique(doc, return_inverse=True)
     place = (doc_k.astype(np.int64) << 36) + start
-    least = np.full(len(bodies), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, place)
     index = FMIndex(symbols, window)
     owner = np.repeat(np.arange(len(bodies)), size + 1)
-    at = least[owner] + (np.arange(len(symbols)) - base[owner])
+    at = place[owner] + (np.arange(len(symbols)) - base[owner])
     earliest = np.minimum.reduceat(at[index.order], index.edge[:-1])
-    first = np.full(len(symbols), -1)
+    later = np.zeros(len(symbols), bool)
     for stream, k, length, lo in index.statistics(symbols, base, size):
         whole = length == window
-        first[base[stream[whole]] + k[whole]] = earliest[index.group[lo[whole]]]
-    # segments, window by window: those that are not the earliest of their interval
-    n = np.maximum(size - window + 1, 0)[which]
-    seg = np.repeat(np.arange(len(which)), n)
-    k = ragged(np.zeros(len(which), np.int64), n)
-    later = place[seg] + k > first[base[which[seg]] + k]
-    begins = np.cumsum(n) - n
-    return repeats.marked_ranges(later, seg, begins, window)
+        spot = base[stream[whole]] + k[whole]
+        later[spot] = at[spot] > earliest[index.group[lo[whole]]]
+    return repeats.marked_ranges(later, owner, base, window)
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_units: int = SHARD_UNITS, hot_units: int = HOT_UNITS) -> DataFrame:
     """docs (distinct, not null doc_id; text) with `_first` and `_spans`; spans are in words."""
 
-    def index(bodies: list[bytes], which: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple:
-        return mark(bodies, which, doc, start, window)
+    def index(bodies: list[bytes], times: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple:
+        return mark(bodies, doc, start, window)
 
     marked = repeats.spans(docs.select("doc_id", "text"), repeats.word_units, window, gram, index, 8, shard_units, hot_units)
     return repeats.with_spans(docs, marked)
@@ -161,7 +154,7 @@ def report(docs: DataFrame, window: int = WINDOW, **options: int) -> DataFrame:
             removed, shas = [], []
             for k, n in enumerate(counts.tolist()):
                 kept = buf[offs[k] : offs[k + 1]].tobytes().split()
-                spans = repeats.union_spans(lo[ptr[k] : ptr[k + 1]], hi[ptr[k] : ptr[k + 1]])
+                spans = repeats.union_spans(lo[ptr[k] : ptr[k + 1]], hi[ptr[k] : ptr[k + 1]], n)
                 if first[k] is not None and first[k] != ids[k] and n >= window:
                     spans = [(0, n)]
                 for a, b in reversed(spans):

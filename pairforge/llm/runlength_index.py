@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import repeats
-from pairforge.llm.common import lean, ragged, text_blocks
+from pairforge.llm.common import lean, text_blocks
 
 WINDOW, GRAM, SHARD_UNITS, HOT_UNITS = 200, 32, 1 << 19, 4 << 20
 END = 0xFF  # never a byte of UTF-8
@@ -128,10 +128,9 @@ class RunLengthIndex:
         return best
 
 
-def mark(bodies: list[bytes], which: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges of each segment covered by windows that also start elsewhere.  A body of several segments is indexed twice:
+def mark(bodies: list[bytes], times: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of each body covered by windows that also start elsewhere.  A body that occurs more than once is indexed twice:
     that others equal it is all that more copies could tell."""
-    times = np.bincount(which, minlength=len(bodies))
     twice = np.repeat(np.arange(len(bodies)), np.minimum(times, 2))
     text = np.frombuffer(b"".join(bodies[k] + b"\xff" for k in twice), np.uint8)
     size = np.array([len(b) for b in bodies], np.int64)[twice]
@@ -140,21 +139,15 @@ def mark(bodies: list[bytes], which: np.ndarray, doc: np.ndarray, start: np.ndar
     stats = index.matching_statistics(0, len(text))
     owner = np.repeat(np.arange(len(twice)), size + 1)
     who, lo, hi = repeats.marked_ranges(stats >= window, owner, base, window)
-    # from the first entry of each body to all its segments
-    first = np.searchsorted(twice, np.arange(len(bodies)))
-    lead = first[twice[who]] == who
-    body, lo, hi = twice[who][lead], lo[lead], hi[lead]
-    ptr = np.searchsorted(body, np.arange(len(bodies) + 1))
-    per = ptr[which + 1] - ptr[which]
-    pick = ragged(ptr[which], per)
-    return np.repeat(np.arange(len(which)), per), lo[pick], hi[pick]
+    lead = np.searchsorted(twice, np.arange(len(bodies)))[twice[who]] == who  # the first entry of each body
+    return twice[who][lead], lo[lead], hi[lead]
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_units: int = SHARD_UNITS, hot_units: int = HOT_UNITS) -> DataFrame:
     """docs (distinct, not null doc_id; text) with `_first` and `_spans`; see repeats.with_spans.  Spans are in UTF-8 bytes."""
 
-    def index(bodies: list[bytes], which: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple:
-        return mark(bodies, which, doc, start, window)
+    def index(bodies: list[bytes], times: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple:
+        return mark(bodies, times, window)
 
     marked = repeats.spans(docs.select("doc_id", "text"), repeats.byte_units, window, gram, index, 1, shard_units, hot_units)
     return repeats.with_spans(docs, marked)
@@ -168,7 +161,7 @@ def _pieces(rows: pa.RecordBatch, offs: np.ndarray, window: int) -> Iterator[lis
         if first[k] is not None:
             yield [(0, n)] if n >= window else []
         else:
-            yield repeats.union_spans(lo[ptr[k] : ptr[k + 1]], hi[ptr[k] : ptr[k + 1]])
+            yield repeats.union_spans(lo[ptr[k] : ptr[k + 1]], hi[ptr[k] : ptr[k + 1]], n)
 
 
 def report(docs: DataFrame, window: int = WINDOW, **options: int) -> DataFrame:
