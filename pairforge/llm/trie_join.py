@@ -1,35 +1,41 @@
-"""Set-similarity join of documents by word n-grams, verified in prefix trees.
+"""Set-similarity join of documents by word n-grams in prefix trees.
 
 Documents are sets of n-gram hashes in one global order: rare before frequent.  Two sets as similar as asked for share one of the first
 tokens of both (prefix filter), so only prefixes are dealt out.  Copies of one set are taken once.  A token of few sets gives
-all pairs of fitting sizes; a token of many gives a star around one of them first, and then, when those links are known,
-the pairs that lie in different components.  The candidates of one set are stored as a trie of ordered sets, and the
-set walks down it: paths share partial overlaps, and a subtree is left as soon as what remains cannot reach the needed overlap.
+all pairs of fitting sizes; a token of many gives a star around some of them first.  Candidates meet in tries of ordered sets that
+a set walks down: paths share partial overlaps, and a subtree is left as soon as what remains cannot reach the needed overlap.
+What the links so far leave apart within a token's sets is then joined block by block: a block holds a trie of its sets and a forest
+of their components, and gives only verified links that join two of them, so it gives fewer links than it has rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import SPACED, components, lean, mix, ragged, ranged_hash, small_side, text_blocks, words, written
+from pairforge.llm.common import SPACED, components, lean, mix, ragged, run_hash, small_side, text_blocks, unused, words, written
 
 NGRAM, PERCENT = 5, 75
-MOST_FREQUENT = 1 << 18  # tokens that the driver ranks and broadcasts: 4 MB at most
+#: Tokens that the driver ranks and broadcasts: 4 MB at most.  Tasks report those that 3 of about 4 M tokens are, so any other makes up
+#: less than one token in 2**18; any order gives the same result.
+MOST_FREQUENT = 1 << 18
 FEW = 8  # sets of a token that give all pairs at once
 LEADERS = 4  # of more sets, so many are compared with all at first
 BUCKET_TOKENS, GROUP_SETS = 1 << 21, 128
 BLOCK_SETS = 512  # of a token's sets that a task holds while others of it pass by
+BLOCK_SIZE = 1 << 20  # n-grams that these hold together, about
+FREQUENT = np.uint64(1 << 63)
+MET_SETS = 1 << 18  # sets that a task remembers to leave out their copies
 HOT_SETS = 1 << 16  # a token met in more sets than this is dealt out in parts
 BROADCAST_BYTES = 16 << 20
 FEATURES = "kind int, a long, n long, x long, y long, parity binary"
-PREFIXES = "bucket int, docs binary, marks binary, sizes binary, counts binary, tokens binary"
+PREFIXES = "bucket int, docs binary, marks binary, marks2 binary, sizes binary, counts binary, tokens binary"
 FOUND = "kind int, a long, b long, docs array<long>"
 
 
@@ -40,7 +46,7 @@ def shingles(buf: np.ndarray, offs: np.ndarray, ngram: int) -> tuple[np.ndarray,
     per = np.where(count >= ngram, count - ngram + 1, (count > 0).astype(np.int64))
     start = ragged(at[:-1], per)
     doc = np.repeat(np.arange(len(count)), per)
-    grams = ranged_hash(hashes, start, start + np.minimum(ngram, count)[doc])
+    grams = run_hash(hashes, start, np.minimum(ngram, count)[doc])
     order = np.lexsort((grams, doc))
     grams, doc = grams[order], doc[order]
     new = np.ones(len(grams), bool)
@@ -48,6 +54,24 @@ def shingles(buf: np.ndarray, offs: np.ndarray, ngram: int) -> tuple[np.ndarray,
     return grams[new], np.searchsorted(doc[new], np.arange(len(count) + 1))
 
 
+def in_order(grams: np.ndarray, ptr: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The sets' tokens as numbers that ascend from rare to frequent, each set sorted: 63 bits of the hash, or the place among the frequent."""
+    tokens = grams >> np.uint64(1)
+    if len(common):
+        k = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        tokens = np.where(common[k] == grams, FREQUENT | place[k], tokens)
+    return tokens[np.lexsort((tokens, np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))))]
+
+
+def marks_of(grams: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
+    """128 bits of each set, as two numbers."""
+    out = []
+    for seed in (1, 2):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams + np.uint64(seed)), dtype=np.uint64)])
+        out.append((sums[ptr[1:]] - sums[ptr[:-1]]).view(np.int64))
+    return out
+
+
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     """How many of a set's first tokens one must look at."""
     return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
@@ -98,10 +122,7 @@ def _features(docs: DataFrame, ngram: int) -> DataFrame:
 
         for rows, buf, offs in text_blocks(batches, "text"):
             grams, ptr = shingles(buf, offs, ngram)
-            marks = []
-            for seed in (1, 2):
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams + np.uint64(seed)), dtype=np.uint64)])
-                marks.append((sums[ptr[1:]] - sums[ptr[:-1]]).view(np.int64))
+            marks = marks_of(grams, ptr)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows.num_rows, np.int32)), rows.column(0), pa.array(np.diff(ptr)), pa.array(marks[0]), pa.array(marks[1]), pa.array(parities(grams, ptr), pa.binary())], names=["kind", "a", "n", "x", "y", "parity"])
             held.append(grams)
             if sum(map(len, held)) >= 1 << 22:
@@ -113,59 +134,54 @@ def _features(docs: DataFrame, ngram: int) -> DataFrame:
     return docs.mapInArrow(scan, FEATURES)
 
 
-def parts_of(tokens: np.ndarray, common: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    if not len(common):
-        return np.ones(len(tokens), np.uint64)
-    k = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-    return np.where(common[k] == tokens, parts[k], 1).astype(np.uint64)
+def parts_of(tokens: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """In how many parts each token is dealt out; parts: of the frequent tokens, by place from 1."""
+    out = np.ones(len(tokens), np.uint64)
+    often = tokens >= FREQUENT
+    out[often] = parts[(tokens[often] ^ FREQUENT).astype(np.int64) - 1]
+    return out
 
 
 def _prefixes(docs: DataFrame, ngram: int, percent: int, ranked: "object", buckets: int) -> DataFrame:
     """Prefix tokens, packed by bucket; those of very many sets in as many parts as keep each small.
 
-    ranked: broadcast (tokens ascending, their order among the frequent ones, the number of their parts).
+    ranked: broadcast (frequent tokens ascending, their places in order of frequency, the number of parts by place).
     """
 
     @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, place, parts = ranked.value
-        met: set[int] = set()
+        met: set[tuple[int, int]] = set()
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            docs_k, marks, sizes, counts, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+            docs_k, marks, marks2, sizes, counts, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
             owner = np.repeat(np.arange(len(docs_k)), counts)
-            part = marks[owner].view(np.uint64) % parts_of(tokens, common, parts)
+            part = marks[owner].view(np.uint64) % parts_of(tokens, parts)
             bucket = (mix(tokens + mix(part)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            present, first = np.unique(bucket, return_index=True)
             out = []
-            for b in range(buckets):
-                lo, hi = int(edges[b]), int(edges[b + 1])
-                if lo < hi:
-                    who, per = np.unique(owner[lo:hi], return_counts=True)
-                    out.append((b, docs_k[who].tobytes(), marks[who].tobytes(), sizes[who].astype(np.int32).tobytes(), per.astype(np.int32).tobytes(), tokens[lo:hi].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=[x.split()[0] for x in PREFIXES.split(", ")])
+            for b, lo, hi in zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+                who, per = np.unique(owner[lo:hi], return_counts=True)
+                out.append((b, docs_k[who].tobytes(), marks[who].tobytes(), marks2[who].tobytes(), sizes[who].astype(np.int32).tobytes(), per.astype(np.int32).tobytes(), tokens[lo:hi].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 6], strict=True)], names=[x.split()[0] for x in PREFIXES.split(", ")])
 
         n = 0
         for rows, buf, offs in text_blocks(batches, "text"):
             grams, ptr = shingles(buf, offs, ngram)
             size = np.diff(ptr)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams + np.uint64(1)), dtype=np.uint64)])
-            mark = (sums[ptr[1:]] - sums[ptr[:-1]]).view(np.int64)
-            fresh = np.array([s > 0 and m not in met for m, s in zip(mark.tolist(), size.tolist(), strict=True)], bool)
-            met.update(mark[fresh].tolist())
-            rank = np.zeros(len(grams), np.int64)
-            if len(common):
-                k = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-                rank = np.where(common[k] == grams, place[k], 0)
-            doc = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((grams, rank, doc))
+            mark, mark2 = marks_of(grams, ptr)
+            names = list(zip(mark.tolist(), mark2.tolist(), strict=True))
+            fresh = np.array([s > 0 and m not in met for m, s in zip(names, size.tolist(), strict=True)], bool)
+            met.update(m for m, f in zip(names, fresh.tolist(), strict=True) if f)
+            if len(met) > MET_SETS:
+                met.clear()
             take = np.where(fresh, prefix_length(size, percent), 0)
-            tokens = grams[order[ragged(ptr[:-1], take)]]
+            tokens = in_order(grams, ptr, common, place)[ragged(ptr[:-1], take)]
             if len(tokens):
-                held.append((rows.column(0).to_numpy()[fresh], mark[fresh], size[fresh], take[fresh], tokens))
+                held.append((rows.column(0).to_numpy()[fresh], mark[fresh], mark2[fresh], size[fresh], take[fresh], tokens))
                 n += len(tokens)
             if n >= 1 << 20:
                 yield flush()
@@ -197,32 +213,33 @@ def _candidates(prefixes: DataFrame, percent: int, few: int, ranked: "object", p
 
     @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_l, marks_l, sizes_l, counts_l, tokens_l = [], [], [], [], []
+        docs_l, marks_l, marks2_l, sizes_l, counts_l, tokens_l = [], [], [], [], [], []
         for batch in batches:
             for k in range(batch.num_rows):
-                for into, c, t in ((docs_l, 1, np.int64), (marks_l, 2, np.int64), (sizes_l, 3, np.int32), (counts_l, 4, np.int32), (tokens_l, 5, np.uint64)):
+                for into, c, t in ((docs_l, 1, np.int64), (marks_l, 2, np.int64), (marks2_l, 3, np.int64), (sizes_l, 4, np.int32), (counts_l, 5, np.int32), (tokens_l, 6, np.uint64)):
                     into.append(np.frombuffer(batch.column(c)[k].as_buffer(), t))
         if not docs_l:
             return
-        docs, marks, sizes, counts, tokens = (np.concatenate(x) for x in (docs_l, marks_l, sizes_l, counts_l, tokens_l))
+        docs, marks, marks2, sizes, counts, tokens = (np.concatenate(x) for x in (docs_l, marks_l, marks2_l, sizes_l, counts_l, tokens_l))
+        parts = ranked.value[2]
         owner = np.repeat(np.arange(len(docs)), counts)
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         same = tokens[1:] == tokens[:-1]
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (parts_of(tokens, ranked.value[0], ranked.value[2]) > 1)
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (parts_of(tokens, parts) > 1)
         tokens, owner = tokens[shared], owner[shared]
-        d, m, s = docs[owner], marks[owner], sizes[owner].astype(np.int64)
-        order = np.lexsort((d, m, tokens))  # copies of one set: the smallest id
-        tokens, d, m, s = tokens[order], d[order], m[order], s[order]
+        d, m, m2, s = docs[owner], marks[owner], marks2[owner], sizes[owner].astype(np.int64)
+        order = np.lexsort((d, m2, m, tokens))  # copies of one set: the smallest id
+        tokens, d, m, m2, s = tokens[order], d[order], m[order], m2[order], s[order]
         one = np.ones(len(tokens), bool)
-        one[1:] = (tokens[1:] != tokens[:-1]) | (m[1:] != m[:-1])
+        one[1:] = (tokens[1:] != tokens[:-1]) | (m[1:] != m[:-1]) | (m2[1:] != m2[:-1])
         tokens, d, s = tokens[one], d[one], s[one]
         if not len(tokens):
             return
         edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
         per = np.diff(edges)
         group = np.repeat(np.arange(len(per)), per)
-        many = parts_of(tokens[edges[:-1]], ranked.value[0], ranked.value[2]) > 1
+        many = parts_of(tokens[edges[:-1]], parts) > 1
         wide = many | (per > few)
         small = ~wide[group]
         a, b = fitting_pairs(d[small], s[small], group[small], percent)
@@ -268,18 +285,24 @@ class SetTrie:
             differ = x[:n] != y[:n]
             self.shared.append(int(differ.argmax()) if differ.any() else n)
 
-    def similar(self, probe: np.ndarray, percent: int, stride: int = 64) -> list[int]:
-        """Numbers of the sets with 100 * intersection >= percent * union."""
+    def similar(self, probe: np.ndarray, percent: int, stride: int = 64, live: np.ndarray | None = None, found: Callable[[int], None] | None = None) -> list[int]:
+        """Numbers of the sets with 100 * intersection >= percent * union.
+
+        live: which sets to look at, asked as the walk reaches each; found: called with each result, and may change `live`.
+        """
         out, n = [], len(probe)
         known: list[tuple[int, int]] = [(0, 0)]  # (depth, overlap up to it) along the path to the last set
         dead = None  # the depth at which the last set's path was left for good
         for k, x in enumerate(self.sets):
             depth = self.shared[k]
-            if dead is not None and depth >= dead[0] and len(x) >= dead[1]:
-                continue  # in the subtree that was left: no shorter set, so no smaller need
-            dead = None
+            if dead is not None and depth < dead[0]:
+                dead = None
             while known[-1][0] > depth:
                 known.pop()
+            if dead is not None and len(x) >= dead[1]:
+                continue  # in the subtree that was left: no shorter set, so no smaller need
+            if live is not None and not live[self.order[k]]:
+                continue
             at, overlap = known[-1]
             need = -(-percent * (len(x) + n) // (100 + percent))
             while at < len(x):
@@ -289,19 +312,21 @@ class SetTrie:
                 overlap += int((probe[np.minimum(spot, n - 1)] == part).sum()) if n else 0
                 at = step
                 known.append((at, overlap))
-                left = min(len(x) - at, n - int(np.searchsorted(probe, x[at - 1], "right")))
-                if overlap + left < need:
+                beyond = n - int(np.searchsorted(probe, x[at - 1], "right"))
+                if overlap + min(len(x) - at, beyond) < need:
                     # for sets that share this beginning and are no shorter, what is left of the probe bounds them as well
-                    if overlap + n - int(np.searchsorted(probe, x[at - 1], "right")) < need:
+                    if dead is None and overlap + beyond < need:
                         dead = (at, len(x))
                     break
             else:
                 if overlap and 100 * overlap >= percent * (len(x) + n - overlap):
                     out.append(self.order[k])
+                    if found:
+                        found(self.order[k])
         return out
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, percent: int, group_sets: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, percent: int, group_sets: int, ranked: "object") -> DataFrame:
     """(a, b) of `pairs` that are similar.  A set's candidates travel to it, at most about `group_sets` of them together."""
     many = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > group_sets)
     dealt = pairs.join(many, "a", "left").select("a", "b", F.when(F.col("c").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / group_sets))).alias("block"))
@@ -313,16 +338,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, percent: int, group
         now, ids, sets, n = None, [], [], 0
 
         def links() -> Iterator[tuple[int, int]]:
-            if now is None or now[0] not in ids:
-                return
             rest = [k for k, i in enumerate(ids) if i != now[0]]
-            probe = sets[ids.index(now[0])]
-            for k in SetTrie([sets[r] for r in rest]).similar(probe, percent):
-                yield now[0], ids[rest[k]]
+            probes = [x for x, i in zip(sets, ids, strict=True) if i == now[0]]  # several only where rows repeat an id
+            if probes and rest:
+                trie = SetTrie([sets[r] for r in rest])
+                for x in probes:
+                    yield from ((now[0], ids[rest[k]]) for k in trie.similar(x, percent))
 
         out: list[tuple[int, int]] = []
         for rows, buf, offs in text_blocks(batches, "text"):
             grams, ptr = shingles(buf, offs, ngram)
+            grams = in_order(grams, ptr, *ranked.value[:2])
             owners, blocks, docs_k = (rows.column(c).to_pylist() for c in range(3))
             for k, key in enumerate(zip(owners, blocks, strict=True)):
                 if key != now:
@@ -356,25 +382,167 @@ def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(keep, "a long, b long")
 
 
-def _crossing(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, block_sets: int) -> DataFrame:
-    """Pairs of fitting sizes and parities within a token's sets that the links so far leave in different components.
+class Block:
+    """Some of a token's sets: their trie, their parities as matrices, and the component of each as far as it is known."""
+
+    def __init__(self, parts: list[tuple], percent: int) -> None:
+        self.node, self.size, self.root = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
+        parity, self.percent = [v for p in parts for v in p[3]], percent
+        by: dict[int, list[int]] = {}
+        for k, v in enumerate(parity):
+            by.setdefault(len(v), []).append(k)
+        self.parity = [(np.array(ks), np.frombuffer(b"".join(parity[k] for k in ks), np.uint64).reshape(len(ks), -1)) for ks in by.values()]
+        self.sets = [np.frombuffer(v, np.uint64) for p in parts for v in p[4]]
+        self.trie = SetTrie(self.sets)
+        self.merged: dict[int, int] = {}
+
+    def ask(self, node: int, size: int, label: int, parity: bytes, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Verified links from the set, one to each component that is not its own; they become one."""
+        while label in self.merged:
+            label = self.merged[label]
+        live = (self.root != label) & (np.minimum(self.size, size) * 100 >= np.maximum(self.size, size) * self.percent)
+        if not live.any():
+            return
+        one = np.frombuffer(parity, np.uint64)[None]
+        for ks, two in self.parity:
+            mine = one
+            while mine.shape[1] > two.shape[1]:
+                mine = mine[:, : mine.shape[1] // 2] ^ mine[:, mine.shape[1] // 2 :]
+            while two.shape[1] > mine.shape[1]:
+                two = two[:, : two.shape[1] // 2] ^ two[:, two.shape[1] // 2 :]
+            live[ks] &= np.bitwise_count(mine ^ two).sum(1, dtype=np.int64) <= (100 - self.percent) * (self.size[ks] + size) // (100 + self.percent)
+        if not live.any():
+            return
+        links: list[tuple[int, int]] = []
+
+        def found(k: int) -> None:
+            links.append((min(node, int(self.node[k])), max(node, int(self.node[k]))))
+            old = int(self.root[k])
+            self.merged[old] = label
+            self.root[self.root == old] = label
+            live[self.root == label] = False
+
+        self.trie.similar(tokens, self.percent, live=live, found=found)
+        yield from links
+
+
+def _joining(rows: DataFrame, percent: int) -> DataFrame:
+    """Verified links that join components.  rows: g, block, side, node, s, label, parity, tokens; the sets of side 0 are held and
+    asked for each other, those of side 1 pass by."""
+
+    @lean
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, parts = None, None, []
+
+        def held() -> Iterator[tuple[int, int]]:
+            nonlocal block
+            if parts and block is None:
+                block = Block(parts, percent)
+                labels = block.root.copy()
+                for k, tokens in enumerate(block.sets):
+                    yield from block.ask(int(block.node[k]), int(block.size[k]), int(labels[k]), parities_l[k], tokens)
+
+        def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
 
-    groups: (g, node).  Each group is dealt into blocks; its sets outside its largest component pass by every block.
+        parities_l: list[bytes] = []
+        for batch in batches:
+            g, blk, side, node, s, label = (batch.column(k).to_numpy() for k in range(6))
+            parity, tokens = batch.column(6).to_pylist(), batch.column(7).to_pylist()
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (blk[1:] != blk[:-1]) | (side[1:] != side[:-1])
+            edges = np.flatnonzero(new).tolist()
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip(edges, [*edges[1:], len(g)], strict=True):
+                if (key := (g[lo], blk[lo])) != now:
+                    out += held()
+                    now, block, parts, parities_l = key, None, [], []
+                if side[lo] == 0:
+                    parts.append((node[lo:hi], s[lo:hi], label[lo:hi], parity[lo:hi], tokens[lo:hi]))
+                    parities_l += parity[lo:hi]
+                    continue
+                out += held()
+                if block is not None:
+                    for k in range(lo, hi):
+                        out += block.ask(int(node[k]), int(s[k]), int(label[k]), parity[k], np.frombuffer(tokens[k], np.uint64))
+            if out:
+                yield batch_of(out)
+        if out := list(held()):
+            yield batch_of(out)
+
+    return rows.repartition("g", "block").sortWithinPartitions("g", "block", "side").mapInArrow(meet, "a long, b long")
+
+
+def _mixed(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(g, node, label, main) of the groups whose sets lie in several components; main is the largest."""
+    roots = small_side(components(links, "a", "b"), BROADCAST_BYTES)
+    spread = written(groups.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("label")), "groups")
+    mixed = spread.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    return written(spread.join(mixed.drop("labels"), "g"), "mixed")
+
+
+def _ordered(docs: DataFrame, nodes: DataFrame, ngram: int, ranked: "object") -> DataFrame:
+    """(node, s, parity, tokens) of the sets of `nodes`."""
+
+    @lean
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, offs in text_blocks(batches, "text"):
+            grams, ptr = shingles(buf, offs, ngram)
+            tokens = in_order(grams, ptr, *ranked.value[:2])
+            sets = [tokens[a:b].tobytes() for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(ptr)), pa.array(parities(grams, ptr), pa.binary()), pa.array(sets, pa.binary())], names=["node", "s", "parity", "tokens"])
+
+    some = docs.join(small_side(written(nodes.select(F.col("node").alias("doc_id")).distinct(), "nodes"), BROADCAST_BYTES), "doc_id", "left_semi").select("doc_id", "text")
+    return written(some.mapInArrow(scan, "node long, s long, parity binary, tokens binary"), "ordered-sets")
+
+
+def _dealt(rows: DataFrame, sets: DataFrame, block_sets: int) -> DataFrame:
+    """rows (g, node, ...) with their sets and the number of blocks that their group is dealt into."""
+    sized = rows.join(sets.select("node", "s"), "node").groupBy("g").agg(F.count("*").alias("m"), F.sum("s").alias("all"))
+    blocks = sized.select("g", F.ceil(F.greatest(F.col("m") / block_sets, F.col("all") / BLOCK_SIZE)).cast("int").alias("blocks"))
+    return rows.join(small_side(written(blocks, "blocks"), BROADCAST_BYTES), "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+COLUMNS = ["g", "block", "side", "node", "s", "label", "parity", "tokens"]
+
+
+def _joined_within(docs: DataFrame, groups: DataFrame, links: DataFrame, ngram: int, percent: int, block_sets: int, ranked: "object") -> DataFrame:
+    """`links` with those that join what they leave apart within a token's sets.  groups: (g, node), distinct.
+
+    First each set meets a block of one of its groups, that of least hash, which near copies choose alike.  Then, in groups that are
+    mixed still, the sets outside the largest component pass by all blocks, for which the sets in question are found by their parities.
     """
-    spread = written(groups.distinct().join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("label")), "groups")
-    counted = spread.groupBy("g", "label").agg(F.count("*").alias("c"))
-    mixed = counted.groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("m"), F.count("*").alias("labels")).where("labels > 1")
-    rows = spread.join(mixed, "g").join(sets.select(F.col("doc_id").alias("node"), F.col("n").alias("s"), "parity"), "node")
-    blocks = F.ceil(F.col("m") / block_sets)
-    held = rows.select("g", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.lit(0).alias("side"), "node", "s", "label", "parity")
-    odd = rows.where("label <> main").select("g", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block"), F.lit(1).alias("side"), "node", "s", "label", "parity")
+    mixed = _mixed(groups, links)
+    if not mixed.limit(1).count():
+        return links
+    sets = _ordered(docs, mixed, ngram, ranked)
+    one = mixed.groupBy("node").agg(F.min_by(F.struct("g", "label"), F.struct(F.xxhash64("g"), "g")).alias("x")).select("x.g", "node", "x.label")
+    rows = _dealt(written(one, "chosen"), sets, block_sets).withColumn("side", F.lit(0)).join(sets, "node")
+    links = links.union(written(_joining(rows.select(*COLUMNS), percent), "joins"))
+    mixed = _mixed(groups, links)
+    if not mixed.limit(1).count():
+        return links
+    near = written(_near(_dealt(mixed, sets, block_sets), sets, percent).distinct(), "near")
+    mixed = written(mixed.join(near, ["g", "node"]), "mixed")
+    dealt = _dealt(mixed, sets, block_sets).join(sets, "node")
+    odd = dealt.where("label <> main and blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").withColumn("block", F.col("to")).withColumn("side", F.lit(1))
+    return links.union(written(_joining(dealt.withColumn("side", F.lit(0)).select(*COLUMNS).union(odd.select(*COLUMNS)), percent), "joins"))
+
+
+def _near(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(g, node) of the sets that some other of their group, in another component, may be linked with by size and parity."""
+    rows = dealt.join(sets.select("node", "s", "parity"), "node")
+    names = ["g", "block", "side", "node", "s", "label", "parity"]
+    odd = rows.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
 
     @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[tuple[int, int]] = set()
-        now: tuple | None = None
-        parts: list[tuple] = []
-        block: tuple | None = None
+        now, block, parts, met = None, None, [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if met is not None and met.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(met.sum()), now[0])), pa.array(block[0][met])], names=["g", "node"])
+
         for batch in batches:
             g, blk, side, node, s, label = (batch.column(k).to_numpy() for k in range(6))
             parity = batch.column(6).to_pylist()
@@ -383,30 +551,30 @@ def _crossing(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
             edges = np.flatnonzero(new).tolist()
             for lo, hi in zip(edges, [*edges[1:], len(g)], strict=True):
                 if (key := (g[lo], blk[lo])) != now:
-                    now, parts, block = key, [], None
+                    yield from done()
+                    now, block, parts, met = key, None, [], None
                 if side[lo] == 0:
                     parts.append((node[lo:hi], s[lo:hi], label[lo:hi], parity[lo:hi]))
                     continue
                 if block is None and parts:
                     block = (*(np.concatenate([p[k] for p in parts]) for k in range(3)), [v for p in parts for v in p[3]])
+                    met = np.zeros(len(block[0]), bool)
                 if block is None:
                     continue
-                b_node, b_s, b_label, b_parity = block
+                asking = []
                 for i in range(lo, hi):
-                    j = np.flatnonzero((b_label != label[i]) & (np.minimum(b_s, s[i]) * 100 >= np.maximum(b_s, s[i]) * percent))
-                    pairs = [(x, min(node[i], b_node[x]), max(node[i], b_node[x])) for x in j.tolist()]
-                    fresh = [(x, p, q) for x, p, q in pairs if (p, q) not in met]
-                    if not fresh:
-                        continue
-                    met.update((p, q) for _, p, q in fresh)
-                    ok = may_link([parity[i]] * len(fresh), [b_parity[x] for x, _, _ in fresh], np.full(len(fresh), s[i]), b_s[[x for x, _, _ in fresh]], percent)
-                    if ok.any():
-                        a, b = zip(*((p, q) for (_, p, q), o in zip(fresh, ok, strict=True) if o), strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                    if len(met) > 1 << 19:
-                        met.clear()
-
-    return held.union(odd).repartition("g", "block").sortWithinPartitions("g", "block", "side").mapInArrow(meet, "a long, b long")
+                    j = np.flatnonzero((block[2] != label[i]) & (np.minimum(block[1], s[i]) * 100 >= np.maximum(block[1], s[i]) * percent))
+                    if len(j):
+                        ok = j[may_link([parity[i]] * len(j), [block[3][x] for x in j], np.full(len(j), s[i]), block[1][j], percent)]
+                        met[ok] = True
+                        if len(ok):
+                            asking.append(node[i])
+                if asking:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asking), now[0])), pa.array(asking, pa.int64())], names=["g", "node"])
+        yield from done()
+
+    both = rows.withColumn("side", F.lit(0)).select(*names).union(odd.select(*names))
+    return both.repartition("g", "block").sortWithinPartitions("g", "block", "side").mapInArrow(meet, "g long, node long")
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, few: int = FEW, bucket_tokens: int = BUCKET_TOKENS, group_sets: int = GROUP_SETS, most_frequent: int = MOST_FREQUENT, block_sets: int = BLOCK_SETS, hot_sets: int = HOT_SETS) -> DataFrame:
@@ -425,7 +593,8 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     frequent = often.a.to_numpy(np.int64).view(np.uint64)
     by = np.argsort(frequent)
     parts = -(-often.n.to_numpy(np.int64)[by] // hot_sets)
-    ranked = spark.sparkContext.broadcast((frequent[by], by.astype(np.int64) + 1, parts))
+    parts = -(-often.n.to_numpy(np.int64) // hot_sets)
+    ranked = spark.sparkContext.broadcast((frequent[by], by.astype(np.uint64) + np.uint64(1), parts.astype(np.uint64)))
     tokens = int((sets.agg(F.sum("n")).first()[0] or 0) * (100 - percent) / 100)
     partitions = max(4, math.ceil(tokens / bucket_tokens))
     found = written(_candidates(_prefixes(docs, ngram, percent, ranked, 4 * partitions), percent, few, ranked, partitions), "candidates")
@@ -434,12 +603,10 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     joints = firsts.join(firsts.groupBy("token").agg(F.min("b").alias("a")), "token").where("a < b").select("a", "b")
     pairs = found.where("kind = 0").select("a", "b").union(joints).distinct()
     pairs = written(_close(pairs, sets, percent), "pairs")
-    links = written(_verified(docs, pairs, ngram, percent, group_sets), "links")
+    links = written(_verified(docs, pairs, ngram, percent, group_sets, ranked), "links")
     groups = found.where("kind = 1").select(F.col("a").alias("g"), F.explode("docs").alias("node"))
     if groups.limit(1).count():
-        crossing = written(_crossing(groups, components(links, "a", "b"), sets, percent, block_sets).distinct(), "crossing")
-        if crossing.limit(1).count():
-            links = links.union(written(_verified(docs, crossing, ngram, percent, group_sets), "links"))
+        links = _joined_within(docs, written(groups.distinct(), "hot-groups"), links, ngram, percent, block_sets, ranked)
     groups = sets.where("n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     groups = small_side(written(groups, "copies"), BROADCAST_BYTES)  # written, so that the join's skew can be split beyond that
     copies = sets.join(groups, ["n", "x", "y"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
@@ -448,6 +615,11 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
 
 
 def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """The documents with the smallest doc_id of their component, unchanged, and the rows with a null id."""
-    gone = written(near_duplicates(docs, ngram, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(small_side(gone, BROADCAST_BYTES), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """The documents with the smallest doc_id of their component, unchanged, and the rows with a null id.
+
+    Null and empty texts are components of their own and stay, as do all rows of an id that stays; other columns pass, whatever
+    their names; an empty table gives none.
+    """
+    (name,) = unused(docs, "gone")
+    gone = written(near_duplicates(docs, ngram, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(name)), "gone")
+    return docs.join(small_side(gone, BROADCAST_BYTES), F.col("doc_id").cast("long") == F.col(name), "left_anti")
