@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.shared import settled
 
+ONE_TASK = 1 << 20  # edges, 16 MB, that one task joins at once
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of edges (a, b), node ids and the smallest id that each reaches through them."""
@@ -37,16 +39,18 @@ def _to_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(roots[keep])], names=["node", "root"])
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root): every node that has a smaller one in its component, and the smallest.
 
-    Each partition first reduces its edges to a forest.  Then large-star and small-star rounds run until every node
+    Each partition first reduces its edges to a forest.  Where at most `one_task` edges are left, one task makes them one forest.  Else large-star and small-star rounds run until every node
     has one root and no root has another; the forests keep the rounds few.  Each round is written to the shared
     folder, so a lost executor costs one round, and nothing but two counts comes to the driver.
     """
     a, b = F.col(a).cast("long"), F.col(b).cast("long")
     now = edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).where("node <> root")
     now = settled(now.mapInArrow(_to_forest, "node long, root long"), "components")
+    if now.count() <= one_task:
+        return settled(now.coalesce(1).mapInArrow(_to_forest, "node long, root long"), "components")
     while True:
         many = now.groupBy("node").count().where("count > 1").limit(1).count()
         if not many and not now.join(now.select(F.col("node").alias("root")), "root", "left_semi").limit(1).count():
