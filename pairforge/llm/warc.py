@@ -1,8 +1,8 @@
 """WARC archives from a chunked record table.
 
-A payload never travels as one value after it has been read: it becomes rows (record, chunk number, bytes), each with
-the SHA-1 and the byte count of the payload up to its end.  The writer appends such rows, sorted by record and chunk,
-to a gzip stream, and the reader gives them back in the same form, so that neither holds a whole record.
+The scan cuts each payload into rows (record, row, chunk number, bytes), each with the SHA-1 and the byte count of the payload up to its
+end; after that no payload travels or is held as one value.  The writer streams such rows, sorted by record and chunk, into
+gzip members and checks the digests as it goes; the reader gives back the rows that it meets, in the same form.
 """
 
 from __future__ import annotations
@@ -21,26 +21,28 @@ from pyspark.sql import functions as F
 from pairforge.llm.common import lean, publish, shared_dir, small_side, utf8_bytes, written
 
 CHUNK, BROADCAST_BYTES = 1 << 16, 16 << 20
-CHUNKS = "record_id long, url string, chunk_no int, last boolean, data binary, digest string, bytes_so_far long"
+CHUNKS = "record_id long, row long, url string, chunk_no int, last boolean, data binary, digest string, bytes_so_far long, total long, payload_digest string, identity binary"
 PLACES = "archive string, bytes long, records long"
-READ = "record_id long, record_type string, refers_to long, url string, chunk_no int, last boolean, chunk_bytes long, bytes_so_far long, digest string, stated_digest string, stated_bytes long"
+READ = "record_id long, record_type string, refers_to long, url string, chunk_no int, last boolean, data binary, chunk_bytes long, bytes_so_far long, digest string, stated_digest string, stated_bytes long"
 
 
 def b32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def chunk_table(pages: DataFrame, record: str = "page_id", url: str = "url", payload: str = "html", chunk: int = CHUNK, data: bool = True) -> DataFrame:
-    """One row for each chunk of each payload (null: one empty chunk).  With data=False only each record's last row, without bytes.
+def chunk_table(pages: DataFrame, record: str = "page_id", url: str = "url", payload: str = "html", chunk: int = CHUNK, last_only: bool = False) -> DataFrame:
+    """One row for each chunk of each payload (null: one empty chunk); with last_only each record's last row, without bytes.
 
-    Bytes are slices of the Arrow buffer; rows go out in small batches.
+    row numbers the records of a run; digest and bytes_so_far tell of the payload up to the chunk's end, payload_digest (SHA-1), total and
+    identity (SHA-256) of all of it.  Bytes are slices of the Arrow buffer; rows go out in batches of 4 MB.
     """
 
     @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.int64()), ("url", pa.string()), ("chunk_no", pa.int32()), ("last", pa.bool_()), ("data", pa.binary()), ("digest", pa.string()), ("bytes_so_far", pa.int64())])
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        schema = pa.schema([(x.split()[0], t) for x, t in zip(CHUNKS.split(", "), types, strict=True)])
         rows: list[tuple] = []
-        held = 0
+        held, number = 0, TaskContext.get().partitionId() << 40
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -49,15 +51,16 @@ def chunk_table(pages: DataFrame, record: str = "page_id", url: str = "url", pay
             buf, offs = utf8_bytes(batch.column(2))
             view = memoryview(buf)
             for k, (rid, link) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                sha, at, end, n = hashlib.sha1(), int(offs[k]), int(offs[k + 1]), 0
-                begin = at
+                begin, end = int(offs[k]), int(offs[k + 1])
+                whole, identity = hashlib.sha1(view[begin:end]).hexdigest(), hashlib.sha256(view[begin:end]).digest()
+                number += 1
+                sha, at, n = hashlib.sha1(), begin, 0
                 while True:
-                    piece = view[at : min(at + chunk, end)]
+                    piece = view[at : min(at + chunk, end)] if not last_only else view[end:end]
+                    at = end if last_only else at + len(piece)
                     sha.update(piece)
-                    at += len(piece)
-                    if data or at >= end:
-                        rows.append((rid, link, n, at >= end, bytes(piece) if data else None, sha.hexdigest(), at - begin))
-                        held += len(piece) if data else 0
+                    rows.append((rid, number, link, n, at >= end, None if last_only else bytes(piece), whole if at >= end else sha.hexdigest(), at - begin, end - begin, whole, identity))
+                    held += len(piece)
                     n += 1
                     if held >= 1 << 22 or len(rows) >= 4096:
                         yield flush()
@@ -70,16 +73,13 @@ def chunk_table(pages: DataFrame, record: str = "page_id", url: str = "url", pay
     return pages.select(F.col(record).cast("long"), F.col(url).cast("string"), F.col(payload)).mapInArrow(cut, CHUNKS)
 
 
-def classified(chunks: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(record_id, owner, total, digest) of each record; owner: the smallest id with the same payload, for payloads of at least `least_bytes`.
+def repeated_payloads(chunks: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(identity, owner) of the payloads of at least `least_bytes` that several ids have; owner: the smallest.
 
-    `chunks` needs last rows only.  Digests are grouped with partial sums, written and joined back by a broadcast, or beyond 16 MB by
-    a join whose skew Spark can split, so copies of one payload are never gathered.
+    `chunks` needs last rows only.  They are grouped with partial sums, so copies of one payload are never gathered.
     """
-    whole = chunks.where("last").select("record_id", F.col("digest").alias("payload_digest"), F.col("bytes_so_far").alias("total")).distinct()
-    owners = whole.where(F.col("total") >= least_bytes).groupBy("payload_digest", "total").agg(F.min("record_id").alias("owner"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    owners = small_side(written(owners, "owners"), BROADCAST_BYTES)
-    return whole.join(owners, ["payload_digest", "total"], "left").select("record_id", F.coalesce("owner", "record_id").alias("owner"), "total", "payload_digest")
+    whole = chunks.where(F.col("last") & (F.col("total") >= least_bytes))
+    return written(whole.groupBy("identity").agg(F.min("record_id").alias("owner"), F.max("record_id").alias("most")).where("owner < most").drop("most"), "owners")
 
 
 def _head(rid: int, url: str | None, owner: int, total: int, digest: str) -> tuple[bytes, bytes]:
@@ -103,10 +103,11 @@ def write_archives(pages: DataFrame, folder: str, record: str = "page_id", url:
     Lazy; each run of a task writes under its attempt's own name and then moves the file to its place, so repeated
     or speculative attempts leave one whole archive.
     """
-    owners = classified(chunk_table(pages, record, url, payload, data=False), least_bytes)
-    rows = pages.select(F.col(record).cast("long").alias("record_id"), F.col(url).alias("url"), F.col(payload).alias("payload"))
-    # the digest again in the join, for rows that repeat an id with another payload
-    rows = rows.withColumn("payload_digest", F.sha1(F.coalesce("payload", F.lit("")))).join(owners, ["record_id", "payload_digest"]).select("record_id", "url", F.when(F.col("owner") == F.col("record_id"), F.col("payload")).alias("payload"), "owner", "total", "payload_digest")
+    owners = repeated_payloads(chunk_table(pages, record, url, payload, last_only=True), least_bytes)
+    chunks = chunk_table(pages, record, url, payload).join(small_side(owners, BROADCAST_BYTES), "identity", "left")
+    rows = chunks.withColumn("owner", F.coalesce("owner", "record_id")).where("owner = record_id or chunk_no = 0")
+    rows = rows.withColumn("data", F.when(F.col("owner") == F.col("record_id"), F.col("data")))
+    rows = rows.select("record_id", "row", "chunk_no", "url", "data", "digest", "bytes_so_far", "total", "payload_digest", "owner").repartition("record_id", "row").sortWithinPartitions("record_id", "row", "chunk_no")
 
     @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,24 +115,29 @@ def write_archives(pages: DataFrame, folder: str, record: str = "page_id", url:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         final, mine = f"{base}/part-{task.partitionId():06d}.warc.gz", f"{base}/.{task.partitionId()}-{task.taskAttemptId()}.tmp"
-        out, records, size = None, 0, 0
+        out, gz, sha, records, size, so_far, due = None, None, None, 0, 0, 0, 0
         for batch in batches:
-            buf, offs = utf8_bytes(batch.column(2))
-            view = memoryview(buf)
-            rest = [batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5)]
-            for k, (rid, link, owner, total, digest) in enumerate(zip(*rest, strict=True)):
-                out = out or fs.open_output_stream(mine)
-                gz = zlib.compressobj(level, zlib.DEFLATED, 31)
-                head, http = _head(rid, link, owner, total, digest)
-                parts = [gz.compress(head + http)]
-                for at in range(int(offs[k]), int(offs[k + 1]), CHUNK):
-                    parts.append(gz.compress(view[at : min(at + CHUNK, int(offs[k + 1]))]))
-                    if sum(map(len, parts)) > CHUNK:
-                        size += sum(out.write(p) for p in parts if p)
-                        parts = []
-                parts += [gz.compress(b"\r\n\r\n"), gz.flush()]
-                size += sum(out.write(p) for p in parts if p)
-                records += 1
+            rest = [batch.column(k).to_pylist() for k in (0, 2, 3, 5, 6, 7, 8, 9)]
+            for k, (rid, number, link, digest, until, total, whole, owner) in enumerate(zip(*rest, strict=True)):
+                if number == 0:
+                    if so_far != due:
+                        raise ValueError("a record lacks chunks")
+                    out = out or fs.open_output_stream(mine)
+                    gz, sha, so_far, due = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1(), 0, total if owner == rid else 0
+                    head, http = _head(rid, link, owner, total, whole)
+                    size += out.write(gz.compress(head + http))
+                    records += 1
+                if owner == rid:
+                    data = batch.column(4)[k].as_buffer()
+                    sha.update(data)
+                    so_far += len(data)
+                    if so_far != until or sha.hexdigest() != digest:
+                        raise ValueError(f"chunk {number} of record {rid} is not the next one")
+                    size += out.write(gz.compress(data))
+                if so_far == due:
+                    size += out.write(gz.compress(b"\r\n\r\n") + gz.flush())
+        if so_far != due:
+            raise ValueError("a record lacks chunks")
         if out:
             out.close()
             publish(fs, mine, final)
@@ -180,10 +186,10 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:] if x)}
 
 
-def read_archives(places: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def read_archives(places: DataFrame, data: bool = True) -> DataFrame:
     """Chunk rows of every record in the archives that `places` (from write_archives) lists; digest is that of what was read.
 
-    A revisit has one row: its payload lies elsewhere, its header states digest and length.
+    A revisit has one row: its payload lies elsewhere, its header states digest and length.  With data=False rows come without bytes.
     """
 
     def rows_of(path: str, fs: pafs.FileSystem) -> Iterator[tuple]:
@@ -201,23 +207,23 @@ def read_archives(places: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 for piece in stream.take(left):
                     sha.update(piece)
                     so_far += len(piece)
-                    yield (*base, n, so_far == left, len(piece), so_far, b32(sha.digest()), stated, size)
+                    yield (*base, n, so_far == left, piece if data else None, len(piece), so_far, b32(sha.digest()), stated, size)
                     n += 1
                 if not left:
-                    yield (*base, 0, True, 0, 0, b32(sha.digest()) if kind == "response" else None, stated, size)
+                    yield (*base, 0, True, b"" if data and kind == "response" else None, 0, 0, b32(sha.digest()) if kind == "response" else None, stated, size)
                 stream.until(b"\r\n\r\n")
 
     @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in READ.split(", ")]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         for batch in batches:
             for path, folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = []
                 for row in rows_of(path, pafs.FileSystem.from_uri(folder)[0]):
                     rows.append(row)
-                    if len(rows) == 4096:
+                    if len(rows) == (64 if data else 4096):
                         yield pack(rows)
                         rows = []
                 if rows:
@@ -242,7 +248,7 @@ def archive_round_trip(pages: DataFrame, record: str = "page_id", url: str = "ur
     places = folder + "-places"
     write_archives(pages, folder, record, url, payload, least_bytes).write.parquet(places)
     listed = spark.read.schema(PLACES).parquet(places).select("archive", F.lit(folder).alias("folder"))
-    chunks = read_archives(listed.repartition(max(1, listed.count())))
+    chunks = read_archives(listed.repartition(max(1, listed.count())), data=False)
     good = F.when((F.col("record_type") == "revisit") | ((F.col("digest") == F.col("stated_digest")) & (F.col("bytes_so_far") == F.col("stated_bytes"))), F.col("stated_digest"))
     bad = F.raise_error(F.concat(F.lit("payload differs from its header in record "), F.col("record_id").cast("string")))
     return chunks.where("last").select(
