@@ -1,9 +1,10 @@
 """Packing documents into fixed-length sequences with a grouping genetic algorithm on islands.
 
-Pieces are dealt at random to blocks of bounded size.  Several islands evolve each block's packing; a gene is a whole
-bin.  Crossover injects well-filled bins of one parent into the other, dissolves the bins of the other that would hold
-a document twice, and puts the displaced documents back by best fit.  Between epochs each island's best packing
-migrates to the next island.  Bins that stay loose are opened again, together with those of all other blocks.
+Pieces are dealt at random to blocks of bounded size, and each block starts from best fit by falling length.  Where that misses the lower
+bound, several islands evolve the block's packing; a gene is a whole bin.  Crossover injects well-filled bins of one parent into the
+other, dissolves the bins of the other that would hold a document twice, lets displaced documents replace smaller ones that
+fill a bin worse, and puts the rest back by best fit.  Between epochs each island's best packing migrates to the next
+island.  Bins that stay loose are opened again, together with those of all other blocks.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pairforge.llm.common import lean, text_blocks, written
 from pairforge.llm.encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-EVOLVED = "block long, island int, epoch int, bins long, fill double, lengths binary, assigned binary"
-BLOCK_PIECES, ISLANDS, EPOCHS, POPULATION, GENERATIONS, LOOSE = 4096, 3, 2, 4, 12, 0.97
+EVOLVED = "block long, island int, epoch int, bins long, least long, fill double, lengths binary, assigned binary"
+BLOCK_PIECES, ISLANDS, EPOCHS, POPULATION, GENERATIONS, LOOSE = 4096, 3, 2, 6, 40, 0.97
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int, skip_blanks: bool, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,6 +99,54 @@ def from_assigned(lengths: list[int], assigned: np.ndarray, size: int) -> Packin
     return p
 
 
+def least_bins(lengths: list[int], size: int) -> int:
+    """A lower bound: for each length a, items beyond size - a fill a bin alone, and those of at least a need the room beside the larger half."""
+    x = np.sort(np.asarray(lengths, np.int64))
+    total = np.concatenate([[0], np.cumsum(x)])
+    a = np.concatenate([[0], np.unique(x[x <= size // 2])])
+    from_, half, alone = np.searchsorted(x, a), np.searchsorted(x, size // 2, "right"), np.searchsorted(x, size - a, "right")
+    beside = (alone - half) * size - (total[alone] - total[half])
+    return int((len(x) - half - (len(x) - alone) + (len(x) - alone) + np.maximum(0, -(-(total[half] - total[np.minimum(from_, half)] - beside) // size))).max(initial=0))
+
+
+def replaced(p: Packing, items: list[int]) -> list[int]:
+    """Puts displaced items in the place of one or two smaller ones where that fills a bin better; returns what is displaced then."""
+    lengths = p.lengths
+    free = sorted((lengths[i], i) for i in items)
+    for k in range(len(p.bins)):
+        if not p.left[k] or not free:
+            continue
+        b, room = p.bins[k], p.left[k]
+        best: tuple[int, list[int], list[int]] = (0, [], [])  # gain, places in free, items of the bin
+        outs = [[i] for i in b] + [[i, j] for at, i in enumerate(b) for j in b[at + 1 :]] if len(b) <= 12 else [[i] for i in b]
+        for out in outs:
+            gone = sum(lengths[i] for i in out)
+            most = gone + room
+            at = bisect_left(free, (most + 1, -1)) - 1
+            if at >= 0 and free[at][0] - gone > best[0]:
+                best = (free[at][0] - gone, [at], out)
+            lo, hi = 0, min(at, len(free) - 1)
+            while lo < hi and best[0] < room:  # the two whose sum comes nearest
+                two = free[lo][0] + free[hi][0]
+                if two > most:
+                    hi -= 1
+                else:
+                    if two - gone > best[0]:
+                        best = (two - gone, [lo, hi], out)
+                    lo += 1
+            if best[0] == room:
+                break
+        if best[0]:
+            new = [free[j][1] for j in best[1]]
+            for j in sorted(best[1], reverse=True):
+                del free[j]
+            p.bins[k] = [i for i in b if i not in best[2]] + new
+            p.left[k] = room - best[0]
+            for i in best[2]:
+                insort(free, (lengths[i], i))
+    return [i for _, i in free]
+
+
 def crossover(giver: Packing, taker: Packing, rng: np.random.Generator) -> Packing:
     order = np.argsort(giver.left, kind="stable")
     share = order[: max(1, len(order) // 2)]
@@ -111,23 +160,21 @@ def crossover(giver: Packing, taker: Packing, rng: np.random.Generator) -> Packi
             displaced += [i for i in b if not inside[i]]
         else:
             kept.append(b)
-    # the loosest of what is left are opened too, so that their documents can move
+    # the loosest of what is left are opened too, and a few others, so that their documents can move
     child = Packing(giver.lengths, giver.size)
     child.add_bins(injected + kept)
     loose = sorted(range(len(child.bins)), key=lambda k: -child.left[k])[: max(1, len(child.bins) // 50)]
-    gone = {k for k in loose if child.left[k] > 0}
+    gone = {k for k in loose if child.left[k] > 0} | set(rng.integers(0, len(child.bins), max(1, len(child.bins) // 50)).tolist())
     displaced += [i for k in gone for i in child.bins[k]]
     child.bins, child.left = [b for k, b in enumerate(child.bins) if k not in gone], [r for k, r in enumerate(child.left) if k not in gone]
-    return child.best_fit(sorted(displaced, key=lambda i: -child.lengths[i]))
+    return child.best_fit(sorted(replaced(child, displaced), key=lambda i: -child.lengths[i]))
 
 
 def evolve(lengths: list[int], size: int, given: list[Packing], seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> Packing:
     """The best packing found; stops at the lower bound.  lengths: descending."""
     rng = np.random.default_rng(seed)
-    least = -(-sum(lengths) // size)
-    group = list(given)
-    if not group:
-        group = [Packing(lengths, size).best_fit(list(range(len(lengths))))]
+    least = least_bins(lengths, size)
+    group = list(given) or [Packing(lengths, size).best_fit(list(range(len(lengths))))]
     while len(group) < population and -max(p.score() for p in group)[0] > least:
         noise = np.array(lengths) * rng.uniform(0.8, 1.0, len(lengths))
         group.append(Packing(lengths, size).best_fit(np.argsort(-noise, kind="stable").tolist()))
@@ -146,28 +193,34 @@ def _round(items: DataFrame, size: int, number: int, block_pieces: int, islands:
     blocks = max(1, -(-n // block_pieces))
     items = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(blocks)))
 
+    names = [x.split()[0] for x in EVOLVED.split(", ")]
+
+    def row(block: int, island: int, epoch: int, lengths: list[int], best: Packing) -> pd.DataFrame:
+        return pd.DataFrame([(block, island, epoch, len(best.bins), least_bins(lengths, size), best.score()[1], np.array(lengths, np.int32).tobytes(), best.assigned().tobytes())], columns=names)
+
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        block, island = int(pdf.block.iloc[0]), int(pdf.island.iloc[0])
         lengths = sorted(pdf.length.tolist(), reverse=True)
-        best = evolve(lengths, size, [], block * 31 + island, generations=generations)
-        return pd.DataFrame([(block, island, 0, len(best.bins), best.score()[1], np.array(lengths, np.int32).tobytes(), best.assigned().tobytes())], columns=[x.split()[0] for x in EVOLVED.split(", ")])
+        return row(int(pdf.block.iloc[0]), 0, 0, lengths, Packing(lengths, size).best_fit(list(range(len(lengths)))))
 
     def later(epoch: int):
         def step(pdf: pd.DataFrame) -> pd.DataFrame:
             block, island = int(pdf.block.iloc[0]), int(pdf.island.iloc[0])
             lengths = np.frombuffer(pdf.lengths.iloc[0], np.int32).tolist()
             given = [from_assigned(lengths, np.frombuffer(a, np.int32), size) for a in pdf.assigned]
-            best = evolve(lengths, size, given, (block * 31 + island) * 31 + epoch, generations=generations)
-            return pd.DataFrame([(block, island, epoch, len(best.bins), best.score()[1], pdf.lengths.iloc[0], best.assigned().tobytes())], columns=[x.split()[0] for x in EVOLVED.split(", ")])
+            return row(block, island, epoch, lengths, evolve(lengths, size, given, (block * 31 + island) * 31 + epoch, generations=generations))
 
         return step
 
-    dealt = items.select("block", "length", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-    elite = dealt.groupBy("block", "island").applyInPandas(first, EVOLVED)
-    for epoch in range(1, epochs):
-        migrants = elite.withColumn("island", ((F.col("island") + 1) % islands).cast("int"))
-        elite = elite.union(migrants).groupBy("block", "island").applyInPandas(later(epoch), EVOLVED)
-    best = elite.groupBy("block").agg(F.max_by("assigned", F.struct(-F.col("bins"), "fill", -F.col("island"))).alias("assigned"))
+    start = written(items.select("block", "length").groupBy("block").applyInPandas(first, EVOLVED), "best-fit")
+    found, open_ = start, start.where("bins > least")
+    if open_.limit(1).count():
+        elite = open_.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+        for epoch in range(epochs):
+            migrants = elite.withColumn("island", ((F.col("island") + 1) % islands).cast("int"))
+            group = elite.union(migrants) if epoch else elite
+            elite = written(group.groupBy("block", "island").applyInPandas(later(epoch + 1), EVOLVED), "elite")
+        found = start.union(elite)
+    best = found.groupBy("block").agg(F.max_by("assigned", F.struct(-F.col("bins"), "fill", -F.col("island"))).alias("assigned"))
 
     def place(key: tuple, pdf: pd.DataFrame, sol: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
