@@ -1,10 +1,11 @@
 """Document quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 Units are bytes, so one model covers every language and nothing is out of vocabulary.  Counts, continuation counts,
-discounts and back-off weights are made by sharded groupings and joins of count tables keyed by n-gram.  A document's
-score joins its n-grams with the model's tables: by a broadcast where the model is small enough, else by shuffled joins of
-the corpus's distinct n-grams with each order's shard.  Every trusted document is held out of one model in turn, and documents
-above a quantile of their own language's held-out ones are rejected.
+discounts and back-off weights are made by sharded groupings and joins of count tables keyed by n-gram.  The model is dealt to shards
+of bounded size by the two bytes before the last, so that all that one n-gram backs off to lies in one shard, and a document's
+n-grams are joined with the shards one after the other, each a broadcast hash table.  Values are whole numbers of 2**-24, so sums,
+and with them what is rejected, depend neither on the number of shards nor on the order of rows.  Every trusted document is held out
+of one model in turn, and documents above a quantile of their own language's held-out ones are rejected.
 """
 
 from __future__ import annotations
@@ -14,16 +15,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairforge.llm.common import lean, mix, small_side, text_blocks, written
+from pairforge.functions.shared import positions
+from pairforge.llm.common import lean, mix, small_side, text_blocks, unused, written
 
 ORDER, FOLDS, QUANTILE, MARGIN, SLACK, LEAST_HELD_OUT = 5, 5, 0.98, 1.25, 2.0, 1
 MOST_ROWS, BROADCAST_BYTES = 3 << 20, 16 << 20
-PAD = 10
-SCORE = T.StructType([T.StructField("log_prob", T.DoubleType()), T.StructField("units", T.LongType())])
+PAD, UNIT = 10, 1 << 24
+AT_ONCE = 32 << 20  # bytes of text that meet all shards together, if there are several
+SCORE = T.StructType([T.StructField("log_prob", T.LongType()), T.StructField("units", T.LongType())])
 
 
 def grams(buf: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
@@ -37,20 +40,14 @@ def grams(buf: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
     return out[at]
 
 
-def counts(docs: DataFrame, order: int, per_doc: bool = False) -> DataFrame:
-    """(g, c) of the whole table, or (doc, g, c) of each row's text, doc being a number for each row."""
+def counts(docs: DataFrame, order: int) -> DataFrame:
+    """(g, c): how often each n-gram occurs in the whole table."""
 
     @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for rows, buf, offs in text_blocks(batches, "text"):
-            g = grams(buf, offs, order)
-            if per_doc:
-                for k, i in enumerate(rows.column(0).to_pylist()):
-                    u, c = np.unique(g[offs[k] : offs[k + 1]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), i)), pa.array(u.view(np.int64)), pa.array(c)], names=["doc", "g", "c"])
-                continue
-            u, c = np.unique(g, return_counts=True)
+        for _, buf, offs in text_blocks(batches, "text"):
+            u, c = np.unique(grams(buf, offs, order), return_counts=True)
             keys, back = np.unique(np.concatenate([keys, u]), return_inverse=True)
             often = np.bincount(back, np.concatenate([often, c]), len(keys)).astype(np.int64)
             if len(keys) > 1 << 20:
@@ -59,8 +56,6 @@ def counts(docs: DataFrame, order: int, per_doc: bool = False) -> DataFrame:
         if len(keys):
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(often)], names=["g", "c"])
 
-    if per_doc:
-        return docs.mapInArrow(scan, "doc long, g long, c long")
     return docs.select("text").mapInArrow(scan, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
@@ -78,8 +73,13 @@ def discounts(n: list[int]) -> list[float]:
     return out
 
 
+def _units(x: Column) -> Column:
+    return F.rint(x * float(UNIT)).cast("long")
+
+
 def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model as rows (kind, k, g, value): kind 0 log probability of the last byte of g after the others, kind 1 log back-off weight of context g.
+    """The model as rows (kind, k, g, value): kind 0 log probability of the last byte of g after the others, kind 1 log back-off weight of
+    context g, both in units of 2**-24.
 
     k is the n-gram's length, for kind 1 the context's length plus one.
     """
@@ -98,26 +98,27 @@ def train_counted(ngrams: DataFrame, order: int = ORDER) -> DataFrame:
         d = discounts(list(n))
         cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         t = tables[k].withColumn("h", F.shiftright("g", 8)).withColumn("cut", cut)
-        contexts = t.groupBy("h").agg(F.sum("c").alias("s"), (F.sum("cut") / F.sum("c")).alias("gamma"))
+        seen = (F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count_if(F.col("c") > 2))  # whole numbers: no order of sums
+        contexts = t.groupBy("h").agg(F.sum("c").alias("s"), ((seen[0] * d[0] + seen[1] * d[1] + seen[2] * d[2]) / F.sum("c")).alias("gamma"))
         t = t.join(contexts, "h").withColumn("low", F.col("g").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)))
         if lower is None:
             p = t.withColumn("p", (F.col("c") - F.col("cut")) / F.col("s") + F.col("gamma") / 256)
         else:
             p = t.join(lower.select(F.col("g").alias("low"), F.col("p").alias("below")), "low").withColumn("p", (F.col("c") - F.col("cut")) / F.col("s") + F.col("gamma") * F.col("below"))
         lower = written(p.select("g", "p"), "ngrams")
-        own = lower.select(F.lit(0).alias("kind"), F.lit(k).alias("k"), "g", F.log("p").alias("value"))
-        back = contexts.select(F.lit(1).alias("kind"), F.lit(k).alias("k"), F.col("h").alias("g"), F.log("gamma").alias("value"))
+        own = lower.select(F.lit(0).alias("kind"), F.lit(k).alias("k"), "g", _units(F.log("p")).alias("value"))
+        back = contexts.select(F.lit(1).alias("kind"), F.lit(k).alias("k"), F.col("h").alias("g"), _units(F.log("gamma")).alias("value"))
         rows = own.union(back) if rows is None else rows.union(own).union(back)
     return written(rows, "model")
 
 
 class Table:
-    """Open addressing: values of 64-bit keys, looked up for whole arrays."""
+    """Open addressing: whole numbers for 64-bit keys, looked up for whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(4, int(2.5 * len(keys) + 1).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
         slot, left = mix(keys) & self.mask, np.arange(len(keys))
         while len(left):
             free = self.keys[slot[left]] == 0
@@ -129,7 +130,7 @@ class Table:
             slot[left] = (slot[left] + np.uint64(1)) & self.mask
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        out, found = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         left, slot = np.arange(len(keys)), mix(keys) & self.mask
         while len(left):
             here = self.keys[slot]
@@ -144,15 +145,22 @@ def _key(kind: int, k: int, g: np.ndarray) -> np.ndarray:
     return (np.uint64(1 + 2 * k + kind) << np.uint64(57)) | g
 
 
+def shard_of(pair: "np.ndarray | Column", shards: int) -> "np.ndarray | Column":
+    """The shard of n-grams with these two bytes before the last."""
+    return pair * 40503 % 65536 % shards
+
+
 class Model:
+    """One shard of the model's rows, and those of fewer than three bytes."""
+
     def __init__(self, kind: np.ndarray, k: np.ndarray, g: np.ndarray, value: np.ndarray) -> None:
-        if not np.isfinite(value).all():
+        if len(value) and (value.min() <= -(1 << 31) or value.max() >= 1 << 31):
             raise ValueError("the model holds probabilities of zero")
         self.order = int(k.max(initial=1))
         self.table = Table((((1 + 2 * k + kind).astype(np.uint64)) << np.uint64(57)) | g.view(np.uint64), value)
 
     def log_probs(self, g: np.ndarray) -> np.ndarray:
-        out, left = np.zeros(len(g), np.float64), np.arange(len(g))
+        out, left = np.zeros(len(g), np.int64), np.arange(len(g))
         for k in range(self.order, 0, -1):
             now = g[left] & np.uint64((1 << 8 * k) - 1)
             value, found = self.table.find(_key(0, k, now))
@@ -162,44 +170,56 @@ class Model:
             out[left[found]] += value[found]
             if not len(left):
                 return out
-        out[left] += np.log(1 / 256)
+        out[left] += round(np.log(1 / 256) * UNIT)
         return out
 
 
 def score(docs: DataFrame, model: DataFrame, out: str, order: int = ORDER, most_rows: int = MOST_ROWS) -> DataFrame:
-    """docs with a column `out`: struct(log_prob, units) of the text; null texts have no units."""
-    if model.count() <= most_rows:
-        m = model.toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast(Model(*(m.column(c).to_numpy() for c in ("kind", "k", "g", "value"))))
-        docs = docs.withColumn(out, F.lit(None).cast(SCORE))
-
-        @lean
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, buf, offs in text_blocks(batches, "text"):
-                sums = np.concatenate([[0.0], np.cumsum(shared.value.log_probs(grams(buf, offs, order)))])
-                cols = [pa.array(sums[offs[1:]] - sums[offs[:-1]]), pa.array(np.diff(offs))]
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.StructArray.from_arrays(cols, ["log_prob", "units"])], names=rows.schema.names)
-
-        return docs.mapInArrow(scan, docs.schema)
-    return _score_sharded(docs, model, out, order)
-
-
-def _score_sharded(docs: DataFrame, model: DataFrame, out: str, order: int) -> DataFrame:
-    """The same by shuffled joins: each distinct n-gram of the corpus is resolved once, order by order."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    own = written(counts(rows.select("_row", "text"), order, per_doc=True), "doc-ngrams")
-    open_ = own.select("g").distinct().withColumn("acc", F.lit(0.0)).withColumn("done", F.lit(False))
-    for k in range(order, 0, -1):
-        p = model.where(f"kind = 0 and k = {k}").select(F.col("g").alias("_g"), F.col("value").alias("_p"))
-        b = model.where(f"kind = 1 and k = {k}").select(F.col("g").alias("_h"), F.col("value").alias("_b"))
-        now = F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        open_ = open_.withColumn("now", now).join(p, F.col("now") == F.col("_g"), "left").join(b, F.shiftright("now", 8) == F.col("_h"), "left")
-        step = F.when(F.col("done"), 0.0).otherwise(F.coalesce("_p", "_b", F.lit(0.0)))
-        open_ = open_.select("g", (F.col("acc") + step).alias("acc"), (F.col("done") | F.col("_p").isNotNull()).alias("done"))
-    resolved = open_.select("g", (F.col("acc") + F.when(F.col("done"), 0.0).otherwise(float(np.log(1 / 256)))).alias("lp"))
-    sums = own.join(resolved, "g").groupBy(F.col("doc").alias("_row")).agg(F.sum(F.col("lp") * F.col("c")).alias("_l"), F.sum("c").alias("_u"))
-    made = F.struct(F.coalesce("_l", F.lit(0.0)).alias("log_prob"), F.coalesce("_u", F.lit(0)).cast("long").alias("units"))
-    return rows.join(sums, "_row", "left").withColumn(out, made.cast(SCORE)).drop("_row", "_l", "_u")
+    """docs with a column `out`: struct(log_prob in units of 2**-24, units) of the text; null texts have no units.
+
+    Each of the model's shards is a broadcast of at most about `most_rows` rows; where there are several, a worker holds one at a time.
+    """
+    shards = max(1, -(-model.count() // most_rows))
+    pair = F.when(F.col("kind") == 0, F.shiftright("g", 8)).otherwise(F.col("g")).bitwiseAND(F.lit(0xFFFF))
+    parts = []
+    for shard in range(shards):
+        m = model.where((F.col("k") < 3) | (shard_of(pair, shards) == shard)).toArrow() if shards > 1 else model.toArrow()
+        parts.append(docs.sparkSession.sparkContext.broadcast(Model(*(m.column(c).to_numpy() for c in ("kind", "k", "g", "value")))))
+    docs = docs.withColumn(out, F.lit(None).cast(SCORE))
+    held_bytes = AT_ONCE if shards > 1 else 0
+
+    @lean
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scored(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            totals = [np.zeros(len(offs) - 1, np.int64) for _, _, offs in held]
+            for shard, part in enumerate(parts):
+                table = part.value
+                for total, (_, buf, offs) in zip(totals, held, strict=True):
+                    g = grams(buf, offs, order)
+                    values = np.zeros(len(g) + 1, np.int64)
+                    if shards > 1:
+                        mine = np.flatnonzero(shard_of(((g >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64), shards) == shard)
+                        values[mine + 1] = table.log_probs(g[mine])
+                    else:
+                        values[1:] = table.log_probs(g)
+                    np.cumsum(values, out=values)
+                    total += values[offs[1:]] - values[offs[:-1]]
+                if shards > 1:
+                    del table
+                    part.__dict__.pop("_value", None)  # read again for the next texts
+            for total, (rows, _, offs) in zip(totals, held, strict=True):
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.StructArray.from_arrays([pa.array(total), pa.array(np.diff(offs))], ["log_prob", "units"])], names=rows.schema.names)
+
+        held: list[tuple] = []
+        for block in text_blocks(batches, "text"):
+            held.append(block)
+            if sum(len(buf) for _, buf, _ in held) >= held_bytes:
+                yield from scored(held)
+                held = []
+        if held:
+            yield from scored(held)
+
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -209,41 +229,61 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return written(by.where("_good").select("_id"), "trusted")
 
 
+def quantiles(held: DataFrame, key: str, value: str, quantile: float) -> DataFrame:
+    """(key, value): of each key's n values the one at place ceil(quantile * n) in ascending order, exactly; no task sees all of a key."""
+    placed = positions(held.select(key, value), [key, value], [key], "_at")
+    n = small_side(written(held.groupBy(key).agg(F.count("*").alias("_n")), "counts"), BROADCAST_BYTES)
+    return placed.join(n, key).where(F.col("_at") == F.greatest(F.ceil(F.col("_n") * quantile) - 1, F.lit(0))).select(key, value)
+
+
 def judged(docs: DataFrame, labels: DataFrame, out: str, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, slack: float = SLACK, least: int = LEAST_HELD_OUT, most_rows: int = MOST_ROWS) -> DataFrame:
     """docs with a column `out`: struct(log_prob, units, perplexity, threshold, rejected).
 
     The trusted documents are dealt to folds (by hash of the id), and each fold is scored by a model of the others; a language's
     (null: a language of its own) threshold is `margin` times the `quantile` of the perplexities that its trusted documents get
     so, however few they are; short texts vary more and get exp(slack / sqrt(bytes)) times as much.  Languages with fewer than
-    `least` trusted documents have no threshold and all of their documents pass, as do texts without bytes.  Documents are scored by the model without the first fold.
+    `least` trusted documents have no threshold and all of their documents pass, as do texts without bytes.  Documents are scored by the
+    model without the first fold.  Rows with null or repeated ids are judged like all others, and other columns pass unchanged,
+    whatever their names; an empty table gives none, and without labels nothing is rejected.
     """
+    lang, mark, limit = unused(docs, "lang_of", "score", "limit")
     ids = small_side(trusted_ids(labels), BROADCAST_BYTES)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.coalesce("lang", F.lit("")).alias("_lang")).join(ids, "_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.coalesce("lang", F.lit("")).alias(lang)).join(ids, "_id", "left_semi")
     fold = F.pmod(F.xxhash64("_id"), F.lit(FOLDS))
     counted = [written(counts(texts.where(fold == k), order), "ngrams") for k in range(FOLDS)]
-    models, parts = [], []
+    model, parts = None, []
     for k in range(FOLDS):
         others = reduce(DataFrame.union, (c for j, c in enumerate(counted) if j != k)).groupBy("g").agg(F.sum("c").alias("c"))
-        models.append(train_counted(written(others, "ngrams"), order))
-        part = score(texts.where(fold == k), models[k], "_s", order, most_rows).where("_s.units > 0")
-        parts.append(written(part.select("_lang", F.exp(-F.col("_s.log_prob") / F.col("_s.units")).alias("ppl")), "held-out"))
-    held, model = reduce(DataFrame.union, parts), models[0]
-    at = F.percentile_approx("ppl", F.lit(quantile), F.lit(10000)) * margin
-    per = held.groupBy("_lang").agg(at.alias("_t"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    scored = score(docs, model, "_score", order, most_rows)
-    joined = scored.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(small_side(written(per, "thresholds"), BROADCAST_BYTES), "_lang", "left")
-    ppl = F.when(F.col("_score.units") > 0, F.exp(-F.col("_score.log_prob") / F.col("_score.units")))
-    threshold = F.col("_t") * F.exp(slack / F.sqrt(F.greatest("_score.units", F.lit(1))))
-    made = F.struct(F.col("_score.log_prob").alias("log_prob"), F.col("_score.units").alias("units"), ppl.alias("perplexity"), threshold.alias("threshold"), F.coalesce(ppl > threshold, F.lit(False)).alias("rejected"))
+        own = train_counted(written(others, "ngrams"), order)
+        model = model or own
+        part = score(texts.where(fold == k), own, "_s", order, most_rows).where("_s.units > 0")
+        parts.append(written(part.select(lang, _perplexity("_s").alias("_ppl")), "held-out"))
+    held = reduce(DataFrame.union, parts)
+    few = held.groupBy(lang).count().where(F.col("count") < least).select(lang)
+    per = quantiles(held.join(F.broadcast(few), lang, "left_anti") if least > 1 else held, lang, "_ppl", quantile).select(lang, (F.col("_ppl") * margin).alias(limit)).distinct()
+    scored = score(docs, model, mark, order, most_rows).withColumn(lang, F.coalesce("lang", F.lit("")))
+    joined = scored.join(small_side(written(per, "thresholds"), BROADCAST_BYTES), lang, "left")
+    ppl = F.when(F.col(f"{mark}.units") > 0, _perplexity(mark))
+    threshold = F.col(limit) * F.exp(slack / F.sqrt(F.greatest(f"{mark}.units", F.lit(1))))
+    made = F.struct((F.col(f"{mark}.log_prob") / float(UNIT)).alias("log_prob"), F.col(f"{mark}.units").alias("units"), ppl.alias("perplexity"), threshold.alias("threshold"), F.coalesce(ppl > threshold, F.lit(False)).alias("rejected"))
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), made.alias(out))
 
 
+def _perplexity(score: str) -> Column:
+    return F.exp(-F.col(f"{score}.log_prob") / float(UNIT) / F.col(f"{score}.units"))
+
+
 def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity, threshold, rejected) of each document."""
+    """(doc_id, lang, n_bytes, perplexity, threshold, rejected) of each document.
+
+    Every row gives one, null and repeated ids included; null and empty texts have no perplexity and are not rejected; other columns are
+    ignored; an empty table gives none.
+    """
     q = judged(docs.select("doc_id", "text", "lang"), labels, "_q", **options)
     return q.select("doc_id", "lang", F.col("_q.units").alias("n_bytes"), F.round("_q.perplexity", 4).alias("perplexity"), F.round("_q.threshold", 4).alias("threshold"), F.col("_q.rejected").alias("rejected"))
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not rejected, unchanged."""
-    return judged(docs, labels, "_quality", **options).where("not _quality.rejected").drop("_quality")
+    """The documents that are not rejected, unchanged, in every case that `judged` lists."""
+    (name,) = unused(docs, "quality_of")
+    return judged(docs, labels, name, **options).where(~F.col(f"{name}.rejected")).drop(name)
