@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairforge.llm.common import ALNUM, LOWER, lean, ragged, text_blocks, window_hash, within, words
+from pairforge.llm.common import ALNUM, LOWER, lean, ragged, text_blocks, unused, window_hash, within, words, written
 
 MOST_BYTES = 32 << 20
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))), T.StructField("items", T.ArrayType(T.LongType()))])
@@ -78,7 +78,8 @@ class Windows:
 def scan(docs: DataFrame, benchmark: DataFrame, out: str, width: int = 13, item_id: str = "item_id", item_text: str = "text", text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
     """docs with a column `out`: struct(n_words, spans of hit words as [lo, hi), sorted distinct items).
 
-    No shuffle: the documents stream through.  Null texts have no words; null items and items without words hit
+    No shuffle: the documents stream through.  After each pass but the last they are written, and its broadcast is destroyed, so that
+    one block of windows is held at a time.  Null texts have no words; null items and items without words hit
     nothing; an empty benchmark gives empty spans; other columns pass through unchanged.
     """
     if out in docs.columns:
@@ -126,6 +127,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, out: str, width: int = 13, item_
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(new, kind)], names=rows.schema.names)
 
         docs = docs.mapInArrow(mark, schema)
+        if block < blocks - 1:
+            docs = written(docs, "scanned")
+            shared.destroy()
     return docs
 
 
@@ -149,21 +153,33 @@ def contaminated(found: str, share: int = 20) -> "F.Column":
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document.
+
+    Every row gives one, null and repeated ids included; null and empty texts have no words and are not contaminated; other columns
+    are ignored; an empty table gives none.
+    """
     found = scan(docs.select("doc_id", "text"), benchmark, "_found", width)
     items = F.array_join(F.array_sort(F.transform("_found.items", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", F.col("_found.n_words").alias("n_words"), n_hit("_found").alias("n_hit"), F.size("_found.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), contaminated("_found", share).alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
-    """The documents that are not contaminated, unchanged."""
-    return scan(docs, benchmark, "_found", width).where(~contaminated("_found", share)).drop("_found")
+    """The documents that are not contaminated, unchanged: null and empty texts, repeated rows and other columns, whatever their names, pass.
+
+    An empty table gives none; an empty benchmark leaves all.
+    """
+    (name,) = unused(docs, "found")
+    return scan(docs, benchmark, name, width).where(~contaminated(name, share)).drop(name)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
-    """The documents with their hit words taken out; bytes between two hit words of one span go too."""
-    found = scan(docs, benchmark, "_found", width)
-    schema = found.drop("_found").schema
+    """The documents with their hit words taken out; bytes between two hit words of one span go too.
+
+    Every row stays, repeated ones too; null texts stay null; other columns pass, whatever their names; an empty table gives none.
+    """
+    (name,) = unused(docs, "found")
+    found = scan(docs, benchmark, name, width)
+    schema = found.drop(name).schema
     where = docs.columns.index("text")
 
     @lean

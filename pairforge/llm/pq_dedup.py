@@ -45,6 +45,8 @@ class Quantiser:
     def __init__(self, sample: np.ndarray, lists: int, parts: int = PARTS, words: int = WORDS) -> None:
         self.centroids = k_means(sample, min(lists, len(sample)))
         residual = sample - self.centroids[nearest(sample, self.centroids)]
+        norm = (self.centroids**2).sum(1)
+        self.gaps = np.sqrt(np.maximum(norm[:, None] + norm[None] - 2 * (self.centroids @ self.centroids.T), 0))  # between lists
         self.edges = np.linspace(0, sample.shape[1], min(parts, sample.shape[1]) + 1).astype(int)
         self.books = [k_means(residual[:, a:b], min(words, len(sample))) for a, b in zip(self.edges, self.edges[1:], strict=False)]
 
@@ -63,8 +65,7 @@ class Quantiser:
         """Which lists each unit vector must visit to meet every vector within the radius."""
         square = (self.centroids**2).sum(1) - 2 * (x @ self.centroids.T)
         best = square.argmin(1)
-        gap = np.sqrt(np.maximum(((self.centroids[best][:, None, :] - self.centroids[None]) ** 2).sum(2), 0))
-        return square - square[np.arange(len(x)), best][:, None] <= 2 * radius * gap + 1e-9
+        return square - square[np.arange(len(x)), best][:, None] <= 2 * radius * self.gaps[best] + 1e-6
 
     def distances(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Distance of each unit vector x to each code of list `at`, from tables of the subspaces' distances."""
