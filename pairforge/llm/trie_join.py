@@ -27,8 +27,8 @@ NGRAM, PERCENT = 5, 75
 MOST_FREQUENT = 1 << 18
 FEW = 8  # sets of a token that give all pairs at once
 LEADERS = 4  # of more sets, so many are compared with all at first
-BUCKET_TOKENS, GROUP_SETS = 1 << 21, 128
-BLOCK_SETS = 512  # of a token's sets that a task holds while others of it pass by
+BUCKET_TOKENS, GROUP_SETS = 1 << 20, 128
+BLOCK_SETS = 256  # of a token's sets that a task holds while as many others of it pass by
 BLOCK_SIZE = 1 << 20  # n-grams that these hold together, about
 FREQUENT = np.uint64(1 << 63)
 MET_SETS = 1 << 18  # sets that a task remembers to leave out their copies
@@ -183,7 +183,7 @@ def _prefixes(docs: DataFrame, ngram: int, percent: int, ranked: "object", bucke
             if len(tokens):
                 held.append((rows.column(0).to_numpy()[fresh], mark[fresh], mark2[fresh], size[fresh], take[fresh], tokens))
                 n += len(tokens)
-            if n >= 1 << 20:
+            if n >= 1 << 19:
                 yield flush()
                 held, n = [], 0
         if held:
@@ -229,7 +229,7 @@ def _candidates(prefixes: DataFrame, percent: int, few: int, ranked: "object", p
         shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (parts_of(tokens, parts) > 1)
         tokens, owner = tokens[shared], owner[shared]
         d, m, m2, s = docs[owner], marks[owner], marks2[owner], sizes[owner].astype(np.int64)
-        order = np.lexsort((d, m2, m, tokens))  # copies of one set: the smallest id
+        order = np.lexsort((d, m, tokens))  # copies of one set: the smallest id
         tokens, d, m, m2, s = tokens[order], d[order], m[order], m2[order], s[order]
         one = np.ones(len(tokens), bool)
         one[1:] = (tokens[1:] != tokens[:-1]) | (m[1:] != m[:-1]) | (m2[1:] != m2[:-1])
@@ -383,21 +383,32 @@ def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 class Block:
-    """Some of a token's sets: their trie, their parities as matrices, and the component of each as far as it is known."""
+    """Some of a group's sets: their parities as matrices, the component of each as far as it is known, and, if they are at hand, their trie."""
 
     def __init__(self, parts: list[tuple], percent: int) -> None:
         self.node, self.size, self.root = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
-        parity, self.percent = [v for p in parts for v in p[3]], percent
+        self.bits, self.percent = [v for p in parts for v in p[3]], percent
+        self.label = self.root.copy()
         by: dict[int, list[int]] = {}
-        for k, v in enumerate(parity):
+        for k, v in enumerate(self.bits):
             by.setdefault(len(v), []).append(k)
-        self.parity = [(np.array(ks), np.frombuffer(b"".join(parity[k] for k in ks), np.uint64).reshape(len(ks), -1)) for ks in by.values()]
-        self.sets = [np.frombuffer(v, np.uint64) for p in parts for v in p[4]]
-        self.trie = SetTrie(self.sets)
+        self.parity = [(np.array(ks), np.frombuffer(b"".join(self.bits[k] for k in ks), np.uint64).reshape(len(ks), -1)) for ks in by.values()]
+        self.sets = [np.frombuffer(v, np.uint64) for p in parts for v in p[4]] if len(parts[0]) > 4 else None
+        self.trie = SetTrie(self.sets) if self.sets else None
         self.merged: dict[int, int] = {}
+        self.cluster = np.arange(len(self.node))
 
-    def ask(self, node: int, size: int, label: int, parity: bytes, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Verified links from the set, one to each component that is not its own; they become one."""
+    def own(self) -> Iterator[tuple[int, int]]:
+        """The block's sets asked for each other; those of its largest component wait for the others."""
+        labels, count = np.unique(self.label, return_counts=True)
+        for k in np.flatnonzero(self.label != labels[count.argmax()]).tolist():
+            yield from self.ask(int(self.node[k]), int(self.size[k]), int(self.label[k]), self.bits[k], self.sets[k] if self.sets else None)
+
+    def ask(self, node: int, size: int, label: int, parity: bytes, tokens: np.ndarray | None) -> Iterator[tuple[int, int]]:
+        """Verified links from the set, one to each component that is not its own; they become one.
+
+        Without tokens: pairs that sizes and parities let be linked, one to each cluster of such pairs; those become one cluster.
+        """
         while label in self.merged:
             label = self.merged[label]
         live = (self.root != label) & (np.minimum(self.size, size) * 100 >= np.maximum(self.size, size) * self.percent)
@@ -405,6 +416,8 @@ class Block:
             return
         one = np.frombuffer(parity, np.uint64)[None]
         for ks, two in self.parity:
+            if not live[ks].any():
+                continue
             mine = one
             while mine.shape[1] > two.shape[1]:
                 mine = mine[:, : mine.shape[1] // 2] ^ mine[:, mine.shape[1] // 2 :]
@@ -413,10 +426,17 @@ class Block:
             live[ks] &= np.bitwise_count(mine ^ two).sum(1, dtype=np.int64) <= (100 - self.percent) * (self.size[ks] + size) // (100 + self.percent)
         if not live.any():
             return
+        if self.trie is None:
+            at = np.flatnonzero(live)
+            clusters, first = np.unique(self.cluster[at], return_index=True)
+            yield from ((node, int(self.node[k])) for k in at[first].tolist())
+            if len(clusters) > 1:
+                self.cluster[np.isin(self.cluster, clusters)] = clusters[0]
+            return
         links: list[tuple[int, int]] = []
 
         def found(k: int) -> None:
-            links.append((min(node, int(self.node[k])), max(node, int(self.node[k]))))
+            links.append((node, int(self.node[k])))
             old = int(self.root[k])
             self.merged[old] = label
             self.root[self.root == old] = label
@@ -426,9 +446,9 @@ class Block:
         yield from links
 
 
-def _joining(rows: DataFrame, percent: int) -> DataFrame:
-    """Verified links that join components.  rows: g, block, side, node, s, label, parity, tokens; the sets of side 0 are held and
-    asked for each other, those of side 1 pass by."""
+def _met(rows: DataFrame, percent: int, columns: list[str], own: bool) -> DataFrame:
+    """Pairs (a, b) from `Block`: verified links if there are tokens, else pairs that may be.  rows: g, block, chunk, side and `columns`;
+    the sets of side 0 are held, and with `own` asked for each other; those of side 1 pass by."""
 
     @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,51 +458,49 @@ def _joining(rows: DataFrame, percent: int) -> DataFrame:
             nonlocal block
             if parts and block is None:
                 block = Block(parts, percent)
-                labels = block.root.copy()
-                for k, tokens in enumerate(block.sets):
-                    yield from block.ask(int(block.node[k]), int(block.size[k]), int(labels[k]), parities_l[k], tokens)
+                if own:
+                    yield from block.own()
 
-        def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
+        def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], names=["a", "b"])
 
-        parities_l: list[bytes] = []
         for batch in batches:
-            g, blk, side, node, s, label = (batch.column(k).to_numpy() for k in range(6))
-            parity, tokens = batch.column(6).to_pylist(), batch.column(7).to_pylist()
+            g, blk, chunk, side, node, s, label = (batch.column(k).to_numpy() for k in range(7))
+            lists = [batch.column(k).to_pylist() for k in range(7, batch.num_columns)]
             new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (blk[1:] != blk[:-1]) | (side[1:] != side[:-1])
+            new[1:] = (g[1:] != g[:-1]) | (blk[1:] != blk[:-1]) | (chunk[1:] != chunk[:-1]) | (side[1:] != side[:-1])
             edges = np.flatnonzero(new).tolist()
             out: list[tuple[int, int]] = []
             for lo, hi in zip(edges, [*edges[1:], len(g)], strict=True):
-                if (key := (g[lo], blk[lo])) != now:
+                if (key := (g[lo], blk[lo], chunk[lo])) != now:
                     out += held()
-                    now, block, parts, parities_l = key, None, [], []
+                    now, block, parts = key, None, []
                 if side[lo] == 0:
-                    parts.append((node[lo:hi], s[lo:hi], label[lo:hi], parity[lo:hi], tokens[lo:hi]))
-                    parities_l += parity[lo:hi]
+                    parts.append((node[lo:hi], s[lo:hi], label[lo:hi], *(x[lo:hi] for x in lists)))
                     continue
                 out += held()
                 if block is not None:
                     for k in range(lo, hi):
-                        out += block.ask(int(node[k]), int(s[k]), int(label[k]), parity[k], np.frombuffer(tokens[k], np.uint64))
+                        out += block.ask(int(node[k]), int(s[k]), int(label[k]), lists[0][k], np.frombuffer(lists[1][k], np.uint64) if len(lists) > 1 else None)
             if out:
                 yield batch_of(out)
         if out := list(held()):
             yield batch_of(out)
 
-    return rows.repartition("g", "block").sortWithinPartitions("g", "block", "side").mapInArrow(meet, "a long, b long")
+    by = ["g", "block", "chunk"]
+    return rows.select(*by, "side", *columns).repartition(*by).sortWithinPartitions(*by, "side").mapInArrow(meet, "a long, b long")
 
 
-def _mixed(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """(g, node, label, main) of the groups whose sets lie in several components; main is the largest."""
-    roots = small_side(components(links, "a", "b"), BROADCAST_BYTES)
-    spread = written(groups.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("label")), "groups")
+def _mixed(groups: DataFrame, roots: DataFrame) -> tuple[DataFrame, bool]:
+    """(g, node, label, main) of the groups whose sets lie in several components, main being the largest; whether there are any."""
+    spread = written(groups.join(small_side(roots, BROADCAST_BYTES), "node", "left").select("g", "node", F.coalesce("root", "node").alias("label")), "groups")
     mixed = spread.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    return written(spread.join(mixed.drop("labels"), "g"), "mixed")
+    mixed = written(mixed.drop("labels"), "mixed")
+    return spread.join(small_side(mixed, BROADCAST_BYTES), "g"), mixed.limit(1).count() > 0
 
 
 def _ordered(docs: DataFrame, nodes: DataFrame, ngram: int, ranked: "object") -> DataFrame:
-    """(node, s, parity, tokens) of the sets of `nodes`."""
+    """(node, tokens) of the sets of `nodes`."""
 
     @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,91 +508,68 @@ def _ordered(docs: DataFrame, nodes: DataFrame, ngram: int, ranked: "object") ->
             grams, ptr = shingles(buf, offs, ngram)
             tokens = in_order(grams, ptr, *ranked.value[:2])
             sets = [tokens[a:b].tobytes() for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(ptr)), pa.array(parities(grams, ptr), pa.binary()), pa.array(sets, pa.binary())], names=["node", "s", "parity", "tokens"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary())], names=["node", "tokens"])
 
     some = docs.join(small_side(written(nodes.select(F.col("node").alias("doc_id")).distinct(), "nodes"), BROADCAST_BYTES), "doc_id", "left_semi").select("doc_id", "text")
-    return written(some.mapInArrow(scan, "node long, s long, parity binary, tokens binary"), "ordered-sets")
+    return small_side(written(some.mapInArrow(scan, "node long, tokens binary"), "tokens"), BROADCAST_BYTES)
 
 
-def _dealt(rows: DataFrame, sets: DataFrame, block_sets: int) -> DataFrame:
-    """rows (g, node, ...) with their sets and the number of blocks that their group is dealt into."""
-    sized = rows.join(sets.select("node", "s"), "node").groupBy("g").agg(F.count("*").alias("m"), F.sum("s").alias("all"))
-    blocks = sized.select("g", F.ceil(F.greatest(F.col("m") / block_sets, F.col("all") / BLOCK_SIZE)).cast("int").alias("blocks"))
-    return rows.join(small_side(written(blocks, "blocks"), BROADCAST_BYTES), "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _dealt(rows: DataFrame, block_sets: int) -> DataFrame:
+    """rows (g, node, label, main, s, ...) in blocks of their group of about `block_sets` sets and at most some n-grams."""
+    rows = written(rows, "rows")
+    sized = rows.groupBy("g").agg(F.count("*").alias("m"), F.sum("s").alias("all"), F.count_if(F.col("label") != F.col("main")).alias("odd"))
+    blocks = sized.select("g", F.ceil(F.greatest(F.col("m") / block_sets, F.col("all") / BLOCK_SIZE)).cast("int").alias("blocks"), F.ceil(F.col("odd") / block_sets).cast("int").alias("chunks"))
+    rows = rows.join(small_side(written(blocks, "blocks"), BROADCAST_BYTES), "g")
+    return rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("chunk", F.lit(0)).withColumn("side", F.lit(0))
 
 
-COLUMNS = ["g", "block", "side", "node", "s", "label", "parity", "tokens"]
+def _passing(dealt: DataFrame) -> DataFrame:
+    """The rows that a pass over all blocks needs: those outside their group's largest component, in chunks, by each block."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    odd = dealt.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")).withColumn("side", F.lit(1)).withColumn("block", upto("blocks"))
+    return dealt.withColumn("chunk", upto("chunks")).union(odd)
 
 
-def _joined_within(docs: DataFrame, groups: DataFrame, links: DataFrame, ngram: int, percent: int, block_sets: int, ranked: "object") -> DataFrame:
-    """`links` with those that join what they leave apart within a token's sets.  groups: (g, node), distinct.
-
-    First each set meets a block of one of its groups, that of least hash, which near copies choose alike.  Then, in groups that are
-    mixed still, the sets outside the largest component pass by all blocks, for which the sets in question are found by their parities.
-    """
-    mixed = _mixed(groups, links)
-    if not mixed.limit(1).count():
-        return links
-    sets = _ordered(docs, mixed, ngram, ranked)
-    one = mixed.groupBy("node").agg(F.min_by(F.struct("g", "label"), F.struct(F.xxhash64("g"), "g")).alias("x")).select("x.g", "node", "x.label")
-    rows = _dealt(written(one, "chosen"), sets, block_sets).withColumn("side", F.lit(0)).join(sets, "node")
-    links = links.union(written(_joining(rows.select(*COLUMNS), percent), "joins"))
-    mixed = _mixed(groups, links)
-    if not mixed.limit(1).count():
-        return links
-    near = written(_near(_dealt(mixed, sets, block_sets), sets, percent).distinct(), "near")
-    mixed = written(mixed.join(near, ["g", "node"]), "mixed")
-    dealt = _dealt(mixed, sets, block_sets).join(sets, "node")
-    odd = dealt.where("label <> main and blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").withColumn("block", F.col("to")).withColumn("side", F.lit(1))
-    return links.union(written(_joining(dealt.withColumn("side", F.lit(0)).select(*COLUMNS).union(odd.select(*COLUMNS)), percent), "joins"))
-
-
-def _near(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(g, node) of the sets that some other of their group, in another component, may be linked with by size and parity."""
-    rows = dealt.join(sets.select("node", "s", "parity"), "node")
-    names = ["g", "block", "side", "node", "s", "label", "parity"]
-    odd = rows.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+SKETCH = ["node", "s", "label", "parity"]
 
-    @lean
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block, parts, met = None, None, [], None
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if met is not None and met.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(met.sum()), now[0])), pa.array(block[0][met])], names=["g", "node"])
+def _joined_within(docs: DataFrame, sets: DataFrame, groups: DataFrame, links: DataFrame, ngram: int, percent: int, block_sets: int, ranked: "object") -> DataFrame:
+    """`links` with those that join what they leave apart within a token's sets.  groups: (g, node), distinct.
 
-        for batch in batches:
-            g, blk, side, node, s, label = (batch.column(k).to_numpy() for k in range(6))
-            parity = batch.column(6).to_pylist()
-            new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (blk[1:] != blk[:-1]) | (side[1:] != side[:-1])
-            edges = np.flatnonzero(new).tolist()
-            for lo, hi in zip(edges, [*edges[1:], len(g)], strict=True):
-                if (key := (g[lo], blk[lo])) != now:
-                    yield from done()
-                    now, block, parts, met = key, None, [], None
-                if side[lo] == 0:
-                    parts.append((node[lo:hi], s[lo:hi], label[lo:hi], parity[lo:hi]))
-                    continue
-                if block is None and parts:
-                    block = (*(np.concatenate([p[k] for p in parts]) for k in range(3)), [v for p in parts for v in p[3]])
-                    met = np.zeros(len(block[0]), bool)
-                if block is None:
-                    continue
-                asking = []
-                for i in range(lo, hi):
-                    j = np.flatnonzero((block[2] != label[i]) & (np.minimum(block[1], s[i]) * 100 >= np.maximum(block[1], s[i]) * percent))
-                    if len(j):
-                        ok = j[may_link([parity[i]] * len(j), [block[3][x] for x in j], np.full(len(j), s[i]), block[1][j], percent)]
-                        met[ok] = True
-                        if len(ok):
-                            asking.append(node[i])
-                if asking:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asking), now[0])), pa.array(asking, pa.int64())], names=["g", "node"])
-        yield from done()
-
-    both = rows.withColumn("side", F.lit(0)).select(*names).union(odd.select(*names))
-    return both.repartition("g", "block").sortWithinPartitions("g", "block", "side").mapInArrow(meet, "g long, node long")
+    First each set meets a block of one of its groups, that of least hash, which near copies choose alike; then, in groups that are
+    mixed still, the sets outside the largest component pass by all blocks.  Sizes and parities alone say what may be linked; these
+    pairs make clusters, and each set travels once, to a block of its cluster, to be verified there.
+    """
+    roots = components(links, "a", "b")
+    nodes = written(groups.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    sketch = written(sets.join(small_side(nodes, BROADCAST_BYTES), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("n").alias("s"), "parity"), "sketch")
+    sketch = small_side(sketch, BROADCAST_BYTES)
+
+    def joined(rows: DataFrame, own: bool) -> None:
+        nonlocal links, roots
+        new = written(_met(rows.join(tokens, "node"), percent, [*SKETCH, "tokens"], own), "joins")
+        if new.limit(1).count():
+            links = links.union(new)
+            roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(new), "a", "b")
+
+    for all_groups in (False, True):
+        mixed, some = _mixed(groups, roots)
+        if not some:
+            break
+        if not all_groups:
+            mixed = mixed.groupBy("node").agg(F.min_by(F.struct("g", "label", "main"), F.struct(F.xxhash64("g"), "g")).alias("x")).select("x.g", "node", "x.label", "x.main")
+        dealt = _dealt(mixed.join(sketch, "node"), block_sets)
+        near = written(_met(_passing(dealt) if all_groups else dealt, percent, SKETCH, not all_groups), "near")
+        if not near.limit(1).count():
+            continue
+        found = components(near, "a", "b").select(F.col("root").alias("g"), "node")
+        clusters = written(found.union(found.select("g", F.col("g").alias("node")).distinct()), "clusters")
+        tokens = _ordered(docs, clusters, ngram, ranked)
+        dealt = _dealt(_mixed(clusters, roots)[0].join(sketch, "node"), block_sets)
+        joined(dealt, True)
+        if dealt.where("blocks > 1").limit(1).count():
+            joined(_passing(_dealt(_mixed(clusters, roots)[0].join(sketch, "node"), block_sets)), False)
+    return links
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, few: int = FEW, bucket_tokens: int = BUCKET_TOKENS, group_sets: int = GROUP_SETS, most_frequent: int = MOST_FREQUENT, block_sets: int = BLOCK_SETS, hot_sets: int = HOT_SETS) -> DataFrame:
@@ -606,7 +601,7 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     links = written(_verified(docs, pairs, ngram, percent, group_sets, ranked), "links")
     groups = found.where("kind = 1").select(F.col("a").alias("g"), F.explode("docs").alias("node"))
     if groups.limit(1).count():
-        links = _joined_within(docs, written(groups.distinct(), "hot-groups"), links, ngram, percent, block_sets, ranked)
+        links = _joined_within(docs, sets, written(groups.distinct(), "hot-groups"), links, ngram, percent, block_sets, ranked)
     groups = sets.where("n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     groups = small_side(written(groups, "copies"), BROADCAST_BYTES)  # written, so that the join's skew can be split beyond that
     copies = sets.join(groups, ["n", "x", "y"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
