@@ -112,13 +112,15 @@ class Encoder:
         self.used += len(flat)
         return start, size
 
-    def _learn(self, keys: np.ndarray, checks: np.ndarray, texts: list[str]) -> None:
-        self.levels.append((keys, checks, *self._encode(texts)))
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        places = self._encode(texts)
+        self.levels.append((keys, checks, *places))
         self.met += len(keys)
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 3 * len(self.levels[-1][0]):
             merged = [np.concatenate(x) for x in zip(self.levels[-2], self.levels[-1], strict=True)]
             order = np.argsort(merged[0], kind="stable")
             self.levels[-2:] = [tuple(x[order] for x in merged)]
+        return places
 
     def _added(self, raw: bytes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the added tokens in the texts; matches are sought text by text."""
@@ -152,8 +154,7 @@ class Encoder:
         start, size, known = self._find(keys, checks[first])
         new = first[~known]
         if len(new):
-            self._learn(keys[~known], checks[new], text_of(new))
-            start, size, _ = self._find(keys, checks[first])
+            start[~known], size[~known] = self._learn(keys[~known], checks[new], text_of(new))
         start, size = start[back], size[back]
         odd = np.flatnonzero(checks != checks[first][back])
         if len(odd):

@@ -125,13 +125,13 @@ def mark(bodies: list[bytes], doc: np.ndarray, start: np.ndarray, window: int =
     return repeats.marked_ranges(later, owner, base, window)
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_units: int = SHARD_UNITS, hot_units: int = HOT_UNITS) -> DataFrame:
+def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_units: int = SHARD_UNITS, hot_units: int = HOT_UNITS, hot_runs: int = repeats.HOT_RUNS) -> DataFrame:
     """docs (distinct, not null doc_id; text) with `_first` and `_spans`; spans are in words."""
 
     def index(bodies: list[bytes], times: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple:
         return mark(bodies, doc, start, window)
 
-    marked = repeats.spans(docs.select("doc_id", "text"), repeats.word_units, window, gram, index, 8, shard_units, hot_units)
+    marked = repeats.spans(docs.select("doc_id", "text"), repeats.word_units, window, gram, index, 8, shard_units, hot_units, hot_runs)
     return repeats.with_spans(docs, marked)
 
 

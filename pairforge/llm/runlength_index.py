@@ -143,13 +143,13 @@ def mark(bodies: list[bytes], times: np.ndarray, window: int = WINDOW) -> tuple[
     return twice[who][lead], lo[lead], hi[lead]
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_units: int = SHARD_UNITS, hot_units: int = HOT_UNITS) -> DataFrame:
+def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_units: int = SHARD_UNITS, hot_units: int = HOT_UNITS, hot_runs: int = repeats.HOT_RUNS) -> DataFrame:
     """docs (distinct, not null doc_id; text) with `_first` and `_spans`; see repeats.with_spans.  Spans are in UTF-8 bytes."""
 
     def index(bodies: list[bytes], times: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple:
         return mark(bodies, times, window)
 
-    marked = repeats.spans(docs.select("doc_id", "text"), repeats.byte_units, window, gram, index, 1, shard_units, hot_units)
+    marked = repeats.spans(docs.select("doc_id", "text"), repeats.byte_units, window, gram, index, 1, shard_units, hot_units, hot_runs)
     return repeats.with_spans(docs, marked)
 
 

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pairforge.llm import packing, token_store, warc
+from pairforge.llm.common import byte_hash
 from pairforge.llm.encoding import Encoder, vocabulary
 
 
@@ -47,15 +48,41 @@ def test_chunks_are_bounded(spark):
         assert r.digest == hashlib.sha1(raw[: r.bytes_so_far]).hexdigest()
 
 
+def test_chunks_come_back_as_written(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    pages = [(k, f"http://h/{k}", "".join(map(chr, rng.integers(32, 1000, n)))) for k, n in enumerate((0, 5, 70_000, 300_000, 70_000))] + [(9, None, None), (9, "u", "again"), (9, "u", "again")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/warc"
+    places = warc.write_archives(df, folder).collect()
+    listed = spark.createDataFrame([(r.archive, folder) for r in places], "archive string, folder string")
+    got = warc.read_archives(listed).collect()
+    assert max(r.chunk_bytes for r in got) <= warc.CHUNK and all(len(r.data) == r.chunk_bytes for r in got if r.data is not None)
+    for rid, _, html in pages[:5]:
+        chunks = sorted((r for r in got if r.record_id == rid), key=lambda r: r.chunk_no)
+        assert b"".join(r.data for r in chunks) == html.encode() and [r.last for r in chunks] == [False] * (len(chunks) - 1) + [True]
+    assert sorted((r.record_type, r.refers_to) for r in got if r.record_id == 9) == [("response", None), ("response", None), ("revisit", 0)]
+
+
+def test_no_payload_travels_whole(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    plan = warc.write_archives(df, f"file://{tmp_path}/w")._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("MapInArrow cut")]
+    assert "Exchange" in after and "html" not in after
+
+
 def ids_of(name, texts):
     t = Encoder(vocabulary(name), False).tokenizer
     return [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
 
 
 @pytest.mark.parametrize("name,skip", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_cached_ids_are_those_of_the_library(name, skip, tables, odd_texts):
+def test_cached_ids_are_those_of_the_library(name, skip, tables, odd_texts, monkeypatch):
     coder = Encoder(vocabulary(name), skip)
 
+    def clash(low, starts, ends, seed=1):
+        """The first hash tells lengths only."""
+        return (ends - starts).astype(np.uint64) if seed == 1 else byte_hash(low, starts, ends, seed)
+
     def check(texts):
         raw = [(t or "").encode() for t in texts]
         buf = np.frombuffer(b"".join(raw), np.uint8)
@@ -64,6 +91,8 @@ def test_cached_ids_are_those_of_the_library(name, skip, tables, odd_texts):
         assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == want
 
     check(odd_texts)
+    a = "".join("ab"[k.bit_count() & 1] for k in range(1024))
+    check([a, a.translate(str.maketrans("ab", "ba")), a + "."])  # alike under a polynomial modulo a power of two
     check([d["text"] for d in tables["documents"]][:80])
 
     @settings(max_examples=150, deadline=None)
@@ -72,6 +101,10 @@ def test_cached_ids_are_those_of_the_library(name, skip, tables, odd_texts):
         check(texts)
 
     fuzz()
+    monkeypatch.setattr("pairforge.llm.encoding.byte_hash", clash)
+    coder.clear()
+    check(odd_texts)
+    check([d["text"] for d in tables["documents"]][:5])
 
 
 @settings(max_examples=60, deadline=None)
@@ -155,3 +188,41 @@ def test_added_tokens_are_single_ids(name, skip):
         check(texts)
 
     fuzz()
+
+
+def triples(seed, n, size):
+    """Lengths of three that fill a sequence each, so that n sequences are enough."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        a = int(rng.integers(38 * size // 100, 49 * size // 100))
+        b = int(rng.integers(size // 4, (size - a) // 2 + 1))
+        out += [a, b, size - a - b]
+    return sorted(out, reverse=True)
+
+
+@pytest.mark.parametrize("n", [20, 60])
+def test_evolution_beats_best_fit(n):
+    lengths = triples(n, n, 1000)
+    first = packing.Packing(lengths, 1000).best_fit(list(range(len(lengths))))
+    assert packing.least_bins(lengths, 1000) == n < len(first.bins)
+    best = packing.evolve(lengths, 1000, [first], seed=1)
+    assert len(best.bins) < len(first.bins) and len(best.bins) <= n + 2
+    assert sorted(i for b in best.bins for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 1000 for b in best.bins)
+
+
+def test_islands_run_where_best_fit_misses(spark):
+    """Whole packing of documents whose lengths best fit cannot pack well."""
+    lengths = triples(3, 30, 600)
+    docs = spark.createDataFrame([(k, " ".join(["a"] * (n - 1))) for k, n in enumerate(lengths)], "doc_id long, text string")
+    got = packing.pack(docs, vocabulary("word_bpe_49k.json"), size=600).collect()
+    assert sorted(r.length for r in got) == sorted(lengths)
+    best_fit = len(packing.Packing(lengths, 600).best_fit(list(range(len(lengths)))).bins)
+    assert len({r.sequence_id for r in got}) < best_fit
+
+
+def test_lower_bound_never_exceeds_what_a_packing_needs():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        lengths = sorted(rng.integers(1, 101, rng.integers(1, 40)).tolist(), reverse=True)
+        assert -(-sum(lengths) // 100) <= packing.least_bins(lengths, 100) <= len(packing.Packing(lengths, 100).best_fit(list(range(len(lengths)))).bins)

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -36,7 +37,7 @@ def brute_model(texts, order):
     return p
 
 
-@pytest.mark.parametrize("most_rows", [1 << 20, 0])
+@pytest.mark.parametrize("most_rows", [1 << 20, 40])
 def test_model_is_the_textbooks(spark, most_rows):
     texts = ["the cat sat on the mat", "the dog sat", "a cat ate the rat", "über den Wölfen", "", None, "that that that"]
     order = 3
@@ -49,12 +50,58 @@ def test_model_is_the_textbooks(spark, most_rows):
         raw = (t or "").encode()
         b = b"\n" * (order - 1) + raw
         want = sum(math.log(p(b[i : i + order])) for i in range(len(raw)))
-        assert got[k].units == len(raw) and got[k].log_prob == pytest.approx(want, rel=1e-5, abs=1e-6)
+        assert got[k].units == len(raw) and got[k].log_prob / kneser_ney.UNIT == pytest.approx(want, rel=1e-6, abs=1e-5)
     # probabilities after a context sum to one
     for h in (b"th", b"zz", b"e "):
         assert sum(p(h + bytes([x])) for x in range(256)) == pytest.approx(1)
 
 
+def test_shards_change_nothing(spark, odd_docs):
+    """However many shards, whatever the order of rows: the very same sums."""
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).select("text")
+    model = kneser_ney.train(texts, 5)
+    docs = texts.union(odd_docs.select("text").where("length(text) < 20000")).distinct()
+    want = {r.text: r.s for r in kneser_ney.score(docs, model, "s").collect()}
+    for rows in (500, 7000):
+        assert {r.text: r.s for r in kneser_ney.score(docs.repartition(3), model, "s", most_rows=rows).collect()} == want
+
+
+def test_report_against_brute_force(spark):
+    """Folds, held-out quantiles, margin and room for short texts, from their definitions."""
+    rng = random.Random(2)
+    vocab = {"en": "the cat sat on a mat with one dog".split(), "es": "el gato come en la casa del perro".split(), None: "zu hund und haus".split()}
+    docs = [(k, " ".join(rng.choices(vocab[x], k=rng.randint(2, 9))) + ("" if k % 7 else " qq#%&"), x) for k in range(60) for x in [["en", "es", None][k % 3]]]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(45)] + [(50, 0, 0)], "doc_id long, quality int, toxic int")
+    folds = {r.doc_id: r.f for r in df.selectExpr("doc_id", "pmod(xxhash64(doc_id), 5) f").collect()}
+    order, by = 3, {}
+
+    def ppl(p, t):
+        b = b"\n" * (order - 1) + t
+        return math.exp(-sum(math.log(p(b[i : i + order])) for i in range(len(t))) / len(t))
+
+    models = [brute_model([t.encode() for k, t, _ in docs if k < 45 and folds[k] != f], order) for f in range(5)]
+    for k, t, x in docs:
+        if k < 45:
+            by.setdefault(x, []).append(ppl(models[folds[k]], t.encode()))
+    limit = {x: sorted(v)[math.ceil(0.9 * len(v)) - 1] * 1.25 for x, v in by.items()}
+    got = {r.doc_id: r for r in kneser_ney.report(df, labels, order=order, quantile=0.9).collect()}
+    for k, t, x in docs:
+        want, most = ppl(models[0], t.encode()), limit[x] * math.exp(2 / math.sqrt(len(t.encode())))
+        assert got[k].perplexity == pytest.approx(want, rel=1e-4) and got[k].threshold == pytest.approx(most, rel=1e-4)
+        assert got[k].rejected == (want > most) and got[k].n_bytes == len(t.encode())
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(7)
+    rows = [(k, rng.choice([1.0, 2.0, rng.random()])) for k in "abc" for _ in range(rng.randint(1, 400))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    for q in (0.0, 0.5, 0.98, 1.0):
+        want = {k: sorted(v for x, v in rows if x == k) for k in "abc"}
+        got = {r.k: r.v for r in kneser_ney.quantiles(df, "k", "v", q).collect()}
+        assert got == {k: v[max(0, math.ceil(q * len(v)) - 1)] for k, v in want.items()}
+
+
 def test_rejects_junk_and_keeps_clean_texts(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

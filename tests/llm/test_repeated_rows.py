@@ -40,3 +40,17 @@ def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (2, [0.0, 1.0], 1), (3, None, 1)], "vec_id long, embedding array<float>, label int")
     got = pq_dedup.near_duplicates(df.union(df)).collect()
     assert len(got) == 8 and {(r.vec_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)}
+
+
+CLASHING = "gone gone_ found found_ quality_of lang_of score limit _lang _score _t _q _s _id _gone _found _quality _first _spans place salt copy".split()
+
+
+def test_columns_of_every_inner_name_pass(spark, odd_texts):
+    """Filters give back extra columns as they are, whatever their names."""
+    rows = [(k, t, "en", 5, *["MINE"] * len(CLASHING)) for k, t in enumerate(odd_texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING))
+    labels = spark.createDataFrame([(5, 1, 0), (7, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    for out in (kneser_ney.without_rejected(docs, labels), trie_join.one_of_each(docs), runlength_index.without_repeats(docs), decontaminate.without_contaminated(docs, bench), decontaminate.without_spans(docs, bench)):
+        assert out.schema.names == docs.schema.names
+        assert all(r[c] == "MINE" for r in out.select(*CLASHING).collect() for c in CLASHING) and out.count() > 5

@@ -66,6 +66,39 @@ def made_up(seed, n=60):
     return out
 
 
+def in_every_text(seed, n=150):
+    """One passage in each text, between different words, and some texts of the passage alone."""
+    rng = random.Random(seed)
+    passage = " ".join(f"licence{k}" for k in range(60))
+    some = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 30)))
+    return [(k, passage if k % 9 == 0 else f"{some()} {passage} {some()}") for k in range(n)]
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() & 1] for k in range(n)), "".join("ba"[k.bit_count() & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("hot", [2, 2048])
+def test_a_passage_in_every_text(spark, hot):
+    docs = in_every_text(4)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert rows(runlength_index.report(df, hot_runs=hot)) == brute_bytes(docs, 200)
+    assert rows(fm_index.report(df, hot_runs=hot, shard_units=600)) == brute_words(docs, 20)
+
+
+def test_texts_made_to_agree_under_polynomials(spark):
+    a, b = thue_morse(1024)
+    rng = random.Random(8)
+    shared = "".join(rng.choices("cdefgh ", k=390))
+    docs = [(1, a + shared), (2, b + shared + "tail"), (3, a), (4, b)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(runlength_index.report(df)) == brute_bytes(docs, 200)
+    words = [f"q{k}" for k in range(40)]
+    docs = [(k, " ".join([*words[:19], x, *words[20:]])) for k, x in enumerate((a, b))] + [(5, " ".join(words))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(fm_index.report(df)) == brute_words(docs, 20)
+
+
 @pytest.mark.parametrize("options", [{}, {"hot_units": 1, "shard_units": 4096}])
 def test_repeated_bytes(spark, odd_docs, odd_texts, tables, options):
     docs = made_up(1)
@@ -94,6 +127,18 @@ def test_repeated_words(spark, odd_docs, odd_texts, tables, options):
         assert rows(fm_index.report(odd_docs.limit(0))) == []
 
 
+def test_a_long_text_in_stretches(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = "".join(rng.choices("abc ", k=700))
+    long = "".join(rng.choices("klmnop ", k=9000))
+    docs = [(1, long[:3000] + passage + long[3000:8000] + passage + long[8000:]), (2, "start" + passage), (3, long[100:420])]
+    monkeypatch.setattr(repeats, "STRETCH", 1000)
+    got = [x for part in repeats._stretches(np.frombuffer(docs[0][1].encode(), np.uint8), np.array([0, len(docs[0][1])]), 200) for x in [part]]
+    assert len(got) > 5
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(runlength_index.report(df)) == brute_bytes(docs, 200)
+
+
 def test_texts_without_repeats(spark, odd_docs, odd_texts):
     out = runlength_index.without_repeats(odd_docs)
     assert out.schema.names == odd_docs.schema.names
@@ -108,7 +153,7 @@ def test_texts_without_repeats(spark, odd_docs, odd_texts):
 
 def test_runs_cover_every_window():
     rng = np.random.default_rng(5)
-    values = repeats._byte_values()[rng.integers(97, 100, 3000)]
+    values = repeats.values_of(rng.integers(97, 100, 3000).astype(np.uint8))
     at = np.array([0, 0, 700, 705, 3000])
     for levels in (1, 3):
         key, first, n, _ = repeats.least_runs(values, at, 50, 8, levels)

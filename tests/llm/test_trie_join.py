@@ -60,6 +60,32 @@ def test_components(spark, few):
         assert sorted(map(tuple, got.collect())) == brute(docs)
 
 
+def test_words_made_to_agree_under_polynomials(spark):
+    a = "".join("ab"[k.bit_count() & 1] for k in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = [(1, f"{a} one two three four five six"), (2, f"{b} one two three four five six"), (3, a), (4, b), (5, a)]
+    got = trie_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute(docs)
+
+
+def test_blocks_give_no_more_links_than_rows(spark, monkeypatch):
+    """A large group of near copies, many of them alike to few others only."""
+    docs = near_copies(5, 1, 400)
+    made = []
+    met = trie_join._met
+
+    def spy(rows, percent, columns, own):
+        out = met(rows, percent, columns, own)
+        made.append((out.count(), rows.count()))
+        return out
+
+    monkeypatch.setattr(trie_join, "_met", spy)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = trie_join.near_duplicates(df, few=2, block_sets=16)
+    assert sorted(map(tuple, got.collect())) == brute(docs)
+    assert made and all(links <= sent for links, sent in made)
+
+
 def test_tables(spark, tables, odd_docs, odd_texts):
     docs = [(d["doc_id"], d["text"]) for d in tables["documents"]]
     assert sorted(map(tuple, trie_join.near_duplicates(spark.createDataFrame(tables["documents"])).collect())) == brute(docs)
