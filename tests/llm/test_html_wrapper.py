@@ -1,6 +1,8 @@
 from html.parser import HTMLParser
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from pairforge.llm import html_wrapper as hw
 
@@ -86,11 +88,11 @@ def test_article_without_the_rest(spark):
 
 
 def test_alignment_makes_optional_and_repeated_groups():
-    pages = ["<body><h1>A</h1><p>x</p><p>y</p><i>same</i></body>", "<body><h1>B</h1><div>ad</div><p>z</p><i>same</i></body>"]
+    pages = ["<body><h1>A</h1><p>x</p><p>y</p><h6><i>same</i></h6></body>", "<body><h1>B</h1><div>ad</div><p>z</p><h6><i>same</i></h6></body>"]
     a, b = map(hw.expression, pages)
-    assert hw.pattern(hw.align(a, b)) == "<body><h1>#(<div>'#')?(<p>#)+<i>'#'"
+    assert hw.pattern(hw.align(a, b)) == "<body><h1>#(<div>'#')?(<p>#)+<h6>'#'"
     c = hw.align(hw.expression(pages[1]), hw.expression(pages[0]))
-    assert hw.pattern(c) == "<body><h1>#(<div>'#')?(<p>#)+<i>'#'"
+    assert hw.pattern(c) == "<body><h1>#(<div>'#')?(<p>#)+<h6>'#'"
     assert hw.matches(list("abcde"), list("bde")) == [(0, None), (1, 0), (2, None), (3, 1), (4, 2)]
 
 
@@ -149,3 +151,53 @@ def test_names_within_the_article(spark):
     for k in got:
         n = k % 10
         assert got[k] == f"Title {n}\nRelated {n}\nSearch\npast {n}\nreply {n}\nnote {n}\nend", k
+
+
+@pytest.mark.parametrize("name", ["layout-sidebar-right", "search-engine-history", "social-science", "banner-story"])
+def test_no_name_drops_most_of_the_article(name):
+    page = f"<html><body><nav>menu</nav><article><h1>T</h1><div class='{name}'>{'long text here. ' * 50}</div><div class='ad'>buy</div></article></body></html>"
+    own = hw.expression(page)
+    text, _ = hw.text_of(page, parts := hw.main_parts(own), (), hw.most_parts(own, parts))
+    assert text == "T\n" + " ".join(["long text here."] * 50)
+
+
+def test_readers_comments_go_however_long():
+    page = "<article><p>short article</p><section class='comments'>" + "<p>I disagree at length.</p>" * 60 + "</section></article>"
+    own = hw.expression(page)
+    assert hw.text_of(page, parts := hw.main_parts(own), (), hw.most_parts(own, parts))[0] == "short article"
+
+
+def test_lines_that_never_vary_go(spark):
+    """A wrapper tells a line on every page from the article, in whatever order pages come."""
+    pages = [(k, f"http://h/{k}", f"<article><h2>Summary</h2><p>Text number {k} of many.</p><div class='terms'>Read our terms of use.</div><div class='note'>Part {k}</div></article>") for k in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {k: f"Summary\nText number {k} of many.\nPart {k}" for k in range(12)}
+    for n in (1, 5):
+        assert {r.page_id: r.text for r in hw.main_text(df.orderBy("page_id", ascending=n == 1).repartition(n)).collect()} == want
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40))
+def test_alignment_is_a_longest_one(x, y):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    for bits in (1 << 31, 8):
+        hw.MATRIX_BITS, old = bits, hw.MATRIX_BITS
+        try:
+            got = hw.matches(x, y)
+        finally:
+            hw.MATRIX_BITS = old
+        assert [i for i, _ in got if i is not None] == list(range(len(x))) and [j for _, j in got if j is not None] == list(range(len(y)))
+        both = [(i, j) for i, j in got if i is not None and j is not None]
+        assert len(both) == best[0][0] and all(x[i] == y[j] for i, j in both)
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 20000 + "text below"
+    own = hw.expression(deep)
+    assert hw.text_of(deep, hw.main_parts(own))[0] == "text below" and hw.flat(hw.nested(hw.flat(own))) == hw.flat(own)
+    wide = "<article>" + "".join(f"<p>p{k}</p><h3>h{k}</h3>" for k in range(3000)) + "</article>"
+    own = hw.align(hw.expression(wide), hw.expression(wide.replace("<h3>h7</h3>", "")))
+    assert hw.text_of(wide, hw.main_parts(own), hw.same_parts(own))[0].count("\n") == 5999
+    assert len(list(hw.events('<a href="x>' * 50000))) > 0
