@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.functions.shared import positions
-from pairforge.llm.common import lean, mix, small_side, text_blocks, unused, written
+from pairforge.llm.common import discard, lean, mix, small_side, text_blocks, unused, written
 
 ORDER, FOLDS, QUANTILE, MARGIN, SLACK, LEAST_HELD_OUT = 5, 5, 0.98, 1.25, 2.0, 1
 MOST_ROWS, BROADCAST_BYTES = 3 << 20, 16 << 20
@@ -40,23 +40,33 @@ def grams(buf: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
     return out[at]
 
 
-def counts(docs: DataFrame, order: int) -> DataFrame:
-    """(g, c): how often each n-gram occurs in the whole table."""
+def counts(docs: DataFrame, order: int, folds: int = 1) -> DataFrame:
+    """(g, c0, c1, ...): how often each n-gram occurs in the texts of each fold.  docs: text, and fold if there are several."""
+    names = [f"c{j}" for j in range(folds)]
 
     @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for _, buf, offs in text_blocks(batches, "text"):
-            u, c = np.unique(grams(buf, offs, order), return_counts=True)
+        keys, often = np.zeros(0, np.uint64), np.zeros((0, folds), np.int64)
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(np.ascontiguousarray(often[:, j])) for j in range(folds))], names=["g", *names])
+
+        for rows, buf, offs in text_blocks(batches, "text"):
+            u, at = np.unique(grams(buf, offs, order), return_inverse=True)
+            fold = np.repeat(rows.column(1).to_numpy().astype(np.int64), np.diff(offs)) if folds > 1 else 0
+            new = np.bincount(at * folds + fold, minlength=len(u) * folds).reshape(-1, folds)
             keys, back = np.unique(np.concatenate([keys, u]), return_inverse=True)
-            often = np.bincount(back, np.concatenate([often, c]), len(keys)).astype(np.int64)
-            if len(keys) > 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(often)], names=["g", "c"])
+            both, often = np.concatenate([often, new]), np.zeros((len(keys), folds), np.int64)
+            np.add.at(often, back, both)
+            if len(keys) > 1 << 19:
+                yield batch_of()
                 keys, often = keys[:0], often[:0]
         if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(often)], names=["g", "c"])
+            yield batch_of()
 
-    return docs.select("text").mapInArrow(scan, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    some = docs.select("text", "fold") if folds > 1 else docs.select("text")
+    found = some.mapInArrow(scan, "g long, " + ", ".join(f"{c} long" for c in names))
+    return found.groupBy("g").agg(*(F.sum(c).alias(c) for c in names))
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -78,7 +88,7 @@ def _units(x: Column) -> Column:
 
 
 def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model as rows (kind, k, g, value): kind 0 log probability of the last byte of g after the others, kind 1 log back-off weight of
+    """The model as rows (kind, k, g, v0): kind 0 log probability of the last byte of g after the others, kind 1 log back-off weight of
     context g, both in units of 2**-24.
 
     k is the n-gram's length, for kind 1 the context's length plus one.
@@ -87,29 +97,40 @@ def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def train_counted(ngrams: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model of texts whose n-grams (g, c) are counted."""
-    tables = {order: ngrams}
+    """The models of texts whose n-grams are counted: (kind, k, g, v0, v1, ...), one value for each of the columns c0, c1, ...,
+    null where that model lacks the n-gram.  They share every grouping and join."""
+    n = len(ngrams.columns) - 1
+    models = range(n)
+    c, p, s, y, v, below = ([f"{x}{j}" for j in models] for x in ("c", "p", "s", "y", "v", "below"))
+    tables, made = {order: ngrams}, []
     for k in range(order - 1, 0, -1):
         low = F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        tables[k] = written(tables[k + 1].groupBy(low.alias("g")).agg(F.count("*").alias("c")), "ngrams")
+        tables[k] = written(tables[k + 1].groupBy(low.alias("g")).agg(*(F.count_if(F.col(x) > 0).alias(x) for x in c)), "ngrams")
+        made.append(tables[k])
     rows, lower = None, None
     for k in range(1, order + 1):
-        n = tables[k].agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4))).first()
-        d = discounts(list(n))
-        cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        t = tables[k].withColumn("h", F.shiftright("g", 8)).withColumn("cut", cut)
-        seen = (F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count_if(F.col("c") > 2))  # whole numbers: no order of sums
-        contexts = t.groupBy("h").agg(F.sum("c").alias("s"), ((seen[0] * d[0] + seen[1] * d[1] + seen[2] * d[2]) / F.sum("c")).alias("gamma"))
-        t = t.join(contexts, "h").withColumn("low", F.col("g").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)))
-        if lower is None:
-            p = t.withColumn("p", (F.col("c") - F.col("cut")) / F.col("s") + F.col("gamma") / 256)
-        else:
-            p = t.join(lower.select(F.col("g").alias("low"), F.col("p").alias("below")), "low").withColumn("p", (F.col("c") - F.col("cut")) / F.col("s") + F.col("gamma") * F.col("below"))
-        lower = written(p.select("g", "p"), "ngrams")
-        own = lower.select(F.lit(0).alias("kind"), F.lit(k).alias("k"), "g", _units(F.log("p")).alias("value"))
-        back = contexts.select(F.lit(1).alias("kind"), F.lit(k).alias("k"), F.col("h").alias("g"), _units(F.log("gamma")).alias("value"))
+        seen = tables[k].agg(*(F.count_if(F.col(x) == i).alias(f"{x}_{i}") for x in c for i in (1, 2, 3, 4))).first()
+        d = [discounts([seen[f"{x}_{i}"] for i in (1, 2, 3, 4)]) for x in c]
+        t = tables[k].withColumn("h", F.shiftright("g", 8)).withColumn("low", F.col("g").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)))
+        mass = lambda j: F.count_if(F.col(c[j]) == 1) * d[j][0] + F.count_if(F.col(c[j]) == 2) * d[j][1] + F.count_if(F.col(c[j]) > 2) * d[j][2]  # noqa: E731, B023
+        contexts = t.groupBy("h").agg(*(F.sum(x).alias(z) for x, z in zip(c, s, strict=True)), *(F.when(F.sum(c[j]) > 0, mass(j) / F.sum(c[j])).alias(y[j]) for j in models))
+        t = t.join(contexts, "h")
+        if lower is not None:
+            t = t.join(lower.select(F.col("g").alias("low"), *(F.col(x).alias(z) for x, z in zip(p, below, strict=True))), "low")
+        cut = lambda j: F.when(F.col(c[j]) == 1, d[j][0]).when(F.col(c[j]) == 2, d[j][1]).otherwise(d[j][2])  # noqa: E731, B023
+        value = lambda j: F.when(F.col(c[j]) > 0, (F.col(c[j]) - cut(j)) / F.col(s[j]) + F.col(y[j]) * (F.lit(1 / 256) if lower is None else F.col(below[j])))  # noqa: E731, B023
+        lower = written(t.select("g", *(value(j).alias(p[j]) for j in models)), "ngrams")
+        made.append(lower)
+        own = lower.select(F.lit(0).alias("kind"), F.lit(k).alias("k"), "g", *(_units(F.log(x)).alias(z) for x, z in zip(p, v, strict=True)))
+        back = contexts.select(F.lit(1).alias("kind"), F.lit(k).alias("k"), F.col("h").alias("g"), *(_units(F.log(x)).alias(z) for x, z in zip(y, v, strict=True)))
         rows = own.union(back) if rows is None else rows.union(own).union(back)
-    return written(rows, "model")
+    model = written(rows, "model")
+    discard(*made)
+    return model
+
+
+def _units(x: Column) -> Column:
+    return F.rint(x * float(UNIT)).cast("long")
 
 
 class Table:
@@ -174,11 +195,12 @@ class Model:
         return out
 
 
-def score(docs: DataFrame, model: DataFrame, out: str, order: int = ORDER, most_rows: int = MOST_ROWS) -> DataFrame:
-    """docs with a column `out`: struct(log_prob in units of 2**-24, units) of the text; null texts have no units.
+def score(docs: DataFrame, model: DataFrame, out: str, order: int = ORDER, most_rows: int = MOST_ROWS, value: str = "v0") -> DataFrame:
+    """docs with a column `out`: struct(log_prob in units of 2**-24, units) of the text by the model in column `value`; null texts have no units.
 
     Each of the model's shards is a broadcast of at most about `most_rows` rows; where there are several, a worker holds one at a time.
     """
+    model = model.where(F.col(value).isNotNull()).select("kind", "k", "g", F.col(value).alias("value"))
     shards = max(1, -(-model.count() // most_rows))
     pair = F.when(F.col("kind") == 0, F.shiftright("g", 8)).otherwise(F.col("g")).bitwiseAND(F.lit(0xFFFF))
     parts = []
@@ -219,7 +241,9 @@ def score(docs: DataFrame, model: DataFrame, out: str, order: int = ORDER, most_
         if held:
             yield from scored(held)
 
-    return docs.mapInArrow(scan, docs.schema)
+    out_docs = docs.mapInArrow(scan, docs.schema)
+    out_docs._shards = parts  # for who wants to destroy them when the rows are written
+    return out_docs
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -249,15 +273,18 @@ def judged(docs: DataFrame, labels: DataFrame, out: str, order: int = ORDER, qua
     lang, mark, limit = unused(docs, "lang_of", "score", "limit")
     ids = small_side(trusted_ids(labels), BROADCAST_BYTES)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.coalesce("lang", F.lit("")).alias(lang)).join(ids, "_id", "left_semi")
-    fold = F.pmod(F.xxhash64("_id"), F.lit(FOLDS))
-    counted = [written(counts(texts.where(fold == k), order), "ngrams") for k in range(FOLDS)]
-    model, parts = None, []
-    for k in range(FOLDS):
-        others = reduce(DataFrame.union, (c for j, c in enumerate(counted) if j != k)).groupBy("g").agg(F.sum("c").alias("c"))
-        own = train_counted(written(others, "ngrams"), order)
-        model = model or own
-        part = score(texts.where(fold == k), own, "_s", order, most_rows).where("_s.units > 0")
-        parts.append(written(part.select(lang, _perplexity("_s").alias("_ppl")), "held-out"))
+    texts = texts.withColumn("fold", F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int"))
+    counted = written(counts(texts, order, FOLDS), "ngrams")
+    total = reduce(lambda x, y: x + y, (F.col(f"c{j}") for j in range(FOLDS)))
+    others = counted.select("g", *((total - F.col(f"c{j}")).alias(f"c{j}") for j in range(FOLDS)))  # model j leaves out fold j
+    model = train_counted(others, order)
+    discard(counted)
+    parts = []
+    for j in range(FOLDS):
+        part = score(texts.where(F.col("fold") == j), model, "_s", order, most_rows, f"v{j}")
+        parts.append(written(part.where("_s.units > 0").select(lang, _perplexity("_s").alias("_ppl")), "held-out"))
+        for shard in part._shards:
+            shard.destroy()
     held = reduce(DataFrame.union, parts)
     few = held.groupBy(lang).count().where(F.col("count") < least).select(lang)
     per = quantiles(held.join(F.broadcast(few), lang, "left_anti") if least > 1 else held, lang, "_ppl", quantile).select(lang, (F.col("_ppl") * margin).alias(limit)).distinct()
