@@ -24,7 +24,7 @@ from pairforge.llm.encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 EVOLVED = "block long, island int, epoch int, bins long, least long, fill double, lengths binary, assigned binary"
-BLOCK_PIECES, ISLANDS, EPOCHS, POPULATION, GENERATIONS, LOOSE = 4096, 3, 2, 6, 40, 0.97
+BLOCK_PIECES, ISLANDS, EPOCHS, POPULATION, GENERATIONS, LOOSE = 4096, 3, 2, 6, 24, 0.97
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int, skip_blanks: bool, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

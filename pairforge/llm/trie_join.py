@@ -328,7 +328,7 @@ class SetTrie:
 
 def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, percent: int, group_sets: int, ranked: "object") -> DataFrame:
     """(a, b) of `pairs` that are similar.  A set's candidates travel to it, at most about `group_sets` of them together."""
-    many = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > group_sets)
+    many = small_side(written(pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > group_sets), "many"), BROADCAST_BYTES)
     dealt = pairs.join(many, "a", "left").select("a", "b", F.when(F.col("c").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / group_sets))).alias("block"))
     needed = dealt.select("a", "block", F.col("b").alias("doc_id")).union(dealt.select("a", "block", F.col("a").alias("doc_id")).distinct())
     texts = docs.select("doc_id", "text").join(needed.hint("shuffle_hash"), "doc_id").select("a", "block", "doc_id", "text")
