@@ -65,14 +65,14 @@ def texts(spark, sf):
 
 @query(with_(CAP, PLAN, TEXTS) + "SELECT owner_row, k, label_id, text FROM texts")
 def decoy_texts(spark, sf):
-    return texts(spark, sf).drop("owner_text")
+    return texts(spark, sf).drop("owner_text", "donor_row")
 
 
 KEPT = f"kept AS (SELECT owner_row, k, label_id, list_slice(string_split(text, ' '), 1, {MOST_TOKENS}) <> list_slice(string_split(owner_text, ' '), 1, {MOST_TOKENS}) AS keep FROM texts)"
 
 
 def kept(spark, sf):
-    return texts(spark, sf).select("owner_row", "k", "label_id", C.differs_when_truncated(F.col("text"), F.col("owner_text"), MOST_TOKENS).alias("keep"))
+    return texts(spark, sf).select("owner_row", "k", "label_id", "donor_row", C.differs_when_truncated(F.col("text"), F.col("owner_text"), MOST_TOKENS).alias("keep"))
 
 
 @query(with_(CAP, PLAN, TEXTS, KEPT) + "SELECT owner_row, k, keep FROM kept")
@@ -109,7 +109,7 @@ def anchors(spark, sf):
     """(owner_row, pos, worst, m, hinge, soft): each anchor against its own usable decoys, by key."""
     left, right = pairs(spark, sf)
     n = left.agg(F.count("*").alias("n"))
-    d = kept(spark, sf).where("keep").join(plan(spark, sf).select("owner_row", "k", "donor_row"), ["owner_row", "k"]).crossJoin(F.broadcast(n))
+    d = kept(spark, sf).where("keep").crossJoin(F.broadcast(n))
     d = d.select("owner_row", "k", (F.col("owner_row") % F.col("n")).alias("q"), (F.col("donor_row") % F.col("n")).alias("c")).where("q <> c")
     wanted = d.select("q", "c").union(d.select("q", F.col("q").alias("c"))).distinct()
     s = wanted.join(left.select("q", "tokens"), "q").join(right.select("c", F.col("tokens").alias("other")), "c")

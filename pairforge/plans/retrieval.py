@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def scored(spark, sf):
     """(q, c, score, same): all pairs; same: equal labels."""
     left, right = pairs(spark, sf)
     s = maxsim.scores(left.select("q", "tokens"), right.select("c", "tokens"))
-    return s.join(F.broadcast(left.select("q", F.col("g").alias("qg"))), "q").join(F.broadcast(right.select("c", F.col("g").alias("cg"))), "c").select("q", "c", "score", (F.col("qg") == F.col("cg")).alias("same"))
+    return s.join(left.select("q", F.col("g").alias("qg")), "q").join(right.select("c", F.col("g").alias("cg")), "c").select("q", "c", "score", (F.col("qg") == F.col("cg")).alias("same"))
 
 
 def diagonal(spark, sf):
@@ -93,7 +95,10 @@ RK = ", ".join(f"avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END) AS r{k}"
 LONG = "long_ranks AS (SELECT 'forward' AS direction, rule, CASE rule WHEN 'ungrouped' THEN ungrouped ELSE grouped END AS rank FROM ranks CROSS JOIN (VALUES ('ungrouped'), ('grouped')) r(rule) UNION ALL SELECT 'backward', rule, CASE rule WHEN 'ungrouped' THEN ungrouped ELSE grouped END FROM back CROSS JOIN (VALUES ('ungrouped'), ('grouped')) r(rule))"
 
 
-@query(with_(PAIR, RANKS, BACK, LONG) + f", per AS (SELECT direction, rule, {RK} FROM long_ranks GROUP BY direction, rule) SELECT direction, rule, {R('r1')} AS r1, {R('r5')} AS r5, {R('r10')} AS r10 FROM (SELECT * FROM per UNION ALL SELECT 'mean', rule, avg(r1), avg(r5), avg(r10) FROM per GROUP BY rule)")
+RECALL = f", per AS (SELECT direction, rule, {RK} FROM long_ranks GROUP BY direction, rule) SELECT direction, rule, {R('r1')} AS r1, {R('r5')} AS r5, {R('r10')} AS r10 FROM (SELECT * FROM per UNION ALL SELECT 'mean', rule, avg(r1), avg(r5), avg(r10) FROM per GROUP BY rule)"
+
+
+@query(with_(PAIR, RANKS, BACK, LONG) + RECALL)
 def retrieval_recall(spark, sf):
     """Recall at 1, 5 and 10 both ways and their mean, under both tie rules."""
     left, right = pairs(spark, sf)
@@ -152,12 +157,26 @@ nce AS (SELECT (SELECT avg(loss) FROM rows_) AS forward, (SELECT avg(loss) FROM
 
 
 def nce(spark, sf):
-    """(forward, backward, acc1).  Scores are at most 1 for unit tokens, so a log sum needs no pass for its maximum: one partial sum a query."""
-    s = scored(spark, sf).withColumn("x", F.when((F.col("q") != F.col("c")) & F.col("same"), F.lit(-1e4)).otherwise(F.col("score") * SCALE))
-    own = F.max(F.when(F.col("q") == F.col("c"), F.col("x")))
-    loss = F.log(F.sum(F.exp(F.col("x") - SCALE))) + SCALE - own
-    rows = s.groupBy("q").agg(loss.alias("loss"), (F.max_by("c", F.struct("x", -F.col("c"))) == F.col("q")).alias("hit")).agg(F.avg("loss").alias("forward"), F.avg(F.col("hit").cast("double")).alias("acc1"))
-    return rows.crossJoin(s.groupBy("c").agg(loss.alias("loss")).agg(F.avg("loss").alias("backward")))
+    """(forward, backward, acc1).  Scores are at most 1 for unit tokens, so a log sum needs no pass for its maximum: each block of pairs
+    gives one partial sum a query and one a candidate, and no pair is kept."""
+    left, right = pairs(spark, sf)
+
+    def sums(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        q, c = x.q.to_numpy(), y.c.to_numpy()
+        own = q[:, None] == c[None, :]
+        logits = np.where((x.g.to_numpy()[:, None] == y.g.to_numpy()[None, :]) & ~own, -1e4, s * SCALE)
+        each = np.exp(logits - SCALE)
+        mine = np.where(own, logits, -np.inf)
+        order = np.argsort(c, kind="stable")  # of equal scores the smallest candidate
+        best = order[logits[:, order].argmax(1)]
+        rows = pd.DataFrame({"side": 0, "id": q, "total": each.sum(1), "own": mine.max(1), "most": logits.max(1), "best": c[best]})
+        return pd.concat([rows, pd.DataFrame({"side": 1, "id": c, "total": each.sum(0), "own": mine.max(0), "most": 0.0, "best": 0})])
+
+    parts = maxsim.all_pairs(left, right, sums, "side long, id long, total double, own double, most double, best long")
+    each = parts.groupBy("side", "id").agg(F.sum("total").alias("total"), F.max("own").alias("own"), F.max_by("best", F.struct("most", -F.col("best"))).alias("best"))
+    loss = F.log("total") + SCALE - F.col("own")
+    at = lambda side: F.avg(F.when(F.col("side") == side, loss))
+    return each.agg(at(0).alias("forward"), at(1).alias("backward"), F.avg(F.when(F.col("side") == 0, (F.col("best") == F.col("id")).cast("double"))).alias("acc1"))
 
 
 @query(with_(PAIR, NCE) + f"SELECT {R('forward')} AS forward, {R('backward')} AS backward, {R('(forward + backward) / 2')} AS loss, {R('acc1')} AS acc1 FROM nce")
@@ -264,7 +283,11 @@ def coverage_profile(spark, sf):
     return cov.agg(*below, *at, rounded(F.avg(F.lit(0.25))).alias("mean_inverse_length"))
 
 
-@query()
+KEYS = ", ".join(f"'\"r{k}\":', CAST(r{k} AS VARCHAR){sep}" for k, sep in ((1, ", ','"), (5, ", ','"), (10, "")))
+ENTRY = f"concat('\"', direction, '_', rule, '\":{{', {KEYS}, '}}')"
+
+
+@query(f"SELECT concat('{{\"recall\":{{', string_agg({ENTRY}, ',' ORDER BY direction, rule), '}},\"config\":{{\"score\":\"maxsim\"}}}}') AS json FROM ({with_(PAIR, RANKS, BACK, LONG) + RECALL})")
 def metrics_json(spark, sf):
     """One row of nested measures as JSON."""
     r = retrieval_recall(spark, sf)

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from pairforge.functions.shared import keyed_hash, rounded, sql_hash
+from pairforge.functions.shared import keyed_hash, rounded, settled, sql_hash
 from pairforge.functions.vectors import dot, mean_vector, norm, subtract
 from pairforge.functions.vectors import l2_normalize as unit
 from pairforge.plans.base import TOK, items, query, tok, with_
@@ -56,11 +56,11 @@ def corpus_mean_vector(spark, sf):
 POOL = f"pool AS (SELECT vec_id, {SIDE} AS side, d, avg(x) AS m FROM long GROUP BY vec_id, d), vecs AS (SELECT vec_id, side, list(m ORDER BY d) AS z FROM pool GROUP BY vec_id, side)"
 
 
-def pooled(spark, sf):
+def pooled(spark, sf, *more):
     """(vec_id, side, z): the mean of each item's tokens, inside its row."""
     it = items(spark, sf).withColumn("side", side())
     total = F.aggregate(F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0))), F.element_at("tokens", 1), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
-    return it.select("vec_id", "side", "label", F.transform(total, lambda x: x / F.greatest(F.size("tokens"), F.lit(1))).alias("z"))
+    return it.select("vec_id", "side", "label", F.transform(total, lambda x: x / F.greatest(F.size("tokens"), F.lit(1))).alias("z"), *more)
 
 
 @query(with_(TOK, MEAN, POOL) + f"SELECT vec_id, {R('sqrt(list_dot_product(z, z))')} AS norm, {R('z[1] / greatest(sqrt(list_dot_product(z, z)), 1e-12)')} AS first, {R('z[16] / greatest(sqrt(list_dot_product(z, z)), 1e-12)')} AS last FROM vecs")
@@ -125,10 +125,9 @@ SELECT per.side, {R('within')} AS within, {R('pooled')} AS pooled, {R('(n::DOUBL
 )
 def anisotropy_report(spark, sf):
     """Mean off-diagonal cosine within items, of pooled vectors raw and centred, and the mean absolute cosine to the mean."""
-    it = items(spark, sf).withColumn("side", side())
-    z = pooled(spark, sf)
-    sq = F.aggregate("tokens", F.lit(0.0), lambda s, v: s + dot(v, v))
-    within = it.select("vec_id", "side", sq.alias("sq")).join(z.select("vec_id", "z"), "vec_id").groupBy("side").agg(F.avg((16 * dot(F.col("z"), F.col("z")) - F.col("sq")) / 12).alias("within"))
+    # one pass over the tokens; the rest reads one short row an item
+    z = settled(pooled(spark, sf, F.aggregate("tokens", F.lit(0.0), lambda s, v: s + dot(v, v)).alias("sq")).drop("label"))
+    within = z.groupBy("side").agg(F.avg((16 * dot(F.col("z"), F.col("z")) - F.col("sq")) / 12).alias("within"))
     u = z.select("side", unit(F.col("z")).alias("u"))
     m = mean_vector(u, "u", ["side"])
     both = u.join(F.broadcast(m), "side")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairforge.functions.shared import positions
+
 DEFAULT_COLUMNS = {"uid": "primary_Accession", "protein": "protein_sequence", "text": "[final]text_caption", "pfam": "pfam_label"}
 
 
@@ -23,10 +25,10 @@ def read_pairs(spark: SparkSession, path: str, columns: dict[str, str] | None =
     col = lambda k: F.coalesce(F.col(f"`{names[k]}`"), F.lit("")).alias(k)
     pfam = F.col(f"`{names['pfam']}`") if names["pfam"] in raw.columns else F.lit(None).cast("string")
     rows = raw.select(F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_path").alias("_file"), col("uid"), col("protein"), col("text"), pfam.alias("pfam"))
-    rows = rows.withColumn("_at", F.col("_id") - F.min("_id").over(Window.partitionBy("_file")))
-    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    out = rows.join(F.broadcast(before), "_file").select((F.col("_at") + F.col("_shift")).alias("row_idx"), "uid", "protein", "text", "pfam")
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))  # one row a file
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("_file", (before - F.col("_first")).alias("_shift"))
+    out = rows.join(F.broadcast(shifts), "_file").select((F.col("_id") + F.col("_shift")).alias("row_idx"), "uid", "protein", "text", "pfam")
     return out.where(F.col("row_idx") < subset) if subset > 0 else out
 
 
@@ -38,7 +40,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(ord, id): one key a line, stripped; blank lines and repeats are left out."""
     lines = spark.read.text(path, wholetext=False).select(F.monotonically_increasing_id().alias("_at"), F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("id")).where("id <> ''")
     firsts = lines.groupBy("id").agg(F.min("_at").alias("_at"))
-    return firsts.select((F.row_number().over(Window.orderBy("_at")) - 1).cast("long").alias("ord"), "id")
+    return positions(firsts, ["_at"], name="ord").select("ord", "id")
 
 
 def read_sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:

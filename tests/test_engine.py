@@ -22,13 +22,13 @@ HEAD = "primary_Accession,protein_sequence,[final]text_caption,pfam_label\r\n"
 
 @pytest.fixture
 def csv(tmp_path):
-    (tmp_path / "pairs.csv").write_bytes((HEAD + 'P1,MKV,"a, ""quoted""\ncell",\r\nP2,,back\\slash,"[\'PF1\']"\r\nP1,AAA,third,\r\nP3,MK MK,third,x\r\n').encode())
+    (tmp_path / "pairs.csv").write_bytes((HEAD + 'key1,MKV,"a, ""quoted""\ncell",\r\nkey2,,back\\slash,"[\'PF1\']"\r\nkey1,AAA,third,\r\nkey3,MK MK,third,x\r\n').encode())
     return str(tmp_path / "pairs.csv")
 
 
 def test_pair_csv(spark, csv, tmp_path):
     got = [tuple(r) for r in readers.read_pairs(spark, csv).orderBy("row_idx").collect()]
-    assert got == [(0, "P1", "MKV", 'a, "quoted"\ncell', None), (1, "P2", "", "back\\slash", "['PF1']"), (2, "P1", "AAA", "third", None), (3, "P3", "MK MK", "third", "x")]
+    assert got == [(0, "key1", "MKV", 'a, "quoted"\ncell', None), (1, "key2", "", "back\\slash", "['PF1']"), (2, "key1", "AAA", "third", None), (3, "key3", "MK MK", "third", "x")]
     assert readers.read_pairs(spark, csv, subset=2).count() == 2
     (tmp_path / "bare.csv").write_text("primary_Accession,protein_sequence,[final]text_caption\nP9,M,t\n")
     assert readers.read_pairs(spark, str(tmp_path / "bare.csv")).first().pfam is None
@@ -64,26 +64,29 @@ def test_command_line(spark, csv, tmp_path):
     assert readers.read_tokens(spark, store, "text", 0).count() == 3
     assert {r.modality: r.n for r in cli.means(spark, store).collect()} == {"protein": 4, "text": 6}
     assert set(cli.evaluate(spark, store).first().asDict()) == {"r1", "r5", "r10"}
-    assert {r.uid for r in cli.inspect(spark, csv, store, ["P1", "P3", "P1", "nope"]).collect()} == {"P1", "P3"}
+    assert {r.uid for r in cli.inspect(spark, csv, store, ["key1", "key3", "key1", "nope"]).collect()} == {"key1", "key3"}
     assert cli.main(["splits", csv, out, "--check"]) == 1
     assert cli.main(["splits", csv, out]) == 0 and cli.main(["splits", csv, out, "--check"]) == 0
     assert cli.main(["splits", csv, out, "--check", "--seed", "14"]) == 1
     assert spark.read.parquet(out + "/rows").groupBy("root").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
 
 
-CAPS = [
-    ("P1", "PROTEIN NAME: Alpha kinase. FUNCTION: Binds ATP. LINEAGE: Bacteria."),
-    ("P2", "PROTEIN NAME: Beta lyase. FUNCTION: Cleaves bonds. LINEAGE: Archaea. PATHWAY: Glycolysis."),
-    ("P3", "PROTEIN NAME: Gamma."),
-    ("P4", "PROTEIN NAME: Delta. FUNCTION: Moves. FUNCTION: Again. LINEAGE: Eukarya."),
-    ("P1", "PROTEIN NAME: Alpha kinase. FUNCTION: Other. LINEAGE: Bacteria."),
+LABELS = ["DISH:", "ORIGIN:", "SEASON:", "SERVE WITH:"]
+#: (uid, split, caption): a lead without label, a label twice, one uid in both splits, a caption of one field, one of none, and extra blanks.
+MENU = [
+    ("soup", 1, "DISH: Onion soup. ORIGIN: Lyon. SEASON: Winter."),
+    ("fish", 0, "Today only. DISH: Trout. SEASON:   Spring. "),
+    ("cake", 1, "DISH: Plum cake. ORIGIN: Prague. SEASON: Autumn. SERVE WITH: Cream."),
+    ("bake", 0, "ORIGIN: Lyon. DISH: Quenelles. DISH: Gratin."),
+    ("soup", 0, "DISH: Pea soup. ORIGIN: Ghent."),
+    ("fair", 1, "SEASON: Summer."),
+    ("void", 0, "Closed on Mondays"),
 ]
-LABELS = ["PROTEIN NAME:", "FUNCTION:", "LINEAGE:", "PATHWAY:"]
 
 
 @pytest.fixture
 def caps(spark):
-    return spark.createDataFrame([(k, u, [0, 0, 1, 1, 0][k], t) for k, (u, t) in enumerate(CAPS)], "row_idx long, uid string, split int, text string")
+    return spark.createDataFrame([(10 * k + 3, u, s, t) for k, (u, s, t) in enumerate(MENU)], "row_idx long, uid string, split int, text string")
 
 
 def parsed(spark, text, labels=LABELS):
@@ -92,36 +95,39 @@ def parsed(spark, text, labels=LABELS):
 
 
 def test_fields(spark):
-    assert parsed(spark, CAPS[0][1]) == [("PROTEIN NAME:", "Alpha kinase."), ("FUNCTION:", "Binds ATP."), ("LINEAGE:", "Bacteria.")]
-    assert parsed(spark, CAPS[2][1]) == [("PROTEIN NAME:", "Gamma.")]
-    assert parsed(spark, "x FUNCTION:  see LINEAGE: y \n") == [("FUNCTION:", "see"), ("LINEAGE:", "y")]
-    assert parsed(spark, "FUNCTION: notLINEAGE: y") == [("FUNCTION:", "notLINEAGE: y")]
-    assert parsed(spark, "FUNCTION: LINEAGE: y") == [("LINEAGE:", "y")]
-    assert parsed(spark, "") == [] and parsed(spark, "no label") == []
-    assert parsed(spark, "AB: x A: y", ["A:", "AB:"]) == [("AB:", "x"), ("A:", "y")]
+    assert parsed(spark, MENU[1][2]) == [("DISH:", "Trout."), ("SEASON:", "Spring.")]
+    assert parsed(spark, MENU[3][2]) == [("ORIGIN:", "Lyon."), ("DISH:", "Quenelles."), ("DISH:", "Gratin.")]
+    assert parsed(spark, "a SEASON:\t late\nDISH: stew \n") == [("SEASON:", "late"), ("DISH:", "stew")]
+    assert parsed(spark, "DISH: sideORIGIN: kept") == [("DISH:", "sideORIGIN: kept")]
+    assert parsed(spark, "SEASON: ORIGIN: kept") == [("ORIGIN:", "kept")]
+    assert parsed(spark, "") == [] and parsed(spark, MENU[6][2]) == []
+    assert parsed(spark, "TO: one TOP: two", ["TO:", "TOP:"]) == [("TO:", "one"), ("TOP:", "two")]
 
 
 def test_plan_invariants(spark, caps):
     spans = captions.fields(caps, "text", LABELS, ["row_idx"])
     plan = [r.asDict() for r in captions.plan(caps, spans, 7, per_row=3).collect()]
-    text, uid, split = [t for _, t in CAPS], [u for u, _ in CAPS], [0, 0, 1, 1, 0]
-    assert plan
+    rows = {10 * k + 3: x for k, x in enumerate(MENU)}
+    assert plan and {p["owner_row"] for p in plan} <= set(rows) - {63}
     for p in plan:
-        o, d = p["owner_row"], p["donor_row"]
-        assert uid[o] != uid[d] and split[o] == split[d]
-        assert text[o][p["vs"] : p["ve"]] != text[d][p["dvs"] : p["dve"]]
+        (uid, split, text), (other, same, donor) = rows[p["owner_row"]], rows[p["donor_row"]]
+        assert uid != other and split == same
+        assert text[p["vs"] : p["ve"]] != donor[p["dvs"] : p["dve"]]
     again = captions.plan(caps.repartition(5), spans.repartition(3), 7, per_row=3)
     key = lambda p: (p["owner_row"], p["k"])
     assert sorted((r.asDict() for r in again.collect()), key=key) == sorted(plan, key=key)
     only = captions.plan(caps, captions.swap_filter(spans, [2], 10**6), 7)
     assert {r.label_id for r in only.collect()} <= {2}
-    for r in captions.decoy_texts(caps, captions.plan(caps, spans, 7)).collect():
-        assert r.text != r.owner_text and r.text.startswith("PROTEIN NAME:")
+    by = {key(p): p for p in plan}
+    for r in captions.decoy_texts(caps, captions.plan(caps, spans, 7, per_row=3)).collect():
+        p = by[r.owner_row, r.k]
+        own, donor = rows[r.owner_row][2], rows[r.donor_row][2]
+        assert r.text == own[: p["vs"]] + donor[p["dvs"] : p["dve"]] + own[p["ve"] :] != r.owner_text == own
 
 
 def test_identical_values_give_no_decoy(spark):
-    same = spark.createDataFrame([(0, "A", 0, "FUNCTION: x"), (1, "B", 0, "FUNCTION: x")], "row_idx long, uid string, split int, text string")
-    assert captions.plan(same, captions.fields(same, "text", ["FUNCTION:"], ["row_idx"]), 7).count() == 0
+    same = spark.createDataFrame([(0, "left", 0, "SEASON: mild"), (1, "right", 0, "SEASON: mild")], "row_idx long, uid string, split int, text string")
+    assert captions.plan(same, captions.fields(same, "text", ["SEASON:"], ["row_idx"]), 7).count() == 0
 
 
 def test_positions_do_not_depend_on_partitions(spark):
