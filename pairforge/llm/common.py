@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pairforge.functions.shared import shared_base
 from pairforge.operators.graph import components, forest  # noqa: F401
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Word bytes: everything but blank and \t..\r.
@@ -132,8 +132,8 @@ def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Arrow batches of at most 8 MB in this session, unless it has a size of its own; the default holds 64 MB on both sides."""
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches of at most 4 MB in this session, unless it has a size of its own; the default holds 64 MB on both sides."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) in (None, "64m", "64MB", "67108864", "67108864b"):
         spark.conf.set(name, size)
