@@ -1,10 +1,11 @@
 """Command line: python -m pairforge.cli COMMAND ...
 
   encode CSV STORE          pair CSV to a token store of both sides (stand-in encoder, or --encoder module:factory)
+  merge CSV DIR             dimension tables and fingerprint of the corpus; --check tells whether DIR still fits
   means STORE               mean token vector of each side
   splits CSV OUT            group-wise splits; --check tells whether OUT still fits, --force rebuilds it
-  decoys CSV OUT            decoy plan and texts of labelled captions
-  evaluate STORE            retrieval recall both ways, and the geometry of the two sides
+  decoys CSV OUT            decoy plan, texts with their keep flags, and coverage by label
+  evaluate STORE [CSV]      retrieval recall; with the CSV, pairs of one uid count as relevant too, both ways, with ranks and precision
   inspect CSV STORE UID...  the first row of each uid and its best token alignments
   export STORE OUT          pooled vectors
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions.vectors import dot, l2_normalize, mean_vector
-from pairforge.operators import captions, encode, identity, ranking, splits
+from pairforge.operators import captions, encode, identity, ranking, splits, stores
 from pairforge.sources import readers, sinks
 
 SIDES = ("protein", "text")
@@ -71,6 +72,33 @@ def evaluate(spark: SparkSession, store: str) -> DataFrame:
     return ranking.recall(ranking.ranks(left, right), "ungrouped", [1, 5, 10])
 
 
+def evaluate_grouped(spark: SparkSession, store: str, csv: str) -> DataFrame:
+    """(direction, n, r1, r5, r10, map, median_rank, best_pos), rows of one uid being relevant to each other."""
+    s = spark.read.parquet(store)
+    groups = readers.read_pairs(spark, csv).select(F.col("row_idx").alias("item_id"), F.col("uid").alias("g"))
+    one, two = (_nested(s, side).join(groups, "item_id") for side in SIDES)
+    out = None
+    for direction, a, b in (("protein to text", one, two), ("text to protein", two, one)):
+        left, right = a.withColumnRenamed("item_id", "q"), b.withColumnRenamed("item_id", "c")
+        r = ranking.ranks(left, right, "g").join(ranking.average_precisions(left, right, "g"), "q")
+        row = r.agg(F.lit(direction).alias("direction"), F.count("*").alias("n"), *(F.avg((F.col("grouped") <= k).cast("double")).alias(f"r{k}") for k in (1, 5, 10)), F.avg("ap").alias("map"), F.expr("percentile_disc(0.5) within group (order by grouped)").alias("median_rank"), F.avg("best_pos").alias("best_pos"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def decoys(spark: SparkSession, csv: str, out: str, labels: list[str], seed: int, allowed: list[str] | None = None, most_start: int = 1 << 30, most_tokens: int = 512, subset: int = 0, per_row: int = 2) -> None:
+    """Writes plan, texts (with keep: the decoy differs from its owner within the first tokens) and stats (label, planned, usable)."""
+    c = readers.read_captions(spark, csv, subset=subset).withColumn("split", F.lit(0))
+    spans = captions.swap_filter(captions.fields(c, "text", labels, ["row_idx"]), [labels.index(x) for x in allowed or labels], most_start)
+    captions.plan(c, spans, seed, per_row).write.mode("overwrite").parquet(out + "/plan")
+    texts = captions.decoy_texts(c, spark.read.parquet(out + "/plan"))
+    texts.withColumn("keep", captions.differs_when_truncated(F.col("text"), F.col("owner_text"), most_tokens)).drop("owner_text").write.mode("overwrite").parquet(out + "/texts")
+    names = spark.createDataFrame(list(enumerate(labels)), "label_id int, label string")
+    by = spark.read.parquet(out + "/texts").groupBy("label_id").agg(F.count("*").alias("planned"), F.count_if("keep").alias("usable"))
+    stats = names.join(by, "label_id", "left").select("label", F.coalesce("planned", F.lit(0)).alias("planned"), F.coalesce("usable", F.lit(0)).alias("usable"))
+    sinks.write_sidecar(stats, out + "/stats")
+
+
 def inspect(spark: SparkSession, csv: str, store: str, uids: list[str], k: int = 3) -> DataFrame:
     wanted = spark.createDataFrame([(u,) for u in dict.fromkeys(uids)], "uid string")
     first = identity.first_rows(readers.read_pairs(spark, csv).join(F.broadcast(wanted), "uid", "left_semi"), "uid", "row_idx", ["text"])
@@ -83,12 +111,13 @@ def inspect(spark: SparkSession, csv: str, store: str, uids: list[str], k: int =
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("command", choices=["encode", "means", "splits", "decoys", "evaluate", "inspect", "export"])
+    p.add_argument("command", choices=["encode", "merge", "means", "splits", "decoys", "evaluate", "inspect", "export"])
     p.add_argument("paths", nargs="+")
     p.add_argument("--encoder")
     p.add_argument("--subset", type=int, default=0)
     p.add_argument("--seed", type=int, default=13)
     p.add_argument("--labels", default="")
+    p.add_argument("--allowed", default="")
     p.add_argument("--check", action="store_true")
     p.add_argument("--force", action="store_true")
     a = p.parse_args(args)
@@ -109,13 +138,15 @@ def main(args: list[str] | None = None) -> int:
             group_splits(spark, a.paths[0], a.seed, ratios).write.mode("overwrite").parquet(a.paths[1] + "/rows")
             sinks.write_sidecar(spark.createDataFrame([now], "n long, seed long, ratios array<double>, n_groups long"), a.paths[1] + "/header")
     elif a.command == "decoys":
-        c = readers.read_captions(spark, a.paths[0], subset=a.subset).withColumn("split", F.lit(0))
-        labels = [x for x in a.labels.split(",") if x]
-        plan = captions.plan(c, captions.fields(c, "text", labels, ["row_idx"]), a.seed)
-        plan.write.mode("overwrite").parquet(a.paths[1] + "/plan")
-        captions.decoy_texts(c, spark.read.parquet(a.paths[1] + "/plan")).write.mode("overwrite").parquet(a.paths[1] + "/texts")
+        decoys(spark, a.paths[0], a.paths[1], [x for x in a.labels.split(",") if x], a.seed, [x for x in a.allowed.split(",") if x] or None, subset=a.subset)
+    elif a.command == "merge":
+        pairs = readers.read_pairs(spark, a.paths[0], subset=a.subset)
+        if a.check:
+            return 1 if stores.faults(spark, a.paths[1], pairs) else 0
+        stores.merge(pairs, a.paths[1])
     elif a.command == "evaluate":
-        print(json.dumps(evaluate(spark, a.paths[0]).first().asDict()))
+        for r in (evaluate_grouped(spark, *a.paths) if len(a.paths) > 1 else evaluate(spark, a.paths[0])).collect():
+            print(json.dumps(r.asDict()))
     elif a.command == "inspect":
         inspect(spark, a.paths[0], a.paths[1], a.paths[2:]).show(100, False)
     elif a.command == "export":

@@ -39,5 +39,43 @@ def ranks(left: DataFrame, right: DataFrame, relevant: str | None = None) -> Dat
     return best.join(counted, "q")
 
 
+def average_precisions(left: DataFrame, right: DataFrame, relevant: str) -> DataFrame:
+    """(q, ap): mean precision at the relevant candidates, by falling score and then by c.
+
+    Only relevant scores are kept, as one array a query and block; a second pass counts, for each of them, the candidates of a block that
+    stand above it, so what is kept grows with the relevant pairs, not with all.
+    """
+
+    def same(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+        return (x.q.to_numpy()[:, None] == y.c.to_numpy()[None, :]) | (x[relevant].to_numpy()[:, None] == y[relevant].to_numpy()[None, :])
+
+    def first(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        rel, c = same(x, y), y.c.to_numpy()
+        return pd.DataFrame({"q": x.q, "scores": [s[i, m].tolist() for i, m in enumerate(rel)], "ids": [c[m].tolist() for m in rel]})
+
+    each = all_pairs(left, right, first, "q long, scores array<double>, ids array<long>")
+    pairs = F.array_sort(F.arrays_zip(F.transform(F.flatten(F.collect_list("scores")), lambda x: -x).alias("m"), F.flatten(F.collect_list("ids")).alias("id")))
+    held = settled(each.groupBy("q").agg(pairs.alias("relevant_pairs")), "relevant")
+
+    def second(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        c, above = y.c.to_numpy(), []
+        for i, wanted in enumerate(x.relevant_pairs):
+            m, ids = np.array([w["m"] for w in wanted]), np.array([w["id"] for w in wanted], np.int64)
+            order = np.lexsort((c, -s[i]))
+            keys, names = -s[i][order], c[order]
+            lo, hi = np.searchsorted(keys, m, "left"), np.searchsorted(keys, m, "right")
+            above.append([int(a + np.searchsorted(names[a:b], k, "right")) for a, b, k in zip(lo, hi, ids, strict=True)])
+        return pd.DataFrame({"q": x.q, "above": above})
+
+    counted = all_pairs(left.join(held, "q"), right, second, "q long, above array<long>")
+
+    def precision(pdf: pd.DataFrame) -> pd.DataFrame:
+        rank = np.sum(np.array(pdf.above.tolist(), np.int64), axis=0)
+        ap = float((np.arange(1, len(rank) + 1) / rank).sum() / max(1, len(rank))) if len(rank) else 0.0
+        return pd.DataFrame({"q": [pdf.q.iloc[0]], "ap": [ap]})
+
+    return counted.groupBy("q").applyInPandas(precision, "q long, ap double")
+
+
 def recall(ranked: DataFrame, rank: str, ks: list[int]) -> DataFrame:
     return ranked.agg(*(F.avg((F.col(rank) <= k).cast("double")).alias(f"r{k}") for k in ks))

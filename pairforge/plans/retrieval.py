@@ -118,9 +118,8 @@ ap AS (SELECT q, sum(h::DOUBLE / r) / greatest(count(*), 1) AS ap FROM (SELECT q
 
 
 def average_precisions(spark, sf):
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    placed = scored(spark, sf).withColumn("rel", F.col("same") | (F.col("q") == F.col("c"))).withColumn("r", F.row_number().over(w)).withColumn("h", F.sum(F.col("rel").cast("int")).over(w))
-    return placed.where("rel").groupBy("q").agg((F.sum(F.col("h") / F.col("r")) / F.greatest(F.count("*"), F.lit(1))).alias("ap"))
+    left, right = pairs(spark, sf)
+    return ranking.average_precisions(left, right, "g")
 
 
 @query(with_(PAIR, AP) + f"SELECT q, {R('ap')} AS ap, {R('avg(ap) OVER ()')} AS map FROM ap")

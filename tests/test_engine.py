@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pairforge import cli
 from pairforge.functions import scalar
 from pairforge.functions.shared import positions
-from pairforge.operators import captions, encode, identity, maxsim, ranking, splits
+from pairforge.operators import captions, encode, identity, maxsim, ranking, splits, stores
 from pairforge.sources import readers, sinks
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -214,6 +214,82 @@ def test_span_corruption(n, share, key):
     assert changed == (n if share >= 1 else min(n, max(1, round(share * n)))) if n and share > 0 else changed == 0
 
 
+def test_store_around_a_corpus(spark, csv, tmp_path):
+    pairs, path = readers.read_pairs(spark, csv), str(tmp_path / "around")
+    stores.merge(pairs, path, {"width": 16})
+    read = lambda name: sorted(tuple(r) for r in spark.read.parquet(f"{path}/{name}").collect())
+    assert read("items") == [(0, "MKV", "key1"), (1, "", "key2"), (2, "AAA", "key1"), (3, "MK MK", "key3")]
+    assert read("row_map") == [(0, 0), (1, 1), (2, 2), (3, 3)] and read("caption_ids") == [(0, 0), (1, 1), (2, 2), (3, 2)]
+    assert stores.faults(spark, path, pairs.repartition(3), {"width": 16}) == []
+    tokens = spark.createDataFrame([(0,), (2,), (2,)], "item_id long")
+    assert stores.faults(spark, path, tokens=tokens) == ["2 items have no tokens"]
+    with pytest.raises(ValueError, match="settings"):
+        stores.require(spark, path, pairs=pairs, settings={"width": 32})
+    with pytest.raises(ValueError, match="digest"):
+        stores.require(spark, path, pairs=pairs.withColumn("text", F.upper("text")), settings={"width": 16})
+    spark.createDataFrame([(0, 0), (1, 9)], "row_idx long, item_id long").write.mode("overwrite").parquet(path + "/row_map")
+    assert stores.faults(spark, path) == ["2 rows are mapped, of 4", "1 rows name items that do not exist"]
+    assert cli.main(["merge", csv, path]) == 0 and cli.main(["merge", csv, path, "--check"]) == 0
+    assert cli.main(["merge", csv, path, "--check", "--subset", "2"]) == 1
+
+
+def test_shards_of_an_earlier_run(spark, tmp_path):
+    for name in ("shard-0-of-4", "shard-3-of-4", "keep.txt"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "shard-folder").mkdir()
+    assert stores.clear_shards(spark, str(tmp_path)) == ["shard-0-of-4", "shard-3-of-4"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["keep.txt", "shard-folder"]
+    good = [(1, 2, 3, 2), (0, 2, 0, 3)]
+    schema = "rank int, world int, start long, length long"
+    assert [r.rank for r in stores.shard_order(spark.createDataFrame(good, schema)).collect()] == [0, 1]
+    for bad in (good[:1], [good[0], (0, 3, 0, 3)], [good[0], (1, 2, 0, 3)], [(1, 2, 4, 2), good[1]]):
+        with pytest.raises(ValueError):
+            stores.shard_order(spark.createDataFrame(bad, schema))
+
+
+def test_token_names_and_settings(spark):
+    vocabulary = spark.createDataFrame([(0, "end"), (1, "soup")], "id long, token string")
+    more = stores.with_labels(vocabulary, ["DISH:", "soup", "DISH:", "ORIGIN:"])
+    assert sorted(tuple(r) for r in more.collect()) == [(0, "end"), (1, "soup"), (2, "DISH:"), (3, "ORIGIN:")]
+    tokens = spark.createDataFrame([(0, 1), (1, 2), (2, 77)], "pos int, token_id long")
+    assert [r.token for r in stores.token_names(tokens, more).orderBy("pos").collect()] == ["soup", "DISH:", "<77>"]
+    assert stores.resolve({"data": "/d", "out": ""}, environment={"PAIRFORGE_OUT": "/o"}) == {"data": "/d", "out": "/o"}
+    with pytest.raises(ValueError, match="PAIRFORGE_OUT"):
+        stores.resolve({"out": ""}, ("out",), environment={})
+
+
+def test_grouped_evaluation_and_decoys_from_the_command_line(spark, csv, tmp_path):
+    store = str(tmp_path / "store")
+    cli.encode_csv(spark, csv, store)
+    got = {r.direction: r for r in cli.evaluate_grouped(spark, store, csv).collect()}
+    assert set(got) == {"protein to text", "text to protein"} and all(0 < r.map <= 1 and r.median_rank >= 1 for r in got.values())
+    text = "".join(f'{u},M,"{t}",\r\n' for u, _, t in MENU)
+    (tmp_path / "menu.csv").write_bytes((HEAD + text).encode())
+    cli.decoys(spark, str(tmp_path / "menu.csv"), str(tmp_path / "decoys"), LABELS, 7, ["DISH:", "SEASON:"])
+    texts = spark.read.parquet(str(tmp_path / "decoys/texts"))
+    assert texts.count() and texts.where("not keep").count() == 0 and {r.label_id for r in texts.collect()} <= {0, 2}
+    stats = {r.label: (r.planned, r.usable) for r in spark.read.json(str(tmp_path / "decoys/stats")).collect()}
+    assert set(stats) == set(LABELS) and stats["ORIGIN:"] == (0, 0) and sum(p for p, _ in stats.values()) == texts.count()
+
+
+def test_average_precision_breaks_ties_by_candidate(spark):
+    rng = np.random.default_rng(3)
+    e = np.eye(5).tolist()
+    left = [(k, [e[int(rng.integers(5))]], int(rng.integers(3))) for k in range(24)]
+    right = [(k, [e[int(rng.integers(5))]], left[k][2]) for k in range(24)]
+    a = spark.createDataFrame(left, "q long, tokens array<array<double>>, g int")
+    b = spark.createDataFrame(right, "c long, tokens array<array<double>>, g int")
+    got = {r.q: r.ap for r in ranking.average_precisions(a, b, "g").collect()}
+    for q, x, g in left:
+        order = sorted(range(24), key=lambda c: (-(x[0] == right[c][1][0]), c))
+        hits, total = 0, 0.0
+        for at, c in enumerate(order, 1):
+            if right[c][2] == g or c == q:
+                hits += 1
+                total += hits / at
+        assert got[q] == pytest.approx(total / hits)
+
+
 def test_streaming_ingest(spark, tmp_path):
     from pairforge.streaming.ingest import ingest
 
