@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: quality, near copies, repeated passages, benchmark passages, packing."""
+"""From raw documents to packed training sequences: quality, near copies, repeated passages, benchmark passages, packing.
+
+In every stage rows with a null id pass unchanged until the last, which leaves them out; null texts count as empty; rows that repeat an id are
+documents of their own; other columns pass, whatever their names; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -12,28 +16,28 @@ from pairforge.llm.encoding import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model does not reject."""
+    """Documents that the language model does not reject: texts without bytes and languages without trusted texts stay."""
     small_batches(spark)
     return kneser_ney.without_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the smallest id; null and empty texts are no copies."""
     return trie_join.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without passages that occur elsewhere as well."""
+    """The documents without passages that occur elsewhere as well; texts left empty stay as empty ones, null texts as null."""
     return runlength_index.without_repeats(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents that are not contaminated by benchmark items; null and empty texts stay."""
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
+    """Where each piece of each document lies in the training sequences; an empty text is one piece of the end id."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
