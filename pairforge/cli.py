@@ -7,7 +7,10 @@
   decoys CSV OUT            decoy plan, texts with their keep flags, and coverage by label
   evaluate STORE [CSV]      retrieval recall; with the CSV, pairs of one uid count as relevant too, both ways, with ranks and precision
   inspect CSV STORE UID...  the first row of each uid and its best token alignments
-  export STORE OUT          pooled vectors
+  export STORE OUT [DIR]    pooled vectors of both sides, with the uids and the rows' items of the merged DIR where it is given
+  diagnose STORE            how spread out the tokens are, raw and without their mean
+  roundtrip RECORDS OUT     generated targets against their sources: metrics, pairs and, with --proteins, sequences
+  generated CANDIDATES OUT  the best candidate of each accession and replicate as CSV
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions.vectors import dot, l2_normalize, mean_vector
-from pairforge.operators import captions, encode, identity, ranking, splits, stores
+from pairforge.operators import captions, encode, geometry, identity, ranking, roundtrip, splits, stores
 from pairforge.sources import readers, sinks
 
 SIDES = ("protein", "text")
@@ -80,8 +83,7 @@ def evaluate_grouped(spark: SparkSession, store: str, csv: str) -> DataFrame:
     out = None
     for direction, a, b in (("protein to text", one, two), ("text to protein", two, one)):
         left, right = a.withColumnRenamed("item_id", "q"), b.withColumnRenamed("item_id", "c")
-        r = ranking.ranks(left, right, "g").join(ranking.average_precisions(left, right, "g"), "q")
-        row = r.agg(F.lit(direction).alias("direction"), F.count("*").alias("n"), *(F.avg((F.col("grouped") <= k).cast("double")).alias(f"r{k}") for k in (1, 5, 10)), F.avg("ap").alias("map"), F.expr("percentile_disc(0.5) within group (order by grouped)").alias("median_rank"), F.avg("best_pos").alias("best_pos"))
+        row = ranking.measures(left, right, "g").withColumn("direction", F.lit(direction))
         out = row if out is None else out.union(row)
     return out
 
@@ -109,9 +111,18 @@ def inspect(spark: SparkSession, csv: str, store: str, uids: list[str], k: int =
     return best.join(first.select(F.col("row_idx").alias("item_id"), "uid"), "item_id").select("uid", "i", F.explode("t").alias("t")).select("uid", "i", F.col("t.j").alias("j"), (-F.col("t.m")).alias("score"))
 
 
+def export(spark: SparkSession, store: str, out: str, merged: str | None = None) -> None:
+    """Mean vectors (modality, item_id, mean, n); with a merged folder also accessions (item_id, uid) and rows (row_idx, item_id)."""
+    tokens = spark.read.parquet(store).withColumn("v", l2_normalize(F.col("v").cast("array<double>")))
+    mean_vector(tokens, "v", ["modality", "item_id"]).write.mode("overwrite").parquet(out + "/pooled")
+    if merged:
+        spark.read.parquet(merged + "/items").select("item_id", "uid").write.mode("overwrite").parquet(out + "/accessions")
+        spark.read.parquet(merged + "/row_map").write.mode("overwrite").parquet(out + "/rows")
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("command", choices=["encode", "merge", "means", "splits", "decoys", "evaluate", "inspect", "export"])
+    p.add_argument("command", choices=["encode", "merge", "means", "splits", "decoys", "evaluate", "inspect", "export", "diagnose", "roundtrip", "generated"])
     p.add_argument("paths", nargs="+")
     p.add_argument("--encoder")
     p.add_argument("--subset", type=int, default=0)
@@ -120,6 +131,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--allowed", default="")
     p.add_argument("--check", action="store_true")
     p.add_argument("--force", action="store_true")
+    p.add_argument("--proteins", action="store_true")
+    p.add_argument("--probe", type=int, default=256)
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("pairforge").getOrCreate()
     ratios = (0.9, 0.05)
@@ -150,8 +163,15 @@ def main(args: list[str] | None = None) -> int:
     elif a.command == "inspect":
         inspect(spark, a.paths[0], a.paths[1], a.paths[2:]).show(100, False)
     elif a.command == "export":
-        tokens = spark.read.parquet(a.paths[0]).withColumn("v", l2_normalize(F.col("v").cast("array<double>")))
-        mean_vector(tokens, "v", ["modality", "item_id"]).write.mode("overwrite").parquet(a.paths[1])
+        export(spark, *a.paths)
+    elif a.command == "diagnose":
+        tokens = spark.read.parquet(a.paths[0]).select(F.col("modality").alias("side"), "item_id", "pos", F.col("v").cast("array<double>").alias("v"))
+        for r in geometry.spread_report(tokens, a.probe, seed=a.seed).collect():
+            print(json.dumps(r.asDict()))
+    elif a.command == "roundtrip":
+        print(json.dumps(roundtrip.write(spark.read.parquet(a.paths[0]), a.paths[1], proteins=a.proteins)))
+    elif a.command == "generated":
+        sinks.write_report(roundtrip.generated_set(spark.read.parquet(a.paths[0])).orderBy("accession", "replicate"), a.paths[1], ",")
     return 0
 
 

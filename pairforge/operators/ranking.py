@@ -77,5 +77,13 @@ def average_precisions(left: DataFrame, right: DataFrame, relevant: str) -> Data
     return counted.groupBy("q").applyInPandas(precision, "q long, ap double")
 
 
+def measures(left: DataFrame, right: DataFrame, relevant: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """One row: n, recall at each k up to the number of queries (r1, ...), the lower median rank, the mean best relevant score, mean average precision."""
+    r = settled(ranks(left, right, relevant), "ranks")
+    at = [F.when(F.count("*") >= k, F.avg((F.col("grouped") <= k).cast("double"))).alias(f"r{k}") for k in ks]
+    one = r.agg(F.count("*").alias("n"), *at, F.expr("percentile_disc(0.5) within group (order by grouped)").cast("long").alias("median_rank"), F.avg("best_pos").alias("best_pos"))
+    return one.crossJoin(average_precisions(left, right, relevant).agg(F.avg("ap").alias("map")))  # one row each
+
+
 def recall(ranked: DataFrame, rank: str, ks: list[int]) -> DataFrame:
     return ranked.agg(*(F.avg((F.col(rank) <= k).cast("double")).alias(f"r{k}") for k in ks))

@@ -67,6 +67,15 @@ def faults(spark: SparkSession, path: str, pairs: DataFrame | None = None, setti
     return out
 
 
+def references(rows: DataFrame, key: str, items: DataFrame, item_id: str) -> DataFrame:
+    """One row (rows, items, dangling, unused, nulls): how `key` of rows refers to `item_id` of items; counted by key, before any join of rows."""
+    used = rows.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n"))
+    there = items.where(F.col(item_id).isNotNull()).groupBy(F.col(item_id).alias("id")).agg(F.count("*").alias("m"))
+    both = used.join(there, "id", "full")
+    total = lambda c, when=None: F.coalesce(F.sum(c if when is None else F.when(when, F.col(c))), F.lit(0))
+    return both.agg(total("n").alias("rows"), total("m").alias("items"), total("n", F.col("m").isNull() & F.col("id").isNotNull()).alias("dangling"), total("m", F.col("n").isNull()).alias("unused"), total("n", F.col("id").isNull()).alias("nulls"))
+
+
 def require(spark: SparkSession, path: str, **checks) -> None:
     """Raises unless the store fits."""
     if found := faults(spark, path, **checks):

@@ -131,10 +131,10 @@ def mean_average_precision(spark, sf):
 @query(with_(PAIR, RANKS, AP) + f"SELECT count(*) AS n, {', '.join(f'CASE WHEN count(*) >= {k} THEN round(avg(CASE WHEN grouped <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) END AS r{k}' for k in (1, 5, 10, 1000000))}, {R('(SELECT avg(ap) FROM ap)')} AS map, CAST(quantile_disc(grouped, 0.5) AS BIGINT) AS median_rank, {R('avg(best_pos)')} AS best_pos FROM ranks")
 def grouped_recall(spark, sf):
     """Recall only for k up to the number of queries, mean average precision, the lower median rank, the mean best positive score."""
-    r = settled(forward(spark, sf))
-    ks = [F.when(F.count("*") >= k, F.round(F.avg((F.col("grouped") <= k).cast("double")), 6)).alias(f"r{k}") for k in (1, 5, 10, 1000000)]
-    one = r.agg(F.count("*").alias("n"), *ks, F.expr("percentile_disc(0.5) within group (order by grouped)").cast("long").alias("median_rank"), rounded(F.avg("best_pos")).alias("best_pos"))
-    return one.crossJoin(average_precisions(spark, sf).agg(rounded(F.avg("ap")).alias("map")))
+    left, right = pairs(spark, sf)
+    ks = (1, 5, 10, 1000000)
+    m = ranking.measures(left, right, "g", ks)
+    return m.select("n", "median_rank", *(rounded(F.col(c)).alias(c) for c in (*(f"r{k}" for k in ks), "map", "best_pos")))
 
 
 @query(P + "SELECT q, count(*) FILTER (WHERE q <> c AND (qg = cg OR q // 3 = c // 3)) AS n_masked, count(*) FILTER (WHERE q = c OR NOT (qg = cg OR q // 3 = c // 3)) AS n_kept FROM scores GROUP BY q")

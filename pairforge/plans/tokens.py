@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pairforge.functions.shared import keyed_hash, rounded, settled, sql_hash
 from pairforge.functions.vectors import dot, mean_vector, norm, subtract
 from pairforge.functions.vectors import l2_normalize as unit
+from pairforge.operators.geometry import off_diagonal
 from pairforge.plans.base import TOK, items, query, tok, with_
 
 T = with_(TOK)
@@ -89,11 +90,6 @@ def mean_cross_cos(spark, sf):
     return sides(spark, sf).select(rounded(dot(F.col("p"), F.col("t"))).alias("cross_cos"))
 
 
-def off_diagonal(mean, n, squares):
-    """Mean dot product over ordered pairs of different vectors, from their mean, number and sum of squared norms."""
-    return (n * n * dot(mean, mean) - squares) / (n * (n - 1))
-
-
 @query(with_(TOK, MEAN, SIDES) + f"SELECT side, {R('(n::DOUBLE * n * list_dot_product(z, z) - sq) / (n::DOUBLE * (n - 1))')} AS intra_cos FROM sides JOIN (SELECT {SIDE} AS side, sum(list_dot_product(v, v)) AS sq FROM tok GROUP BY side) USING (side)")
 def mean_intra_cos(spark, sf):
     t = tok(spark, sf).withColumn("side", side())

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from pairforge.functions.shared import positions
 
 DEFAULT_COLUMNS = {"uid": "primary_Accession", "protein": "protein_sequence", "text": "[final]text_caption", "pfam": "pfam_label"}
+MOST_CHARS = 10 << 20
 
 
-def read_pairs(spark: SparkSession, path: str, columns: dict[str, str] | None = None, subset: int = 0) -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, columns: dict[str, str] | None = None, subset: int = 0, most_chars: int = MOST_CHARS) -> DataFrame:
     """(row_idx, uid, protein, text, pfam) of a CSV with quoted commas, quotes and line ends.
 
-    Missing required columns raise; pfam is optional and null where absent; empty cells are empty strings; subset > 0 keeps the
+    Missing required columns raise, and so do cells of more than `most_chars` characters; pfam is optional and null where absent; empty cells are empty strings; subset > 0 keeps the
     first rows in file order.  A CSV with line ends inside cells cannot be split, so each file is one partition and its rows are
     numbered in order; files follow one another by name.
     """
     names = {**DEFAULT_COLUMNS, **(columns or {})}
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, maxCharsPerColumn=-1, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, maxCharsPerColumn=most_chars, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     missing = [n for k, n in names.items() if k != "pfam" and n not in raw.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}; it has {raw.columns}")
