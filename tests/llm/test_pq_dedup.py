@@ -73,3 +73,28 @@ def test_probes_and_codes_lose_nothing():
         assert probes[i, at[j]]
         assert q.distances(u[i : i + 1], at[j], codes[j : j + 1])[0, 0] <= r + error[j] + 1e-9
     assert probes.mean() < 0.9
+
+
+def test_long_lists_are_cut_once_more(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(60, 12))
+    x = np.concatenate([base + rng.normal(size=base.shape) * 0.04 * k for k in range(15)])
+    rows = [(k, v.tolist(), 0 if k % 3 else 1) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    monkeypatch.setattr(pq_dedup, "MOST_LISTS", 3)  # far fewer first lists than rows ask for
+    cut = []
+    real = pq_dedup._cut
+    monkeypatch.setattr(pq_dedup, "_cut", lambda *a: cut.append(real(*a)) or cut[0])
+    monkeypatch.setattr(pq_dedup, "SALT_ROWS", 200)
+    monkeypatch.setattr(pq_dedup, "SENT", 50)
+    got = pq_dedup.near_duplicates(df, list_rows=15, block_rows=30)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+    per = cut[0].where("kind = 0").groupBy("label", "list").agg({"sub": "max", "*": "count"}).collect()
+    assert all(r["max(sub)"] > 0 for r in per if r["count(1)"] > 30) and any(r["count(1)"] > 30 for r in per)
+    assert cut[0].where("kind = 0").count() == len(rows)
+
+
+def test_nearest_in_parts_of_any_size():
+    rng = np.random.default_rng(2)
+    x, c = rng.normal(size=(5000, 3)), rng.normal(size=(2000, 3))
+    assert np.array_equal(pq_dedup.nearest(x, c), ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)) and len(pq_dedup.nearest(x[:0], c)) == 0
