@@ -118,7 +118,8 @@ def records(spark, sf):
     left, right = pairs(spark, sf)
     both = left.select(F.col("q").alias("row_idx"), "g", F.col("tokens").alias("z_src")).join(right.select(F.col("c").alias("row_idx"), F.col("tokens").alias("z_gen")), "row_idx")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), F.col("source").alias("true_target"), F.concat("lang", F.lit(" \t"), "source").alias("gen_target"))
-    return both.join(d, "row_idx").select("row_idx", F.col("g").cast("string").alias("uid"), "z_src", "z_gen", F.reverse("z_gen").alias("z_true"), "true_target", "gen_target")
+    texts = (F.coalesce(c, F.lit("")).alias(c) for c in ("true_target", "gen_target"))
+    return both.join(d, "row_idx", "left").select("row_idx", F.col("g").cast("string").alias("uid"), "z_src", "z_gen", F.reverse("z_gen").alias("z_true"), *texts)
 
 
 BACK_AP = """placed2 AS (SELECT c, (qg = cg OR q = c) AS rel, row_number() OVER (PARTITION BY c ORDER BY score DESC, q) AS r FROM scores),
@@ -132,14 +133,14 @@ def roundtrip_measures(spark, sf):
     return m.select("comparison", "n", "median_rank", *(rounded(F.col(c)).alias(c) for c in ("r1", "r5", "r10", "map", "best_pos")))
 
 
-@query(with_(PAIR, BACK) + "SELECT b.q AS row_idx, CAST(s.qg AS VARCHAR) AS id, b.grouped AS rank, printf('%.4f', s.score) AS score, CAST(length(source) AS INTEGER) AS true_len, CAST(length(lang || ' ' || source) AS INTEGER) AS gen_len, source AS true_target, lang || ' ' || source AS generated_target FROM back b JOIN scores s ON s.q = b.q AND s.c = b.q JOIN documents ON doc_id = b.q")
+@query(with_(PAIR, BACK) + "SELECT b.q AS row_idx, CAST(s.qg AS VARCHAR) AS id, b.grouped AS rank, printf('%.4f', s.score) AS score, CAST(length(t) AS INTEGER) AS true_len, CAST(length(m) AS INTEGER) AS gen_len, t AS true_target, m AS generated_target FROM back b JOIN scores s ON s.q = b.q AND s.c = b.q JOIN (SELECT q, coalesce(source, '') AS t, coalesce(lang || ' ' || source, '') AS m FROM back LEFT JOIN documents ON doc_id = q) x ON x.q = b.q")
 def roundtrip_pairs(spark, sf):
     return roundtrip.pairs(records(spark, sf))
 
 
 @query(
     with_(PAIR, CAND, PANEL, MARGIN)
-    + """, won AS (SELECT q, j // 2 AS replicate, arg_max(c, (round(margin, 9), -j)) AS c, round(max(margin), 9) AS margin FROM margins GROUP BY 1, 2)
+    + """, won AS (SELECT q, j // 2 AS replicate, arg_max(c, (round(margin, 9), -j)) AS c, round(max(margin), 9) AS margin FROM margins JOIN documents ON doc_id = c GROUP BY 1, 2)
 SELECT CAST(q AS VARCHAR) AS accession, CAST(replicate AS INTEGER) AS replicate, d.source AS prompt, d.lang AS true_protein, e.lang || e.source AS generated_protein, printf('%.4f', margin) AS select_score, CAST(length(d.lang) AS INTEGER) AS true_len, CAST(length(e.lang || e.source) AS INTEGER) AS gen_len FROM won JOIN documents d ON d.doc_id = q JOIN documents e ON e.doc_id = c"""
 )
 def generated_set(spark, sf):
