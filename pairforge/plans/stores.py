@@ -46,10 +46,11 @@ def store_fingerprint(spark, sf):
     return spark.read.schema(stores.FINGERPRINT).json(merged(spark, sf) + "/fingerprint")
 
 
-@query("SELECT (SELECT count(*) FROM events) AS rows, (SELECT count(*) FROM customer) AS items, (SELECT count(*) FROM events WHERE user_id + 700 NOT IN (SELECT c_custkey FROM customer)) AS dangling, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT user_id + 700 FROM events WHERE user_id IS NOT NULL)) AS unused, (SELECT count(*) FROM events WHERE user_id IS NULL) AS nulls")
+@query("WITH r AS (SELECT CASE WHEN user_id % 10 <> 0 THEN user_id * 20 END AS k FROM events) SELECT (SELECT count(*) FROM r) AS rows, (SELECT count(*) FROM customer) AS items, (SELECT count(*) FROM r WHERE k NOT IN (SELECT c_custkey FROM customer)) AS dangling, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT k FROM r WHERE k IS NOT NULL)) AS unused, (SELECT count(*) FROM r WHERE k IS NULL) AS nulls")
 def reference_check(spark, sf):
-    """What a reader of two tables checks before it joins them."""
-    return stores.references(table(spark, sf, "events").select((F.col("user_id") + 700).alias("user_id")), "user_id", table(spark, sf, "customer"), "c_custkey")
+    """What a reader of two tables checks before it joins them, on keys of which some are null and some name nothing."""
+    keys = table(spark, sf, "events").select(F.when(F.col("user_id") % 10 != 0, F.col("user_id") * 20).alias("k"))
+    return stores.references(keys, "k", table(spark, sf, "customer"), "c_custkey")
 
 
 EXPONENT = "pow(2.0::DOUBLE, floor(log2(abs(x))) - 7)"
