@@ -16,13 +16,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairforge.functions.shared import shared_base
 from pairforge.operators.graph import components, forest  # noqa: F401
 
 BLOCK_BYTES = 1 << 19
+HELD_BYTES = 128 << 20  # of a broadcast table's rows in memory
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Word bytes: everything but blank and \t..\r.
@@ -83,9 +85,30 @@ def written_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small_side(df: DataFrame, limit: int) -> DataFrame:
-    """df (from `written`), marked for a broadcast only if its files hold at most `limit` bytes; else left to shuffle."""
-    return F.broadcast(df) if written_bytes(df) <= limit else df
+def _beyond(value: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes in a row of Spark's binary format besides its own eight."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.octet_length(value) + 8
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+            inner = F.transform(value, lambda x: (F.coalesce(_beyond(x, kind.elementType), F.lit(0)) + 8).cast("long"))
+            return F.aggregate(inner, F.lit(16).cast("long"), lambda s, x: s + x)
+        return 8 * F.size(value) + 16
+    if isinstance(kind, T.StructType):
+        return sum((F.coalesce(_beyond(value[f.name], f.dataType), F.lit(0)) + 8 for f in kind.fields), F.lit(8))
+    return F.lit(0)
+
+
+def held_bytes(df: DataFrame) -> int:
+    """What the rows of df take in memory when they are broadcast, about: counted over all of them."""
+    row = sum((F.coalesce(_beyond(F.col(f"`{f.name}`"), f.dataType), F.lit(0)) + 8 for f in df.schema.fields), F.lit(8))
+    return int(df.agg(F.sum(row.cast("long"))).first()[0] or 0)
+
+
+def small_side(df: DataFrame, limit: int, held: int = HELD_BYTES) -> DataFrame:
+    """df (from `written`), marked for a broadcast only if its files hold at most `limit` bytes and its rows at most `held` in memory
+    (a file of equal values can be a thousand times smaller than they are); else left to shuffle."""
+    return F.broadcast(df) if written_bytes(df) <= limit and held_bytes(df) <= held else df
 
 
 def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

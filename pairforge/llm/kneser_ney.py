@@ -287,7 +287,7 @@ def judged(docs: DataFrame, labels: DataFrame, out: str, order: int = ORDER, qua
             shard.destroy()
     held = reduce(DataFrame.union, parts)
     few = held.groupBy(lang).count().where(F.col("count") < least).select(lang)
-    per = quantiles(held.join(F.broadcast(few), lang, "left_anti") if least > 1 else held, lang, "_ppl", quantile).select(lang, (F.col("_ppl") * margin).alias(limit)).distinct()
+    per = quantiles(held.join(few, lang, "left_anti") if least > 1 else held, lang, "_ppl", quantile).select(lang, (F.col("_ppl") * margin).alias(limit)).distinct()
     scored = score(docs, model, mark, order, most_rows).withColumn(lang, F.coalesce("lang", F.lit("")))
     joined = scored.join(small_side(written(per, "thresholds"), BROADCAST_BYTES), lang, "left")
     ppl = F.when(F.col(f"{mark}.units") > 0, _perplexity(mark))

@@ -587,7 +587,6 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     often = features.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(most_frequent).orderBy("n", "a").toPandas()
     frequent = often.a.to_numpy(np.int64).view(np.uint64)
     by = np.argsort(frequent)
-    parts = -(-often.n.to_numpy(np.int64)[by] // hot_sets)
     parts = -(-often.n.to_numpy(np.int64) // hot_sets)
     ranked = spark.sparkContext.broadcast((frequent[by], by.astype(np.uint64) + np.uint64(1), parts.astype(np.uint64)))
     tokens = int((sets.agg(F.sum("n")).first()[0] or 0) * (100 - percent) / 100)

@@ -64,3 +64,15 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long").repartition(9)
     assert {r.node: r.root for r in common.components(df, "a", "b").collect()} == {x: find(x) for x in root if find(x) != x}
     assert common.components(df.limit(0), "a", "b").collect() == []
+
+
+def test_broadcasts_are_judged_by_what_the_rows_take_in_memory(spark):
+    long = "x" * 100_000
+    rows = [(k, long, [(1, long)], [k] * 50, None) for k in range(40)]
+    df = common.written(spark.createDataFrame(rows, "k long, t string, l array<struct<a int, b string>>, n array<int>, z array<string>"), "same")
+    assert common.written_bytes(df) < 100_000
+    assert 8_000_000 <= common.held_bytes(df) <= 8_100_000
+    hinted = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString()
+    assert hinted(common.small_side(df, 1 << 20))
+    assert not hinted(common.small_side(df, 1 << 20, 1 << 20)) and not hinted(common.small_side(df, 10))
+    assert common.held_bytes(df.where("k < 0")) == 0
