@@ -244,10 +244,8 @@ def digests(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
-def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of every text of a block: hash, start and end byte of each, and the offsets of the texts in words."""
-    if lower:
-        buf = LOWER[buf]
+def word_bounds(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word of a block's texts, and the offsets of the texts in words."""
     inside = np.zeros(len(buf) + 1, bool)
     inside[:-1] = table[buf]
     begins = inside[:-1].copy()
@@ -260,8 +258,24 @@ def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, lower: bool) ->
     stops[1:] = inside[:-1]
     stops[1:] &= ~inside[1:]
     stops[cuts] |= inside[np.maximum(cuts - 1, 0)] & (cuts > 0)
-    ends = np.flatnonzero(stops)
-    return byte_hash(buf, starts, ends), starts, ends, np.searchsorted(starts, offs)
+    return starts, np.flatnonzero(stops), np.searchsorted(starts, offs)
+
+
+def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of every text of a block: hash, start and end byte of each, and the offsets of the texts in words."""
+    if lower:
+        buf = LOWER[buf]
+    starts, ends, at = word_bounds(buf, offs, table)
+    return byte_hash(buf, starts, ends), starts, ends, at
+
+
+def exact_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each range, equal for equal bytes only: by comparing bytes, not hashes."""
+    size = ends - starts
+    offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    data = np.ascontiguousarray(buf[ragged(starts, size)])
+    ranges = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offs), pa.py_buffer(data)])
+    return ranges.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
 def window_hash(values: np.ndarray, width: int) -> np.ndarray:

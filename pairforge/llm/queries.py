@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairforge.llm import decontaminate, fm_index, html_wrapper, kneser_ney, packing, pq_dedup, runlength_index, token_store, trie_join, warc
+from pairforge.llm import branch_merge, compression_rules, decontaminate, fm_index, html_wrapper, kneser_ney, merkle_manifest, packing, pq_dedup, runlength_index, token_store, trie_join, warc
 from pairforge.llm.common import small_batches
 from pairforge.llm.encoding import vocabulary
 from pairforge.llm.oracles import ORACLES  # noqa: F401
@@ -57,6 +57,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.report(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_rules.report(table(spark, sf_dir, "documents"))
+
+
+def op13_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return branch_merge.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_ids": op2_token_ids,
@@ -68,4 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_branch_merge": op13_branch_merge,
 }
