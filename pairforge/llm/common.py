@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import functools
 import hashlib
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -142,11 +143,39 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Keys the hashes of words and pieces; drawn once by the driver, so nobody can build words that agree.
+_SECRET = os.urandom(16)
+_MET: dict[bytes, int] = {}
+MOST_MET = 1 << 20  # words of at most 64 bytes that a worker remembers
+
+
+def use_secret(secret: bytes) -> None:
+    """Makes this worker hash words as the driver does."""
+    global _SECRET
+    if secret != _SECRET:
+        _SECRET = secret
+        _MET.clear()
+
+
+def word_hash(word: bytes) -> int:
+    """64 bits of a keyed cryptographic digest of a word."""
+    found = _MET.get(word)
+    if found is None:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_SECRET).digest(), "little")
+        if len(word) <= 64:
+            if len(_MET) >= MOST_MET:
+                _MET.clear()
+            _MET[word] = found
+    return found
+
+
 def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow that releases memory at its end."""
+    """A function for mapInArrow that hashes words with the driver's secret and releases memory at its end."""
+    secret = _SECRET
 
     @functools.wraps(task)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_secret(secret)
         try:
             yield from task(batches)
         finally:
@@ -262,20 +291,29 @@ def word_bounds(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[n
 
 
 def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of every text of a block: hash, start and end byte of each, and the offsets of the texts in words."""
+    """Words of every text of a block: keyed hash, start and end byte of each, and the offsets of the texts in words."""
     if lower:
         buf = LOWER[buf]
     starts, ends, at = word_bounds(buf, offs, table)
-    return byte_hash(buf, starts, ends), starts, ends, at
+    ids, distinct = encoded(buf, starts, ends)
+    return np.fromiter(map(word_hash, distinct), np.uint64, len(distinct))[ids], starts, ends, at
 
 
-def exact_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for each range, equal for equal bytes only: by comparing bytes, not hashes."""
+def encoded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each range, equal for equal bytes only, and the bytes that each number stands for: by comparing bytes, not hashes."""
     size = ends - starts
     offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    data = np.ascontiguousarray(buf[ragged(starts, size)])
-    ranges = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offs), pa.py_buffer(data)])
-    return ranges.dictionary_encode().indices.to_numpy().astype(np.int64)
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[starts] += 1  # ranges are disjoint, in order, and hold a byte at least
+    edge[ends] -= 1
+    data = np.ascontiguousarray(buf[np.cumsum(edge[:-1], dtype=np.int8).view(bool)])
+    ranges = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offs), pa.py_buffer(data)]).dictionary_encode()
+    return ranges.indices.to_numpy().astype(np.int64), ranges.dictionary.to_pylist()
+
+
+def exact_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each range, equal for equal bytes only."""
+    return encoded(buf, starts, ends)[0]
 
 
 def window_hash(values: np.ndarray, width: int) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Benchmark decontamination with a broadcast hash set of normalised test windows.
 
 The windows of the test items (`width` consecutive words; a shorter item is one window) are hashed on the driver and
-broadcast, in blocks of a checked size: a larger benchmark makes several narrow passes over the documents, never a
+broadcast under the run's own key, in blocks of a checked size: a larger benchmark makes several narrow passes over the documents, never a
 larger broadcast.  Every hit is verified byte by byte against the item before it counts.
 """
 
@@ -36,13 +36,24 @@ class Windows:
         for n in sorted({min(int(c), width) for c in counts if c}):
             takes = (counts >= width) if n == width else counts == n
             per = np.where(takes, counts - n + 1, 0)
-            first = ragged(at[:-1], per)
-            owner = np.repeat(np.arange(len(counts)), per)
-            if not len(first):
-                continue
-            keys, rep, back = np.unique(window_hash(hashes, n)[first], return_index=True, return_inverse=True)
-            pairs = np.unique(np.stack([back, owner]), axis=1)
-            self.tables.append((n, keys, first[rep], np.searchsorted(pairs[0], np.arange(len(keys) + 1)), np.asarray(item_ids, np.int64)[pairs[1]]))
+            first, owner = ragged(at[:-1], per), np.repeat(np.arange(len(counts)), per)
+            found = window_hash(hashes, n)
+            while len(first):  # once, unless different windows have one hash: then each is kept, table by table
+                keys, rep, back = np.unique(found[first], return_index=True, return_inverse=True)
+                same = self.equal(first[rep][back], self.bytes, starts, ends, first, n)
+                pairs = np.unique(np.stack([back[same], owner[same]]), axis=1)
+                self.tables.append((n, keys, first[rep], np.searchsorted(pairs[0], np.arange(len(keys) + 1)), np.asarray(item_ids, np.int64)[pairs[1]]))
+                first, owner = first[~same], owner[~same]
+
+    def equal(self, mine: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, theirs: np.ndarray, n: int) -> np.ndarray:
+        """Whether n words from each of `mine` are, byte by byte, those of another text from each of `theirs`."""
+        a, b = ragged(theirs, np.full(len(theirs), n)), ragged(mine, np.full(len(mine), n))
+        same = (ends - starts)[a] == (self.ends - self.starts)[b]
+        size = np.where(same, (ends - starts)[a], 0)
+        alike = low[ragged(starts[a], size)] == self.bytes[ragged(self.starts[b], size)]
+        wrong = np.zeros(len(a), np.int64)
+        np.add.at(wrong, np.repeat(np.arange(len(a)), size)[~alike], 1)
+        return (same & (wrong == 0)).reshape(-1, n).all(axis=1)
 
     def hits(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(words of each text as offsets, hit words, text of each found item, found items)."""
@@ -56,15 +67,8 @@ class Windows:
             pos = np.flatnonzero((keys[k] == found) & within(at, n, len(hashes)))
             if not len(pos):
                 continue
-            k = k[pos]
-            a, b = ragged(pos, np.full(len(pos), n)), ragged(rep[k], np.full(len(pos), n))
-            same = (ends - starts)[a] == (self.ends - self.starts)[b]
-            size = np.where(same, (ends - starts)[a], 0)
-            equal = low[ragged(starts[a], size)] == self.bytes[ragged(self.starts[b], size)]
-            wrong = np.zeros(len(a), np.int64)
-            np.add.at(wrong, np.repeat(np.arange(len(a)), size)[~equal], 1)
-            good = (same & (wrong == 0)).reshape(-1, n).all(axis=1)
-            pos, k = pos[good], k[good]
+            good = self.equal(rep[k[pos]], low, starts, ends, pos, n)
+            pos, k = pos[good], k[pos][good]
             np.add.at(hit, pos, 1)
             np.add.at(hit, pos + n, -1)
             doc = np.searchsorted(at, pos, "right") - 1

@@ -4,7 +4,7 @@ A text is cut where no token can span: before a single blank, or around a single
 characters known not to be white space, and between a letter and a punctuation mark.  Both supported pre-tokenisers start
 anew there, so the ids of the pieces, joined, are those of the text.  Texts of added tokens (<|endoftext|>) are single ids, as
 in the library: they are pieces of their own, and what stands between them is cut as texts are.  Pieces are hashed for a whole block at once; only those that this worker has not met
-are given to the tokenizers library.  A met piece is known by 128 bits of two hashes; one that shares only the first with another is
+are given to the tokenizers library.  A met piece is known by 128 bits of two hashes with seeds that each worker draws; one that shares only the first with another is
 encoded on its own.  The memory of met pieces is bounded and dropped when full.
 """
 
@@ -85,6 +85,7 @@ class Encoder:
         literals = sorted((t.content.encode() for t in added), key=len, reverse=True)
         self.added = re.compile(b"|".join(map(re.escape, literals))) if literals else None
         self.skip_blanks = skip_blanks
+        self.seeds = tuple(int.from_bytes(os.urandom(7), "little") for _ in range(2))
         self.clear()
 
     def clear(self) -> None:
@@ -147,7 +148,7 @@ class Encoder:
         if self.met > MOST_PIECES or self.used > MOST_IDS:
             self.clear()
         low = LOWER[buf] if self.skip_blanks else buf
-        hashes, checks = (byte_hash(low, starts, ends, seed) for seed in (1, 2))
+        hashes, checks = (byte_hash(low, starts, ends, seed) for seed in self.seeds)
         hashes[whole] ^= np.uint64(1)  # lower case may be that of other text
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         text_of = lambda at: [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]

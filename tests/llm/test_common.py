@@ -76,3 +76,38 @@ def test_broadcasts_are_judged_by_what_the_rows_take_in_memory(spark):
     assert hinted(common.small_side(df, 1 << 20))
     assert not hinted(common.small_side(df, 1 << 20, 1 << 20)) and not hinted(common.small_side(df, 10))
     assert common.held_bytes(df.where("k < 0")) == 0
+
+
+def test_words_are_told_apart_by_a_key_that_each_run_draws(spark):
+    """Words built to agree under a fixed chain of mixing steps; documents of one or the other neither link, nor repeat, nor lose hits."""
+    from pairforge.llm import decontaminate, fm_index, trie_join
+
+    one, two = "pwq1nw17rvaappda", "fr1b8c5g885a209g"
+    a, b = (np.frombuffer(x.encode(), np.uint8) for x in (one, two))
+    ends = np.array([16])
+    assert common.byte_hash(a, ends * 0, ends) == common.byte_hash(b, ends * 0, ends)
+    assert common.word_hash(one.encode()) != common.word_hash(two.encode())
+    before = common._SECRET
+    common.use_secret(b"another")
+    changed = common.word_hash(one.encode())
+    common.use_secret(before)
+    assert changed != common.word_hash(one.encode())
+    docs = spark.createDataFrame([(1, " ".join([one] * 31)), (2, " ".join([two] * 31)), (3, " ".join([one] * 13))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in trie_join.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    around = [f"x{k}" for k in range(30)]
+    texts = [(k, " ".join([*around[:15], w, *around[15:]])) for k, w in enumerate((one, two, one))]
+    assert {r.doc_id: r.n_removed for r in fm_index.report(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == {0: 0, 1: 0, 2: 31}
+    items = spark.createDataFrame([(1, " ".join([one] * 13)), (2, " ".join([two] * 13))], "item_id long, text string")
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.report(docs, items).collect()} == {1: (31, 1), 2: (31, 1), 3: (13, 1)}
+
+
+def test_workers_hash_as_the_driver_does(spark):
+    import pyarrow as pa
+
+    @common.lean
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([common.word_hash(w.encode()) % 2**62 for w in batch.column(0).to_pylist()])], names=["h"])
+
+    rows = spark.createDataFrame([(f"word{k}",) for k in range(50)], "w string").repartition(4)
+    assert {r.h for r in rows.mapInArrow(run, "h long").collect()} == {common.word_hash(b"word%d" % k) % 2**62 for k in range(50)}

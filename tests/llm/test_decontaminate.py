@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from pairforge.llm import decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -55,3 +57,15 @@ def test_odd_rows_blocks_and_removal(spark, odd_docs, odd_texts):
     assert cut[12] == " three four five" and cut[-6] is None
     assert decontaminate.report(odd_docs.limit(0), bench).collect() == []
     assert all(r[2] == 0 for r in map(tuple, decontaminate.report(odd_docs, bench.limit(0)).collect()))
+
+
+def test_every_window_of_one_hash_is_kept(spark, monkeypatch):
+    """Windows that agree in their hash are told apart by their bytes."""
+    monkeypatch.setattr(decontaminate, "window_hash", lambda values, n: np.zeros(max(len(values) - n + 1, 0), np.uint64))
+    texts = [" ".join(f"{w}{k}" for k in range(13)) for w in ("alpha", "beta", "gamma", "beta")]
+    items = decontaminate.Windows([1, 2, 3, 4], texts, 13)
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    at, hit, docs, found = items.hits(buf, offs)
+    assert np.diff(at).tolist() == [13] * 4 and hit.all()
+    assert sorted(zip(docs.tolist(), found.tolist(), strict=True)) == [(0, 1), (1, 2), (1, 4), (2, 3), (3, 2), (3, 4)]
