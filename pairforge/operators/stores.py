@@ -6,7 +6,7 @@ import json
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairforge.operators.identity import dense_ids
@@ -94,10 +94,14 @@ def clear_shards(spark: SparkSession, path: str, pattern: str = "shard-*") -> li
 
 
 def shard_order(shards: DataFrame) -> DataFrame:
-    """Shards (rank, world, start, length) by start, if they are one run's: equal worlds, each rank once, no gap; raises otherwise."""
-    s = shards.agg(F.countDistinct("world").alias("worlds"), F.max("world").alias("world"), F.count("*").alias("n"), F.countDistinct("rank").alias("ranks"), F.sum("length").alias("all"), F.max(F.col("start") + F.col("length")).alias("end")).first()
-    if s.worlds != 1 or s.n != s.world or s.ranks != s.world or s["all"] != s.end:
+    """Shards (rank, world, start, length) by start, if they are one run's: equal worlds, each rank once, no gap and no overlap; raises otherwise."""
+    before = F.coalesce(F.sum("length").over(Window.orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a shard
+    placed = shards.withColumn("_off", F.col("start") != before)
+    s = placed.agg(F.countDistinct("world").alias("worlds"), F.max("world").alias("world"), F.count("*").alias("n"), F.countDistinct("rank").alias("ranks"), F.count_if("_off").alias("off")).first()
+    if s.worlds != 1 or s.n != s.world or s.ranks != s.world:
         raise ValueError(f"{s.n} shards of {s.worlds} runs do not make one of {s.world}")
+    if s.off:
+        raise ValueError(f"{s.off} of {s.n} shards do not begin where the one before ends")
     return shards.orderBy("start")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions.shared import positions
+from pairforge.sources.quoted_csv import read_records
 
 DEFAULT_COLUMNS = {"uid": "primary_Accession", "protein": "protein_sequence", "text": "[final]text_caption", "pfam": "pfam_label"}
 MOST_CHARS = 10 << 20
@@ -14,22 +15,13 @@ MOST_CHARS = 10 << 20
 def read_pairs(spark: SparkSession, path: str, columns: dict[str, str] | None = None, subset: int = 0, most_chars: int = MOST_CHARS) -> DataFrame:
     """(row_idx, uid, protein, text, pfam) of a CSV with quoted commas, quotes and line ends.
 
-    Missing required columns raise, and so do cells of more than `most_chars` characters; pfam is optional and null where absent; empty cells are empty strings; subset > 0 keeps the
-    first rows in file order.  A CSV with line ends inside cells cannot be split, so each file is one partition and its rows are
-    numbered in order; files follow one another by name.
+    Missing required columns raise, and so do cells of more than `most_chars` characters; pfam is optional, null where absent or empty; other empty cells are empty strings; subset > 0 keeps the
+    first rows in file order.  Files are read by byte ranges, line ends inside cells or not; they follow one another by name.
     """
     names = {**DEFAULT_COLUMNS, **(columns or {})}
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, maxCharsPerColumn=most_chars, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    missing = [n for k, n in names.items() if k != "pfam" and n not in raw.columns]
-    if missing:
-        raise ValueError(f"{path} lacks the columns {missing}; it has {raw.columns}")
+    raw = read_records(spark, path, [names[k] for k in ("uid", "protein", "text")], (names["pfam"],), most_chars)
     col = lambda k: F.coalesce(F.col(f"`{names[k]}`"), F.lit("")).alias(k)
-    pfam = F.col(f"`{names['pfam']}`") if names["pfam"] in raw.columns else F.lit(None).cast("string")
-    rows = raw.select(F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_path").alias("_file"), col("uid"), col("protein"), col("text"), pfam.alias("pfam"))
-    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))  # one row a file
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = sizes.select("_file", (before - F.col("_first")).alias("_shift"))
-    out = rows.join(F.broadcast(shifts), "_file").select((F.col("_id") + F.col("_shift")).alias("row_idx"), "uid", "protein", "text", "pfam")
+    out = raw.select("row_idx", col("uid"), col("protein"), col("text"), F.nullif(F.col(f"`{names['pfam']}`"), F.lit("")).alias("pfam"))
     return out.where(F.col("row_idx") < subset) if subset > 0 else out
 
 
