@@ -17,14 +17,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from pairforge.functions.scalar import round_bf16
 from pairforge.functions.shared import positions
-from pairforge.operators.stores import shard_order
+from pairforge.operators.splits import shard_range
+from pairforge.operators.stores import clear_shards, shard_order
 
 NAME = "packed_tokens"
 FLAT = "item_id long, pos int, v array<float>"
@@ -70,6 +71,8 @@ class Slice(InputPartition):
     start: int  # the part's first item
     lo: int
     hi: int
+    kind: str
+    width: int
 
 
 def tiling(parts: Sequence[Part], first: int = 0) -> list[Part]:
@@ -125,9 +128,8 @@ class PackedReader(DataSourceReader):
             step = max(1, p["length"] if not p["tokens"] else int(p["length"] * self.slice_bytes / (p["tokens"] * size)))
             for lo, hi in self.wanted if self.wanted is not None else [(0, 1 << 62)]:
                 lo, hi = max(lo, p["start"]), min(hi, p["start"] + p["length"])
-                out += [Slice(p["name"], p["start"], k, min(k + step, hi)) for k in range(lo, hi, step)]
-        self.kind, self.width = manifest["kind"], manifest["width"]
-        return out or [Slice("", 0, 0, 0)]
+                out += [Slice(p["name"], p["start"], k, min(k + step, hi), manifest["kind"], manifest["width"]) for k in range(lo, hi, step)]
+        return out or [Slice("", 0, 0, 0, manifest["kind"], 0)]
 
     def _at(self, source: pa.NativeFile, start: int, size: int) -> bytes:
         self.bytes_read += size
@@ -138,7 +140,7 @@ class PackedReader(DataSourceReader):
         if partition.lo >= partition.hi:
             return
         fs, base = _fs(self.path)
-        kind, width = KINDS[self.kind], self.width
+        kind, width = KINDS[partition.kind], partition.width
         with fs.open_input_file(f"{base}/{partition.name}.off") as source:
             offs = np.frombuffer(self._at(source, 8 * (partition.lo - partition.start), 8 * (partition.hi - partition.lo + 1)), "<i8")
         per = max(1, BATCH_BYTES // max(1, 4 * width))  # tokens a batch
@@ -148,7 +150,7 @@ class PackedReader(DataSourceReader):
                 end = max(k + 1, int(np.searchsorted(offs, offs[k] + per, "right")) - 1)
                 n = int(offs[end] - offs[k])
                 raw = np.frombuffer(self._at(source, int(offs[k]) * width * kind.itemsize, n * width * kind.itemsize), kind) if n else np.zeros(0, kind)
-                values = (raw.astype(np.uint32) << np.uint32(16)).view(np.float32) if self.kind == "bf16" else raw
+                values = (raw.astype(np.uint32) << np.uint32(16)).view(np.float32) if partition.kind == "bf16" else raw
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values))
                 counts = np.diff(offs[k : end + 1])
                 items = np.arange(partition.lo + k, partition.lo + end)
@@ -269,6 +271,12 @@ def write(items: DataFrame, path: str, kind: str = "bf16", shard: tuple[int, int
     (out.option("shard", f"{shard[0]}/{shard[1]}") if shard else out).mode("append" if shard else "overwrite").save()
 
 
+def of_rank(n: int, rank: int, world: int) -> Column:
+    """Whether an item belongs to the rank's range of n items."""
+    start, length = shard_range(F.lit(n), world, F.lit(rank))
+    return (F.col("item_id") >= start) & (F.col("item_id") < start + length)
+
+
 def _shards(path: str) -> list[dict]:
     fs, base = _fs(path)
     found = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
@@ -293,6 +301,18 @@ def merge(spark: SparkSession, path: str) -> None:
     publish(path, there[0]["kind"], tiling([Part(**p) for s in there for p in s["parts"]]))
 
 
+def clear(spark: SparkSession, path: str) -> int:
+    """Deletes shards that were never merged, and parts that no store names: what a run of another size has left.  Returns how many files went."""
+    fs, base = _fs(path)
+    there = fs.get_file_info(f"{base}/{MANIFEST}").type != pafs.FileType.NotFound
+    named = {p["name"] for p in _read_json(fs, f"{base}/{MANIFEST}")["parts"]} if there else set()
+    gone = clear_shards(spark, path, "shard-*")
+    stray = {x.base_name.rsplit(".", 1)[0] for x in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if x.base_name.startswith("part-")} - named
+    for name in stray:
+        gone += clear_shards(spark, path, f"{name}.*")
+    return len(gone)
+
+
 def dense(items: DataFrame, order: str) -> DataFrame:
     """items with item_id, from 0 in `order` without gaps."""
     return positions(items, [order], name="item_id")
