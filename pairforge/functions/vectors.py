@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,6 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def mean_vector(df: DataFrame, v: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """(keys, mean, n): element-wise mean.  Elements are averaged by place with partial sums; no vector list is gathered."""
-    long = df.select(*keys, F.posexplode(v).alias("_d", "_x"))
-    by = long.groupBy(*keys, "_d").agg(F.avg("_x").alias("_m"), F.count("*").alias("_n"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_d", "_m"))), lambda s: s["_m"])
-    return by.groupBy(*keys).agg(ordered.alias("mean"), F.max("_n").alias("n"))
+    """(keys, mean, n): element-wise mean.  Vectors are summed as they are, in partial aggregates of one vector a task and key; null and empty ones do not count."""
+    some = df.where(F.size(v) > 0).select(*keys, array_to_vector(F.col(v).cast("array<double>")).alias("_v"))
+    return some.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("mean"), F.count("*").alias("n")).where("n > 0")

@@ -35,8 +35,8 @@ def block_matrix(left: list, right: list) -> np.ndarray:
     out = np.where((n[:, None] > 0) != (m[None, :] > 0), EMPTY / 2, 0.0)
     a, b = np.flatnonzero(n), np.flatnonzero(m)
     if len(a) and len(b):
-        x = np.array([v for i in a for v in left[i]], float)
-        y = np.array([v for i in b for v in right[i]], float)
+        x = np.concatenate([np.stack(left[i]) for i in a]).astype(float, copy=False)
+        y = np.concatenate([np.stack(right[i]) for i in b]).astype(float, copy=False)
         s = x @ y.T
         xs, ys = np.cumsum(n[a]) - n[a], np.cumsum(m[b]) - m[b]
         one = np.add.reduceat(np.maximum.reduceat(s, ys, axis=1), xs, axis=0) / n[a][:, None]

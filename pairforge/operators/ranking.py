@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions.shared import settled
 from pairforge.operators.maxsim import all_pairs
+from pairforge.operators.quantiles import quantiles
+
+SCORE_BINS = 256
 
 
 def ranks(left: DataFrame, right: DataFrame, relevant: str | None = None) -> DataFrame:
@@ -39,49 +42,59 @@ def ranks(left: DataFrame, right: DataFrame, relevant: str | None = None) -> Dat
     return best.join(counted, "q")
 
 
-def average_precisions(left: DataFrame, right: DataFrame, relevant: str) -> DataFrame:
+def average_precisions(left: DataFrame, right: DataFrame, relevant: str, bins: int = SCORE_BINS) -> DataFrame:
     """(q, ap): mean precision at the relevant candidates, by falling score and then by c.
 
-    Only relevant scores are kept, as one array a query and block; a second pass counts, for each of them, the candidates of a block that
-    stand above it, so what is kept grows with the relevant pairs, not with all.
+    A first pass counts each query's candidates, all and relevant, in bins of scores.  In a bin of relevant candidates alone the ranks
+    follow from the counts; only bins that hold both kinds are passed on pair by pair in a second pass and ranked there.  So a block gives at most `bins`
+    counts a query, and no row holds a query's scores.
     """
 
     def same(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
         return (x.q.to_numpy()[:, None] == y.c.to_numpy()[None, :]) | (x[relevant].to_numpy()[:, None] == y[relevant].to_numpy()[None, :])
 
+    def bin_of(s: np.ndarray) -> np.ndarray:
+        """0 for the highest scores; monotone, so that bins are in order."""
+        return np.clip(np.floor((1 - s) * (bins / 2)), 0, bins - 1).astype(np.int64)
+
     def first(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
-        rel, c = same(x, y), y.c.to_numpy()
-        return pd.DataFrame({"q": x.q, "scores": [s[i, m].tolist() for i, m in enumerate(rel)], "ids": [c[m].tolist() for m in rel]})
+        place = (bin_of(s) + bins * np.arange(len(x))[:, None]).ravel()
+        every, good = (np.bincount(place, w, minlength=bins * len(x)) for w in (None, same(x, y).ravel()))
+        at = np.flatnonzero(every)
+        return pd.DataFrame({"q": x.q.to_numpy()[at // bins], "bin": at % bins, "n": every[at], "m": good[at].astype(np.int64)})
 
-    each = all_pairs(left, right, first, "q long, scores array<double>, ids array<long>")
-    pairs = F.array_sort(F.arrays_zip(F.transform(F.flatten(F.collect_list("scores")), lambda x: -x).alias("m"), F.flatten(F.collect_list("ids")).alias("id")))
-    held = settled(each.groupBy("q").agg(pairs.alias("relevant_pairs")), "relevant")
+    counted = all_pairs(left, right, first, "q long, bin long, n long, m long").groupBy("q", "bin").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    before = Window.partitionBy("q").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most `bins` rows a query
+    above = {c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("n", "m")}
+    placed = settled(counted.withColumns({"n_above": above["n"], "m_above": above["m"]}).where("m > 0"), "score-bins")
+    mixed = placed.where("m < n").groupBy("q").agg(F.collect_set("bin").alias("mixed"))
 
     def second(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
-        c, above = y.c.to_numpy(), []
-        for i, wanted in enumerate(x.relevant_pairs):
-            m, ids = np.array([w["m"] for w in wanted]), np.array([w["id"] for w in wanted], np.int64)
-            order = np.lexsort((c, -s[i]))
-            keys, names = -s[i][order], c[order]
-            lo, hi = np.searchsorted(keys, m, "left"), np.searchsorted(keys, m, "right")
-            above.append([int(a + np.searchsorted(names[a:b], k, "right")) for a, b, k in zip(lo, hi, ids, strict=True)])
-        return pd.DataFrame({"q": x.q, "above": above})
-
-    counted = all_pairs(left.join(held, "q"), right, second, "q long, above array<long>")
-
-    def precision(pdf: pd.DataFrame) -> pd.DataFrame:
-        rank = np.sum(np.array(pdf.above.tolist(), np.int64), axis=0)
-        ap = float((np.arange(1, len(rank) + 1) / rank).sum() / max(1, len(rank))) if len(rank) else 0.0
-        return pd.DataFrame({"q": [pdf.q.iloc[0]], "ap": [ap]})
-
-    return counted.groupBy("q").applyInPandas(precision, "q long, ap double")
+        wanted = np.zeros((len(x), bins), bool)
+        for i, some in enumerate(x.mixed):
+            wanted[i, some] = True
+        place = bin_of(s)
+        i, j = np.nonzero(np.take_along_axis(wanted, place, 1))
+        return pd.DataFrame({"q": x.q.to_numpy()[i], "bin": place[i, j], "score": s[i, j], "c": y.c.to_numpy()[j], "rel": same(x, y)[i, j]})
+
+    pairs = all_pairs(left.join(mixed, "q"), right, second, "q long, bin long, score double, c long, rel boolean")
+    order = Window.partitionBy("q", "bin").orderBy(F.desc("score"), "c")
+    ranked = pairs.select("q", "bin", "rel", F.row_number().over(order).alias("r"), F.sum(F.col("rel").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("h")).where("rel")
+    some = ranked.join(placed.select("q", "bin", "n_above", "m_above"), ["q", "bin"]).groupBy("q").agg(F.sum((F.col("m_above") + F.col("h")) / (F.col("n_above") + F.col("r"))).alias("s"))
+    # relevant candidates alone: their places run on from those above
+    alone = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("m")), F.lit(0.0), lambda t, k: t + (F.col("m_above") + k) / (F.col("n_above") + k))
+    rest = placed.where("m = n").groupBy("q").agg(F.sum(alone).alias("s"))
+    total = placed.groupBy("q").agg(F.sum("m").alias("m"))
+    sums = some.unionByName(rest).groupBy("q").agg(F.sum("s").alias("s"))
+    return left.select("q").join(total.join(sums, "q"), "q", "left").select("q", F.coalesce(F.col("s") / F.col("m"), F.lit(0.0)).alias("ap"))
 
 
 def measures(left: DataFrame, right: DataFrame, relevant: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """One row: n, recall at each k up to the number of queries (r1, ...), the lower median rank, the mean best relevant score, mean average precision."""
     r = settled(ranks(left, right, relevant), "ranks")
     at = [F.when(F.count("*") >= k, F.avg((F.col("grouped") <= k).cast("double"))).alias(f"r{k}") for k in ks]
-    one = r.agg(F.count("*").alias("n"), *at, F.expr("percentile_disc(0.5) within group (order by grouped)").cast("long").alias("median_rank"), F.avg("best_pos").alias("best_pos"))
+    middle = quantiles(r, "grouped", [0.5], "lower")[0]
+    one = r.agg(F.count("*").alias("n"), *at, F.lit(middle).cast("long").alias("median_rank"), F.avg("best_pos").alias("best_pos"))
     return one.crossJoin(average_precisions(left, right, relevant).agg(F.avg("ap").alias("map")))  # one row each
 
 

@@ -9,6 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairforge.functions.shared import positions
 from pairforge.operators.identity import dense_ids
 
 FINGERPRINT = "rows long, uids long, items long, captions long, digest string, settings string"
@@ -21,8 +22,8 @@ def dimensions(pairs: DataFrame) -> dict[str, DataFrame]:
     texts = dense_ids(pairs, "text", "row_idx", "text_gid")
     return {
         "items": items.join(uids, "first").select("item_id", "protein", "uid"),
-        "row_map": pairs.join(items, "protein").select("row_idx", "item_id"),
-        "caption_ids": pairs.join(texts, "text").select("row_idx", "text_gid"),
+        "row_map": pairs.join(items, pairs.protein.eqNullSafe(items.protein)).select("row_idx", "item_id"),
+        "caption_ids": pairs.join(texts, pairs.text.eqNullSafe(texts.text)).select("row_idx", "text_gid"),
     }
 
 
@@ -111,12 +112,12 @@ def token_names(tokens: DataFrame, vocabulary: DataFrame, token_id: str = "token
     return tokens.join(names, token_id, "left").withColumn("token", F.coalesce("token", F.concat(F.lit("<"), F.col(token_id).cast("string"), F.lit(">"))))
 
 
-def with_labels(vocabulary: DataFrame, labels: list[str]) -> DataFrame:
-    """vocabulary (id, token) with the labels that it lacks, after its last id in the order given."""
-    known = {r.token for r in vocabulary.where(F.col("token").isin(labels)).select("token").collect()}  # at most as many as labels
-    after = vocabulary.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0] + 1
-    new = [(after + k, x) for k, x in enumerate(x for x in dict.fromkeys(labels) if x not in known)]
-    return vocabulary.select("id", "token").union(vocabulary.sparkSession.createDataFrame(new, "id long, token string"))
+def with_labels(vocabulary: DataFrame, labels: DataFrame, order: str) -> DataFrame:
+    """vocabulary (id, token) with the labels (label, and an order) that it lacks, after its last id in that order; repeated labels count once."""
+    firsts = labels.groupBy("label").agg(F.min(order).alias("_first"))
+    new = positions(firsts.join(vocabulary.select(F.col("token").alias("label")), "label", "left_anti"), ["_first", "label"], name="_k")
+    last = vocabulary.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_last"))
+    return vocabulary.select("id", "token").unionByName(new.crossJoin(F.broadcast(last)).select((F.col("_last") + 1 + F.col("_k")).alias("id"), F.col("label").alias("token")))
 
 
 def resolve(defaults: Mapping[str, str], required: tuple[str, ...] = (), prefix: str = "PAIRFORGE_", environment: Mapping[str, str] | None = None) -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairforge.functions.shared import keyed_hash, positions, sql_hash
@@ -75,7 +76,7 @@ def dense_group_ids(spark, sf):
     d = doc(spark, sf).select("row_idx", "uid", F.md5("text").alias("h"))
     u = identity.dense_ids(d, "uid", "row_idx", "uid_gid").select("uid", "uid_gid")
     t = identity.dense_ids(d, "h", "row_idx", "text_gid").select("h", "text_gid")
-    return d.join(u, "uid").join(t, "h").select("row_idx", "uid_gid", "text_gid")
+    return d.join(u, d.uid.eqNullSafe(u.uid)).join(t, d.h.eqNullSafe(t.h)).select("row_idx", "uid_gid", "text_gid")
 
 
 @query(D + "SELECT uid, min(row_idx) AS row_idx, arg_min(protein, row_idx) AS protein FROM doc GROUP BY uid")
@@ -230,13 +231,12 @@ v AS (SELECT *, CASE WHEN token IN {tuple(SPECIALS + FIELD_LABELS)!r} THEN 0 ELS
 w AS (SELECT *, sum(valid) OVER (PARTITION BY item_id ORDER BY i) - 1 AS o FROM v)
 SELECT item_id, i AS index, token, CAST(valid AS INTEGER) AS valid, CAST(CASE WHEN valid = 1 AND o < 32 THEN o ELSE -1 END AS BIGINT) AS plot_index FROM w""")
 def token_plot_index(spark, sf):
-    # places and running counts inside each row's array: no shuffle
-    b = table(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("t"))
-    b = b.withColumn("ok", F.transform("t", lambda x: F.when(x.isin(SPECIALS + FIELD_LABELS), 0).otherwise(1)))
-    each = b.select("item_id", "ok", F.posexplode("t").alias("i", "token"))
-    before = F.aggregate(F.slice("ok", F.lit(1), F.col("i")), F.lit(0), lambda s, x: s + x)
-    valid = F.element_at("ok", F.col("i") + 1)
-    return each.select("item_id", F.col("i").cast("long").alias("index"), "token", valid.alias("valid"), F.when((valid == 1) & (before < 32), before).otherwise(-1).cast("long").alias("plot_index"))
+    # a running count in each item's order; its state is one number, however long the text
+    b = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("i", "token"))
+    b = b.withColumn("valid", F.when(F.col("token").isin(SPECIALS + FIELD_LABELS), 0).otherwise(1))
+    place = F.sum("valid").over(Window.partitionBy("item_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    b = b.withColumn("place", place)
+    return b.select("item_id", F.col("i").cast("long").alias("index"), "token", "valid", F.when((F.col("valid") == 1) & (F.col("place") < 32), F.col("place")).otherwise(-1).cast("long").alias("plot_index"))
 
 
 @query(D + "SELECT row_idx, len(target) AS n_target, len(t) < 128 AS has_eos, len(t) > 128 AS truncated, list_last(target) AS last_token FROM (SELECT row_idx, t, CASE WHEN len(t) < 128 THEN list_append(t, '<eos>') ELSE list_slice(t, 1, 128) END AS target FROM (SELECT row_idx, string_split(text, ' ') AS t FROM doc))")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.shared import rounded, settled, sql_hash
 from pairforge.operators import maxsim, ranking, splits
+from pairforge.operators.quantiles import quantiles
 from pairforge.plans.base import PAIR, pairs, query, with_
 from pairforge.plans.tokens import CELL, HASHED, MEAN, RECON, UNIFORM, R, cells, reconstruction, uniformity
 
@@ -276,9 +277,10 @@ BELOW = [0.1, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5]
 
 @query(with_(COV) + "SELECT " + ", ".join(f"{R(f'avg(CASE WHEN cov < {t} THEN 1.0::DOUBLE ELSE 0 END)')} AS below_{n}" for n, t in enumerate(BELOW)) + ", " + ", ".join(f"{R(f'quantile_cont(cov, {p})')} AS p{int(100 * p)}" for p in (0.1, 0.5, 0.9)) + f", {R('avg(1.0::DOUBLE / 4)')} AS mean_inverse_length FROM cov")
 def coverage_profile(spark, sf):
-    cov = attention(spark, sf).groupBy("k", "j").agg(F.max("a").alias("cov"))
+    cov = settled(attention(spark, sf).groupBy("k", "j").agg(F.max("a").alias("cov")), "coverage")
     below = [rounded(F.avg((F.col("cov") < t).cast("double"))).alias(f"below_{n}") for n, t in enumerate(BELOW)]
-    at = [rounded(F.percentile("cov", F.lit(p))).alias(f"p{int(100 * p)}") for p in (0.1, 0.5, 0.9)]
+    shares = (0.1, 0.5, 0.9)
+    at = [rounded(F.lit(x).cast("double")).alias(f"p{int(100 * p)}") for p, x in zip(shares, quantiles(cov, "cov", list(shares)), strict=True)]
     return cov.agg(*below, *at, rounded(F.avg(F.lit(0.25))).alias("mean_inverse_length"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairforge.functions import scalar
-from pairforge.functions.shared import keyed_hash, rounded, sql_hash
+from pairforge.functions.shared import keyed_hash, rounded, shared_base, sql_hash
 from pairforge.plans.base import SEQ, events, query, table, with_
 from pairforge.plans.tokens import R
 
@@ -158,42 +160,69 @@ def direction_augment(spark, sf):
 
 # schedules and headers
 
-STEPS, WARM, TOTAL, BASE = 2000, 100, 1500, 3e-4
+WARM, TOTAL, BASE = 100, 1500, 3e-4
+#: The step at which each record of a run's log was written.
+STEP = "doc_id * 7 % 2003"
+
+
+def steps(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.expr(STEP).alias("s"))
+
+
+def cosine_rate(step, base: float, warm: int, total: int):
+    """A straight rise over `warm` steps, then half a cosine down to nothing at `total`."""
+    return F.when(step < warm, base * (step + 1) / warm).otherwise(base * 0.5 * (1 + F.cos(F.pi() * F.least(F.lit(1.0), (step - warm) / float(total - warm)))))
 
 
-@query(f"SELECT s AS step, round(CASE WHEN s < {WARM} THEN {BASE} * (s + 1) / {WARM} ELSE {BASE} * 0.5 * (1 + cos(pi() * least(1.0, (s - {WARM})::DOUBLE / {TOTAL - WARM}))) END, 12) AS lr FROM range({STEPS}) r(s)")
+def ramp(step, weight: float, start: int, rise: int):
+    """Nothing before `start`, then a straight rise over `rise` steps, at once where there are none."""
+    return F.when(step < start, 0.0).otherwise(weight * F.least(F.lit(1.0), (step - start) / float(rise)) if rise else F.lit(weight))
+
+
+@query(f"SELECT doc_id, s AS step, round(CASE WHEN s < {WARM} THEN {BASE} * (s + 1) / {WARM} ELSE {BASE} * 0.5 * (1 + cos(pi() * least(1.0, (s - {WARM})::DOUBLE / {TOTAL - WARM}))) END, 12) AS lr FROM (SELECT doc_id, {STEP} AS s FROM documents)")
 def lr_schedule(spark, sf):
-    s = F.col("id")
-    rate = F.when(s < WARM, BASE * (s + 1) / WARM).otherwise(BASE * 0.5 * (1 + F.cos(F.pi() * F.least(F.lit(1.0), (s - WARM) / float(TOTAL - WARM)))))
-    return spark.range(STEPS).select(s.alias("step"), F.round(rate, 12).alias("lr"))
+    """The rate at which each logged step of a run was made."""
+    return steps(spark, sf).select("doc_id", F.col("s").alias("step"), F.round(cosine_rate(F.col("s"), BASE, WARM, TOTAL), 12).alias("lr"))
 
 
-@query(f"SELECT s AS step, {R('CASE WHEN s < 300 THEN 0.0 ELSE 0.7 * least(1.0, (s - 300)::DOUBLE / 600) END')} AS weight, {R('CASE WHEN s < 300 THEN 0.0 ELSE 0.7 END')} AS at_once FROM range({STEPS}) r(s)")
+@query(f"SELECT doc_id, s AS step, {R('CASE WHEN s < 300 THEN 0.0 ELSE 0.7 * least(1.0, (s - 300)::DOUBLE / 600) END')} AS weight, {R('CASE WHEN s < 300 THEN 0.0 ELSE 0.7 END')} AS at_once FROM (SELECT doc_id, {STEP} AS s FROM documents)")
 def decoy_ramp(spark, sf):
     """Zero, then a straight rise, then the weight; at once where the rise takes no time."""
-    s = F.col("id")
-    ramp = F.when(s < 300, 0.0).otherwise(0.7 * F.least(F.lit(1.0), (s - 300) / 600.0))
-    return spark.range(STEPS).select(s.alias("step"), rounded(ramp).alias("weight"), rounded(F.when(s < 300, 0.0).otherwise(0.7)).alias("at_once"))
+    s = F.col("s")
+    return steps(spark, sf).select("doc_id", s.alias("step"), rounded(ramp(s, 0.7, 300, 600)).alias("weight"), rounded(ramp(s, 0.7, 300, 0)).alias("at_once"))
+
+
+#: Settings of one run a language and source: a label list in some order, a length, a type that some lack.
+RUN_SQL = """runs AS (SELECT coalesce(lang, '') || '|' || coalesce(source, '') AS name, CASE WHEN min(doc_id) % 4 = 3 THEN NULL WHEN max(doc_id) % 3 = 0 THEN 512 ELSE 1024 END AS max_len, CASE WHEN count(*) % 5 = 0 THEN NULL ELSE 'bf16' END AS dtype,
+CASE count(*) % 3 WHEN 0 THEN 'B:,A:' WHEN 1 THEN 'A:,B:' ELSE 'A:' END AS labels FROM documents GROUP BY 1)"""
 
 
-HEADERS = [("same", 1024, "bf16", "A:,B:"), ("order", 1024, "bf16", "B:,A:"), ("length", 512, "bf16", "A:,B:"), ("missing", 1024, None, "A:,B:"), ("empty", None, None, None)]
-HEADER_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in h) + ")" for h in HEADERS) + ") h(name, max_len, dtype, labels)"
+def runs(spark, sf):
+    """(name, max_len, dtype, labels): the settings that stores of several runs were made with, saved beside each and read again."""
+    n, first, last = F.count("*"), F.min("doc_id"), F.max("doc_id")
+    name = F.concat_ws("|", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
+    made = table(spark, sf, "documents").groupBy(name.alias("name")).agg(
+        F.when(first % 4 == 3, F.lit(None)).when(last % 3 == 0, F.lit(512)).otherwise(F.lit(1024)).cast("long").alias("max_len"),
+        F.when(n % 5 == 0, F.lit(None)).otherwise(F.lit("bf16")).alias("dtype"),
+        F.when(n % 3 == 0, "B:,A:").when(n % 3 == 1, "A:,B:").otherwise("A:").alias("labels"),
+    )
+    path = f"{shared_base(spark)}/runs-{uuid.uuid4().hex}"
+    made.write.json(path)
+    return spark.read.schema("name string, max_len long, dtype string, labels string").json(path)
 
 
-@query(f"SELECT name, coalesce(max_len = 1024, FALSE) AND coalesce(dtype = 'bf16', FALSE) AND coalesce(list_sort(string_split(labels, ',')) = ['A:', 'B:'], FALSE) AS matches FROM {HEADER_SQL}")
+@query(with_(RUN_SQL) + "SELECT name, coalesce(max_len = 1024, FALSE) AND coalesce(dtype = 'bf16', FALSE) AND coalesce(list_sort(string_split(labels, ',')) = ['A:', 'B:'], FALSE) AS matches FROM runs")
 def fingerprint_match(spark, sf):
-    """Every expected field must be there and equal; label lists match in any order; an empty header never does."""
-    h = spark.createDataFrame(HEADERS, "name string, max_len long, dtype string, labels string")
+    """Every expected field must be there and equal; label lists match in any order."""
     mine = F.struct("max_len", "dtype", F.array_sort(F.split("labels", ",")).alias("labels"))
     want = F.struct(F.lit(1024).cast("long").alias("max_len"), F.lit("bf16").alias("dtype"), F.array(F.lit("A:"), F.lit("B:")).alias("labels"))
-    return h.select("name", mine.eqNullSafe(want).alias("matches"))
+    return runs(spark, sf).select("name", mine.eqNullSafe(want).alias("matches"))
 
 
-@query(f"SELECT name, array_to_string(list_filter([CASE WHEN dtype IS DISTINCT FROM 'bf16' THEN 'dtype' END, CASE WHEN labels IS DISTINCT FROM 'A:,B:' THEN 'labels' END, CASE WHEN max_len IS DISTINCT FROM 1024 THEN 'max_len' END], lambda x: x IS NOT NULL), ',') AS differing FROM {HEADER_SQL}")
+@query(with_(RUN_SQL) + "SELECT name, array_to_string(list_filter([CASE WHEN dtype IS DISTINCT FROM 'bf16' THEN 'dtype' END, CASE WHEN labels IS DISTINCT FROM 'A:,B:' THEN 'labels' END, CASE WHEN max_len IS DISTINCT FROM 1024 THEN 'max_len' END], lambda x: x IS NOT NULL), ',') AS differing FROM runs")
 def config_diff(spark, sf):
     """Names of the fields that differ, in order."""
-    h = spark.createDataFrame([(a, None if b is None else str(b), c, d) for a, b, c, d in HEADERS], "name string, max_len string, dtype string, labels string")
-    have = F.create_map(F.lit("max_len"), "max_len", F.lit("dtype"), "dtype", F.lit("labels"), "labels")
+    have = F.create_map(F.lit("max_len"), F.col("max_len").cast("string"), F.lit("dtype"), "dtype", F.lit("labels"), "labels")
     want = F.create_map(F.lit("max_len"), F.lit("1024"), F.lit("dtype"), F.lit("bf16"), F.lit("labels"), F.lit("A:,B:"))
     diff = F.map_filter(F.map_zip_with(have, want, lambda k, a, b: ~a.eqNullSafe(b)), lambda k, v: v)
-    return h.select("name", F.array_join(F.array_sort(F.map_keys(diff)), ",").alias("differing"))
+    return runs(spark, sf).select("name", F.array_join(F.array_sort(F.map_keys(diff)), ",").alias("differing"))

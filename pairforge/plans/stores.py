@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from pairforge.functions.scalar import bf16
-from pairforge.functions.shared import rounded, shared_base, sql_hash
+from pairforge.functions.shared import positions, rounded, shared_base, sql_hash
 from pairforge.operators import geometry, roundtrip, stores
 from pairforge.plans.base import DOC, PAIR, TOK, doc, events, pairs, query, table, tok, with_
 from pairforge.plans.retrieval import AP, BACK, CAND, MARGIN, PANEL, RANKS, margins
@@ -76,10 +76,17 @@ def token_names(spark, sf):
     return stores.token_names(ids, vocabulary(spark)).select("event_id", "token_id", "token")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, '{n}')" for k, n in enumerate([*NAMES, "NAME:", "TYPE:"])) + ") v(id, token)")
+WORDS = "words AS (SELECT w AS token, row_number() OVER (ORDER BY w) - 1 AS id FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part))"
+NEW = "new AS (SELECT label, row_number() OVER (ORDER BY first) - 1 AS k FROM (SELECT upper(p_brand) || ':' AS label, min(p_partkey) AS first FROM part GROUP BY 1) WHERE label NOT IN (SELECT token FROM words))"
+
+
+@query(with_(WORDS, NEW) + "SELECT id, token FROM words UNION ALL SELECT (SELECT max(id) FROM words) + 1 + k, label FROM new")
 def label_tokens(spark, sf):
-    """Labels that the vocabulary lacks follow its last id; those that it has keep theirs."""
-    return stores.with_labels(vocabulary(spark), ["NAME:", "mask", "TYPE:", "NAME:"])
+    """The parts' words as a vocabulary, and their brands as field labels: those that it lacks follow its last id in the order in which they appear."""
+    p = table(spark, sf, "part")
+    words = positions(p.select(F.explode(F.split("p_name", " ")).alias("token")).distinct(), ["token"], name="id")
+    labels = p.groupBy(F.concat(F.upper("p_brand"), F.lit(":")).alias("label")).agg(F.min("p_partkey").alias("first"))
+    return stores.with_labels(words, labels, "first")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) || '|' || strftime(ts, '%Y-%m-%d') AS seq, count(*) AS n, TRUE AS same_length, TRUE AS known_tokens, TRUE AS within_share FROM events GROUP BY 1")

@@ -249,7 +249,8 @@ def test_shards_of_an_earlier_run(spark, tmp_path):
 
 def test_token_names_and_settings(spark):
     vocabulary = spark.createDataFrame([(0, "end"), (1, "soup")], "id long, token string")
-    more = stores.with_labels(vocabulary, ["DISH:", "soup", "DISH:", "ORIGIN:"])
+    labels = spark.createDataFrame([("ORIGIN:", 9), ("DISH:", 1), ("soup", 2), ("DISH:", 4)], "label string, at int")
+    more = stores.with_labels(vocabulary, labels, "at")
     assert sorted(tuple(r) for r in more.collect()) == [(0, "end"), (1, "soup"), (2, "DISH:"), (3, "ORIGIN:")]
     tokens = spark.createDataFrame([(0, 1), (1, 2), (2, 77)], "pos int, token_id long")
     assert [r.token for r in stores.token_names(tokens, more).orderBy("pos").collect()] == ["soup", "DISH:", "<77>"]
