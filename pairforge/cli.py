@@ -11,6 +11,14 @@
   diagnose STORE            how spread out the tokens are, raw and without their mean
   roundtrip RECORDS OUT     generated targets against their sources: metrics, pairs and, with --proteins, sequences
   generated CANDIDATES OUT  the best candidate of each accession and replicate as CSV
+  pack STORE OUT            the token store as packed files of each side (--kind bf16 or f32), read by byte ranges
+  live CSV OUT              both sides encoded straight into packed files, --world ranges one after the other (or --rank alone); ranges that are
+                            there are passed over, and when all are they are merged; with --weights through the model's projection heads
+  score RECORDS OUT         round-trip records with pseudo-perplexities of the generated and true targets (--scorer module:factory, --passes)
+  ablate LOSSES             token losses (condition, seq, loss) with, with another row's and without a memory: what its presence and content gain
+  settings                  the paths that the environment names (PAIRFORGE_CSV, _STORE, _MERGED, _WEIGHTS), and whether they are there
+
+A path written @csv, @store, @merged or @weights stands for the one that the environment names.
 """
 
 from __future__ import annotations
@@ -23,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions.vectors import dot, l2_normalize, mean_vector
-from pairforge.operators import captions, encode, geometry, identity, ranking, roundtrip, splits, stores
-from pairforge.sources import readers, sinks
+from pairforge.operators import ablation, captions, encode, geometry, identity, ranking, roundtrip, splits, stores, weights
+from pairforge.sources import packed, readers, sinks
 
 SIDES = ("protein", "text")
 
@@ -53,6 +61,61 @@ def means(spark: SparkSession, store: str) -> DataFrame:
     return mean_vector(spark.read.parquet(store).withColumn("v", F.col("v").cast("array<double>")), "v", ["modality"])
 
 
+def pack(spark: SparkSession, store: str, out: str, kind: str = "bf16") -> None:
+    """A side's items count from 0 to the store's last; those without tokens have none."""
+    rows = spark.read.parquet(store)
+    last = rows.agg(F.max("item_id")).first()[0]
+    for side in SIDES:
+        nested = rows.where(F.col("modality") == side).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("tokens"))
+        every = spark.range(0 if last is None else last + 1).withColumnRenamed("id", "item_id")
+        packed.write(every.join(nested, "item_id", "left"), f"{out}/{side}", kind)
+
+
+def live(spark: SparkSession, csv: str, out: str, world: int, rank: int | None = None, encoder: str | None = None, model: str | None = None, kind: str = "bf16", subset: int = 0) -> list[str]:
+    """Encodes each side of the CSV into packed files, a range of rows after the other; returns the sides that are whole.
+
+    A run that broke off is started again with the same `world` and writes what is missing; after one with another world the folders are to be cleared.
+    """
+    pairs = readers.read_pairs(spark, csv, subset=subset)
+    n, done = pairs.count(), []
+    for side in SIDES:
+        path = f"{out}/{side}"
+        for k in packed.missing(path, world):
+            if rank is None or k == rank:
+                mine = pairs.select(F.col("row_idx").alias("item_id"), side).where(packed.of_rank(n, k, world))
+                rows = encode.encode(mine, side, _factory(encoder))
+                if model:
+                    rows = weights.project(rows, "tokens", model, f"{side}_proj").drop("tokens").withColumnRenamed("z", "tokens")
+                packed.write(rows.select("item_id", "tokens"), path, kind, (k, world))
+        if not packed.missing(path, world):
+            packed.merge(spark, path)
+            done.append(side)
+    return done
+
+
+def score(spark: SparkSession, records: str, out: str, scorer: str | None = None, passes: int = 8) -> None:
+    """Adds pppl_gen and pppl_true, letters being the tokens; not a number where there are none."""
+    rows = spark.read.parquet(records)
+    factory = _factory(scorer) if scorer else lambda: encode.counting_scorer(26)
+    for name, target in (("pppl_gen", "gen_target"), ("pppl_true", "true_target")):
+        letters = rows.select("row_idx", F.filter(F.split(F.upper(target), ""), lambda x: x.rlike("[A-Z]")).alias("t"))
+        found = encode.pseudo_perplexity(letters, "row_idx", "t", factory, passes).select("row_idx", F.col("pppl").alias(name))
+        rows = rows.drop(name).join(found, "row_idx", "left")
+    rows.write.mode("overwrite").parquet(out)
+
+
+PATHS = ("csv", "store", "merged", "weights")
+
+
+def settings() -> dict[str, str]:
+    return stores.resolve(dict.fromkeys(PATHS, ""))
+
+
+def named(path: str) -> str:
+    """A path as given, or the one that the environment names for @name."""
+    return stores.resolve({path[1:]: ""}, (path[1:],))[path[1:]] if path.startswith("@") else path
+
+
 def group_splits(spark: SparkSession, csv: str, seed: int, ratios: tuple[float, float]) -> DataFrame:
     pairs = readers.read_pairs(spark, csv).withColumn("h", F.md5("text"))
     return splits.split_by_group(identity.connected_components(pairs, "row_idx", ["uid", "h"]), "row_idx", "root", seed, ratios)
@@ -116,14 +179,15 @@ def export(spark: SparkSession, store: str, out: str, merged: str | None = None)
     tokens = spark.read.parquet(store).withColumn("v", l2_normalize(F.col("v").cast("array<double>")))
     mean_vector(tokens, "v", ["modality", "item_id"]).write.mode("overwrite").parquet(out + "/pooled")
     if merged:
+        stores.require(spark, merged)
         spark.read.parquet(merged + "/items").select("item_id", "uid").write.mode("overwrite").parquet(out + "/accessions")
         spark.read.parquet(merged + "/row_map").write.mode("overwrite").parquet(out + "/rows")
 
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("command", choices=["encode", "merge", "means", "splits", "decoys", "evaluate", "inspect", "export", "diagnose", "roundtrip", "generated"])
-    p.add_argument("paths", nargs="+")
+    p.add_argument("command", choices=["encode", "merge", "means", "splits", "decoys", "evaluate", "inspect", "export", "diagnose", "roundtrip", "generated", "pack", "live", "score", "ablate", "settings"])
+    p.add_argument("paths", nargs="*", type=named)
     p.add_argument("--encoder")
     p.add_argument("--subset", type=int, default=0)
     p.add_argument("--seed", type=int, default=13)
@@ -133,6 +197,12 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--force", action="store_true")
     p.add_argument("--proteins", action="store_true")
     p.add_argument("--probe", type=int, default=256)
+    p.add_argument("--kind", default="bf16")
+    p.add_argument("--world", type=int, default=1)
+    p.add_argument("--rank", type=int)
+    p.add_argument("--weights", type=named)
+    p.add_argument("--scorer")
+    p.add_argument("--passes", type=int, default=8)
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("pairforge").getOrCreate()
     ratios = (0.9, 0.05)
@@ -172,6 +242,17 @@ def main(args: list[str] | None = None) -> int:
         print(json.dumps(roundtrip.write(spark.read.parquet(a.paths[0]), a.paths[1], proteins=a.proteins)))
     elif a.command == "generated":
         sinks.write_report(roundtrip.generated_set(spark.read.parquet(a.paths[0])).orderBy("accession", "replicate"), a.paths[1], ",")
+    elif a.command == "pack":
+        pack(spark, *a.paths, kind=a.kind)
+    elif a.command == "live":
+        print(json.dumps(live(spark, *a.paths, world=a.world, rank=a.rank, encoder=a.encoder, model=a.weights, kind=a.kind, subset=a.subset)))
+    elif a.command == "score":
+        score(spark, *a.paths, scorer=a.scorer, passes=a.passes)
+    elif a.command == "ablate":
+        print(json.dumps(ablation.decomposition(spark.read.parquet(a.paths[0])).first().asDict()))
+    elif a.command == "settings":
+        for name, path in settings().items():
+            print(json.dumps({"name": name, "path": path, "there": bool(path) and readers.exists(spark, path)}))
     return 0
 
 

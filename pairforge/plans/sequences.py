@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import scalar
 from pairforge.functions.shared import keyed_hash, rounded, shared_base, sql_hash
+from pairforge.operators import ablation
 from pairforge.plans.base import SEQ, events, query, table, with_
 from pairforge.plans.tokens import R
 
@@ -59,13 +60,10 @@ GAINS = f"SELECT {R('off - shuffled')} AS presence, {R('shuffled - cond')} AS co
 @query(S + f", m AS (SELECT avg(value / 100) FILTER (WHERE event_id % 3 = 0) AS cond, avg(value / 100) FILTER (WHERE event_id % 3 = 1) AS shuffled, avg(value / 100) FILTER (WHERE event_id % 3 = 2) AS off FROM events) {GAINS} FROM m")
 def ce_decomposition(spark, sf):
     """Gain from a memory's presence and from its content, from mean losses under three conditions."""
-    e = table(spark, sf, "events")
-    mean = lambda k: F.avg(F.when(F.col("event_id") % 3 == k, F.col("value") / 100))
-    m = e.agg(mean(0).alias("cond"), mean(1).alias("shuffled"), mean(2).alias("off"))
-    content = F.col("shuffled") - F.col("cond")
-    verdict = F.when(F.abs(content) < 0.02, "none").when(F.abs(content) < 0.05, "weak").when(F.abs(content) < 0.15, "moderate").otherwise("strong")
-    total = F.col("off") - F.col("cond")
-    return m.select(rounded(F.col("off") - F.col("shuffled")).alias("presence"), rounded(content).alias("content"), rounded(total).alias("total"), rounded((F.col("off") - F.col("shuffled")) / total).alias("presence_share"), verdict.alias("verdict"))
+    condition = F.when(F.col("event_id") % 3 == 0, "conditioned").when(F.col("event_id") % 3 == 1, "shuffled").otherwise("off")
+    e = table(spark, sf, "events").select(condition.alias("condition"), F.col("user_id").alias("seq"), (F.col("value") / 100).alias("loss"))
+    d = ablation.decomposition(e)
+    return d.select(*(rounded(F.col(c)).alias(c) for c in ("presence", "content", "total", "presence_share")), "verdict")
 
 
 POLICY = "policy AS (SELECT seq, p, logp, logp * 0.9 - 0.01 AS ref, p % 4 <> 3 AS valid, avg(logp) OVER (PARTITION BY seq) AS adv FROM ev)"

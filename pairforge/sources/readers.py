@@ -36,13 +36,15 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return positions(firsts, ["_at"], name="ord").select("ord", "id")
 
 
-def read_sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON sidecar under a stated schema; a missing file is an empty table."""
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs
     where = hadoop.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON sidecar under a stated schema; a missing file is an empty table."""
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def read_tokens(spark: SparkSession, path: str, modality: str, item: int | None = None) -> DataFrame:
