@@ -143,10 +143,8 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-#: Keys the hashes of words and pieces; drawn once by the driver, so nobody can build words that agree.
+#: Keys the hashes of words; drawn once by the driver, so nobody can build words that agree.
 _SECRET = os.urandom(16)
-_MET: dict[bytes, int] = {}
-MOST_MET = 1 << 20  # words of at most 64 bytes that a worker remembers
 
 
 def use_secret(secret: bytes) -> None:
@@ -154,19 +152,13 @@ def use_secret(secret: bytes) -> None:
     global _SECRET
     if secret != _SECRET:
         _SECRET = secret
-        _MET.clear()
+        _word_keys.cache_clear()
 
 
-def word_hash(word: bytes) -> int:
-    """64 bits of a keyed cryptographic digest of a word."""
-    found = _MET.get(word)
-    if found is None:
-        found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_SECRET).digest(), "little")
-        if len(word) <= 64:
-            if len(_MET) >= MOST_MET:
-                _MET.clear()
-            _MET[word] = found
-    return found
+@functools.lru_cache(1)
+def _word_keys() -> np.ndarray:
+    """Four rows of random factors, one for each eight bytes of a short range and two more."""
+    return np.frombuffer(hashlib.shake_256(_SECRET).digest(32 * (LONG // 8 + 2)), "<u8").reshape(4, -1)
 
 
 def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -257,6 +249,33 @@ def byte_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int =
     return out
 
 
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of a keyed hash of each range's bytes.
+
+    Twice the upper half of a sum of random factors times 32-bit pieces of the range, and its size: any two different ranges, chosen without
+    knowing the factors, agree with probability 2**-64.  Longer ranges get a keyed cryptographic digest.
+    """
+    size = ends - starts
+    keys = _word_keys()
+    low, high = np.uint64(0xFFFFFFFF), np.uint64(32)
+    one, two = (size.astype(np.uint64) * keys[k, -1] + keys[k, -2] for k in (0, 2))
+    eight = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), 0, (1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, k = starts[live], size[live], 0
+    while len(live):
+        x = eight[at] & KEEP[np.minimum(left, 8)]
+        y, x = x >> high, x & low
+        one[live] += x * keys[0, k] + y * keys[1, k]
+        two[live] += x * keys[2, k] + y * keys[3, k]
+        on = left > 8
+        live, at, left, k = live[on], at[on] + 8, left[on] - 8, k + 1
+    out = (one & ~low) | (two >> high)
+    for k in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(np.ascontiguousarray(buf[starts[k] : ends[k]]), digest_size=8, key=_SECRET).digest()
+        out[k] = np.frombuffer(digest, np.uint64)[0]
+    return out
+
+
 def run_hash(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A hash of each short run of values, chained like `byte_hash`."""
     out = mix(lengths.astype(np.uint64))
@@ -295,25 +314,18 @@ def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, lower: bool) ->
     if lower:
         buf = LOWER[buf]
     starts, ends, at = word_bounds(buf, offs, table)
-    ids, distinct = encoded(buf, starts, ends)
-    return np.fromiter(map(word_hash, distinct), np.uint64, len(distinct))[ids], starts, ends, at
+    return word_hash(buf, starts, ends), starts, ends, at
 
 
-def encoded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """A number for each range, equal for equal bytes only, and the bytes that each number stands for: by comparing bytes, not hashes."""
-    size = ends - starts
-    offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+def exact_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each range, equal for equal bytes only: by comparing bytes, not hashes.  Ranges are disjoint, in order, and hold a byte at least."""
+    offs = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     edge = np.zeros(len(buf) + 1, np.int8)
-    edge[starts] += 1  # ranges are disjoint, in order, and hold a byte at least
+    edge[starts] += 1
     edge[ends] -= 1
     data = np.ascontiguousarray(buf[np.cumsum(edge[:-1], dtype=np.int8).view(bool)])
-    ranges = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offs), pa.py_buffer(data)]).dictionary_encode()
-    return ranges.indices.to_numpy().astype(np.int64), ranges.dictionary.to_pylist()
-
-
-def exact_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for each range, equal for equal bytes only."""
-    return encoded(buf, starts, ends)[0]
+    ranges = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offs), pa.py_buffer(data)])
+    return ranges.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
 def window_hash(values: np.ndarray, width: int) -> np.ndarray:
