@@ -24,7 +24,7 @@ from pairforge.llm.common import discard, lean, mix, small_side, text_blocks, un
 
 ORDER, FOLDS, QUANTILE, MARGIN, SLACK, LEAST_HELD_OUT = 5, 5, 0.98, 1.25, 2.0, 1
 MOST_ROWS, BROADCAST_BYTES = 3 << 20, 16 << 20
-PAD, UNIT = 10, 1 << 24
+PAD, UNIT, NONE = 10, 1 << 24, -(1 << 31)
 AT_ONCE = 32 << 20  # bytes of text that meet all shards together, if there are several
 SCORE = T.StructType([T.StructField("log_prob", T.LongType()), T.StructField("units", T.LongType())])
 
@@ -129,37 +129,34 @@ def train_counted(ngrams: DataFrame, order: int = ORDER) -> DataFrame:
     return model
 
 
-def _units(x: Column) -> Column:
-    return F.rint(x * float(UNIT)).cast("long")
-
-
 class Table:
-    """Open addressing: whole numbers for 64-bit keys, looked up for whole arrays."""
+    """Open addressing: numbers of rows for 64-bit keys, looked up for whole arrays; keys are distinct and not 0."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray) -> None:
         bits = max(4, int(2.5 * len(keys) + 1).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
         slot, left = mix(keys) & self.mask, np.arange(len(keys))
         while len(left):
             free = self.keys[slot[left]] == 0
             mine = left[free]
             self.keys[slot[mine]] = keys[mine]
             won = mine[self.keys[slot[mine]] == keys[mine]]
-            self.values[slot[won]] = values[won]
+            self.rows[slot[won]] = won
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = (slot[left] + np.uint64(1)) & self.mask
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out, found = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 for none."""
+        out = np.full(len(keys), -1, np.int32)
         left, slot = np.arange(len(keys)), mix(keys) & self.mask
         while len(left):
             here = self.keys[slot]
             hit = here == keys[left]
-            out[left[hit]], found[left[hit]] = self.values[slot[hit]], True
+            out[left[hit]] = self.rows[slot[hit]]
             on = ~hit & (here != 0)
             left, slot = left[on], (slot[on] + np.uint64(1)) & self.mask
-        return out, found
+        return out
 
 
 def _key(kind: int, k: int, g: np.ndarray) -> np.ndarray:
@@ -172,43 +169,59 @@ def shard_of(pair: "np.ndarray | Column", shards: int) -> "np.ndarray | Column":
 
 
 class Model:
-    """One shard of the model's rows, and those of fewer than three bytes."""
+    """One shard of the models' rows, and those of fewer than three bytes; a column of values each model, NONE where it lacks the row."""
+
+    def __init__(self, kind: np.ndarray, k: np.ndarray, g: np.ndarray, values: np.ndarray) -> None:
+        self.order, self.values = int(k.max(initial=1)), values
+        self.table = Table(_key(kind.astype(np.uint64), k.astype(np.uint64), g.view(np.uint64)))
 
-    def __init__(self, kind: np.ndarray, k: np.ndarray, g: np.ndarray, value: np.ndarray) -> None:
-        if len(value) and (value.min() <= -(1 << 31) or value.max() >= 1 << 31):
-            raise ValueError("the model holds probabilities of zero")
-        self.order = int(k.max(initial=1))
-        self.table = Table((((1 + 2 * k + kind).astype(np.uint64)) << np.uint64(57)) | g.view(np.uint64), value)
+    def _find(self, keys: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = self.table.find(keys)
+        value = self.values[row, model] if len(self.values) else np.full(len(row), NONE)
+        found = (row >= 0) & (value != NONE)
+        return np.where(found, value, 0), found
 
-    def log_probs(self, g: np.ndarray) -> np.ndarray:
+    def log_probs(self, g: np.ndarray, model: np.ndarray) -> np.ndarray:
+        """Of the last byte of each n-gram, under the model of that number."""
         out, left = np.zeros(len(g), np.int64), np.arange(len(g))
         for k in range(self.order, 0, -1):
             now = g[left] & np.uint64((1 << 8 * k) - 1)
-            value, found = self.table.find(_key(0, k, now))
-            out[left[found]] += value[found]
+            value, found = self._find(_key(0, k, now), model[left])
+            out[left] += value
             left, now = left[~found], now[~found]
-            value, found = self.table.find(_key(1, k, now >> np.uint64(8)))
-            out[left[found]] += value[found]
+            value, _ = self._find(_key(1, k, now >> np.uint64(8)), model[left])
+            out[left] += value
             if not len(left):
                 return out
         out[left] += round(np.log(1 / 256) * UNIT)
         return out
 
 
-def score(docs: DataFrame, model: DataFrame, out: str, order: int = ORDER, most_rows: int = MOST_ROWS, value: str = "v0") -> DataFrame:
-    """docs with a column `out`: struct(log_prob in units of 2**-24, units) of the text by the model in column `value`; null texts have no units.
+def score(docs: DataFrame, model: DataFrame, out: str, order: int = ORDER, most_rows: int = MOST_ROWS, which: str | None = None) -> DataFrame:
+    """docs with a column `out`: struct(log_prob in units of 2**-24, units) of the text by one of the models; null texts have no units.
 
-    Each of the model's shards is a broadcast of at most about `most_rows` rows; where there are several, a worker holds one at a time.
+    The column `which` numbers each document's model, the first without it.  Each of the models' shards is a broadcast of at most about
+    `most_rows` rows; where there are several, a worker holds one at a time.
     """
-    model = model.where(F.col(value).isNotNull()).select("kind", "k", "g", F.col(value).alias("value"))
-    shards = max(1, -(-model.count() // most_rows))
+    names = [c for c in model.columns if c.startswith("v")]
+    beyond = reduce(lambda x, y: x | y, (F.abs(c) >= 1 << 31 for c in names))
+    n, wrong = model.agg(F.count("*"), F.count_if(beyond)).first()
+    if wrong:
+        raise ValueError("the model holds probabilities of zero")
+    shards = max(1, -(-n // most_rows))
     pair = F.when(F.col("kind") == 0, F.shiftright("g", 8)).otherwise(F.col("g")).bitwiseAND(F.lit(0xFFFF))
+    rows = model.select(F.col("kind").cast("byte").alias("kind"), F.col("k").cast("byte").alias("k"), "g", *(F.coalesce(c, F.lit(NONE)).cast("int").alias(c) for c in names))
     parts = []
     for shard in range(shards):
-        m = model.where((F.col("k") < 3) | (shard_of(pair, shards) == shard)).toArrow() if shards > 1 else model.toArrow()
-        parts.append(docs.sparkSession.sparkContext.broadcast(Model(*(m.column(c).to_numpy() for c in ("kind", "k", "g", "value")))))
+        m = (rows.where((F.col("k") < 3) | (shard_of(pair, shards) == shard)) if shards > 1 else rows).toArrow()
+        values = np.empty((m.num_rows, len(names)), np.int32)
+        for j, c in enumerate(names):
+            values[:, j] = m.column(c).to_numpy()
+        parts.append(docs.sparkSession.sparkContext.broadcast(Model(*(m.column(c).to_numpy() for c in ("kind", "k", "g")), values)))
+        del m, values
     docs = docs.withColumn(out, F.lit(None).cast(SCORE))
     held_bytes = AT_ONCE if shards > 1 else 0
+    where = docs.columns.index(which) if which else None
 
     @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,14 +229,16 @@ def score(docs: DataFrame, model: DataFrame, out: str, order: int = ORDER, most_
             totals = [np.zeros(len(offs) - 1, np.int64) for _, _, offs in held]
             for shard, part in enumerate(parts):
                 table = part.value
-                for total, (_, buf, offs) in zip(totals, held, strict=True):
+                for total, (rows, buf, offs) in zip(totals, held, strict=True):
                     g = grams(buf, offs, order)
+                    own = rows.column(where).to_numpy() if which else np.zeros(rows.num_rows, np.int32)
+                    own = np.repeat(own, np.diff(offs))
                     values = np.zeros(len(g) + 1, np.int64)
                     if shards > 1:
                         mine = np.flatnonzero(shard_of(((g >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64), shards) == shard)
-                        values[mine + 1] = table.log_probs(g[mine])
+                        values[mine + 1] = table.log_probs(g[mine], own[mine])
                     else:
-                        values[1:] = table.log_probs(g)
+                        values[1:] = table.log_probs(g, own)
                     np.cumsum(values, out=values)
                     total += values[offs[1:]] - values[offs[:-1]]
                 if shards > 1:
@@ -266,29 +281,24 @@ def judged(docs: DataFrame, labels: DataFrame, out: str, order: int = ORDER, qua
     The trusted documents are dealt to folds (by hash of the id), and each fold is scored by a model of the others; a language's
     (null: a language of its own) threshold is `margin` times the `quantile` of the perplexities that its trusted documents get
     so, however few they are; short texts vary more and get exp(slack / sqrt(bytes)) times as much.  Languages with fewer than
-    `least` trusted documents have no threshold and all of their documents pass, as do texts without bytes.  Documents are scored by the
-    model without the first fold.  Rows with null or repeated ids are judged like all others, and other columns pass unchanged,
+    `least` trusted documents have no threshold and all of their documents pass, as do texts without bytes.  All documents are dealt to folds, and each is
+    scored by the model without its own, so no trusted one by a model that has seen it.  Rows with null or repeated ids are judged like all others, and other columns pass unchanged,
     whatever their names; an empty table gives none, and without labels nothing is rejected.
     """
-    lang, mark, limit = unused(docs, "lang_of", "score", "limit")
+    lang, mark, limit, fold = unused(docs, "lang_of", "score", "limit", "fold_of")
     ids = small_side(trusted_ids(labels), BROADCAST_BYTES)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.coalesce("lang", F.lit("")).alias(lang)).join(ids, "_id", "left_semi")
-    texts = texts.withColumn("fold", F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int"))
+    dealt = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FOLDS)).cast("int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.coalesce("lang", F.lit("")).alias(lang)).join(ids, "_id", "left_semi").withColumn("fold", dealt("_id"))
     counted = written(counts(texts, order, FOLDS), "ngrams")
     total = reduce(lambda x, y: x + y, (F.col(f"c{j}") for j in range(FOLDS)))
     others = counted.select("g", *((total - F.col(f"c{j}")).alias(f"c{j}") for j in range(FOLDS)))  # model j leaves out fold j
     model = train_counted(others, order)
     discard(counted)
-    parts = []
-    for j in range(FOLDS):
-        part = score(texts.where(F.col("fold") == j), model, "_s", order, most_rows, f"v{j}")
-        parts.append(written(part.where("_s.units > 0").select(lang, _perplexity("_s").alias("_ppl")), "held-out"))
-        for shard in part._shards:
-            shard.destroy()
-    held = reduce(DataFrame.union, parts)
+    part = score(texts, model, "_s", order, most_rows, "fold")
+    held = written(part.where("_s.units > 0").select(lang, _perplexity("_s").alias("_ppl")), "held-out")
     few = held.groupBy(lang).count().where(F.col("count") < least).select(lang)
     per = quantiles(held.join(few, lang, "left_anti") if least > 1 else held, lang, "_ppl", quantile).select(lang, (F.col("_ppl") * margin).alias(limit)).distinct()
-    scored = score(docs, model, mark, order, most_rows).withColumn(lang, F.coalesce("lang", F.lit("")))
+    scored = score(docs.withColumn(fold, dealt("doc_id")), model, mark, order, most_rows, fold).withColumn(lang, F.coalesce("lang", F.lit("")))
     joined = scored.join(small_side(written(per, "thresholds"), BROADCAST_BYTES), lang, "left")
     ppl = F.when(F.col(f"{mark}.units") > 0, _perplexity(mark))
     threshold = F.col(limit) * F.exp(slack / F.sqrt(F.greatest(f"{mark}.units", F.lit(1))))

@@ -17,7 +17,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pairforge.functions.shared import positions
 from pairforge.llm.common import components, discard, forest, lean, small_side, written
 
 COSINE, LIST_ROWS, MOST_LISTS, SAMPLE, PARTS, WORDS, BLOCK_ROWS = 0.98, 1000, 4096, 16384, 8, 256, 2048
@@ -26,7 +28,7 @@ SENT = 4096  # rows of a batch that queries make
 ROWS = "label long, list int, sub int, block int, kind int, id long, copies long, error double, codes binary, vector binary"
 ROWS_CUT = ROWS.replace("label long, list int, sub int, block int,", "sub int, label long, list int,")
 OUT = "kind int, a long, b long"
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES, SAMPLE_BYTES = 16 << 20, 64 << 20
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
@@ -51,14 +53,18 @@ class Cells:
 
     def __init__(self, centroids: np.ndarray) -> None:
         self.centroids = centroids
-        norm = (centroids**2).sum(1)
-        self.gaps = np.sqrt(np.maximum(norm[:, None] + norm[None] - 2 * (centroids @ centroids.T), 0))  # between lists
+
+    def gaps(self, lists: np.ndarray) -> np.ndarray:
+        """Distances of the given lists' centroids from all; worked out as they are needed, so that no table of all pairs is kept or sent."""
+        some, norm = self.centroids[lists], (self.centroids**2).sum(1)
+        return np.sqrt(np.maximum(norm[lists][:, None] + norm[None] - 2 * (some @ self.centroids.T), 0))
 
     def probes(self, x: np.ndarray, radius: float) -> np.ndarray:
         """Which lists each unit vector must visit to meet every vector within the radius."""
         square = (self.centroids**2).sum(1) - 2 * (x @ self.centroids.T)
         best = square.argmin(1)
-        return square - square[np.arange(len(x)), best][:, None] <= 2 * radius * self.gaps[best] + 1e-6
+        lists, back = np.unique(best, return_inverse=True)
+        return square - square[np.arange(len(x)), best][:, None] <= 2 * radius * self.gaps(lists)[back] + 1e-6
 
 
 class Quantiser(Cells):
@@ -164,18 +170,26 @@ def _cut(dealt: DataFrame, radius: float, list_rows: int, block_rows: int, sampl
     return out
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with labels as whole numbers, equal for equal labels only; labels of types other than whole numbers are numbered by value."""
+    if isinstance(rows.schema["label"].dataType, T.IntegralType):
+        return rows.withColumn("label", F.col("label").cast("long"))
+    numbers = positions(rows.where("label is not null").select("label").distinct(), ["label"], name="number")
+    return rows.join(small_side(written(numbers, "labels"), BROADCAST_BYTES), "label").select("id", "v", F.col("number").alias("label"))
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, list_rows: int = LIST_ROWS, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
     Vectors of equal, not null labels and equal length are linked when their cosine in double precision is at least
     `cosine`.  Null, empty and zero vectors, and such with null or non-finite components, link with nothing.  Rows with
     a null id are left out; rows that repeat an id count as vectors and give a row each; other columns are ignored; an empty table gives none.
-    `sample` bounds the rows that the quantiser is fitted on; every row is indexed and every row is a query.  Vectors of other
+    `sample` bounds the rows that the quantiser is fitted on, and SAMPLE_BYTES what they take; labels are compared in their own type; every row is indexed and every row is a query.  Vectors of other
     lengths than the most common one are compared exactly, in blocks.
     """
     spark = vectors.sparkSession
     all_ids = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).cast("long").alias("label"))
+    rows = _numbered(vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).alias("label")))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where("id is not null and label is not null and v is not null").where(fine)
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
@@ -186,7 +200,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, list_rows: int =
     lengths = classes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     width = lengths.d if lengths else 0
     usual = classes.where(F.size("v") == width)
-    fit = usual.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow() if width else None
+    fit = usual.orderBy(F.xxhash64("id"), "id").limit(max(1, min(sample, SAMPLE_BYTES // (8 * width)))).select("v").toArrow() if width else None
     quantiser = None
     if fit is not None and len(fit):
         most = usual.groupBy("label").count().agg(F.max("count")).first()[0]

@@ -3,6 +3,8 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from pairforge.llm import pq_dedup
 
 
@@ -98,3 +100,24 @@ def test_nearest_in_parts_of_any_size():
     rng = np.random.default_rng(2)
     x, c = rng.normal(size=(5000, 3)), rng.normal(size=(2000, 3))
     assert np.array_equal(pq_dedup.nearest(x, c), ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)) and len(pq_dedup.nearest(x[:0], c)) == 0
+
+
+def test_labels_are_compared_in_their_own_type(spark):
+    """Fractions that one whole number would stand for, texts, and dates: equal labels only."""
+    vectors = [(k, [1.0, 0.001 * k], x) for k, x in enumerate(["1.2", "1.7", "1.2", None, "b"])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, name string")
+    for label in (F.expr("try_cast(name as double)"), F.col("name"), F.expr("case name when '1.2' then date'2024-01-01' when '1.7' then date'2024-01-02' end")):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in pq_dedup.near_duplicates(df.withColumn("label", label)).collect()}
+        assert got == {0: (1, 0), 1: (0, 1), 2: (1, 0), 3: (0, 3), 4: (0, 4)}
+
+
+def test_lists_to_visit_are_those_of_all_distances():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 8))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    cells = pq_dedup.Cells(x[:40])
+    got = cells.probes(x, 0.2)
+    far = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
+    at = pq_dedup.nearest(x, cells.centroids)
+    i, j = np.nonzero(far <= 0.2)
+    assert got[i, at[j]].all() and got.mean() < 0.8
