@@ -4,8 +4,8 @@ Every page is a stream of element and text tokens.  Folding a page's repeated ne
 expressions keeps what matches, turns what only one has into optional groups and what one repeats into repeated
 groups, and makes text a slot that remembers on how many pages it was seen and whether it ever differed.  Alignment
 is a fold that may start anywhere, so each task aligns its own pages host by host, and what tasks found is aligned
-again: no host's pages come together.  A host's wrapper says which part holds its articles, which parts within never vary, and
-which hold most of what varies, so that no name can drop them; pages that lack the part are judged by their own expression.
+again: no host's pages come together.  A host's wrapper says which part holds its articles, which parts of doubtful names never vary,
+and which hold most of what varies, so that no name can drop them; pages that lack the part are judged by their own expression.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from pairforge.llm.common import lean, small_side, written
 
 MOST_HOSTS, BROADCAST_BYTES = 20_000, 16 << 20
 MATRIX_BITS = 1 << 31  # of the alignment's rows that are kept at once
-SEEN = 5  # pages on which a text must stand to be told from text that varies
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 20))  # expressions are as deep as pages; frames of functions lie on the heap
 
 # Elements by their role in HTML.
@@ -57,6 +56,13 @@ DOUBTFUL = frozenset(
 )
 #: Words for what readers write: never the article, however much of it there is.
 READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words beside them that say what kind of box it is; a name with any other word (`comment-analysis`, `ad-hoc`) is a subject's, not a mark.
+BOXES = frozenset(
+    "area aside bar block body bottom box btn button buttons card cards column columns container content desktop entry extra field fields first fixed float footer form global group head heading holder home html icon icons image inline inner "
+    "input item items js label large last layout left level line link links list lists main medium meta middle mobile module nav outer page panel parent part parts placeholder post posts primary region right roll root row rows secondary section sections slot small "
+    "site size space stack static sticky sub tab table tag tags text thread title top trail unit view wrap wrapper zone author avatar date time user users count counter new old the and for has with without css dfp gpt google double click amp "
+    "leaderboard skyscraper mpu billboard rectangle interstitial embed media article articles story stories news topics you facebook twitter linkedin whatsapp pinterest reddit email mail print toggle info warning success error danger dismissible show fade active open close".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that the words apply to, by class or role; ids of headings and sections are made of their titles.
 MARKABLE = BLOCK - HEADINGS - {"main", "article", "body", "html"}
@@ -85,7 +91,7 @@ def marked(tag: str, attributes: str) -> tuple[bool, str]:
             elif name in ("class", "id", "role"):
                 for part in value.split() if tag in MARKABLE and not (name == "id" and tag == "section") else ():
                     names = [w.lower() for w in WORD.findall(part)]
-                    if names and names[0] not in ("has", "no", "with", "without") and (found := MARKS.intersection(names)):
+                    if names and names[0] not in ("has", "no", "with", "without") and (found := MARKS.intersection(names)) and BOXES.issuperset(w for w in names if len(w) > 2 and w not in found):
                         how = "%" if found & READERS and name != "id" else "~" if found <= DOUBTFUL and name != "role" else "^" if name == "id" else "!"
                         sign = max(sign, how, key=["", "~", "^", "!", "%"].index)
                 if name == "class" and value.split():
@@ -400,18 +406,9 @@ def _where(root: Node, keep: Callable[[Node, str], bool], leave: Callable[[Node,
 
 
 def same_parts(root: Node) -> list[str]:
-    """Paths of elements that hold no text that varies: of those marked by id or by doubtful words, and, where the pages are many
-    enough to tell, of those with a class that are no headings."""
-
+    """Paths of elements marked by id or by doubtful words that hold no text that varies.  To be the same on every page does not suffice: an article may say so."""
     of = measures(root)
-
-    def constant(node: Node, path: str) -> bool:
-        label, (_, _, varies, pages) = node[0], of[id(node)]
-        doubtful = label[-1:] in ("^", "~")
-        told = "." in label and label.partition(".")[0] not in HEADINGS and label.partition(".")[0] not in ("article", "main") and pages >= SEEN
-        return (doubtful or told) and not varies
-
-    return _where(root, constant, lambda node, path: False)
+    return _where(root, lambda n, path: n[0][-1:] in ("^", "~") and not of[id(n)][2], lambda n, path: False)
 
 
 def most_parts(root: Node, parts: list[str]) -> list[str]:

@@ -167,13 +167,21 @@ def test_readers_comments_go_however_long():
     assert hw.text_of(page, parts := hw.main_parts(own), (), hw.most_parts(own, parts))[0] == "short article"
 
 
-def test_lines_that_never_vary_go(spark):
-    """A wrapper tells a line on every page from the article, in whatever order pages come."""
-    pages = [(k, f"http://h/{k}", f"<article><h2>Summary</h2><p>Text number {k} of many.</p><div class='terms'>Read our terms of use.</div><div class='note'>Part {k}</div></article>") for k in range(12)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    want = {k: f"Summary\nText number {k} of many.\nPart {k}" for k in range(12)}
-    for n in (1, 5):
-        assert {r.page_id: r.text for r in hw.main_text(df.orderBy("page_id", ascending=n == 1).repartition(n)).collect()} == want
+@pytest.mark.parametrize("n", [4, 5, 12])
+def test_what_every_article_says_stays_however_many_pages(spark, n):
+    """A motto in each article is kept on hosts of any size, in whatever order and partitions pages come; a doubtful name goes only where the text never varies."""
+    body = "<article><h2>Summary</h2><p class='lead'>Every issue opens with this motto.</p><p>Text number {0} of many.</p><div class='share'>Share this</div><div class='notice'>Notice {0} of the board</div></article>"
+    df = spark.createDataFrame([(k, f"http://h/{k}", body.format(k)) for k in range(n)], "page_id long, url string, html string")
+    want = {k: f"Summary\nEvery issue opens with this motto.\nText number {k} of many.\nNotice {k} of the board" for k in range(n)}
+    for parts in (1, 5):
+        assert {r.page_id: r.text for r in hw.main_text(df.orderBy("page_id", ascending=parts == 1).repartition(parts)).collect()} == want
+
+
+@pytest.mark.parametrize("name,goes", [("comment-analysis", False), ("reply-rates", False), ("signup-data", False), ("ad-hoc", False), ("comments-list", True), ("ad-slot-300x250", True), ("newsletterSignup", True), ("reply_form", True)])
+def test_a_name_marks_only_by_words_for_boxes(spark, name, goes):
+    pages = [(k, f"http://h/{k}", f"<article><p>The report of day {k} tells at length what happened then and there.</p><div class='{name}'>In part {k}.</div></article>") for k in range(6)]
+    got = {r.page_id: r.text for r in hw.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"The report of day {k} tells at length what happened then and there." + ("" if goes else f"\nIn part {k}.") for k in range(6)}
 
 
 @given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40))
