@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.functions.shared import settled
 from pairforge.functions.vectors import dot
 
-BLOCK = 512
+BLOCK, MOST_BUCKETS = 512, 1 << 18  # items of a block; bucket sizes that are broadcast, at most 16 bytes each
 EMPTY = -1e4
 
 
@@ -45,23 +46,37 @@ def block_matrix(left: list, right: list) -> np.ndarray:
     return out
 
 
-def all_pairs(left: DataFrame, right: DataFrame, reduce: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
-    """`reduce` over each pair of blocks of left and right, which have a column `tokens`."""
+def all_pairs(left: DataFrame, right: DataFrame, reduce: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, block: int = BLOCK, near: tuple[str, str] | None = None) -> DataFrame:
+    """`reduce` over each pair of blocks of left and right, which have a column `tokens`.
 
-    def dealt(df: DataFrame, mine: str, other: str, blocks: tuple[int, int]) -> DataFrame:
-        own = F.pmod(F.xxhash64(*df.columns[:1]), F.lit(blocks[0])).cast("int")
-        df = df.select(*(F.col(c).alias(c) for c in df.columns))  # both sides may come from one table
-        return df.withColumn(mine, own).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))))
-
-    n, m = (max(1, -(-df.count() // block)) for df in (left, right))
-    a, b = dealt(left, "_l", "_r", (n, m)), dealt(right, "_r", "_l", (m, n))
+    near: a column of each side; then only blocks meet whose rows lie in one bucket of these values, so that rows of equal values meet at a
+    small part of the cost.  A bucket with any share of the rows is as many blocks.
+    """
 
     def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
         return reduce(x, y, np.round(block_matrix(list(x.tokens), list(y.tokens)), 9))
 
-    return a.groupBy("_l", "_r").cogroup(b.groupBy("_l", "_r")).applyInPandas(score, schema)
+    def spread(df: DataFrame, mine: str, other: str, own: Column | int, others: Column | int) -> DataFrame:
+        part = F.pmod(F.xxhash64(*df.columns[:1]), F.lit(own) if isinstance(own, int) else own).cast("int")
+        last = (F.lit(others) if isinstance(others, int) else others) - 1
+        return df.withColumn(mine, part).withColumn(other, F.explode(F.sequence(F.lit(0), last.cast("int"))))
+
+    left, right = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (left, right))  # both sides may come from one table
+    n, m = (max(1, -(-df.count() // block)) for df in (left, right))
+    by = ["_l", "_r"]
+    if near is None:
+        a, b = spread(left, "_l", "_r", n, m), spread(right, "_r", "_l", m, n)
+    else:
+        by = ["_b", *by]
+        left, right = (df.withColumn("_b", F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(max(n, m)))) for df, c in zip((left, right), near, strict=True))
+        sizes = left.groupBy("_b").agg(F.ceil(F.count("*") / block).alias("_n")).join(right.groupBy("_b").agg(F.ceil(F.count("*") / block).alias("_m")), "_b")
+        sizes = settled(sizes, "bucket-sizes")
+        sizes = F.broadcast(sizes) if max(n, m) <= MOST_BUCKETS else sizes
+        a, b = (df.join(sizes, "_b").select(*df.columns, "_n", "_m") for df in (left, right))
+        a, b = spread(a, "_l", "_r", F.col("_n"), F.col("_m")).drop("_n", "_m"), spread(b, "_r", "_l", F.col("_m"), F.col("_n")).drop("_n", "_m")
+    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(score, schema)
 
 
 def scores(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,32 +16,64 @@ from pairforge.operators.quantiles import quantiles
 SCORE_BINS = 256
 
 
-def ranks(left: DataFrame, right: DataFrame, relevant: str | None = None) -> DataFrame:
-    """(q, pos, best_pos, ungrouped, grouped): the own pair's score, the best relevant score, and the ranks under both rules.
+def both_ranks(left: DataFrame, right: DataFrame, relevant: str | None = None, sides: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """(side, id, pos, best_pos, ungrouped, grouped): of each query among the candidates (side 0) and of each candidate among the queries (side 1) the own
+    pair's score, the best relevant score, and the ranks under both rules.
 
     left: q, tokens; right: c, tokens; the own pair is q = c; `relevant` names a column of both whose equality makes a pair
-    relevant too.  Two passes over the blocks, first the relevant scores, then the counts above them; each block gives one row a
-    query, and the score matrix is never kept.
+    relevant too.  Own and relevant scores come from blocks of like ids and like groups alone; one pass over all blocks then counts what stands above them,
+    for both sides at once.  Each block gives one row an item; the score matrix is never kept.
     """
-    key = relevant or "q"
 
-    def same(x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        own = x.q.to_numpy()[:, None] == y.c.to_numpy()[None, :]
-        return own, own | (x[key].to_numpy()[:, None] == y[key].to_numpy()[None, :]) if relevant else own
-
-    def first(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
-        own, rel = same(x, y)
-        return pd.DataFrame({"q": x.q, "pos": np.where(own, s, -np.inf).max(1), "best": np.where(rel, s, -np.inf).max(1)})
+    def own_of(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+        return x.q.to_numpy()[:, None] == y.c.to_numpy()[None, :]
+
+    def relevant_of(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+        own = own_of(x, y)
+        return own | (x[relevant].to_numpy()[:, None] == y[relevant].to_numpy()[None, :]) if relevant else own
+
+    def best_by(mask: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]) -> Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame]:
+        def best(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+            s = np.where(mask(x, y), s, -np.inf)
+            out = [pd.DataFrame({"side": k, "id": ids.to_numpy(), "s": s.max(1 - k)}) for k, ids in ((0, x.q), (1, y.c)) if k in sides]
+            return pd.concat([d[d.s > -np.inf] for d in out])
+
+        return best
+
+    every = [df.select(F.lit(k).alias("side"), F.col(c).alias("id")) for k, (df, c) in enumerate(((left, "q"), (right, "c"))) if k in sides]
+    every = every[0] if len(every) == 1 else every[0].union(every[1])
+    schema = "side int, id long, s double"
+    pos = all_pairs(left, right, best_by(own_of), schema, near=("q", "c")).groupBy("side", "id").agg(F.max("s").alias("pos"))
+    lowest = F.lit(float("-inf"))
+    known = every.join(pos, ["side", "id"], "left")
+    if relevant:
+        top = all_pairs(left, right, best_by(relevant_of), schema, near=(relevant, relevant)).groupBy("side", "id").agg(F.max("s").alias("top"))
+        known = known.join(top, ["side", "id"], "left")
+    best = F.greatest("pos", "top") if relevant else F.col("pos")
+    known = settled(known.select("side", "id", F.col("pos").isNotNull().cast("long").alias("has"), F.coalesce("pos", lowest).alias("pos"), F.coalesce(best, lowest).alias("best_pos")), "positives")
+
+    def with_known(df: DataFrame, k: int, c: str) -> DataFrame:
+        return df.join(known.where(F.col("side") == k).select(F.col("id").alias(c), "pos", "best_pos"), c) if k in sides else df
+
+    def above(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        own, rel = own_of(x, y), relevant_of(x, y)
+        out = []
+        for k, df, ids in ((0, x, "q"), (1, y, "c")):
+            if k in sides:
+                at = (slice(None), None) if k == 0 else (None, slice(None))
+                n = (~own & (s >= df.pos.to_numpy()[at])).sum(1 - k)
+                m = (~rel & (s > df.best_pos.to_numpy()[at])).sum(1 - k)
+                out.append(pd.DataFrame({"side": k, "id": df[ids].to_numpy(), "n": n, "m": m}))
+        return pd.concat(out)
+
+    counted = all_pairs(with_known(left, 0, "q"), with_known(right, 1, "c"), above, "side int, id long, n long, m long").groupBy("side", "id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    placed = known.join(counted, ["side", "id"])
+    return placed.select("side", "id", "pos", "best_pos", (F.col("n") + F.col("has")).alias("ungrouped"), (F.col("m") + 1).alias("grouped"))
 
-    best = all_pairs(left, right, first, "q long, pos double, best double").groupBy("q").agg(F.max("pos").alias("pos"), F.max("best").alias("best_pos"))
-    best = settled(best, "positives")
 
-    def second(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
-        _, rel = same(x, y)
-        return pd.DataFrame({"q": x.q, "n": (s >= x.pos.to_numpy()[:, None]).sum(1), "m": (~rel & (s > x.best_pos.to_numpy()[:, None])).sum(1)})
-
-    counted = all_pairs(left.join(best, "q"), right, second, "q long, n long, m long").groupBy("q").agg(F.sum("n").alias("ungrouped"), (F.sum("m") + 1).alias("grouped"))
-    return best.join(counted, "q")
+def ranks(left: DataFrame, right: DataFrame, relevant: str | None = None) -> DataFrame:
+    """(q, pos, best_pos, ungrouped, grouped) of each query among the candidates, as `both_ranks` has them."""
+    return both_ranks(left, right, relevant, (0,)).select(F.col("id").alias("q"), "pos", "best_pos", "ungrouped", "grouped")
 
 
 def average_precisions(left: DataFrame, right: DataFrame, relevant: str, bins: int = SCORE_BINS) -> DataFrame:

@@ -102,12 +102,9 @@ RECALL = f", per AS (SELECT direction, rule, {RK} FROM long_ranks GROUP BY direc
 @query(with_(PAIR, RANKS, BACK, LONG) + RECALL)
 def retrieval_recall(spark, sf):
     """Recall at 1, 5 and 10 both ways and their mean, under both tie rules."""
-    left, right = pairs(spark, sf)
-    back = ranking.ranks(right.withColumnRenamed("c", "q"), left.withColumnRenamed("q", "c"), "g")
-    long = None
-    for direction, r in (("forward", ranking.ranks(left, right, "g")), ("backward", back)):
-        r = r.select(F.lit(direction).alias("direction"), F.explode(F.array(*(F.struct(F.lit(x).alias("rule"), F.col(x).alias("rank")) for x in ("ungrouped", "grouped")))).alias("x")).select("direction", "x.*")
-        long = r if long is None else long.union(r)
+    r = ranking.both_ranks(*pairs(spark, sf), "g")
+    rules = F.explode(F.array(*(F.struct(F.lit(x).alias("rule"), F.col(x).alias("rank")) for x in ("ungrouped", "grouped")))).alias("x")
+    long = r.select(F.when(F.col("side") == 0, "forward").otherwise("backward").alias("direction"), rules).select("direction", "x.*")
     per = long.groupBy("direction", "rule").agg(*(F.avg((F.col("rank") <= k).cast("double")).alias(f"r{k}") for k in (1, 5, 10)))
     per = settled(per)
     mean = per.groupBy("rule").agg(*(F.avg(f"r{k}").alias(f"r{k}") for k in (1, 5, 10))).select(F.lit("mean").alias("direction"), "rule", "r1", "r5", "r10")

@@ -49,3 +49,32 @@ def test_average_precision_of_a_large_group(spark, bins):
         good = (group[order] == g) | (order == q)
         at = np.flatnonzero(good) + 1
         assert got[q] == pytest.approx(float((np.arange(1, len(at) + 1) / at).sum() / max(1, len(at))), abs=1e-9)
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_ranks_of_both_sides_by_loops(spark, monkeypatch, block):
+    """Own pairs and groups meet in blocks of their own; queries without an own candidate, lone groups, ties, items without tokens."""
+    from pairforge.operators import maxsim
+
+    monkeypatch.setattr(maxsim.all_pairs, "__defaults__", (block, None))
+    rng = np.random.default_rng(6)
+    e = np.eye(4).tolist()
+    tokens = lambda: [e[int(rng.integers(4))] for _ in range(int(rng.integers(0, 3)))]
+    left = [(k, tokens(), int(rng.integers(5))) for k in range(30)]
+    right = [(k, tokens(), left[k][2] if k < 30 else 77) for k in range(3, 33)]
+    a = spark.createDataFrame(left, "q long, tokens array<array<double>>, g int")
+    b = spark.createDataFrame(right, "c long, tokens array<array<double>>, g int")
+    s = np.round(maxsim.block_matrix([x[1] for x in left], [y[1] for y in right]), 9)
+    for relevant in ("g", None):
+        got = {(r.side, r.id): (r.pos, r.best_pos, r.ungrouped, r.grouped) for r in ranking.both_ranks(a, b, relevant).collect()}
+        assert len(got) == 60
+        for side, mine, other, scores in ((0, left, right, s), (1, right, left, s.T)):
+            for i, x in enumerate(mine):
+                own = [scores[i, j] for j, y in enumerate(other) if y[0] == x[0]]
+                good = [y[0] == x[0] or relevant == "g" and y[2] == x[2] for y in other]
+                pos = own[0] if own else -math.inf
+                best = max([v for v, g in zip(scores[i], good, strict=True) if g], default=-math.inf)
+                want = (pos, best, sum(v >= pos for v in scores[i]), 1 + sum(v > best for v, g in zip(scores[i], good, strict=True) if not g))
+                assert got[side, x[0]] == want
+        forward = {r.q: (r.pos, r.best_pos, r.ungrouped, r.grouped) for r in ranking.ranks(a, b, relevant).collect()}
+        assert forward == {i: v for (k, i), v in got.items() if k == 0}
