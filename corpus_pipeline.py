@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairforge.llm import decontaminate, kneser_ney, packing, runlength_index, trie_join
-from pairforge.llm.common import shared_dir, small_batches
+from pairforge.llm.common import discard, small_batches, written
 from pairforge.llm.encoding import vocabulary
 
 
@@ -54,9 +54,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in a row, each written to the shared folder and read by the next; what a stage has read goes once it is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        path = shared_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*before)
+        before = [docs]
     return docs
