@@ -308,7 +308,7 @@ def test_the_rest_stands_without_the_llm_subpackage(tmp_path):
     for p in ("pairforge", "__spark_entry__.py"):
         (shutil.copytree if (ROOT / p).is_dir() else shutil.copy)(ROOT / p, tmp_path / p)
     shutil.rmtree(tmp_path / "pairforge/llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) == 108 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
 
 
