@@ -6,15 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.shared import settled
-from pairforge.operators.maxsim import all_pairs
+from pairforge.operators.maxsim import BLOCK, all_pairs, all_rows, matches
 from pairforge.operators.quantiles import quantiles
 
-SCORE_BINS = 256
-
 
 def both_ranks(left: DataFrame, right: DataFrame, relevant: str | None = None, sides: tuple[int, ...] = (0, 1)) -> DataFrame:
     """(side, id, pos, best_pos, ungrouped, grouped): of each query among the candidates (side 0) and of each candidate among the queries (side 1) the own
@@ -30,7 +28,7 @@ def both_ranks(left: DataFrame, right: DataFrame, relevant: str | None = None, s
 
     def relevant_of(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
         own = own_of(x, y)
-        return own | (x[relevant].to_numpy()[:, None] == y[relevant].to_numpy()[None, :]) if relevant else own
+        return own | matches(x[relevant], y[relevant]) if relevant else own
 
     def best_by(mask: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]) -> Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame]:
         def best(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
@@ -76,60 +74,51 @@ def ranks(left: DataFrame, right: DataFrame, relevant: str | None = None) -> Dat
     return both_ranks(left, right, relevant, (0,)).select(F.col("id").alias("q"), "pos", "best_pos", "ungrouped", "grouped")
 
 
-def average_precisions(left: DataFrame, right: DataFrame, relevant: str, bins: int = SCORE_BINS) -> DataFrame:
-    """(q, ap): mean precision at the relevant candidates, by falling score and then by c.
+def full_ranks(left: DataFrame, right: DataFrame, relevant: str, block: int = BLOCK) -> DataFrame:
+    """(q, pos, best_pos, ungrouped, grouped, ap): what `ranks` gives, and the mean precision at the relevant candidates, by falling score and then by c.
 
-    A first pass counts each query's candidates, all and relevant, in bins of scores.  In a bin of relevant candidates alone the ranks
-    follow from the counts; only bins that hold both kinds are passed on pair by pair in a second pass and ranked there.  So a block gives at most `bins`
-    counts a query, and no row holds a query's scores.
+    One pass: each task has whole rows of scores and sorts them, of at most `block` queries at once; no score leaves it.
     """
 
-    def same(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-        return (x.q.to_numpy()[:, None] == y.c.to_numpy()[None, :]) | (x[relevant].to_numpy()[:, None] == y[relevant].to_numpy()[None, :])
-
-    def bin_of(s: np.ndarray) -> np.ndarray:
-        """0 for the highest scores; monotone, so that bins are in order."""
-        return np.clip(np.floor((1 - s) * (bins / 2)), 0, bins - 1).astype(np.int64)
-
-    def first(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
-        place = (bin_of(s) + bins * np.arange(len(x))[:, None]).ravel()
-        every, good = (np.bincount(place, w, minlength=bins * len(x)) for w in (None, same(x, y).ravel()))
-        at = np.flatnonzero(every)
-        return pd.DataFrame({"q": x.q.to_numpy()[at // bins], "bin": at % bins, "n": every[at], "m": good[at].astype(np.int64)})
-
-    counted = all_pairs(left, right, first, "q long, bin long, n long, m long").groupBy("q", "bin").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    before = Window.partitionBy("q").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most `bins` rows a query
-    above = {c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("n", "m")}
-    placed = settled(counted.withColumns({"n_above": above["n"], "m_above": above["m"]}).where("m > 0"), "score-bins")
-    mixed = placed.where("m < n").groupBy("q").agg(F.collect_set("bin").alias("mixed"))
-
-    def second(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
-        wanted = np.zeros((len(x), bins), bool)
-        for i, some in enumerate(x.mixed):
-            wanted[i, some] = True
-        place = bin_of(s)
-        i, j = np.nonzero(np.take_along_axis(wanted, place, 1))
-        return pd.DataFrame({"q": x.q.to_numpy()[i], "bin": place[i, j], "score": s[i, j], "c": y.c.to_numpy()[j], "rel": same(x, y)[i, j]})
-
-    pairs = all_pairs(left.join(mixed, "q"), right, second, "q long, bin long, score double, c long, rel boolean")
-    order = Window.partitionBy("q", "bin").orderBy(F.desc("score"), "c")
-    ranked = pairs.select("q", "bin", "rel", F.row_number().over(order).alias("r"), F.sum(F.col("rel").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("h")).where("rel")
-    some = ranked.join(placed.select("q", "bin", "n_above", "m_above"), ["q", "bin"]).groupBy("q").agg(F.sum((F.col("m_above") + F.col("h")) / (F.col("n_above") + F.col("r"))).alias("s"))
-    # relevant candidates alone: their places run on from those above
-    alone = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("m")), F.lit(0.0), lambda t, k: t + (F.col("m_above") + k) / (F.col("n_above") + k))
-    rest = placed.where("m = n").groupBy("q").agg(F.sum(alone).alias("s"))
-    total = placed.groupBy("q").agg(F.sum("m").alias("m"))
-    sums = some.unionByName(rest).groupBy("q").agg(F.sum("s").alias("s"))
-    return left.select("q").join(total.join(sums, "q"), "q", "left").select("q", F.coalesce(F.col("s") / F.col("m"), F.lit(0.0)).alias("ap"))
+    def place(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        c = y.c.to_numpy()
+        by_id = np.empty(len(c), np.int64)
+        by_id[np.argsort(c, kind="stable")] = np.arange(len(c))
+        out = []
+        for i, q in enumerate(x.q.to_numpy()):
+            v, own = s[i], c == q
+            rel = own | matches(x[relevant].iloc[i : i + 1], y[relevant])[0]
+            has = bool(own.any())
+            pos, best = (v[of].max(initial=-np.inf) for of in (own, rel))
+            at = np.flatnonzero(_by_score(v, by_id, rel)) + 1
+            ap = float((np.arange(1, len(at) + 1) / at).sum() / max(1, len(at)))
+            out.append((q, pos, best, np.count_nonzero(~own & (v >= pos)) + has, np.count_nonzero(~rel & (v > best)) + 1, ap))
+        return pd.DataFrame(out, columns=["q", "pos", "best_pos", "ungrouped", "grouped", "ap"])
+
+    return all_rows(left, right, place, "q long, pos double, best_pos double, ungrouped long, grouped long, ap double", block)
+
+
+def _by_score(v: np.ndarray, by_id: np.ndarray, rel: np.ndarray) -> np.ndarray:
+    """rel by falling v (of 9 decimals) and rising by_id.  One number holds all three where v is within 2 and rows are fewer than 2**31."""
+    if len(v) < 1 << 31 and np.abs(v).max(initial=0) <= 2:
+        keys = (-np.rint(v * 1e9).astype(np.int64) << 32) + (by_id << 1) + rel
+        keys.sort()
+        return keys & 1
+    return rel[np.lexsort((by_id, -v))]
+
+
+def average_precisions(left: DataFrame, right: DataFrame, relevant: str, block: int = BLOCK) -> DataFrame:
+    """(q, ap): mean precision at the relevant candidates, by falling score and then by c; 0 without any."""
+    ap = full_ranks(left, right, relevant, block).select("q", "ap")
+    return left.select("q").join(ap, "q", "left").select("q", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def measures(left: DataFrame, right: DataFrame, relevant: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """One row: n, recall at each k up to the number of queries (r1, ...), the lower median rank, the mean best relevant score, mean average precision."""
-    r = settled(ranks(left, right, relevant), "ranks")
+    r = settled(full_ranks(left, right, relevant), "ranks")
     at = [F.when(F.count("*") >= k, F.avg((F.col("grouped") <= k).cast("double"))).alias(f"r{k}") for k in ks]
     middle = quantiles(r, "grouped", [0.5], "lower")[0]
-    one = r.agg(F.count("*").alias("n"), *at, F.lit(middle).cast("long").alias("median_rank"), F.avg("best_pos").alias("best_pos"))
-    return one.crossJoin(average_precisions(left, right, relevant).agg(F.avg("ap").alias("map")))  # one row each
+    return r.agg(F.count("*").alias("n"), *at, F.lit(middle).cast("long").alias("median_rank"), F.avg("best_pos").alias("best_pos"), F.avg("ap").alias("map"))
 
 
 def recall(ranked: DataFrame, rank: str, ks: list[int]) -> DataFrame:
