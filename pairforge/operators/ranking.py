@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.shared import settled
-from pairforge.operators.maxsim import BLOCK, all_pairs, all_rows, matches
+from pairforge.operators.maxsim import BLOCK, all_pairs, all_rows, codes, matches
 from pairforge.operators.quantiles import quantiles
 
 
@@ -84,10 +84,11 @@ def full_ranks(left: DataFrame, right: DataFrame, relevant: str, block: int = BL
         c = y.c.to_numpy()
         by_id = np.empty(len(c), np.int64)
         by_id[np.argsort(c, kind="stable")] = np.arange(len(c))
+        mine, theirs = codes(x[relevant], y[relevant])  # once a block
         out = []
         for i, q in enumerate(x.q.to_numpy()):
             v, own = s[i], c == q
-            rel = own | matches(x[relevant].iloc[i : i + 1], y[relevant])[0]
+            rel = own | (theirs == mine[i])
             has = bool(own.any())
             pos, best = (v[of].max(initial=-np.inf) for of in (own, rel))
             at = np.flatnonzero(_by_score(v, by_id, rel)) + 1
