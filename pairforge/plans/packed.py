@@ -22,13 +22,17 @@ def folder(spark, name):
 CELL = "replace(coalesce(text, ''), '.', '.\"' || chr(10) || ',')"
 
 
+FILE_CHARS = 32 << 20  # of text in a CSV file, about: the files grow in number, not in size
+
+
 @query(f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, CAST(doc_id AS VARCHAR) AS uid, coalesce(source, '') AS protein, md5({CELL}) AS digest, length({CELL}) AS n_chars, nullif(lang, '') AS pfam FROM documents")
 def csv_ranges(spark, sf):
     """A CSV of all documents, written by Spark and read by byte ranges; every full stop is followed by a quote, a line end and a comma inside its cell."""
     path = folder(spark, "csv")
     d = table(spark, sf, "documents")
     rows = d.select("doc_id", F.col("doc_id").cast("string").alias("primary_Accession"), F.coalesce("source", F.lit("")).alias("protein_sequence"), F.replace(F.coalesce("text", F.lit("")), F.lit("."), F.lit('."\n,')).alias("[final]text_caption"), F.col("lang").alias("pfam_label"))
-    rows.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="", quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
+    chars = d.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows.repartitionByRange(max(3, -(-chars // FILE_CHARS)), "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="", quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
     got = readers.read_pairs(spark, path)
     return got.select("row_idx", "uid", "protein", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"), "pfam")
 
