@@ -10,42 +10,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.shared import settled
-from pairforge.operators.maxsim import BLOCK, all_pairs, all_rows, codes, matches
+from pairforge.operators.maxsim import BLOCK, Rough, all_pairs, all_rows, codes, matches
 from pairforge.operators.quantiles import quantiles
 
 
-def both_ranks(left: DataFrame, right: DataFrame, relevant: str | None = None, sides: tuple[int, ...] = (0, 1)) -> DataFrame:
-    """(side, id, pos, best_pos, ungrouped, grouped): of each query among the candidates (side 0) and of each candidate among the queries (side 1) the own
-    pair's score, the best relevant score, and the ranks under both rules.
+RULES = ("ungrouped", "grouped")
+
+
+def both_ranks(left: DataFrame, right: DataFrame, relevant: str | None = None, sides: tuple[int, ...] = (0, 1), rules: tuple[str, ...] = RULES) -> DataFrame:
+    """(side, id, pos, best_pos, and of ungrouped, grouped what `rules` names): of each query among the candidates (side 0) and of each candidate among the
+    queries (side 1) the own pair's score, the best relevant score, and the ranks under both rules.
 
     left: q, tokens; right: c, tokens; the own pair is q = c; `relevant` names a column of both whose equality makes a pair
     relevant too.  Own and relevant scores come from blocks of like ids and like groups alone; one pass over all blocks then counts what stands above them,
     for both sides at once.  Each block gives one row an item; the score matrix is never kept.
     """
 
-    def own_of(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-        return x.q.to_numpy()[:, None] == y.c.to_numpy()[None, :]
+    def met(x: pd.DataFrame, y: pd.DataFrame, s: Rough, best: Callable[[int], np.ndarray]) -> pd.DataFrame:
+        out = pd.concat([pd.DataFrame({"side": k, "id": ids.to_numpy(), "s": best(1 - k)}) for k, ids in ((0, x.q), (1, y.c)) if k in sides])
+        return out[out.s > -np.inf]
+
+    def own_best(x: pd.DataFrame, y: pd.DataFrame, s: Rough) -> pd.DataFrame:
+        one, two = (pd.DataFrame({"id": v.to_numpy(), k: np.arange(len(v))}).dropna() for v, k in ((x.q, "i"), (y.c, "j")))
+        i, j = one.merge(two, on="id")[["i", "j"]].to_numpy().T
+        v = s.exact(i, j)
 
-    def relevant_of(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-        own = own_of(x, y)
-        return own | matches(x[relevant], y[relevant]) if relevant else own
+        def best(axis: int) -> np.ndarray:
+            most = np.full(len(x) if axis else len(y), -np.inf)
+            np.maximum.at(most, i if axis else j, v)
+            return most
 
-    def best_by(mask: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]) -> Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame]:
-        def best(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
-            s = np.where(mask(x, y), s, -np.inf)
-            out = [pd.DataFrame({"side": k, "id": ids.to_numpy(), "s": s.max(1 - k)}) for k, ids in ((0, x.q), (1, y.c)) if k in sides]
-            return pd.concat([d[d.s > -np.inf] for d in out])
+        return met(x, y, s, best)
 
-        return best
+    def relevant_best(x: pd.DataFrame, y: pd.DataFrame, s: Rough) -> pd.DataFrame:
+        mask = matches(x[relevant], y[relevant])
+        return met(x, y, s, lambda axis: s.best(mask, axis) if mask.any() else np.full(mask.shape[1 - axis], -np.inf))
 
     every = [df.select(F.lit(k).alias("side"), F.col(c).alias("id")) for k, (df, c) in enumerate(((left, "q"), (right, "c"))) if k in sides]
     every = every[0] if len(every) == 1 else every[0].union(every[1])
     schema = "side int, id long, s double"
-    pos = all_pairs(left, right, best_by(own_of), schema, near=("q", "c")).groupBy("side", "id").agg(F.max("s").alias("pos"))
+    pos = all_pairs(left, right, own_best, schema, near=("q", "c"), rough=True).groupBy("side", "id").agg(F.max("s").alias("pos"))
     lowest = F.lit(float("-inf"))
     known = every.join(pos, ["side", "id"], "left")
     if relevant:
-        top = all_pairs(left, right, best_by(relevant_of), schema, near=(relevant, relevant)).groupBy("side", "id").agg(F.max("s").alias("top"))
+        top = all_pairs(left, right, relevant_best, schema, near=(relevant, relevant), rough=True).groupBy("side", "id").agg(F.max("s").alias("top"))
         known = known.join(top, ["side", "id"], "left")
     best = F.greatest("pos", "top") if relevant else F.col("pos")
     known = settled(known.select("side", "id", F.col("pos").isNotNull().cast("long").alias("has"), F.coalesce("pos", lowest).alias("pos"), F.coalesce(best, lowest).alias("best_pos")), "positives")
@@ -53,25 +61,29 @@ def both_ranks(left: DataFrame, right: DataFrame, relevant: str | None = None, s
     def with_known(df: DataFrame, k: int, c: str) -> DataFrame:
         return df.join(known.where(F.col("side") == k).select(F.col("id").alias(c), "pos", "best_pos"), c) if k in sides else df
 
-    def above(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
-        own, rel = own_of(x, y), relevant_of(x, y)
+    def above(x: pd.DataFrame, y: pd.DataFrame, s: Rough) -> pd.DataFrame:
+        q, c = x.q.to_numpy(), y.c.to_numpy()
+        mine, theirs = codes(x[relevant], y[relevant]) if relevant else (None, None)
+        own = lambda i, j: q[i] == c[j]
+        rel = (lambda i, j: own(i, j) | (mine[i] == theirs[j])) if relevant else own
         out = []
-        for k, df, ids in ((0, x, "q"), (1, y, "c")):
+        for k, df, ids in ((0, x, q), (1, y, c)):
             if k in sides:
-                at = (slice(None), None) if k == 0 else (None, slice(None))
-                n = (~own & (s >= df.pos.to_numpy()[at])).sum(1 - k)
-                m = (~rel & (s > df.best_pos.to_numpy()[at])).sum(1 - k)
-                out.append(pd.DataFrame({"side": k, "id": df[ids].to_numpy(), "n": n, "m": m}))
+                n = s.beyond(df.pos.to_numpy(), 1 - k, True, own) if "ungrouped" in rules else 0
+                m = s.beyond(df.best_pos.to_numpy(), 1 - k, False, rel) if "grouped" in rules else 0
+                out.append(pd.DataFrame({"side": k, "id": ids, "n": n, "m": m}))
         return pd.concat(out)
 
-    counted = all_pairs(with_known(left, 0, "q"), with_known(right, 1, "c"), above, "side int, id long, n long, m long").groupBy("side", "id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    counted = all_pairs(with_known(left, 0, "q"), with_known(right, 1, "c"), above, "side int, id long, n long, m long", rough=True)
+    counted = counted.groupBy("side", "id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     placed = known.join(counted, ["side", "id"])
-    return placed.select("side", "id", "pos", "best_pos", (F.col("n") + F.col("has")).alias("ungrouped"), (F.col("m") + 1).alias("grouped"))
+    ranked = {"ungrouped": F.col("n") + F.col("has"), "grouped": F.col("m") + 1}
+    return placed.select("side", "id", "pos", "best_pos", *(ranked[k].alias(k) for k in rules))
 
 
-def ranks(left: DataFrame, right: DataFrame, relevant: str | None = None) -> DataFrame:
-    """(q, pos, best_pos, ungrouped, grouped) of each query among the candidates, as `both_ranks` has them."""
-    return both_ranks(left, right, relevant, (0,)).select(F.col("id").alias("q"), "pos", "best_pos", "ungrouped", "grouped")
+def ranks(left: DataFrame, right: DataFrame, relevant: str | None = None, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """(q, pos, best_pos, and of ungrouped, grouped what `rules` names) of each query among the candidates, as `both_ranks` has them."""
+    return both_ranks(left, right, relevant, (0,), rules).select(F.col("id").alias("q"), "pos", "best_pos", *rules)
 
 
 def full_ranks(left: DataFrame, right: DataFrame, relevant: str, block: int = BLOCK) -> DataFrame:
