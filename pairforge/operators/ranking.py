@@ -46,6 +46,7 @@ def both_ranks(left: DataFrame, right: DataFrame, relevant: str | None = None, s
         mask = matches(x[relevant], y[relevant])
         return met(x, y, s, lambda axis: s.best(mask, axis) if mask.any() else np.full(mask.shape[1 - axis], -np.inf))
 
+    left, right = (settled(df, "side") for df in (left, right))  # read by every pass
     every = [df.select(F.lit(k).alias("side"), F.col(c).alias("id")) for k, (df, c) in enumerate(((left, "q"), (right, "c"))) if k in sides]
     every = every[0] if len(every) == 1 else every[0].union(every[1])
     schema = "side int, id long, s double"

@@ -64,6 +64,11 @@ def test_rank_ungrouped_makes_no_pass_over_groups(spark, seen):
     assert seen == [(("q", "c"), True), (None, True)]
 
 
+def test_retrieval_recall_scores_each_pair_once_for_both_sides(spark, seen):
+    QUERIES["retrieval_recall"](spark, "/root/testdata/sf0.001")
+    assert seen == [(("q", "c"), True), (("g", "g"), True), (None, True)]
+
+
 def test_one_rule_gives_what_both_give(spark):
     _, _, a, b = sides(spark)
     both = {r.q: r for r in ranking.ranks(a, b, "g").collect()}
