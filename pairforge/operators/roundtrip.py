@@ -35,7 +35,7 @@ def measures(records: DataFrame) -> DataFrame:
 
 def pairs(records: DataFrame) -> DataFrame:
     """(row_idx, id, rank, score, true_len, gen_len, true_target, generated_target): how each generated target finds its source."""
-    r = ranking.ranks(_side(records, "z_gen", "q"), _side(records, "z_src", "c"), "g")
+    r = ranking.ranks(_side(records, "z_gen", "q"), _side(records, "z_src", "c"), "g", ("grouped",))
     flat = records.select("row_idx", F.col("uid").alias("id"), *(F.trim(F.regexp_replace(c, r"\s+", " ")).alias(n) for c, n in (("true_target", "true_target"), ("gen_target", "generated_target"))))
     both = flat.join(r.select(F.col("q").alias("row_idx"), F.col("grouped").alias("rank"), "pos"), "row_idx")
     return both.select("row_idx", "id", "rank", F.format_string("%.4f", "pos").alias("score"), F.length("true_target").alias("true_len"), F.length("generated_target").alias("gen_len"), "true_target", "generated_target")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pairforge.operators import maxsim, ranking
+from pairforge.operators import maxsim, ranking, roundtrip
 from pairforge.plans.catalog import QUERIES
 from test_pairs import sides
 
@@ -69,6 +69,16 @@ def test_retrieval_recall_scores_each_pair_once_for_both_sides(spark, seen):
     assert seen == [(("q", "c"), True), (("g", "g"), True), (None, True)]
 
 
+def test_roundtrip_pairs_counts_one_rule(spark, monkeypatch):
+    asked = []
+    was = ranking.ranks
+    monkeypatch.setattr(ranking, "ranks", lambda *a: asked.append(a[3:]) or was(*a))
+    _, _, a, b = sides(spark)
+    records = a.select("q", "tokens", "g").join(b.withColumnRenamed("tokens", "z_gen").drop("g"), a.q == b.c)
+    roundtrip.pairs(records.selectExpr("q AS row_idx", "g AS uid", "tokens AS z_src", "z_gen", "'a' AS true_target", "'b' AS gen_target"))
+    assert asked == [(("grouped",),)]
+
+
 def test_one_rule_gives_what_both_give(spark):
     _, _, a, b = sides(spark)
     both = {r.q: r for r in ranking.ranks(a, b, "g").collect()}
