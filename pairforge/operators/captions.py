@@ -45,27 +45,45 @@ def swap_filter(spans: DataFrame, allowed: list[int], most_start: int) -> DataFr
     return spans.where(F.col("label_id").isin(allowed) & (F.col("vs") <= most_start))
 
 
-def plan(captions: DataFrame, spans: DataFrame, seed: int, per_row: int = 2, tries: int = 8) -> DataFrame:
-    """(owner_row, k, label_id, vs, ve, donor_row, dvs, dve): up to `per_row` exchanges a row, from the same split.
+def spread(captions: DataFrame) -> DataFrame:
+    """captions in ranges of row_idx, two a core at least: a table of few bytes is read by one task, and parsing is what costs."""
+    spark = captions.sparkSession
+    return captions.repartitionByRange(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "row_idx")
 
-    captions: row_idx, uid, split, text.  The row's spans are taken in hash order, again by hash when there are fewer than slots.  Each slot draws donors by
-    hash from its label's pool and keeps the first that is another row of another uid with another value.
+
+def plan(captions: DataFrame, spans: DataFrame, seed: int, per_row: int = 2, tries: int = 8, ranged: bool = False) -> DataFrame:
+    """(owner_row, k, label_id, vs, ve, donor_row, dvs, dve, piece): up to `per_row` exchanges a row, from the same split; piece is the donor's value.
+
+    captions: row_idx, uid, split, text; spans: `fields` of them, which may keep all four.  The row's spans are taken in hash order, again by hash when there are
+    fewer than slots.  Each slot draws donors by hash from its label's pool and keeps the first that is another row of another uid with another value: the
+    first draw is made for all, the others only for slots that it leaves without a donor.  ranged: spans come from captions as `spread` deals them.
     """
-    own = spans.join(captions.select("row_idx", "uid", "split", "text"), "row_idx").withColumn("value", value("text", "vs", "ve"))
-    own = own.select("row_idx", "uid", "split", "fpos", "label_id", "vs", "ve", "value")
-    pool = settled(positions(own, ["row_idx", "fpos"], ["label_id", "split"], "pool_pos"))
+    own = spans if {"uid", "split", "text"} <= set(spans.columns) else spans.join(captions.select("row_idx", "uid", "split", "text"), "row_idx")
+    own = own.withColumn("value", value("text", "vs", "ve")).select("row_idx", "uid", "split", "fpos", "label_id", "vs", "ve", "value")
+    pool = settled(positions(own, ["row_idx", "fpos"], ["label_id", "split"], "pool_pos", ranged=ranged))
     sizes = pool.groupBy("label_id", "split").agg(F.count("*").alias("pool_size"))
     ranked = F.array_sort(F.collect_list(F.struct(keyed_hash(seed, "s", F.col("row_idx"), F.col("fpos")).alias("h"), "fpos", "label_id", "vs", "ve", "value")))
     rows = pool.groupBy("row_idx", "uid", "split").agg(ranked.alias("spans"))
     slots = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_row - 1)))).withColumn("n", F.size("spans"))
     pick = F.when(F.col("k") < F.col("n"), F.col("k").cast("long")).otherwise(keyed_hash(seed, "w", F.col("row_idx"), F.col("k")) % F.col("n"))
     slots = slots.withColumn("_s", F.element_at("spans", (pick + 1).cast("int"))).select("row_idx", "uid", "split", "k", "_s.label_id", "_s.vs", "_s.ve", "_s.value")
-    draws = slots.join(F.broadcast(sizes), ["label_id", "split"]).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    draws = draws.withColumn("pool_pos", keyed_hash(seed, "d", F.col("row_idx"), F.col("k"), F.col("t")) % F.col("pool_size"))
-    donors = pool.select("label_id", "split", "pool_pos", F.col("row_idx").alias("donor_row"), F.col("uid").alias("_du"), F.col("vs").alias("dvs"), F.col("ve").alias("dve"), F.col("value").alias("_dv"))
-    good = draws.join(donors, ["label_id", "split", "pool_pos"]).where("donor_row <> row_idx and _du <> uid and _dv <> value")
-    first = good.groupBy(F.col("row_idx").alias("owner_row"), "k").agg(F.min_by(F.struct("label_id", "vs", "ve", "donor_row", "dvs", "dve"), "t").alias("_p"))
-    return first.select("owner_row", "k", "_p.*")
+    slots = slots.join(F.broadcast(sizes), ["label_id", "split"])
+    donors = pool.select("label_id", "split", "pool_pos", F.col("row_idx").alias("donor_row"), F.col("uid").alias("_du"), F.col("vs").alias("dvs"), F.col("ve").alias("dve"), F.col("value").alias("piece"))
+    good = F.expr("donor_row <> row_idx and _du <> uid and piece <> value")
+    found = ["label_id", "vs", "ve", "donor_row", "dvs", "dve", "piece"]
+
+    def drawn(slots: DataFrame, t: Column) -> DataFrame:
+        draws = slots.withColumn("t", t).withColumn("pool_pos", keyed_hash(seed, "d", F.col("row_idx"), F.col("k"), F.col("t")) % F.col("pool_size"))
+        return draws.join(donors, ["label_id", "split", "pool_pos"])
+
+    once = settled(drawn(slots, F.lit(0)).withColumn("_good", F.coalesce(good, F.lit(False))), "draws")
+    first = once.where("_good").select(F.col("row_idx").alias("owner_row"), "k", *found)
+    if tries < 2:
+        return first
+    left = once.where("not _good").select(*slots.columns)
+    more = drawn(left, F.explode(F.sequence(F.lit(1), F.lit(tries - 1)))).where(good)
+    more = more.groupBy(F.col("row_idx").alias("owner_row"), "k").agg(F.min_by(F.struct(*found), "t").alias("_p")).select("owner_row", "k", "_p.*")
+    return first.union(more)
 
 
 def decoy_texts(captions: DataFrame, plan_: DataFrame) -> DataFrame:

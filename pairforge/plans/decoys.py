@@ -48,7 +48,8 @@ plan AS (SELECT row_idx AS owner_row, k, label_id, vs, ve, donor_row, dvs, dve F
 
 
 def plan(spark, sf):
-    return C.plan(captions(spark, sf), fields(spark, sf), SEED, PER_ROW, TRIES)
+    c = C.spread(captions(spark, sf))
+    return C.plan(c, C.fields(c, "text", LABELS, ["row_idx", "uid", "split", "text"]), SEED, PER_ROW, TRIES, ranged=True)
 
 
 @query(with_(CAP, PLAN) + "SELECT * FROM plan")
