@@ -88,11 +88,8 @@ def plan(captions: DataFrame, spans: DataFrame, seed: int, per_row: int = 2, tri
 
 def decoy_texts(captions: DataFrame, plan_: DataFrame) -> DataFrame:
     """(owner_row, k, label_id, donor_row, text, owner_text) of each planned exchange."""
-    owner = captions.select(F.col("row_idx").alias("owner_row"), F.col("text").alias("_o"))
-    donor = captions.select(F.col("row_idx").alias("donor_row"), F.col("text").alias("_d"))
-    both = plan_.join(owner, "owner_row").join(donor, "donor_row")
-    piece = F.substring(F.col("_d"), F.col("dvs") + 1, F.col("dve") - F.col("dvs"))
-    return both.select("owner_row", "k", "label_id", "donor_row", splice(F.col("_o"), F.col("vs"), F.col("ve"), piece).alias("text"), F.col("_o").alias("owner_text"))
+    both = plan_.join(captions.select(F.col("row_idx").alias("owner_row"), F.col("text").alias("_o")), "owner_row")
+    return both.select("owner_row", "k", "label_id", "donor_row", splice(F.col("_o"), F.col("vs"), F.col("ve"), F.col("piece")).alias("text"), F.col("_o").alias("owner_text"))
 
 
 def differs_when_truncated(decoy: Column, owner: Column, most: int) -> Column:

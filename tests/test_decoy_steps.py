@@ -27,3 +27,11 @@ def test_decoy_keep_draws_for_all_slots_once(spark, written):
     k = decoys.decoy_keep(spark, SF)
     assert [n for n, _ in written].count("draws") == 1
     assert k.count() == k.select("owner_row", "k").distinct().count()
+
+
+def test_decoy_texts_join_owners_alone(spark):
+    p = decoys.plan(spark, SF)
+    assert "piece" in p.columns
+    c = captions(spark, SF)
+    donors = p.join(c.select(F.col("row_idx").alias("donor_row"), "text"), "donor_row")
+    assert donors.where(F.col("piece") != C.value("text", "dvs", "dve")).count() == 0
