@@ -112,10 +112,10 @@ def anchors(spark, sf):
     n = left.agg(F.count("*").alias("n"))
     d = kept(spark, sf).where("keep").crossJoin(F.broadcast(n))
     d = d.select("owner_row", "k", (F.col("owner_row") % F.col("n")).alias("q"), (F.col("donor_row") % F.col("n")).alias("c")).where("q <> c")
-    wanted = d.select("q", "c").union(d.select("q", F.col("q").alias("c"))).distinct()
-    s = wanted.join(left.select("q", "tokens"), "q").join(right.select("c", F.col("tokens").alias("other")), "c")
-    s = s.select("q", "c", F.round(maxsim.nested(F.col("tokens"), F.col("other")), 9).alias("score"))
-    both = d.join(s.withColumnRenamed("score", "neg"), ["q", "c"]).join(s.where("q = c").select("q", F.col("score").alias("pos")), "q")
+    score = F.round(maxsim.nested(F.col("tokens"), F.col("other")), 9)
+    left, other = left.select("q", "tokens"), right.select("c", F.col("tokens").alias("other"))
+    pos = left.join(other.withColumnRenamed("c", "q"), "q").select("q", score.alias("pos"))
+    both = d.join(left, "q").join(other, "c").select("owner_row", "q", score.alias("neg")).join(pos, "q")
     x = lambda v: F.exp(SCALE * (v - 1))
     soft = F.log(x(F.max("pos")) + F.sum(x(F.col("neg")))) - SCALE * (F.max("pos") - 1)
     return both.groupBy("owner_row").agg(F.max("pos").alias("pos"), F.max("neg").alias("worst"), F.count("*").alias("m"), F.sum(F.greatest(F.lit(0.0), MARGIN - (F.col("pos") - F.col("neg")))).alias("hinge"), soft.alias("soft"))

@@ -35,3 +35,9 @@ def test_decoy_texts_join_owners_alone(spark):
     c = captions(spark, SF)
     donors = p.join(c.select(F.col("row_idx").alias("donor_row"), "text"), "donor_row")
     assert donors.where(F.col("piece") != C.value("text", "dvs", "dve")).count() == 0
+
+
+def test_hard_decoy_loss_reads_decoys_once(spark):
+    a = decoys.anchors(spark, SF)
+    read = a._jdf.queryExecution().analyzed().toString()
+    assert "Distinct" not in read and "Deduplicate" not in read  # pairs are scored where they lie, not told apart first and joined back
