@@ -37,6 +37,17 @@ def test_decoy_texts_join_owners_alone(spark):
     assert donors.where(F.col("piece") != C.value("text", "dvs", "dve")).count() == 0
 
 
+def test_decoy_eval_parses_ranges_of_captions(spark):
+    """The same plan from dealt ranges and from spans in any order; value spans of rows with odd white space."""
+    c = captions(spark, SF)
+    own = C.plan(c, C.fields(c, "text", LABELS, ["row_idx"]).repartition(3), decoys.SEED, decoys.PER_ROW, decoys.TRIES)
+    dealt = decoys.plan(spark, SF)
+    assert rows(own.select(sorted(own.columns))) == rows(dealt.select(sorted(own.columns)))
+    odd = C.spread(spark.createDataFrame([(0, "NAME: \t\x0b a b \r\n TYPE:\f\n BRAND: x")], "row_idx int, text string"))
+    assert "rangepartitioning(row_idx" in plan(odd)
+    assert rows(C.fields(odd, "text", LABELS, ["row_idx"])) == [(0, 0, 0, 9, 12), (0, 2, 2, 31, 32)]
+
+
 def test_hard_decoy_loss_reads_decoys_once(spark):
     a = decoys.anchors(spark, SF)
     read = a._jdf.queryExecution().analyzed().toString()
