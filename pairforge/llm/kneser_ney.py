@@ -197,12 +197,8 @@ class Model:
         return out
 
 
-def score(docs: DataFrame, model: DataFrame, out: str, order: int = ORDER, most_rows: int = MOST_ROWS, which: str | None = None) -> DataFrame:
-    """docs with a column `out`: struct(log_prob in units of 2**-24, units) of the text by one of the models; null texts have no units.
-
-    The column `which` numbers each document's model, the first without it.  Each of the models' shards is a broadcast of at most about
-    `most_rows` rows; where there are several, a worker holds one at a time.
-    """
+def _dealt_out(model: DataFrame, most_rows: int) -> list:
+    """The models' shards as broadcasts of at most about `most_rows` rows."""
     names = [c for c in model.columns if c.startswith("v")]
     beyond = reduce(lambda x, y: x | y, (F.abs(c) >= 1 << 31 for c in names))
     n, wrong = model.agg(F.count("*"), F.count_if(beyond)).first()
@@ -217,8 +213,19 @@ def score(docs: DataFrame, model: DataFrame, out: str, order: int = ORDER, most_
         values = np.empty((m.num_rows, len(names)), np.int32)
         for j, c in enumerate(names):
             values[:, j] = m.column(c).to_numpy()
-        parts.append(docs.sparkSession.sparkContext.broadcast(Model(*(m.column(c).to_numpy() for c in ("kind", "k", "g")), values)))
+        parts.append(model.sparkSession.sparkContext.broadcast(Model(*(m.column(c).to_numpy() for c in ("kind", "k", "g")), values)))
         del m, values
+    return parts
+
+
+def score(docs: DataFrame, model: DataFrame, out: str, order: int = ORDER, most_rows: int = MOST_ROWS, which: str | None = None, parts: list | None = None) -> DataFrame:
+    """docs with a column `out`: struct(log_prob in units of 2**-24, units) of the text by one of the models; null texts have no units.
+
+    The column `which` numbers each document's model, the first without it.  Each of the models' shards is a broadcast of at most about
+    `most_rows` rows; where there are several, a worker holds one at a time.  parts: the broadcasts of an earlier call with this model.
+    """
+    parts = parts or _dealt_out(model, most_rows)
+    shards = len(parts)
     docs = docs.withColumn(out, F.lit(None).cast(SCORE))
     held_bytes = AT_ONCE if shards > 1 else 0
     where = docs.columns.index(which) if which else None
@@ -298,7 +305,7 @@ def judged(docs: DataFrame, labels: DataFrame, out: str, order: int = ORDER, qua
     held = written(part.where("_s.units > 0").select(lang, _perplexity("_s").alias("_ppl")), "held-out")
     few = held.groupBy(lang).count().where(F.col("count") < least).select(lang)
     per = quantiles(held.join(few, lang, "left_anti") if least > 1 else held, lang, "_ppl", quantile).select(lang, (F.col("_ppl") * margin).alias(limit)).distinct()
-    scored = score(docs.withColumn(fold, dealt("doc_id")), model, mark, order, most_rows, fold).withColumn(lang, F.coalesce("lang", F.lit("")))
+    scored = score(docs.withColumn(fold, dealt("doc_id")), model, mark, order, most_rows, fold, part._shards).withColumn(lang, F.coalesce("lang", F.lit("")))
     joined = scored.join(small_side(written(per, "thresholds"), BROADCAST_BYTES), lang, "left")
     ppl = F.when(F.col(f"{mark}.units") > 0, _perplexity(mark))
     threshold = F.col(limit) * F.exp(slack / F.sqrt(F.greatest(f"{mark}.units", F.lit(1))))

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import SPACED, components, lean, mix, ragged, run_hash, small_side, text_blocks, unused, words, written
+from pairforge.llm.common import SPACED, components, lean, mix, ragged, run_hash, text_blocks, unused, words, written
+from pairforge.llm.common import small_side as bounded_side
 
 NGRAM, PERCENT = 5, 75
 #: Tokens that the driver ranks and broadcasts: 4 MB at most.  Tasks report those that 3 of about 4 M tokens are, so any other makes up
@@ -33,12 +34,17 @@ BLOCK_SIZE = 1 << 20  # n-grams that these hold together, about
 FREQUENT = np.uint64(1 << 63)
 MET_SETS = 1 << 18  # sets that a task remembers to leave out their copies
 HOT_SETS = 1 << 16  # a token met in more sets than this is dealt out in parts
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = HELD_BYTES = 16 << 20  # of files, of rows in memory: the driver holds several such tables at a time
 FEATURES = "kind int, a long, n long, x long, y long, parity binary"
 PREFIXES = "bucket int, docs binary, marks binary, marks2 binary, sizes binary, counts binary, tokens binary"
 FOUND = "kind int, a long, b long, docs array<long>"
 
 
+def small_side(df: DataFrame, limit: int) -> DataFrame:
+    """df (from `written`), marked for a broadcast only within `limit` and HELD_BYTES."""
+    return bounded_side(df, limit, HELD_BYTES)
+
+
 def shingles(buf: np.ndarray, offs: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-gram hashes of each text, ascending, and the texts' offsets among them; fewer words are one n-gram."""
     hashes, _, _, at = words(buf, offs, SPACED, True)
@@ -533,6 +539,12 @@ def _passing(dealt: DataFrame) -> DataFrame:
 SKETCH = ["node", "s", "label", "parity"]
 
 
+def _sketched(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """rows (g, node, label, main) with s and parity of their sets.  The sketch is the wide side and holds a row for nearly each document: it stays where it
+    lies, and the rows go to it, or both are shuffled."""
+    return sketch.join(small_side(written(rows, "narrow"), BROADCAST_BYTES), "node")
+
+
 def _joined_within(docs: DataFrame, sets: DataFrame, groups: DataFrame, links: DataFrame, ngram: int, percent: int, block_sets: int, ranked: "object") -> DataFrame:
     """`links` with those that join what they leave apart within a token's sets.  groups: (g, node), distinct.
 
@@ -543,7 +555,6 @@ def _joined_within(docs: DataFrame, sets: DataFrame, groups: DataFrame, links: D
     roots = components(links, "a", "b")
     nodes = written(groups.select(F.col("node").alias("doc_id")).distinct(), "nodes")
     sketch = written(sets.join(small_side(nodes, BROADCAST_BYTES), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("n").alias("s"), "parity"), "sketch")
-    sketch = small_side(sketch, BROADCAST_BYTES)
 
     def joined(rows: DataFrame, own: bool) -> None:
         nonlocal links, roots
@@ -558,17 +569,17 @@ def _joined_within(docs: DataFrame, sets: DataFrame, groups: DataFrame, links: D
             break
         if not all_groups:
             mixed = mixed.groupBy("node").agg(F.min_by(F.struct("g", "label", "main"), F.struct(F.xxhash64("g"), "g")).alias("x")).select("x.g", "node", "x.label", "x.main")
-        dealt = _dealt(mixed.join(sketch, "node"), block_sets)
+        dealt = _dealt(_sketched(mixed, sketch), block_sets)
         near = written(_met(_passing(dealt) if all_groups else dealt, percent, SKETCH, not all_groups), "near")
         if not near.limit(1).count():
             continue
         found = components(near, "a", "b").select(F.col("root").alias("g"), "node")
         clusters = written(found.union(found.select("g", F.col("g").alias("node")).distinct()), "clusters")
         tokens = _ordered(docs, clusters, ngram, ranked)
-        dealt = _dealt(_mixed(clusters, roots)[0].join(sketch, "node"), block_sets)
+        dealt = _dealt(_sketched(_mixed(clusters, roots)[0], sketch), block_sets)
         joined(dealt, True)
         if dealt.where("blocks > 1").limit(1).count():
-            joined(_passing(_dealt(_mixed(clusters, roots)[0].join(sketch, "node"), block_sets)), False)
+            joined(_passing(_dealt(_sketched(_mixed(clusters, roots)[0], sketch), block_sets)), False)
     return links
 
 
@@ -584,10 +595,10 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     features = written(_features(docs, ngram), "sets")
     sets = features.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "x", "y", "parity")
-    often = features.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(most_frequent).orderBy("n", "a").toPandas()
-    frequent = often.a.to_numpy(np.int64).view(np.uint64)
+    often = features.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(most_frequent).orderBy("n", "a").toArrow()
+    frequent = often.column("a").to_numpy().view(np.uint64)
     by = np.argsort(frequent)
-    parts = -(-often.n.to_numpy(np.int64) // hot_sets)
+    parts = -(-often.column("n").to_numpy() // hot_sets)
     ranked = spark.sparkContext.broadcast((frequent[by], by.astype(np.uint64) + np.uint64(1), parts.astype(np.uint64)))
     tokens = int((sets.agg(F.sum("n")).first()[0] or 0) * (100 - percent) / 100)
     partitions = max(4, math.ceil(tokens / bucket_tokens))
