@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from pairforge.functions.shared import keyed_hash, rounded, sql_hash
+from pairforge.functions.shared import keyed_hash, rounded, settled, sql_hash
 from pairforge.operators import captions as C
 from pairforge.operators import maxsim
 from pairforge.plans.base import CAP, LABELS, PAIR, captions, pairs, query, with_
@@ -106,16 +108,32 @@ dscored AS (SELECT owner_row, k, s.score AS neg, p.score AS pos FROM keyed d JOI
 anchors AS (SELECT owner_row, any_value(pos) AS pos, max(neg) AS worst, count(*) AS m, sum(greatest(0, {MARGIN} - (pos - neg))) AS hinge, ln(exp({SCALE} * (any_value(pos) - 1)) + sum(exp({SCALE} * (neg - 1)))) - {SCALE} * (any_value(pos) - 1) AS soft FROM dscored GROUP BY owner_row)"""
 
 
+ITEM_BYTES, HELD_BYTES = 640, 64 << 20  # of an item's nested tokens in memory; of the items that a worker holds of a side
+
+
+def scored(decoys, left, other, n):
+    """(owner_row, pos, neg): decoys (owner_row, q, c) with the scores of the pairs (q, q) and (q, c); left: q, tokens; other: c, other; n: items a side.
+
+    Vectors do not travel with decoys: the other side's items are broadcast, in as many passes as keep what is held below HELD_BYTES, one after the other.
+    """
+    score = F.round(maxsim.nested(F.col("tokens"), F.col("other")), 9)
+    own = left.join(other.withColumnRenamed("c", "q"), "q").select("q", "tokens", score.alias("pos"))
+    meet = lambda d, own, other: d.join(own, "q").join(F.broadcast(other), "c").select("owner_row", "pos", score.alias("neg"))
+    passes = max(1, -(-n * ITEM_BYTES // HELD_BYTES))
+    if passes == 1:
+        return meet(decoys, F.broadcast(own), other)
+    decoys, own, other = settled(decoys, "decoys"), settled(own, "own"), settled(other, "other")
+    part = lambda df, p: df.where(F.pmod("c", F.lit(passes)) == p)
+    return reduce(lambda x, y: x.union(y), [settled(meet(part(decoys, p), own, part(other, p)), "scored") for p in range(passes)])
+
+
 def anchors(spark, sf):
     """(owner_row, pos, worst, m, hinge, soft): each anchor against its own usable decoys, by key."""
     left, right = pairs(spark, sf)
-    n = left.agg(F.count("*").alias("n"))
-    d = kept(spark, sf).where("keep").crossJoin(F.broadcast(n))
-    d = d.select("owner_row", "k", (F.col("owner_row") % F.col("n")).alias("q"), (F.col("donor_row") % F.col("n")).alias("c")).where("q <> c")
-    score = F.round(maxsim.nested(F.col("tokens"), F.col("other")), 9)
-    left, other = left.select("q", "tokens"), right.select("c", F.col("tokens").alias("other"))
-    pos = left.join(other.withColumnRenamed("c", "q"), "q").select("q", score.alias("pos"))
-    both = d.join(left, "q").join(other, "c").select("owner_row", "q", score.alias("neg")).join(pos, "q")
+    n = left.count()
+    of = lambda row: F.col(row) % F.lit(n or None).cast("long")
+    d = kept(spark, sf).where("keep").select("owner_row", of("owner_row").alias("q"), of("donor_row").alias("c")).where("q <> c")
+    both = scored(d, left.select("q", "tokens"), right.select("c", F.col("tokens").alias("other")), n)
     x = lambda v: F.exp(SCALE * (v - 1))
     soft = F.log(x(F.max("pos")) + F.sum(x(F.col("neg")))) - SCALE * (F.max("pos") - 1)
     return both.groupBy("owner_row").agg(F.max("pos").alias("pos"), F.max("neg").alias("worst"), F.count("*").alias("m"), F.sum(F.greatest(F.lit(0.0), MARGIN - (F.col("pos") - F.col("neg")))).alias("hinge"), soft.alias("soft"))
