@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import SPACED, _byte_values, digests, lean, mix, ragged, small_side, text_blocks, window_hash, within, words, written
+from pairforge.llm.common import BLOCK_BYTES, SPACED, _byte_values, digests, lean, mix, ragged, small_side, text_blocks, window_hash, within, words, written
 
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 RUNS = "key long, copy long, copy2 long, start int, doc_id long, n int, seen int"
@@ -220,22 +220,28 @@ def spans(docs: DataFrame, units: Units, window: int, gram: int, index: Callable
             doc, start, n, key, hot = doc[inside], start[inside], n[inside], key[inside], hot[inside]
             begin = at[doc] + start
             out_key, out_doc, out_begin, out_n = [key[~hot]], [doc[~hot]], [begin[~hot]], [n[~hot]]
-            if hot.any():  # the same windows, cut finer
-                size = n[hot] + window - 1
+            spots = np.flatnonzero(hot)
+            sizes = n[spots] + window - 1
+            ends = np.cumsum(sizes)
+            lo = 0
+            while lo < len(spots):  # the same windows, cut finer, about a block's units at a time
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_BYTES, "right")))
+                part, size = spots[lo:hi], sizes[lo:hi]
                 edges = np.concatenate([[0], np.cumsum(size)])
-                k2, first, count, _ = least_runs(values_of(raw[ragged(begin[hot], size)]), edges, window, gram, levels=3)
+                k2, first, count, _ = least_runs(values_of(raw[ragged(begin[part], size)]), edges, window, gram, levels=3)
                 owner = np.searchsorted(edges, first, "right") - 1
                 out_key.append(k2.view(np.int64))
-                out_doc.append(doc[hot][owner])
-                out_begin.append(begin[hot][owner] + first - edges[owner])
+                out_doc.append(doc[part][owner])
+                out_begin.append(begin[part][owner] + first - edges[owner])
                 out_n.append(count)
+                lo = hi
             fine = np.arange(sum(map(len, out_key))) >= len(out_key[0])
             key, doc, begin, n = (np.concatenate(x) for x in (out_key, out_doc, out_begin, out_n))
             ids = rows.column(0).to_numpy()[doc]
             size = np.cumsum((n + window - 1) * raw.itemsize)
             lo = 0
-            while lo < len(key):  # 8 MB of bodies at most, or one
-                hi = max(lo + 1, min(lo + 8192, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (8 << 20), "right"))))
+            while lo < len(key):  # 1 MB of bodies at most, or one
+                hi = max(lo + 1, min(lo + 8192, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (1 << 20), "right"))))
                 part = slice(lo, hi)
                 yield batch_of(raw, fine[part], key[part], ids[part], (begin - at[doc])[part], begin[part], n[part])
                 lo = hi
@@ -327,13 +333,10 @@ def union_spans(lo: np.ndarray, hi: np.ndarray, size: int) -> list[tuple[int, in
 
 def marked_ranges(flags: np.ndarray, owner: np.ndarray, base: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges [lo, hi) of units that flagged window starts cover: owner of each, counted from base[owner].  flags, owner by position."""
-    at = np.flatnonzero(flags)
-    if not len(at):
-        return at, at, at
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] - at[:-1] > 1) | (owner[at[1:]] != owner[at[:-1]])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    who = owner[at[first]]
-    return who, at[first] - base[who], at[last] - base[who] + window
-
+    apart = owner[1:] != owner[:-1]
+    new, end = flags.copy(), flags.copy()
+    new[1:] &= ~flags[:-1] | apart
+    end[:-1] &= ~flags[1:] | apart
+    first, last = np.flatnonzero(new), np.flatnonzero(end)
+    who = owner[first]
+    return who, first - base[who], last - base[who] + window

@@ -21,48 +21,80 @@ from pairforge.llm.common import lean, text_blocks
 
 WINDOW, GRAM, SHARD_UNITS, HOT_UNITS = 200, 32, 1 << 19, 4 << 20
 END = 0xFF  # never a byte of UTF-8
+CHUNK = 1 << 16  # positions that are worked on together
+
+
+def _borders(head: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about CHUNK slots that each begin with a group; a larger group comes whole."""
+    lo, n = 0, len(head)
+    while lo < n:
+        hi = lo + CHUNK
+        while hi < n and not head[hi : hi + CHUNK].any():
+            hi += CHUNK
+        hi = hi + int(head[hi : hi + CHUNK].argmax()) if hi < n else n
+        yield lo, hi
+        lo = hi
 
 
 def suffix_order(symbols: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(suffix array, rank of each position, ranks after each round), sorted to `depth` symbols or until all differ.
+    """(suffix array, rank of each position, ranks after each round), sorted to `depth` symbols or until all differ; rounds only with `depth`.
 
-    Prefix tripling: a round joins the ranks of three adjacent prefixes; only groups that are still tied are sorted again.
+    Prefix tripling: a round joins the ranks of three adjacent prefixes; only groups that are still tied are sorted again, some at a
+    time, so that beside the first sort's keys little more than the order and the ranks are held.
     """
     n = len(symbols)
-    above = symbols.astype(np.uint64) + np.uint64(1)  # 0 stands beyond the end
+    number = np.int32 if n < 1 << 31 else np.int64
+    above = symbols.astype(np.uint16 if symbols.dtype == np.uint8 else np.uint64)
+    above += 1  # 0 stands beyond the end
     width = int(above.max()).bit_length()
     per = max(1, 63 // width)
     key = np.zeros(n, np.uint64)
     for k in range(per):
         key <<= np.uint64(width)
         key[: max(0, n - k)] |= above[k:]
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
+    del above
+    order = np.argsort(key, kind="stable").astype(number)
     head = np.ones(n, bool)
-    head[1:] = sorted_key[1:] != sorted_key[:-1]
+    for lo in range(1, n, CHUNK):
+        sorted_key = key[order[lo - 1 : lo + CHUNK]]
+        head[lo : lo + CHUNK] = sorted_key[1:] != sorted_key[:-1]
+    del key
     have, rounds = per, []
-    slot = np.arange(n)
+    rank = np.empty(n, number)
     while True:
-        rank = np.empty(n, np.int64)
-        rank[order] = np.maximum.accumulate(np.where(head, slot, 0))
-        rounds.append(rank)
+        first = 0
+        for lo in range(0, n, CHUNK):
+            slots = np.arange(lo, min(lo + CHUNK, n))
+            slots = np.maximum.accumulate(np.where(head[slots], slots, first))
+            rank[order[lo : lo + CHUNK]] = slots
+            first = slots[-1]
+        if depth:
+            rounds.append(rank.copy())
         if (depth and have >= depth) or head.all():
             return order, rank, rounds
-        tied = ~head
-        tied[:-1] |= ~head[1:]
-        at = np.flatnonzero(tied)
-        pos = order[at]
-        one, two = (np.where(pos + k * have < n, rank[np.minimum(pos + k * have, n - 1)] + 1, 0) for k in (1, 2))
-        group = rank[pos]
-        if n < 1 << 21:
-            deal = np.argsort((group.astype(np.uint64) << np.uint64(42)) | (one.astype(np.uint64) << np.uint64(21)) | two.astype(np.uint64), kind="stable")
-        else:
-            deal = np.lexsort((two, one, group))
-        order[at] = pos[deal]
-        one, two, group = one[deal], two[deal], group[deal]
-        differ = np.ones(len(at), bool)
-        differ[1:] = (group[1:] != group[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        head[at] = differ
+        for lo, hi in _borders(head):
+            tied = ~head[lo:hi]
+            tied[:-1] |= tied[1:]
+            at = np.flatnonzero(tied) + lo
+            if not len(at):
+                continue
+            pos = order[at].astype(np.int64)
+            group = rank[pos]
+            one, two = (np.where(pos + k * have < n, rank[np.minimum(pos + k * have, n - 1)] + number(1), number(0)) for k in (1, 2))
+            if n < 1 << 21:
+                keys = [(group.astype(np.uint64) << np.uint64(42)) | (one.astype(np.uint64) << np.uint64(21)) | two.astype(np.uint64)]
+                del group, one, two
+                deal = np.argsort(keys[0], kind="stable")
+            else:
+                keys = [group, one, two]
+                deal = np.lexsort(keys[::-1])
+            order[at] = pos[deal]
+            differ = np.zeros(len(at), bool)
+            differ[0] = True
+            for x in keys:
+                x = x[deal]
+                differ[1:] |= x[1:] != x[:-1]
+            head[at] = differ
         have *= 3
 
 
@@ -92,31 +124,33 @@ class RunLengthIndex:
     """
 
     def __init__(self, text: np.ndarray, base: np.ndarray, stop: np.ndarray) -> None:
-        order, _, _ = suffix_order(text)
+        order, rank, _ = suffix_order(text)
         before = text[order - 1]
-        self.run_lengths = np.diff(np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1], [True]])))
-        self.runs = before[np.cumsum(self.run_lengths) - self.run_lengths]
-        n = len(text)
-        at = np.empty(n, np.int64)
-        at[order] = np.arange(n)
-        first = np.zeros(n, bool)
-        first[0] = True
+        first = np.ones(len(text), bool)
         first[1:] = before[1:] != before[:-1]
+        edges = np.flatnonzero(first)
+        self.run_lengths = np.diff(edges, append=len(text))
+        self.runs = before[edges]
+        del before, edges
         last = np.append(first[1:], True)
-        first[at[base]] = last[at[base]] = True
-        end_of = np.repeat(stop, stop - base + 1)  # each position's own text's end; END belongs to the text before it
-        self.heads, self.head_near = self._samples(text, order, np.flatnonzero(first), -1, end_of)
-        self.tails, self.tail_near = self._samples(text, order, np.flatnonzero(last), 1, end_of)
+        at = rank[base]
+        first[at] = last[at] = True
+        del rank, at
+        self.heads, self.head_near = self._samples(text, order, first, -1, base, stop)
+        self.tails, self.tail_near = self._samples(text, order, last, 1, base, stop)
 
     @staticmethod
-    def _samples(text: np.ndarray, order: np.ndarray, slots: np.ndarray, step: int, end_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        other = slots + step
-        real = (other >= 0) & (other < len(order))
-        pos = order[slots]
-        near = np.zeros(len(slots), np.int64)
-        near[real] = agreement(text, pos[real], order[other[real]], (end_of[pos] - pos)[real])
-        by = np.argsort(pos, kind="stable")
-        return pos[by], near[by]
+    def _samples(text: np.ndarray, order: np.ndarray, sampled: np.ndarray, step: int, base: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near_at = np.full(len(order), -1, order.dtype)
+        for lo in range(0, len(order), CHUNK):
+            slots = np.flatnonzero(sampled[lo : lo + CHUNK]) + lo
+            pos, other = order[slots], slots + step
+            real = (other >= 0) & (other < len(order))
+            room = stop[np.searchsorted(base, pos, "right") - 1] - pos  # to its own text's end; END belongs to the text before it
+            near_at[pos[~real]] = 0
+            near_at[pos[real]] = agreement(text, pos[real], order[other[real]], room[real])
+        at = np.flatnonzero(near_at >= 0).astype(order.dtype)
+        return at, near_at[at]
 
     def matching_statistics(self, lo: int, hi: int) -> np.ndarray:
         """For each text position of [lo, hi), the longest match that also starts elsewhere."""
@@ -132,15 +166,17 @@ def mark(bodies: list[bytes], times: np.ndarray, window: int = WINDOW) -> tuple[
     """Ranges of each body covered by windows that also start elsewhere.  A body that occurs more than once is indexed twice:
     that others equal it is all that more copies could tell."""
     twice = np.repeat(np.arange(len(bodies)), np.minimum(times, 2))
+    lead = np.searchsorted(twice, np.arange(len(bodies)))  # the first entry of each body
     text = np.frombuffer(b"".join(bodies[k] + b"\xff" for k in twice), np.uint8)
     size = np.array([len(b) for b in bodies], np.int64)[twice]
     base = np.cumsum(size + 1) - size - 1
     index = RunLengthIndex(text, base, base + size)
-    stats = index.matching_statistics(0, len(text))
-    owner = np.repeat(np.arange(len(twice)), size + 1)
-    who, lo, hi = repeats.marked_ranges(stats >= window, owner, base, window)
-    lead = np.searchsorted(twice, np.arange(len(bodies)))[twice[who]] == who  # the first entry of each body
-    return twice[who][lead], lo[lead], hi[lead]
+    flags = np.concatenate([index.matching_statistics(lo, min(lo + CHUNK, len(text))) >= window for lo in range(0, len(text), CHUNK)])
+    del index
+    owner = np.repeat(np.arange(len(twice), dtype=np.int32 if len(twice) < 1 << 31 else np.int64), size + 1)
+    who, lo, hi = repeats.marked_ranges(flags, owner, base, window)
+    own = lead[twice[who]] == who
+    return twice[who][own], lo[own], hi[own]
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_units: int = SHARD_UNITS, hot_units: int = HOT_UNITS, hot_runs: int = repeats.HOT_RUNS) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -173,6 +175,42 @@ def test_run_length_index_is_exact():
         assert got[p] == best, p
 
 
+def matching_bodies(kind: str, n: int) -> tuple[list[bytes], np.ndarray]:
+    rng = np.random.default_rng(3)
+    letters = lambda k: rng.integers(97, 123, k, dtype=np.uint8).tobytes()
+    if kind == "edges":  # one passage after different words
+        passage = letters(250)
+        return [letters(150) + passage for _ in range(n // 400)], np.ones(n // 400, np.int64)
+    return {"random": ([letters(n)], np.array([1])), "copies": ([letters(300) for _ in range(n // 600)], np.full(n // 600, 2)), "period": ([b"ab" * (n // 2)], np.array([1]))}[kind]
+
+
+@pytest.mark.parametrize("kind", ["random", "edges", "copies", "period"])
+def test_an_index_takes_few_bytes_a_unit(kind):
+    """It took 146 to 248 bytes a unit, so that two tasks with full shards held over half a gigabyte."""
+    bodies, times = matching_bodies(kind, 1 << 19)
+    runlength_index.mark(bodies, times)
+    tracemalloc.start()
+    who, lo, hi = runlength_index.mark(bodies, times)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 * sum(len(b) * min(t, 2) for b, t in zip(bodies, times.tolist(), strict=True))
+    want = {"random": 0, "period": 1}.get(kind, len(bodies))
+    assert len(who) == want and (hi - lo >= 200).all()
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 1 << 16])
+def test_an_index_in_chunks_is_exact(chunk, monkeypatch):
+    monkeypatch.setattr(runlength_index, "CHUNK", chunk)
+    test_run_length_index_is_exact()
+    rng = np.random.default_rng(chunk)
+    for _ in range(5):
+        bodies = list({rng.integers(97, 99, k, dtype=np.uint8).tobytes() for k in rng.integers(1, 60, 12).tolist()})
+        times = rng.integers(1, 3, len(bodies))
+        got = {(b, p) for b, lo, hi in zip(*runlength_index.mark(bodies, times, 7), strict=True) for p in range(lo, hi)}
+        places = Counter(x[p : p + 7] for x, t in zip(bodies, times.tolist(), strict=True) for _ in range(t) for p in range(len(x) - 6))
+        assert got == {(b, q) for b, x in enumerate(bodies) for p in range(len(x) - 6) if places[x[p : p + 7]] > 1 for q in range(p, p + 7)}
+
+
 def test_backward_search_counts():
     rng = np.random.default_rng(2)
     symbols = np.concatenate([rng.integers(1, 6, 400), [0], rng.integers(1, 6, 300), [0]])
