@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.shared import settled
-from pairforge.operators.maxsim import BLOCK, Rough, all_pairs, all_rows, codes, matches
+from pairforge.operators.maxsim import BLOCK, UNITS, Rough, all_pairs, all_rows, codes, matches
 from pairforge.operators.quantiles import quantiles
 
 
@@ -87,29 +88,91 @@ def ranks(left: DataFrame, right: DataFrame, relevant: str | None = None, rules:
     return both_ranks(left, right, relevant, (0,), rules).select(F.col("id").alias("q"), "pos", "best_pos", *rules)
 
 
-def full_ranks(left: DataFrame, right: DataFrame, relevant: str, block: int = BLOCK) -> DataFrame:
+def full_ranks(left: DataFrame, right: DataFrame, relevant: str, block: int = BLOCK, name: str = "q") -> DataFrame:
     """(q, pos, best_pos, ungrouped, grouped, ap): what `ranks` gives, and the mean precision at the relevant candidates, by falling score and then by c.
 
     One pass: each task has whole rows of scores and sorts them, of at most `block` queries at once; no score leaves it.
+    name: the column of left that stands in q's place in the result, where rows of one q differ.
     """
 
     def place(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
-        c = y.c.to_numpy()
+        named, q, c = x[name].to_numpy(), x.q.to_numpy(), y.c.to_numpy()
+        order = np.argsort(c, kind="stable")
         by_id = np.empty(len(c), np.int64)
-        by_id[np.argsort(c, kind="stable")] = np.arange(len(c))
+        by_id[order] = np.arange(len(c))
+        lo, hi = (np.searchsorted(c[order], q, side) for side in ("left", "right"))
         mine, theirs = codes(x[relevant], y[relevant])  # once a block
+        of_row = _whole_row if s.dtype == np.int32 else _double_row
         out = []
-        for i, q in enumerate(x.q.to_numpy()):
-            v, own = s[i], c == q
-            rel = own | (theirs == mine[i])
-            has = bool(own.any())
-            pos, best = (v[of].max(initial=-np.inf) for of in (own, rel))
-            at = np.flatnonzero(_by_score(v, by_id, rel)) + 1
-            ap = float((np.arange(1, len(at) + 1) / at).sum() / max(1, len(at)))
-            out.append((q, pos, best, np.count_nonzero(~own & (v >= pos)) + has, np.count_nonzero(~rel & (v > best)) + 1, ap))
-        return pd.DataFrame(out, columns=["q", "pos", "best_pos", "ungrouped", "grouped", "ap"])
-
-    return all_rows(left, right, place, "q long, pos double, best_pos double, ungrouped long, grouped long, ap double", block)
+        for i in range(len(q)):
+            own, rel = order[lo[i] : hi[i]], theirs == mine[i]
+            rel[own] = True
+            out.append((named[i], *of_row(s[i], by_id, rel, own)))
+        return pd.DataFrame(out, columns=[name, "pos", "best_pos", "ungrouped", "grouped", "ap"])
+
+    return all_rows(left, right, place, f"{name} long, pos double, best_pos double, ungrouped long, grouped long, ap double", block)
+
+
+def _precision(at: np.ndarray) -> float:
+    """The mean precision at these places."""
+    return float((np.arange(1, len(at) + 1) / at).sum() / max(1, len(at)))
+
+
+def _double_row(v: np.ndarray, by_id: np.ndarray, rel: np.ndarray, own: np.ndarray) -> tuple[float, float, int, int, float]:
+    """(pos, best_pos, ungrouped, grouped, ap) of one query's scores; own: places of its own candidates, which are in rel."""
+    pos, best = v[own].max(initial=-np.inf), v[rel].max(initial=-np.inf)
+    ahead = np.count_nonzero(v >= pos) - np.count_nonzero(v[own] >= pos)
+    return pos, best, ahead + (len(own) > 0), np.count_nonzero(~rel & (v > best)) + 1, _precision(np.flatnonzero(_by_score(v, by_id, rel)) + 1)
+
+
+def _whole_row(v: np.ndarray, by_id: np.ndarray, rel: np.ndarray, own: np.ndarray) -> tuple[float, float, int, int, float]:
+    """The same of scores as whole numbers of 1 / UNITS: all of it comes from one sort of numbers of 32 bits, a score and whether it is relevant each."""
+    keys = (np.int32(1 << 30) - v).view(np.uint32)
+    keys <<= 1
+    keys |= rel
+    ranked, at = _places(keys, by_id)
+    pos, best, ungrouped, grouped = -np.inf, -np.inf, len(v), len(v) + 1
+    if len(own):
+        top = int(v[own].max())
+        pos = top / UNITS
+        ungrouped = int(np.searchsorted(ranked, np.uint32(((1 << 30) - top) * 2 + 1), "right")) - np.count_nonzero(v[own] == top) + 1
+    if len(at):
+        first = ranked[at[0] - 1] >> 1
+        best = ((1 << 30) - int(first)) / UNITS
+        grouped = int(np.searchsorted(ranked, first << 1)) + 1
+    return pos, best, ungrouped, grouped, _precision(at)
+
+
+def _places(keys: np.ndarray, by_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, and the places (from 1) of the odd ones among all by key // 2 and then by_id.
+
+    Where only one of two neighbours with equal key // 2 is odd, by_id decides.  These few are looked up and put in order by themselves, or all keys are
+    where they are many.
+    """
+    out = np.sort(keys)
+    odd = (out & 1).astype(bool)
+    at = np.flatnonzero(odd)
+    later = at[at > 0]
+    tied = out[later[out[later] - out[later - 1] == 1]]
+    if len(tied):
+        maybe = np.zeros(1 << 16, bool)
+        maybe[np.concatenate([tied, tied - 1]).astype(np.uint16)] = True
+        near = np.flatnonzero(maybe[keys.astype(np.uint16)])
+        if many := 8 * len(near) > len(keys):
+            near, k = slice(None), keys
+        else:
+            k = keys[near] | 1
+            found = tied[np.minimum(np.searchsorted(tied, k), len(tied) - 1)] == k
+            near, k = near[found], k[found]
+        each = ((k >> 1).astype(np.int64) << 32) + (by_id[near] << 1) + (keys[near] & 1)
+        each.sort()
+        if many:
+            odd = (each & 1).astype(bool)
+        else:
+            k = (each >> 32).astype(np.uint32) << 1
+            odd[np.searchsorted(out, k) + np.arange(len(k)) - np.searchsorted(k, k)] = each & 1
+        at = np.flatnonzero(odd)
+    return out, at + 1
 
 
 def _by_score(v: np.ndarray, by_id: np.ndarray, rel: np.ndarray) -> np.ndarray:
@@ -121,18 +184,49 @@ def _by_score(v: np.ndarray, by_id: np.ndarray, rel: np.ndarray) -> np.ndarray:
     return rel[np.lexsort((by_id, -v))]
 
 
+def asked_once(sides: dict[str, DataFrame], right: DataFrame, relevant: str) -> DataFrame:
+    """(id, q, tokens, relevant, asked): the queries of all sides, of which those are one that have the same tokens, in any order, and the same
+    relevant candidates; asked: (side, q) of each.  Their best relevant score, rank by groups and average precision are the same.
+
+    A query whose own candidate is not in its group has relevant candidates that no other has, so it stays by itself.
+    """
+    every = [df.select(F.lit(side).alias("side"), "q", F.array_sort("tokens").alias("tokens"), relevant) for side, df in sides.items()]
+    every = settled(functools.reduce(DataFrame.union, every), "queries")
+    own = right.select("c", F.col(relevant).alias("_of"))
+    strays = every.join(own, F.col("q") == F.col("c")).where(~F.coalesce(F.col(relevant) == F.col("_of"), F.lit(False))).select("side", "q").distinct()
+    every = every.join(strays.withColumn("_alone", F.col("q")), ["side", "q"], "left")
+    once = every.groupBy("tokens", relevant, "_alone").agg(F.min("q").alias("q"), F.collect_list(F.struct("side", "q")).alias("asked"))
+    return settled(once.select(F.monotonically_increasing_id().alias("id"), "q", "tokens", relevant, "asked"), "once")
+
+
+def _each_ranked(sides: dict[str, DataFrame], right: DataFrame, relevant: str, block: int = BLOCK, how: str = "inner") -> DataFrame:
+    """(side, q, best_pos, grouped, ap) of every query of every side, as `full_ranks` has them."""
+    once = asked_once(sides, right, relevant)
+    ranked = full_ranks(once.drop("asked"), right, relevant, block, "id").select("id", "best_pos", "grouped", "ap")
+    return once.select("id", F.explode("asked").alias("a")).join(ranked, "id", how).select("a.side", "a.q", "best_pos", "grouped", "ap")
+
+
 def average_precisions(left: DataFrame, right: DataFrame, relevant: str, block: int = BLOCK) -> DataFrame:
     """(q, ap): mean precision at the relevant candidates, by falling score and then by c; 0 without any."""
-    ap = full_ranks(left, right, relevant, block).select("q", "ap")
-    return left.select("q").join(ap, "q", "left").select("q", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    return _each_ranked({"": left}, right, relevant, block, "left").select("q", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+def measures_of(sides: dict[str, DataFrame], right: DataFrame, relevant: str, ks: tuple[int, ...] = (1, 5, 10)) -> dict[str, DataFrame]:
+    """For each side, all against the same candidates in one pass, one row: n, recall at each k up to the number of queries (r1, ...), the lower median
+    rank, the mean best relevant score, mean average precision."""
+    ranked = settled(_each_ranked(sides, right, relevant), "ranks")
+
+    def row(r: DataFrame) -> DataFrame:
+        at = [F.when(F.count("*") >= k, F.avg((F.col("grouped") <= k).cast("double"))).alias(f"r{k}") for k in ks]
+        middle = quantiles(r, "grouped", [0.5], "lower")[0]
+        return r.agg(F.count("*").alias("n"), *at, F.lit(middle).cast("long").alias("median_rank"), F.avg("best_pos").alias("best_pos"), F.avg("ap").alias("map"))
+
+    return {side: row(ranked.where(F.col("side") == side)) for side in sides}
 
 
 def measures(left: DataFrame, right: DataFrame, relevant: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """One row: n, recall at each k up to the number of queries (r1, ...), the lower median rank, the mean best relevant score, mean average precision."""
-    r = settled(full_ranks(left, right, relevant), "ranks")
-    at = [F.when(F.count("*") >= k, F.avg((F.col("grouped") <= k).cast("double"))).alias(f"r{k}") for k in ks]
-    middle = quantiles(r, "grouped", [0.5], "lower")[0]
-    return r.agg(F.count("*").alias("n"), *at, F.lit(middle).cast("long").alias("median_rank"), F.avg("best_pos").alias("best_pos"), F.avg("ap").alias("map"))
+    """The same of one side."""
+    return measures_of({"": left}, right, relevant, ks)[""]
 
 
 def recall(ranked: DataFrame, rank: str, ks: list[int]) -> DataFrame:

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pairforge.operators import ranking
+from pairforge.operators import maxsim, ranking
 from test_pairs import plan, sides
 
 
@@ -25,3 +26,47 @@ def test_order_of_scores_beyond_two():
     rel = np.array([True, False, False, True])
     assert ranking._by_score(v, place, rel).tolist() == [False, True, True, False]
     assert ranking._by_score(v / 1e4, place, rel).tolist() == [0, 1, 1, 0]
+
+
+def test_whole_numbers_rank_as_doubles():
+    rng = np.random.default_rng(3)
+    for trial in range(200):
+        n, most = int(rng.integers(1, 300)), int(rng.choice([2, 40, 10**9]))
+        v = rng.integers(-most, most + 1, n).astype(np.int32)
+        rel = rng.random(n) < rng.choice([0, 0.1, 0.6])
+        own = rng.choice(n, int(rng.integers(0, min(n, 2) + 1)), replace=False)
+        rel[own] = True
+        by_id = rng.permutation(n).astype(np.int64)
+        assert ranking._whole_row(v, by_id, rel, own) == ranking._double_row(v / 1e9, by_id, rel, own)
+
+
+def test_few_ties_in_a_long_row_are_put_in_order():
+    rng = np.random.default_rng(4)
+    v = rng.integers(-(10**9), 10**9, 40000).astype(np.int32)
+    v[rng.choice(40000, 300, replace=False)] = v[rng.choice(40000, 100, replace=False)].repeat(3)
+    rel, by_id = rng.random(40000) < 0.3, rng.permutation(40000).astype(np.int64)
+    assert ranking._whole_row(v, by_id, rel, np.array([], int)) == ranking._double_row(v / 1e9, by_id, rel, np.array([], int))
+
+
+def test_each_file_of_blocks_is_a_task_and_long_tokens_are_ranked_as_doubles(spark):
+    _, _, a, b = sides(spark)
+    whole = ranking.full_ranks(a, b, "g", 7)
+    assert whole.rdd.getNumPartitions() == 9
+    scaled = a.withColumn("tokens", F.transform("tokens", lambda v: F.transform(v, lambda x: x * 3)))
+    got, want = ({r.q: (r.ungrouped, r.grouped, r.ap) for r in df.collect()} for df in (ranking.full_ranks(scaled, b, "g", 7), whole))
+    assert maxsim._evenly(scaled)[2] == pytest.approx(3) and got == want
+
+
+def test_equal_queries_are_scored_once(spark):
+    left, right, a, b = sides(spark)
+    right[5] = (5, right[5][1], "z")  # query 5 has a relevant candidate that no other has
+    schema = "tokens array<array<double>>, g string"
+    b = spark.createDataFrame(right, "c long, " + schema)
+    more = [(q + 100, x[::-1], g) for q, x, g in left] + [(200, left[5][1], left[5][2])]
+    both = spark.createDataFrame(left + more, "q long, " + schema)
+    once = ranking.asked_once({"": both}, b, "g").collect()
+    stays = {5} | {k for k in range(60) if k % 7 == 0}
+    assert len(once) == 60 + len(stays) and sorted(x.q for r in once for x in r.asked) == sorted(q for q, _, _ in left + more)
+    got = {r.q: (r.best_pos, r.grouped, r.ap) for r in ranking._each_ranked({"": both}, b, "g").collect()}
+    want = {r.q: (r.best_pos, r.grouped, r.ap) for r in ranking.full_ranks(both, b, "g").collect()}
+    assert len(got) == 121 and got == want
