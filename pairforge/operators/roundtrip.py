@@ -6,6 +6,7 @@ Records of one uid are relevant to each other.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Mapping
 
@@ -25,12 +26,13 @@ def _side(records: DataFrame, tokens: str, name: str) -> DataFrame:
 
 
 def measures(records: DataFrame) -> DataFrame:
-    """(comparison, n, r1, r5, r10, median_rank, best_pos, map), one row a comparison."""
-    out = None
-    for name, (a, b) in COMPARISONS.items():
-        row = ranking.measures(_side(records, a, "q"), _side(records, b, "c"), "g").withColumn("comparison", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(comparison, n, r1, r5, r10, median_rank, best_pos, map), one row a comparison.  Those with the same candidates share a pass, in which a true
+    target that equals the generated one is scored once."""
+    rows = []
+    for b in dict.fromkeys(b for _, b in COMPARISONS.values()):
+        sides = {name: _side(records, a, "q") for name, (a, other) in COMPARISONS.items() if other == b}
+        rows += [row.withColumn("comparison", F.lit(name)) for name, row in ranking.measures_of(sides, _side(records, b, "c"), "g").items()]
+    return functools.reduce(DataFrame.unionByName, rows)
 
 
 def pairs(records: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairforge.operators import maxsim, ranking
+from pairforge.operators import maxsim, ranking, roundtrip
 from test_pairs import plan, sides
 
 
@@ -70,3 +70,18 @@ def test_equal_queries_are_scored_once(spark):
     got = {r.q: (r.best_pos, r.grouped, r.ap) for r in ranking._each_ranked({"": both}, b, "g").collect()}
     want = {r.q: (r.best_pos, r.grouped, r.ap) for r in ranking.full_ranks(both, b, "g").collect()}
     assert len(got) == 121 and got == want
+
+
+def test_round_trips_share_passes(spark, monkeypatch):
+    asked = []
+    was = ranking.full_ranks
+    monkeypatch.setattr(ranking, "full_ranks", lambda left, *a: asked.append(left.count()) or was(left, *a))
+    _, _, a, b = sides(spark)
+    a = a.withColumn("g", F.coalesce("g", F.lit("n")))
+    records = a.selectExpr("q AS row_idx", "g AS uid", "tokens AS z_src").join(b.selectExpr("c AS row_idx", "tokens AS z_gen", "reverse(tokens) AS z_true"), "row_idx")
+    m = {r.comparison: r.asDict() for r in roundtrip.measures(records).collect()}
+    assert asked == [60, 60] and set(m) == set(roundtrip.COMPARISONS)
+    gen, true = ({k: v for k, v in m[c].items() if k != "comparison"} for c in ("generated_to_source", "true_to_source"))
+    assert gen == true and gen["n"] == 60
+    ranks = sorted(r.grouped for r in ranking.ranks(b.drop("g").join(a.select(F.col("q").alias("c"), "g"), "c").withColumnRenamed("c", "q"), a.withColumnRenamed("q", "c"), "g").collect())
+    assert gen["r1"] == pytest.approx(sum(r <= 1 for r in ranks) / 60) and gen["median_rank"] == ranks[29]
