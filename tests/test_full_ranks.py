@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairforge.functions import shared
 from pairforge.operators import maxsim, ranking, roundtrip
 from test_pairs import plan, sides
 
@@ -85,3 +86,9 @@ def test_round_trips_share_passes(spark, monkeypatch):
     assert gen == true and gen["n"] == 60
     ranks = sorted(r.grouped for r in ranking.ranks(b.drop("g").join(a.select(F.col("q").alias("c"), "g"), "c").withColumnRenamed("c", "q"), a.withColumnRenamed("q", "c"), "g").collect())
     assert gen["r1"] == pytest.approx(sum(r <= 1 for r in ranks) / 60) and gen["median_rank"] == ranks[29]
+
+
+def test_blocks_below_a_folder_with_odd_characters(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared, "shared_base", lambda _: f"file://{tmp_path}/a b%20c")
+    _, _, a, b = sides(spark)
+    assert ranking.full_ranks(a, b, "g", 7).count() == 60
